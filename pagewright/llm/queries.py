@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import maglev, mixing
+from . import chat, maglev, matroska, mixing
 
 
 def queries():
     return {
+        "op2_chat_format": chat._digest,
         "op7_maglev_sharding": maglev._digest,
+        "op9_matroska": matroska._digest,
         "op10_mix_sources": mixing._digest,
     }
 
 
 def oracle_sql():
-    return {"op7_maglev_sharding": maglev.sql(), "op10_mix_sources": mixing.SQL}
+    return {"op2_chat_format": chat.SQL, "op7_maglev_sharding": maglev.sql(), "op10_mix_sources": mixing.SQL}
