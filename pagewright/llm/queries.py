@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, maglev, matroska, mixing
+from . import chat, maglev, matroska, mixing, token_index
 
 
 def queries():
     return {
+        "op1_token_index": token_index._digest,
         "op2_chat_format": chat._digest,
         "op7_maglev_sharding": maglev._digest,
         "op9_matroska": matroska._digest,
