@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, maglev, matroska, mixing, token_index
+from . import chat, maglev, matroska, mixing, quality_fm, token_index
 
 
 def queries():
     return {
         "op1_token_index": token_index._digest,
         "op2_chat_format": chat._digest,
+        "op3_quality_fm": quality_fm._digest,
         "op7_maglev_sharding": maglev._digest,
         "op9_matroska": matroska._digest,
         "op10_mix_sources": mixing._digest,
