@@ -22,8 +22,10 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,8 @@ from .common import shared_path, shuffle_partitions, written
 
 MAGIC, PART_MAGIC = b"PWTOKEN1", b"PWINDEX1"
 END_ID = 2
-WORDS_KEPT, PIECES_KEPT = 300_000, 400_000
+WORDS_KEPT, PIECES_KEPT = 300_000, 500_000
+SENTENCE_MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 
 
 # --- encoding -------------------------------------------------------------------------------
@@ -79,26 +82,36 @@ class WordEncoder:
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
         self.letters = _byte_letters()
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        if any("<|" not in x for x in self.special) or sys.byteorder != "little":
+            self.by_word = False
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _piece(self, raw: bytes) -> bytes:
+        """Ids of one lower-case piece of the split rule."""
+        ids = self.pieces.get(raw)
+        if ids is None:
+            letters = raw.decode("latin-1")
+            if not raw.isalpha():
+                letters = letters.translate(self.letters)
+            ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+            if len(self.pieces) >= PIECES_KEPT:
+                self.pieces.clear()
+            self.pieces[raw] = ids
+        return ids
+
     def _word(self, raw: bytes) -> bytes:
+        if raw.isalpha():  # ASCII letters
+            return self._piece(raw.lower())
+        if raw[:-1].isalpha() and raw[-1:] in SENTENCE_MARKS:
+            return self._piece(raw[:-1].lower()) + self._piece(raw[-1:])
         word = raw.decode("utf-8", "replace")
-        if not _plain.fullmatch(word) or any(s in word for s in self.special):
+        if not _plain.fullmatch(word) or ("<|" in word and any(s in word for s in self.special)):
             return self.whole(word)
-        out = []
-        for piece in self.pattern.findall(word.lower()):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                letters = piece.encode().decode("latin-1").translate(self.letters)
-                ids = np.asarray([t.id for t in self.tokenizer.model.tokenize(letters)], self.dtype).tobytes()
-                if len(self.pieces) >= PIECES_KEPT:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self._piece(p.encode()) for p in self.pattern.findall(word.lower())])
 
     def encode(self, text: str | None) -> bytes:
         if not text:
