@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, langid_gru, maglev, matroska, mixing, quality_fm, spm_wfst, token_index
+from . import cap_filters, chat, langid_gru, maglev, matroska, mixing, quality_fm, spm_wfst, token_index
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_token_index": token_index._digest,
         "op2_chat_format": chat._digest,
         "op3_quality_fm": quality_fm._digest,
+        "op4_cap_filters": cap_filters._digest,
         "op5_spm_wfst": spm_wfst._digest,
         "op6_langid_gru": langid_gru._digest,
         "op7_maglev_sharding": maglev._digest,
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_chat_format": chat.SQL, "op7_maglev_sharding": maglev.sql(), "op10_mix_sources": mixing.SQL}
+    return {"op2_chat_format": chat.SQL, "op4_cap_filters": cap_filters.SQL, "op7_maglev_sharding": maglev.sql(), "op10_mix_sources": mixing.SQL}
