@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cap_filters, chat, langid_gru, maglev, matroska, mixing, quality_fm, spm_wfst, token_index
+from . import cap_filters, chat, jaccard_tgm, langid_gru, maglev, matroska, mixing, quality_fm, spm_wfst, token_index
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_spm_wfst": spm_wfst._digest,
         "op6_langid_gru": langid_gru._digest,
         "op7_maglev_sharding": maglev._digest,
+        "op8_jaccard_tgm": jaccard_tgm._digest,
         "op9_matroska": matroska._digest,
         "op10_mix_sources": mixing._digest,
     }
