@@ -316,7 +316,7 @@ def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """Filtering stage: rows whose language is found with a score of at least ``least``; a null lang becomes it."""
     plain = docs.toDF(*[f"k{k}" for k in range(len(docs.columns))])
     text, lang = (f"k{docs.columns.index(c)}" for c in ("text", "lang"))
