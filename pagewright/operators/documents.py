@@ -42,7 +42,7 @@ def metadata(parsed: DataFrame) -> DataFrame:
     """Document information, one row a document; entries of other names stay a map."""
     doc = parsed.groupBy("path").agg(F.first("info", True).alias("info"), F.max("n_pages").alias("pages"), F.first("version", True).alias("version"), F.max("encrypted").alias("encrypted"))
     get = lambda k: F.nullif(F.trim(F.element_at("info", k)), F.lit(""))
-    words = F.filter(F.transform(F.split(get("Keywords"), "[,;]"), F.trim), lambda w: w != "")
+    words = F.filter(F.transform(F.split(get("Keywords"), "[,;]"), lambda w: F.trim(w)), lambda w: w != "")
     return doc.select(
         "path", get("Title").alias("title"), get("Author").alias("author"), get("Subject").alias("subject"), get("Creator").alias("creator"),
         get("Producer").alias("producer"), get("CreationDate").alias("creation_date"), get("ModDate").alias("modification_date"),

@@ -70,14 +70,17 @@ def counts_by_type(elements: DataFrame, by: str = "path") -> DataFrame:
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """Long form: a row for each type, for each page, and one over all, from one pass."""
-    cube = found.groupingSets([["type"], ["page_number"], []], "type", "page_number").agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"),
-        F.grouping("type").alias("__t"), F.grouping("page_number").alias("__p"),
+    """Long form: a row for each type, for each page, and one over all (also of nothing)."""
+    sets = found.groupingSets([["type"], ["page_number"]], "type", "page_number").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("__sum"), F.grouping("type").alias("__t"),
     )
-    kind = F.when(F.col("__t") == 0, "type").when(F.col("__p") == 0, "page").otherwise("all")
-    key = F.when(F.col("__t") == 0, F.col("type")).when(F.col("__p") == 0, F.col("page_number").cast("string")).otherwise("")
-    return cube.select(kind.alias("kind"), key.alias("key"), "n", "avg_confidence")
+    kind = F.when(F.col("__t") == 0, "type").otherwise("page")
+    key = F.when(F.col("__t") == 0, F.col("type")).otherwise(F.col("page_number").cast("string"))
+    parts = sets.select(kind.alias("kind"), key.alias("key"), "n", "__sum")
+    # the whole is the sum over types, whose exchange is used again
+    whole = parts.where("kind = 'type'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("__sum"), F.lit(0.0)).alias("__sum"))
+    rows = parts.unionByName(whole.select(F.lit("all").alias("kind"), F.lit("").alias("key"), "n", "__sum"))
+    return rows.select("kind", "key", "n", F.when(F.col("n") > 0, F.col("__sum") / F.col("n")).otherwise(0.0).alias("avg_confidence"))
 
 
 def extraction_summary(elements: DataFrame) -> DataFrame:

@@ -59,6 +59,8 @@ def read_pages(data: bytes, fields: Sequence[str] = ALL, pages: Sequence[int] =
         info = {str(k): t for k, v in info.items() if (t := text_string(doc.resolve(v))) is not None} if isinstance(info, dict) else {}
         if doc.encrypted:
             raise PdfError("encrypted PDF")
+        if not listed:
+            raise PdfError("malformed PDF: no pages")
     except (PdfError, RecursionError, ValueError, TypeError, KeyError, IndexError, AttributeError) as e:
         yield {"error": str(e) or type(e).__name__, "encrypted": "encrypted" in str(e)}
         return
