@@ -288,13 +288,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[st
         for batch in batches:
             texts = batch.column(n).to_pylist()
             got, held, size = [], [], 0
-            for t in texts:
+            for t in texts if model.langs else ():
                 held.append(t)
                 size += len(t or "")
                 if size >= CHUNK:
                     got += pool.documents(held)
                     held, size = [], 0
-            got += pool.documents(held)
+            got = got + pool.documents(held) if model.langs else [None] * len(texts)
             pairs = [label(p) for p in got]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(k) for k in range(n)], pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.float64())],

@@ -33,6 +33,7 @@ BUCKETS, FACTORS = 1 << 14, 8
 SAMPLE = 3000  # labelled rows of each class, at most
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.02, 1e-4
+LEAST_STEPS = 500
 STATS = (
     "log_words", "log_bytes", "word_length", "upper", "digit", "symbol", "strong", "pipe", "period", "distinct",
     "repeats", "lines", "repeated_lines", "top_word", "long_words",
@@ -91,7 +92,7 @@ class Model:
 
 
 def fit(rows: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
-    """Logistic loss, both classes weighing alike, on rows as ``features`` gives them."""
+    """Logistic loss, both classes weighing alike, on rows as ``features`` gives them; few rows are gone over more often."""
     n_dense = len(rows[0][2]) if len(rows) else len(STATS)
     rng = np.random.default_rng(seed)
     width = BUCKETS + n_dense
@@ -108,7 +109,7 @@ def fit(rows: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.nd
     params = [np.zeros(1), model.w, model.v]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * min(BATCH, len(rows)) // len(rows)))):
         order = rng.permutation(len(rows))
         for first in range(0, len(rows), BATCH):
             pick = order[first : first + BATCH]

@@ -1,0 +1,275 @@
+"""Operators over small tables with every odd row, against brute force."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pagewright.llm import cap_filters, chat, jaccard_tgm, langid_gru, maglev, matroska, mixing, quality_fm, spm_wfst, token_index
+from pagewright.llm.components import connected_components
+
+# clashing names: what operators call their own columns
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, slot int, shard int, hash string, size string, cid long, t string"
+LONG = "palabra larga " * 20_000
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(i, t, g, s, len(t or ""), 0.5, 1, 2, "h", "s", 3, "t") for i, t, g, s in rows], DOCS)
+
+
+ODD = [
+    (1, "the cat sat on the mat today", "en", "b"), (1, "the cat sat on the mat today", "en", "b"), (2, None, None, None), (None, "no id here at all", "en", "a"),
+    (3, "", "de", "a"), (4, " \n\t ", "de", "c"), (5, LONG, "es", "c"), (1, "another text of the same id", "en", None), (7, "x", "en", "é"), (-4, "Ein kurzer Satz.", "de", "b"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return _docs(spark, ODD).cache()
+
+
+def _rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_token_index(spark, docs, tmp_path):
+    path, tokenizer = f"file://{tmp_path}", token_index.tokenizer_path("word_bpe_49k.json")
+    for name, table, shards in (("a", docs, 3), ("b", docs.limit(0), 2)):
+        entries = token_index.write_shards(table, f"{path}/{name}", tokenizer, shards=shards)
+        parts = token_index.build_index(entries, f"{path}/{name}-index", 2)
+        found = token_index.lookup(token_index.all_keys(table), f"{path}/{name}-index", parts)
+        got = _rows(token_index.read_digests(found, f"{path}/{name}"))
+        assert found.where("shard is null").count() == 0
+        if name == "b":
+            assert got == []
+            continue
+        enc = token_index.encoder(tokenizer)
+        ids = [(i, [*np.frombuffer(enc.encode(t), "<u2").tolist(), 2]) for i, t, _, _ in table.select("doc_id", "text", "lang", "source").collect()]
+        want = sorted(((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids), key=repr)
+        assert sorted(((i, n, c) for i, _, n, c in got), key=repr) == want
+        starts = sorted((s, n) for _, s, n, _ in got)
+        assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and starts[0][0] == 0
+        by_start = [i for _, i in sorted((s, i if i is not None else -(10**9)) for i, s, _, _ in got)]
+        assert by_start == sorted(by_start)
+        absent = spark.createDataFrame([(k, 0) for k in range(100, 150)] + [(1, 3)], "doc_id long, occurrence long")
+        assert token_index.lookup(absent, f"{path}/{name}-index", parts).where("shard is not null").count() == 0
+
+
+def test_chat(spark):
+    rows = [(1, 1, "assistant", "fine <|im_end|>", 9), (1, 0, "user", "hi", 9), (1, 1, "assistant", "fine <|im_end|>", 9), (2, 0, None, None, 9), (None, 0, "assistant", "lost", 9), (3, 0, "system\n<|x", "a" * 300_000, 9)]
+    rows += [(4, k, ("user", "assistant")[k % 2], f"turn {k}", 9) for k in range(300)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted int")
+    got = {r.conv_id: r for r in chat.digest(chat.format_chat(df)).collect()}
+    for c in {r[0] for r in rows}:
+        turns = sorted((t, r or "", x or "") for i, t, r, x, _ in rows if i == c)
+        said = "".join(x for _, r, x in turns if r == "assistant")
+        assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+    assert len(got) == 5 and chat.digest(chat.format_chat(df.limit(0))).count() == 0
+
+
+def test_chat_parts(spark):
+    part = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
+    content = [("text", "look: ", None, None, None, None, None), ("image", None, "s3", 10, 10, None, None)]
+    df = spark.createDataFrame([(1, 0, "user", content), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts array<{part}>")
+    rows = chat.format_chat(df, content="parts").orderBy("seq").collect()
+    assert rows[0].formatted == "<|im_start|>user\nlook: <|image|><|im_end|>\n" and rows[0].expanded_tokens == 255
+    a = rows[0].attachments[0]
+    assert (a.kind, a.ref, rows[0].formatted[a.at : a.at + 9]) == ("image", "s3", "<|image|>") and rows[1].loss_start == rows[1].loss_end
+
+
+def test_quality(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(5))
+    rows = [(k, " ".join(word() + ("&&" if k % 2 else "") for _ in range(30)), "en", "a") for k in range(200)]
+    table = _docs(spark, rows + [(None, None, None, None), (7, "dup id", "en", "a"), (900, "", "en", "a")])
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(150)] + [(None, 1), (3, None), (3, 0)], "doc_id long, quality int")
+    model = quality_fm.train(table, quality_fm.learned_rows(labels), sample=50)
+    got = {r.doc_id: r.score for r in quality_fm.score(table, model).collect()}
+    assert len(got) == 202 and all(0 <= s <= 1 for s in got.values())
+    assert all((got[k] >= 0.3) == (k % 2 == 0) for k in range(200) if k != 7)
+    kept = quality_fm.keep_good(table, labels)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} >= {k for k in range(0, 200, 2)} - {7}
+    assert quality_fm.keep_good(table.limit(0), labels).count() == 0
+    assert {r.score for r in quality_fm.score(table, quality_fm.train(table, labels.limit(0))).collect()} == {0.5}
+    with_meta = quality_fm.train(table, labels, metadata=["n_chars"], sample=50)
+    assert quality_fm.score(table, with_meta, metadata=["n_chars"]).count() == 203
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (101, 101), (5, None), (200, 300), (300, 250)], "a long, b long")
+    got = dict(_rows(connected_components(links)))
+    assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 200: 200, 250: 200, 300: 200}
+    assert connected_components(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_caps(spark, block):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(12, 16))
+    rows = [(k, (base[k % 12] + 0.06 * rng.normal(size=16)).tolist(), k % 2) for k in range(80)]
+    rows += [(100 + k, rows[0][1], 0) for k in range(30)] + [(5, rows[0][1], 0), (None, rows[2][1], 0)]
+    rows += [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, [None] + [1.0] * 15, 0), (204, rows[0][1], None), (205, [], 0), (206, rows[0][1][:8], 0), (207, [float("inf")] * 16, 1), (208, [2 * x for x in rows[0][1]], 0)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int, cid int")
+    got = _rows(cap_filters.near_duplicates(df, block=block))
+    ok = [k for k, (_, v, g) in enumerate(rows) if g is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    cos = lambda p, q: float(np.dot(p, q) / (np.linalg.norm(p) * np.linalg.norm(q)))
+    near = {k: [j for j in ok if j != k and rows[j][2] == rows[k][2] and len(rows[j][1]) == len(rows[k][1]) and cos(rows[k][1], rows[j][1]) >= 0.98] for k in ok}
+    want = []
+    for k, (i, _, _) in enumerate(rows):
+        seen, todo = {k}, [k]
+        while todo:
+            for j in near.get(todo.pop(), []):
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        least = min(ids, default=None)
+        want.append((i, len(near.get(k, [])), least, i is not None and i == least))
+    assert got == sorted(want, key=repr)
+    assert cap_filters.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_pieces(spark, docs):
+    import sentencepiece
+
+    path = spm_wfst.tokenizer_path(spm_wfst.MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = spm_wfst.encode(docs, path, keep=("doc_id", "t"))
+    want = [(i, sp.encode(t or "")) for i, t, _, _ in ODD]
+    assert _rows(got.select("doc_id", F.col("piece_ids"))) == sorted(want, key=repr) and all(r.round_trip for r in got.collect())
+    back = spm_wfst.decode(got, path)
+    assert _rows(back) == sorted(((i, t or "") for i, t, _, _ in ODD), key=repr)
+    assert spm_wfst.encode(docs.limit(0), path).count() == 0
+
+
+def test_languages(spark, docs):
+    model = langid_gru.train(docs, docs_each=50)
+    got = langid_gru.predict(docs, model, keep=("doc_id", "text")).collect()
+    assert len(got) == len(ODD) and {r.lang_pred for r in got if not (r.text or "").strip()} == {"und"}
+    assert all(r.lang_pred in ("en", "de", "es") and 0 < r.score <= 1 for r in got if (r.text or "").strip())
+    kept = langid_gru.keep_identified(docs, 0.0)
+    assert kept.columns == docs.columns and kept.count() == 7
+    assert langid_gru.keep_identified(docs.limit(0)).count() == 0
+    nobody = langid_gru.train(docs.where("lang is null"))
+    assert {r.lang_pred for r in langid_gru.predict(docs, nobody).collect()} == {"und"}
+
+
+def test_sharding(spark, docs, tmp_path):
+    names = maglev.shard_names(5)
+    placed = maglev.place(docs, "doc_id", names, 101)
+    table = maglev.lookup_table(names, 101)
+    slot = lambda i: int(hashlib.md5(("\\N" if i is None else str(i)).encode()).hexdigest()[:12], 16) % 101
+    assert set(placed.columns) == set(docs.columns)
+    assert _rows(placed.select("doc_id", "slot", "shard")) == sorted(((i, slot(i), table[slot(i)]) for i, *_ in ODD), key=repr)
+    assert maglev.place(docs.limit(0), "doc_id", names, 101).count() == 0
+    maglev.write_shards(docs.select("doc_id", "text"), "doc_id", names, str(tmp_path / "s"), size=101)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == len(ODD)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Python" not in plan and "SortMergeJoin" not in plan
+
+
+def _near_copies(seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    shared = [word() for _ in range(20)]
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randint(8, 60))]
+        if rng.random() < 0.5:
+            base[3:3] = shared
+        for _ in range(rng.randint(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy) if rng.random() < 0.7 else "\n".join(copy).upper())
+    chain = [word() for _ in range(40)]
+    for k in range(25):  # each like the next, the ends unlike
+        texts.append(" ".join(chain))
+        chain = [*chain[1:], word()]
+    return texts + texts[:9] + ["a b", "A  b", "a b c", "", None, "\n"]
+
+
+@pytest.mark.parametrize(("group", "frequent", "seed"), [(64, 1 << 21, 1), (2, 50, 2), (3, 0, 3)])
+def test_jaccard_join(spark, monkeypatch, group, frequent, seed):
+    monkeypatch.setattr(jaccard_tgm, "GROUP", group)
+    monkeypatch.setattr(jaccard_tgm, "QUERIES", 3)
+    monkeypatch.setattr(jaccard_tgm, "frequent", lambda base, f=jaccard_tgm.frequent: f(base, frequent))
+    texts = _near_copies(seed)
+    rows = [(k, t, "en", "a") for k, t in enumerate(texts)] + [(3, texts[10], "en", "a"), (None, texts[1], "en", "a"), (None, "only here", "en", "a")]
+    got = _rows(jaccard_tgm.near_duplicates(_docs(spark, rows).repartition(3)))
+    sets = [set(jaccard_tgm.shingles(t).tolist()) for _, t, _, _ in rows]
+    near = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = []
+    for k, (i, *_) in enumerate(rows):
+        seen, todo = {k}, [k]
+        while todo:
+            at = todo.pop()
+            for j in range(len(rows)):
+                if j not in seen and near(sets[at], sets[j]):
+                    seen.add(j)
+                    todo.append(j)
+        want.append((i, len(sets[k]), min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)))
+    assert got == sorted(want, key=repr)
+
+
+def test_keep_one(spark):
+    same = "one two three four five six seven"
+    rows = [(4, same, "en", "a"), (2, same.upper(), "en", "b"), (2, same, "en", "b"), (9, "quite another text than that one", "en", "a"), (10, None, None, None), (None, "text without an id, that nobody else has", None, None)]
+    table = _docs(spark, rows)
+    kept = jaccard_tgm.keep_one(table)
+    assert kept.columns == table.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([2, 9, 10, None], key=repr)
+    assert jaccard_tgm.keep_one(table.limit(0)).count() == 0
+
+
+def test_media(spark, docs):
+    stored = matroska.store_texts(docs)
+    got = _rows(matroska.read_features(stored).select("doc_id", "n_bytes", "payload_sha256", "tail_crc32", "n_packets"))
+    want = []
+    for i, t, _, _ in ODD:
+        raw = (t or "").encode()
+        p = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        want.append((i, len(raw), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]), len(p) // 576))
+    assert got == sorted(want, key=repr)
+    packets = matroska.packet_table(stored.unionByName(spark.createDataFrame([(99, bytearray(b"junk"), 0), (98, None, 0)], "doc_id long, media binary, n_bytes long")), "doc_id", "media")
+    assert packets.where("error is null").count() == sum(w[-1] for w in want) and packets.where("error is not null").count() == 1
+    assert matroska.read_features(matroska.store_texts(docs.limit(0))).count() == 0
+
+
+def test_mixing(spark):
+    rng = random.Random(8)
+    rows = [(k, "w " * rng.randint(0, 60), "en", ("a", "b", "c", "d", None)[min(4, rng.randrange(9))]) for k in range(1500)] + [(7, "w w", "en", "a"), (None, None, None, "e")]
+    table = _docs(spark, rows)
+    decided, _ = mixing.mix(table)
+    got = decided.collect()
+    size = {}
+    for _, t, _, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    target, free, left = {}, set(order), float(sum(size.values()))
+    while True:  # share, cap, share the excess anew
+        level = left / max(1, sum(weight[s] for s in free))
+        over = [s for s in free if level * weight[s] > 3 * size[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3.0 * size[s]
+            left -= target[s]
+            free.discard(s)
+    target |= {s: level * weight[s] for s in free}
+    taken = {}
+    for r in got:
+        assert r.target == pytest.approx(target[r.source]) and r.source_size == size[r.source] and 0 <= r.copies <= 3
+        taken[r.source] = taken.get(r.source, 0) + r.copies * r.size
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 60 for s in order)
+    mixed = mixing.take(table)
+    assert mixed.columns == table.columns and mixed.count() == sum(r.copies for r in got)
+    larger = {r.doc_id: r.copies for r in mixing.mix(table, budget=1.2)[0].collect()}
+    assert all(larger[r.doc_id] >= r.copies for r in got if r.doc_id != 7)  # thresholds nest
+    for none in (table.limit(0), _docs(spark, [(1, None, "en", "a"), (2, "", "en", None)])):
+        assert sum(r.copies * r.size for r in mixing.mix(none)[0].collect()) == 0
+        assert mixing.take(none).columns == table.columns

@@ -1,0 +1,324 @@
+"""Parts of the operators that need no session, against brute force."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from pagewright.llm import cap_filters, chat, jaccard_tgm, langid_gru, maglev, matroska, quality_fm, spm_wfst, token_index
+
+TEXTS = ["", "a", "Hello, World! it's 2024 I'LL", "ÜBER straße éê İstanbul ﬁ", "日本語 😀", "x" * 3000, "a  b\n\nc\t d", "<|endoftext|> <|startoftext|>x", "é   \x1c!\x85! ²³½", "ab " * 2000, "aaaaaaaaab" * 20, "?!?! ... ,,; a.b,c"]
+
+
+# --- 1: token ids ---
+
+
+@pytest.fixture(scope="module")
+def words():
+    return token_index.WordEncoder(token_index.tokenizer_path("word_bpe_49k.json"))
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_word_encoder_is_the_library(words, text):
+    want = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert words.by_word
+    for _ in range(2):  # the second time from memory
+        assert np.frombuffer(words.encode(text), words.dtype).tolist() == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(max_size=80))
+def test_word_encoder_on_any_text(text):
+    e = token_index.encoder(token_index.tokenizer_path("word_bpe_49k.json"))
+    assert np.frombuffer(e.encode(text), e.dtype).tolist() == e.tokenizer.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 1000, 20000])
+def test_perfect_hash_is_minimal(n):
+    keys = token_index.key_hash(pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()))
+    slots = token_index.PerfectHash.build(keys).slots(keys)
+    assert sorted(slots.tolist()) == list(range(n))
+
+
+def test_index_part_finds_its_keys_and_no_others():
+    n = 5000
+    ids = pa.array([None, *range(n - 1)], pa.int64())
+    keys = token_index.key_hash(ids, pa.array([0] * n, pa.int64()))
+    part = token_index.Part(token_index.part_bytes(keys, np.arange(n), np.arange(n) * 2, np.arange(n) + 1, np.arange(n) * 3))
+    ok, got = part.find(keys)
+    assert ok.all() and (got["shard"] == np.arange(n)).all() and (got["start"] == np.arange(n) * 3).all()
+    ok, _ = part.find(token_index.key_hash(pa.array(range(n, 3 * n), pa.int64()), pa.array([0] * 2 * n, pa.int64())))
+    assert ok.sum() <= 2
+    ok, _ = token_index.Part(token_index.part_bytes(keys[:0], *[np.zeros(0)] * 4)).find(keys[:3])
+    assert not ok.any()
+
+
+# --- 2: chat ---
+
+
+@given(st.text(alphabet="<|\\>im_endstar \n"))
+def test_escaping_is_reversible_and_hides_control_strings(text):
+    assert chat.unescape(chat.escape(text)) == text and "<|" not in chat.escape(text)
+    role, body = chat.read_turn(f"{chat.START}{chat.escape_role(text)}\n{chat.escape(text)}{chat.END}\n")
+    assert role == text and chat.unescape(body) == text
+
+
+def test_parts_become_placeholders():
+    part = lambda **k: {"type": None, "text": None, "ref": None, "width": None, "height": None, "seconds": None, "pages": None} | k
+    v = chat.flatten([part(type="text", text="see <|image|>"), part(type="image", ref="i.png", width=1024, height=513), None, part(type="audio", ref="a", seconds=1.01), part(type="document", ref="d", pages=3), part(text=None)])
+    body = "".join(v.body)
+    assert body == "see <\\|image|><|image|><|audio|><|document|>"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in v.attachments] == [("image", "i.png", 85 + 4 * 170), ("audio", "a", 26), ("document", "d", 768)]
+    assert all(body[a["at"] :].startswith(f"<|{a['kind']}|>") for a in v.attachments) and v.tokens == 85 + 680 + 26 + 768
+    assert chat.unflatten(body) == [("text", "see <|image|>"), ("image", ""), ("audio", ""), ("document", "")]
+    with pytest.raises(ValueError, match="unknown content part"):
+        chat.flatten([part(type="video")])
+
+
+# --- 3: factorisation machine ---
+
+
+def test_pairwise_identity():
+    rng = np.random.default_rng(0)
+    m = quality_fm.fit([], np.zeros(0))
+    m.v = rng.normal(size=m.v.shape)
+    m.w = rng.normal(size=m.w.shape)
+    buckets, values, stats = quality_fm.features("the cat sat on the mat | the end.")
+    at = [*buckets, *range(quality_fm.BUCKETS, quality_fm.BUCKETS + len(stats))]
+    x = [*values, *m.dense(stats)]
+    y = m.bias + sum(m.w[i] * a for i, a in zip(at, x)) + sum(float(m.v[at[p]] @ m.v[at[q]]) * x[p] * x[q] for p in range(len(x)) for q in range(p))
+    assert m.score(buckets, values, stats) == pytest.approx(1 / (1 + np.exp(-np.clip(y, -30, 30))))
+
+
+def test_classifier_learns_structure_and_scores_anything():
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 8)))
+    good = [" ".join(word() for _ in range(rng.randint(5, 80))) + "." for _ in range(150)]
+    bad = [" ".join(f"{word()}&&&" for _ in range(rng.randint(5, 80))) for _ in range(75)] + [" ".join([word()] * 30) for _ in range(75)]
+    rows = [quality_fm.features(t) for t in good + bad]
+    y = np.array([1.0] * 150 + [0.0] * 150)
+    m = quality_fm.fit([r for k, r in enumerate(rows) if k % 3], y[[k for k in range(300) if k % 3]])
+    held = [k for k in range(300) if k % 3 == 0]
+    assert np.mean([(m.score(*rows[k]) >= 0.3) == y[k] for k in held]) > 0.95
+    for t in (None, "", " \n", "x" * 10**6):
+        assert 0 <= m.score(*quality_fm.features(t)) <= 1
+    assert quality_fm.fit([], np.zeros(0)).score(*quality_fm.features("anything")) == 0.5
+
+
+# --- 4: spherical caps ---
+
+
+@pytest.mark.parametrize("dim", [1, 2, 3, 4, 7, 64])
+def test_list_decoding_finds_all_directions_above(dim):
+    words = 4
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(5, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    books = cap_filters.codebooks(dim, words)
+    first, second = cap_filters.halves(cap_filters.block_scores(x, books))
+    for a, b, (best, found) in zip(first, second, cap_filters.filters(x, words, 0.2)):
+        score = (a[:, None] + b[None]).ravel()
+        assert score[best] == pytest.approx(score.max())
+        assert set(np.flatnonzero(score >= score.max() - 0.2 + 1e-12)) <= set(found.tolist()) <= set(np.flatnonzero(score >= score.max() - 0.2 - 1e-12))
+
+
+# --- 5: pieces ---
+
+
+@pytest.fixture(scope="module")
+def pieces():
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = spm_wfst.tokenizer_path(spm_wfst.MODEL)
+    return spm_wfst.Transducer(path), sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+@pytest.mark.parametrize("text", [t for t in TEXTS if "▁" not in t])
+def test_shortest_paths_are_the_library_ids(pieces, text):
+    t, sp = pieces
+    assert t.encode(text) == sp.encode(text)
+    assert t.decode_bytes(t.encode(text)).decode() == text == t.decode(t.encode(text))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.one_of(st.text(max_size=60), st.text(alphabet="abcdeilnorst  \n.,▁", max_size=120)))
+def test_shortest_paths_on_any_text(text):
+    import sentencepiece
+
+    path = spm_wfst.tokenizer_path(spm_wfst.MODEL)
+    t = spm_wfst.transducer(path)
+    sp = _library.setdefault(path, None) or _library.__setitem__(path, sentencepiece.SentencePieceProcessor(model_file=path)) or _library[path]
+    assert t.encode(text) == sp.encode(text)
+
+
+_library: dict = {}
+
+
+def test_unigram_paths_are_the_cheapest(tmp_path):
+    def field(n, kind, body):
+        return bytes([n << 3 | kind]) + (bytes([len(body)]) if kind == 2 else b"") + body
+
+    import struct
+
+    vocab = [("<unk>", 0.0, 2), ("▁", -3.0, 1), ("a", -2.0, 1), ("b", -2.5, 1), ("ab", -3.2, 1), ("▁a", -2.2, 1), ("ba", -4.0, 1), ("bab", -5.0, 1)]
+    data = b"".join(field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([k]))) for p, s, k in vocab)
+    data += field(2, 2, field(3, 0, bytes([1]))) + field(3, 2, b"")
+    (tmp_path / "m").write_bytes(data)
+    t = spm_wfst.Transducer(str(tmp_path / "m"))
+    score = {p: s for p, s, k in vocab if k == 1}
+
+    def best(s):
+        return max(((score[s[:k]] + best(s[k:])[0], [s[:k], *best(s[k:])[1]]) for k in range(1, len(s) + 1) if s[:k] in score), default=(0.0, []) if not s else (-1e9, []))
+
+    for text in ("ab", "abab", "babab", "a ba", "bbaab"):
+        got = [vocab[i][0] for i in t.encode(text)]
+        want = best("▁" + text.replace(" ", "▁"))
+        assert "".join(got) == "".join(want[1]) and sum(score[p] for p in got) == pytest.approx(want[0])
+    assert t.encode("c") == [1, 0]
+
+
+# --- 6: language ---
+
+
+def test_backpropagation_through_time_is_the_gradient():
+    m = langid_gru.initial(["a", "b", "c"])
+    m.params = {k: v.astype(np.float64) for k, v in m.params.items()}
+    x, y = np.frombuffer(b" abcd cab ", np.uint8).reshape(2, 5), np.array([0, 2])
+    _, g = langid_gru.gradients(m, x, y)
+    rng = np.random.default_rng(1)
+    for name, p in m.params.items():
+        i = tuple(int(rng.integers(0, n)) for n in p.shape)
+        if name.startswith("x"):
+            i = (97, i[1])
+        old, h = p[i], 1e-3
+        p[i] = old + h
+        up = langid_gru.gradients(m, x, y)[0]
+        p[i] = old - h
+        down = langid_gru.gradients(m, x, y)[0]
+        p[i] = old
+        assert g[name][i] == pytest.approx((up - down) / (2 * h), abs=2e-5)
+
+
+def test_languages_are_told_apart():
+    rng = random.Random(3)
+    syllables = {"x": ["ka", "to", "mi", "re"], "y": ["schu", "ber", "ung", "ß"], "z": ["ción", "ado", "lla", "ñe"]}
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    m = langid_gru.fit([(k, langid_gru.words_of(text(k, 60))) for k in syllables for _ in range(8)], epochs=10)
+    pool = langid_gru.Pooler(m)
+    docs = [(k, text(k, n)) for k in syllables for n in (5, 40, 400)] + [("x", text("x", 3).replace(" ", "") * 400)]
+    got = pool.documents([t for _, t in docs])
+    assert [m.langs[int(p.argmax())] for p in got] == [k for k, _ in docs] and all(abs(p.sum() - 1) < 1e-6 for p in got)
+    assert pool.documents([None, "", "12 + 3 !", "½"]) == [None] * 4
+    again = langid_gru.Pooler(m).documents([t for _, t in docs[::-1]])
+    assert np.allclose(np.array(again)[::-1], np.array(got), atol=1e-5)
+    assert langid_gru.windows(b"a" * 100) == [b" " + b"a" * 48 + b" "] * 2 + [b" aaaa "]
+
+
+# --- 7: table ---
+
+
+def test_shards_take_turns_and_few_keys_move():
+    names = maglev.shard_names(7)
+    table = maglev.lookup_table(names, 101)
+    counts = np.bincount(table)
+    assert counts.max() - counts.min() <= 1 and min(table) == 0
+    fewer = maglev.lookup_table(names[:-1], 101)
+    moved = sum(a != b for a, b in zip(table, fewer) if a != 6)
+    assert moved < 101 * 0.4
+    order = lambda k: [(int.from_bytes((d := __import__("hashlib").md5(names[k].encode()).digest())[:8], "big") + j * (int.from_bytes(d[8:], "big") % 100 + 1)) % 101 for j in range(101)]
+    want, places = [-1] * 101, [0] * 7
+    for turn in range(101):  # the same rule, said plainly
+        k = turn % 7
+        slot = next(s for s in order(k) if want[s] < 0)
+        want[slot] = k
+    del places
+    assert table == want
+    for bad in (([], 7), (names, 100), (names, 5)):
+        with pytest.raises(ValueError):
+            maglev.lookup_table(*bad)
+
+
+# --- 8: shingles ---
+
+
+def _plain_set(text):
+    w = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
+    return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="aAbÉ \n\t\x0b\xa0", max_size=40), min_size=2, max_size=4))
+def test_shingle_sets_have_equal_sizes_and_overlaps(texts):
+    sets, plain = [jaccard_tgm.shingles(t) for t in texts], [_plain_set(t) for t in texts]
+    for a, p in zip(sets, plain):
+        assert len(a) == len(p)
+        for b, q in zip(sets, plain):
+            assert jaccard_tgm.common(a, b) == len(p & q)
+
+
+def test_blocks_round_trip():
+    a = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64))
+    b = np.arange(len(a), dtype=np.uint32)
+    x, y = jaccard_tgm.unpack(jaccard_tgm.pack(jaccard_tgm._steps(a), b), np.uint64, np.uint32)
+    assert (np.cumsum(x, dtype=np.uint64) == a).all() and (y == b).all()
+    top = (a >> np.uint64(32)).astype(np.uint32)
+    for n in (1, 3, 50):
+        parts = jaccard_tgm._ranges(top, n)
+        assert sum(s.stop - s.start for _, s in parts) == len(a)
+        assert all(((top[s].astype(np.uint64) * np.uint64(n)) >> np.uint64(32) == k).all() for k, s in parts)
+
+
+def test_prefixes_of_linked_sets_meet():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 6)), dtype=np.uint64)]))
+        top = np.unique((np.concatenate([a, b])[rng.random(len(a) + len(b)) < 0.5] >> np.uint64(32)).astype(np.uint32))
+        count = rng.integers(4, 20, len(top)).astype(np.uint32)
+        if len(b) and jaccard_tgm.linked(jaccard_tgm.common(a, b), len(a), len(b)):
+            p, q = (set(np.concatenate(jaccard_tgm.prefix(s, top, count)).tolist()) for s in (a, b))
+            assert p & q
+
+
+# --- 9: media ---
+
+
+@pytest.mark.parametrize("lacing", ["none", "xiph", "fixed", "ebml"])
+@pytest.mark.parametrize("n", [0, 1, 575, 576, 577, 576 * 8, 576 * 9 + 5, 576 * 300])
+def test_media_round_trip(lacing, n):
+    text = "é" * (n // 2) + "x" * (n % 2)
+    payload, size = matroska.padded(text)
+    assert size == n and len(payload) % 576 == 0 and payload and payload[n:] == b"\xff" * (len(payload) - n)
+    data = matroska.mux(payload, lacing)
+    m = matroska.demux(data)
+    assert m.error is None and m.doc_type == "matroska" and matroska.payload_of(data, m) == payload
+    assert m.tracks[1]["codec"] == "A_PCM/INT/LIT" and m.tracks[1]["depth"] == 8 and m.tracks[1]["rate"] == 8000
+    times = [p[1] for p in m.packets]
+    assert times == sorted(times) and all(abs(t - k * matroska.FRAME_NS) < 1_000_000 for k, t in enumerate(times))
+    assert m.cues and all(data[c[2] : c[2] + 4] == b"\x1f\x43\xb6\x75" for c in m.cues)
+
+
+def test_media_of_other_shapes():
+    e, u = matroska.element, matroska.uint
+    frames = [b"a" * 700, b"b" * 3, b"c" * 300, b"d"]
+    track = e(matroska.TRACKS, e(matroska.TRACK, u(matroska.NUMBER, 2) + e(matroska.CODEC, b"X")))
+    blocks = b"".join(e(matroska.GROUP, e(matroska.BLOCK, b"\x82\x00\x05" + bytes([matroska.LACING[k] << 1]) + matroska.lace(frames, k)) + u(matroska.REFERENCE, 1) * (k == "ebml")) for k in ("xiph", "ebml"))
+    body = u(matroska.TIME, 10) + blocks + e(0xEC, b"void")
+    live = matroska.CLUSTER.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + body
+    data = e(matroska.EBML, e(0x4282, b"matroska")) + matroska.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7 + track + live + live
+    m = matroska.demux(data)
+    assert m.error is None and [data[o : o + n] for _, _, o, n, _, _ in m.packets] == frames * 4
+    assert {p[1] for p in m.packets} == {15_000_000} and [p[4] for p in m.packets[:8]] == [True] * 4 + [False] * 4
+    cut = matroska.demux(data[:-10])
+    assert cut.error and len(cut.packets) >= 12
+    for bad in (b"", b"\x00", b"\x1a\x45\xdf\xa3", bytes(50), data[:7]):
+        assert matroska.demux(bad).error
+
+
+def test_crc_fold_of_python_is_that_of_the_contract():
+    assert zlib.crc32(b"12") % 5 == zlib.crc32(str(12).encode()) % 5
