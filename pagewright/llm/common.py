@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,11 +34,14 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that are used no more, and lets the driver let go of their shuffle files."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

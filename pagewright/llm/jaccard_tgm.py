@@ -8,8 +8,10 @@ connected, whatever their number, without writing out the pairs of a group:
 2. Shingles are counted over all documents.  Counts travel as packed sorted blocks, a
    range of hashes each.  The most frequent shingles (at most FREQUENT, whatever the
    input) are known to every task, so that shingles can be ordered rare first.
-3. Of each class only the first n // 4 + 1 shingles in that order are matched: two sets
-   that link share one of those.  Blocks again; a shingle in one class only falls away.
+3. Of each class only the first n - ceil(3 n / 4) + l(n) shingles in that order are
+   matched, with l(n) = max(1, n // 16): two sets that link share l of the smaller one
+   among those.  Blocks again; a shingle in one class only falls away, and so does a
+   class with fewer than l(ceil(3 n / 4)) shingles left.
 4. Groups of similar documents: every class is compared with the one class that leads
    most of its matched shingles; links found so far make groups, cut to at most GROUP
    classes.
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +49,7 @@ from .components import connected_components
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 FREQUENT, LEAST_COUNT = 1 << 21, 4
 GROUP, QUERIES = 64, 2000
+SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
 FLUSH = 1 << 21
 BLOOM_BITS, PAGE = 1 << 27, 1 << 15
 
@@ -223,9 +227,17 @@ def frequent(base: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndar
     return top[order], count[order]
 
 
+def least_shared(n: int) -> int:
+    return max(1, n // SHARED)
+
+
+def _least_shared(n):
+    return F.greatest(F.lit(1), F.floor(n / SHARED))
+
+
 def prefix(tokens: np.ndarray, top: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first len // 4 + 1 shingles, rare first: those of no known count, then by count."""
-    need = len(tokens) - -(-NUMERATOR * len(tokens) // DENOMINATOR) + 1
+    """The shingles to match, rare first: those of no known count, then by count."""
+    need = len(tokens) - -(-NUMERATOR * len(tokens) // DENOMINATOR) + least_shared(len(tokens))
     if not len(top):
         return tokens[:need], tokens[:0]
     mine = (tokens >> np.uint64(32)).astype(np.uint32)
@@ -240,77 +252,74 @@ def prefix(tokens: np.ndarray, top: np.ndarray, count: np.ndarray) -> tuple[np.n
 
 
 def _prefix_pass(batches: Iterator[pa.RecordBatch], ranges: int, counted) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 1: blocks of (rare shingle, class) in a range; of kind 2: (frequent shingle, class)."""
-    names = ["rng", "blob", "token", "cid"]
+    """Blocks of (shingle, class, its size): the rare ones by range, the frequent ones by task, numbered from ``ranges``."""
     top, count = counted.value
+    apart = ranges + TaskContext.get().partitionId() % ranges
     seen: set[int] = set()
-    rare: list[np.ndarray] = []
-    often: list[np.ndarray] = []
-    of_rare: list[tuple[int, int]] = []
-    of_often: list[tuple[int, int]] = []
+    held: tuple[list, list] = ([], [])
     size = 0
 
+    def block(tokens: np.ndarray, cid: np.ndarray, n: np.ndarray) -> bytes:
+        own, first, where = np.unique(cid, return_index=True, return_inverse=True)
+        a, b = pack(_steps(tokens), where.astype(np.uint32)), pack(own, n[first].astype(np.uint32))
+        return struct.pack("<Q", len(a)) + a + b
+
     def flush() -> Iterator[pa.RecordBatch]:
-        cid = np.repeat(np.array([c for c, _ in of_rare], np.int64), [n for _, n in of_rare])
-        tokens = np.concatenate(rare) if rare else np.zeros(0, np.uint64)
-        order = np.argsort(tokens)
-        tokens, cid = tokens[order], cid[order]
-        parts = _ranges((tokens >> np.uint64(32)).astype(np.uint32), ranges)
-        blobs = []
-        for _, s in parts:
-            own, where = np.unique(cid[s], return_inverse=True)
-            a, b = pack(_steps(tokens[s]), where.astype(np.uint32)), pack(own)
-            blobs.append(struct.pack("<Q", len(a)) + a + b)
-        m = len(parts)
-        if m:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array(blobs, pa.binary()), pa.array([None] * m, pa.int64()), pa.array([None] * m, pa.int64())], names)
-        if often:
-            t = np.concatenate(often).view(np.int64)
-            c = np.repeat(np.array([c for c, _ in of_often], np.int64), [n for _, n in of_often])
-            for k in range(0, len(t), 1 << 16):
-                part = t[k : k + (1 << 16)]
-                m = len(part)
-                yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(part), pa.array(c[k : k + m])], names)
+        keys, blobs = [], []
+        for kind, parts in enumerate(held):
+            if not parts:
+                continue
+            counts = [len(t) for t, _, _ in parts]
+            tokens = np.concatenate([t for t, _, _ in parts])
+            order = np.argsort(tokens)
+            tokens = tokens[order]
+            cid = np.repeat(np.array([c for _, c, _ in parts], np.int64), counts)[order]
+            n = np.repeat(np.array([m for _, _, m in parts], np.int64), counts)[order]
+            cuts = [(apart, slice(0, len(tokens)))] if kind else _ranges((tokens >> np.uint64(32)).astype(np.uint32), ranges)
+            keys += [k for k, _ in cuts]
+            blobs += [block(tokens[x], cid[x], n[x]) for _, x in cuts]
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["rng", "blob"])
 
     for _, sets, cids in _sets(batches, 0):
         for s, c in zip(sets, cids):
             if c is None or c in seen:
                 continue
             seen.add(c)
-            r, o = prefix(s, top, count)
-            if len(r):
-                rare.append(r)
-                of_rare.append((c, len(r)))
-            if len(o):
-                often.append(o)
-                of_often.append((c, len(o)))
-            size += len(r) + len(o)
+            for parts, t in zip(held, prefix(s, top, count)):
+                if len(t):
+                    parts.append((t, c, len(s)))
+                    size += len(t)
             if size >= FLUSH:
                 yield from flush()
-                rare, often, of_rare, of_often, size = [], [], [], [], 0
+                held, size = ([], []), 0
     yield from flush()
 
 
-def _match(blobs: pd.DataFrame) -> pd.DataFrame:
-    """Of one range, (shingle, class) where a shingle is in several classes."""
-    tokens, cids = [], []
+def _match(blobs: pd.DataFrame, ranges: int) -> pd.DataFrame:
+    """Of one range, (shingle, class, size) where a shingle is in several classes; frequent shingles as they are."""
+    tokens, cids, sizes = [], [], []
     for blob in blobs["blob"]:
         (size,) = struct.unpack_from("<Q", blob)
         t, where = unpack(blob[8 : 8 + size], np.uint64, np.uint32)
-        (own,) = unpack(blob[8 + size :], np.int64)
+        own, n = unpack(blob[8 + size :], np.int64, np.uint32)
         tokens.append(np.cumsum(t, dtype=np.uint64))
         cids.append(own[where])
-    token, cid = np.concatenate(tokens), np.concatenate(cids)
-    order = np.lexsort((cid, token))
-    token, cid = token[order], cid[order]
-    new = np.ones(len(token), bool)
-    new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
-    token, cid = token[new], cid[new]
-    same = token[1:] == token[:-1]
-    several = np.zeros(len(token), bool)
-    several[1:] |= same
-    several[:-1] |= same
-    return pd.DataFrame({"token": token[several].view(np.int64), "cid": cid[several]})
+        sizes.append(n[where])
+    token, cid, n = np.concatenate(tokens), np.concatenate(cids), np.concatenate(sizes)
+    often = bool(blobs["rng"].iloc[0] >= ranges)
+    if not often:
+        order = np.lexsort((cid, token))
+        token, cid, n = token[order], cid[order], n[order]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])
+        token, cid, n = token[new], cid[new], n[new]
+        same = token[1:] == token[:-1]
+        several = np.zeros(len(token), bool)
+        several[1:] |= same
+        several[:-1] |= same
+        token, cid, n = token[several], cid[several], n[several]
+    return pd.DataFrame({"token": token.view(np.int64), "cid": cid, "n": n.astype(np.int64), "often": often})
 
 
 # --- comparing sets -------------------------------------------------------------------------
@@ -397,12 +406,13 @@ def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _first_links(matched: DataFrame, sets: DataFrame) -> DataFrame:
     """Each class compared with the class that leads most of its shingles."""
-    lead = matched.filter("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("shared"))
-    lead = lead.groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"))
-    a = sets.select(F.col("cid").alias("a_cid"), F.col("tokens").alias("x"), F.col("n").alias("a_n"))
-    b = sets.select(F.col("cid").alias("b_cid"), F.col("tokens").alias("y"), F.col("n").alias("b_n"))
-    sized = lead.join(a.select("a_cid", "a_n"), F.col("cid") == F.col("a_cid")).drop("a_cid").join(b.select("b_cid", "b_n"), F.col("lead") == F.col("b_cid")).drop("b_cid")
-    sized = sized.filter("100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)").select("cid", "lead")
+    lead = matched.filter("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("own_n"))
+    lead = lead.groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"), F.first("own_n").alias("own_n"))
+    lead_sizes = matched.filter("cid = lead").groupBy(F.col("cid").alias("b_id")).agg(F.first("n").alias("b_n"))
+    a = sets.select(F.col("cid").alias("a_cid"), F.col("tokens").alias("x"))
+    b = sets.select(F.col("cid").alias("b_cid"), F.col("tokens").alias("y"))
+    sized = lead.join(lead_sizes, F.col("lead") == F.col("b_id"))
+    sized = sized.filter("100 * least(own_n, b_n) >= 75 * greatest(own_n, b_n)").select("cid", "lead")
     pairs = sized.join(a, F.col("cid") == F.col("a_cid")).join(b, F.col("lead") == F.col("b_cid"))
     return pairs.select("cid", "lead", "x", "y").mapInArrow(_compare_pairs, "a long, b long")
 
@@ -421,7 +431,9 @@ def _group_links(matched: DataFrame, sets: DataFrame, parts: DataFrame) -> DataF
     matrix = entries.select("token", "grp", "comp").distinct().join(spread, F.col("grp") == F.col("s_grp"))
     matrix = matrix.select(F.col("token").alias("g_token"), F.col("grp").alias("g"), F.col("comp").alias("g_comp"), "low", "high")
     meets = (F.col("token") == F.col("g_token")) & (F.col("comp") < F.col("g_comp")) & (100 * F.col("high") >= 75 * F.col("n")) & (75 * F.col("low") <= 100 * F.col("n"))
-    queries, p3 = written(entries.join(matrix, meets).select(F.col("cid").alias("q"), "g").distinct(), "jaccard-queries")
+    # both sides have an entry once a token, so rows count the entries shared
+    shared = entries.join(matrix, meets).groupBy(F.col("cid").alias("q"), "g").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("n", "low")).alias("smaller"))
+    queries, p3 = written(shared.filter(F.col("shared") >= _least_shared(F.col("smaller"))).select("q", "g"), "jaccard-queries")
     salts = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("salts")).select(F.col("g").alias("k"), "salts")
     s = sets.select(F.col("cid").alias("s_cid"), "tokens")
     asked = queries.join(salts, F.col("g") == F.col("k")).select("g", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("q").alias("cid"))
@@ -439,19 +451,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
     texts = rows.select("t")
 
-    base, _ = written(rows.mapInArrow(lambda b: _count_pass(b, ranges, key_type), f"kind int, doc_id {key}, n long, cid long, rng int, blob binary"), "jaccard-sets")
+    base, p0 = written(rows.mapInArrow(lambda b: _count_pass(b, ranges, key_type), f"kind int, doc_id {key}, n long, cid long, rng int, blob binary"), "jaccard-sets")
     counted = spark.sparkContext.broadcast(frequent(base))
     kept, _ = written(base.filter("kind = 0").select("doc_id", "n", "cid"), "jaccard-classes")
-    first, p1 = written(texts.mapInArrow(lambda b: _prefix_pass(b, ranges, counted), "rng int, blob binary, token long, cid long"), "jaccard-prefixes")
-    rare = first.filter("rng is not null").groupBy("rng").applyInPandas(_match, "token long, cid long")
-    matched, p2 = written(rare.unionByName(first.filter("rng is null").select("token", "cid").distinct()), "jaccard-matched")
+    remove(spark, p0)
+    blocks = texts.mapInArrow(lambda b: _prefix_pass(b, ranges, counted), "rng int, blob binary")
+    found, p1 = written(blocks.groupBy("rng").applyInPandas(lambda b: _match(b, ranges), "token long, cid long, n long, often boolean"), "jaccard-matched")
+    matched = found.filter("not often").drop("often").unionByName(found.filter("often").drop("often").distinct())
+    alive = matched.groupBy("cid").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("of")).filter(F.col("left") >= _least_shared(F.ceil(F.col("of") * NUMERATOR / DENOMINATOR)))
+    matched, p2 = written(matched.join(alive.select("cid"), "cid", "left_semi"), "jaccard-alive")
     remove(spark, p1)
     leads = matched.groupBy("token").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).filter("lead <> last").select(F.col("token").alias("t"), "lead")
-    led, p3 = written(matched.join(leads, F.col("token") == F.col("t")).select("token", "cid", "lead"), "jaccard-led")
+    led, p3 = written(matched.join(leads, F.col("token") == F.col("t")).select("token", "cid", "n", "lead"), "jaccard-led")
     remove(spark, p2)
-    wanted = led.select("cid").distinct()
-    bits = spark.sparkContext.broadcast(bloom(wanted))
-    sets = texts.mapInArrow(lambda b: _set_pass(b, bits), "cid long, n long, tokens binary").join(wanted, "cid", "left_semi")
+    bits = spark.sparkContext.broadcast(bloom(led.select("cid").distinct()))
+    # a class that only shares its bit does no harm
+    sets = texts.mapInArrow(lambda b: _set_pass(b, bits), "cid long, n long, tokens binary")
     sets, p4 = written(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "jaccard-compared")
     links, p5 = written(_first_links(led, sets), "jaccard-links")
     parts, p6 = written(connected_components(links), "jaccard-parts")

