@@ -149,7 +149,7 @@ def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
                 out[k] = out[k].astype("Int64")
             yield out
 
-    rows = df.select(F.col(conv).cast("long").alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(content).alias("x"))
+    rows = df.select(F.col(conv).cast("long").cast("string").alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(content).alias("x"))
     return rows.repartition("c").sortWithinPartitions("c", "t", F.coalesce("r", F.lit("")), "x").mapInPandas(run, FORMATTED)
 
 

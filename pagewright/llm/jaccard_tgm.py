@@ -50,7 +50,7 @@ WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 FREQUENT, LEAST_COUNT = 1 << 21, 4
 GROUP, QUERIES = 64, 2000
 SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
-FLUSH = 1 << 21
+FLUSH, SLICE = 1 << 21, 512
 BLOOM_BITS, PAGE = 1 << 27, 1 << 15
 
 # --- shingles -------------------------------------------------------------------------------
@@ -157,9 +157,11 @@ def _ranges(top: np.ndarray, n: int) -> list[tuple[int, slice]]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int | None]]]:
-    for batch in batches:
-        sets = [shingles(t) for t in batch.column(column).to_pylist()]
-        yield batch, sets, [class_id(s) if len(s) else None for s in sets]
+    for whole in batches:
+        for k in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(k, SLICE)
+            sets = [shingles(t) for t in batch.column(column).to_pylist()]
+            yield batch, sets, [class_id(s) if len(s) else None for s in sets]
 
 
 def _count_pass(batches: Iterator[pa.RecordBatch], ranges: int, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -489,6 +491,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = ids.filter("__nd_first = 1 or doc_id is null").select(F.col("doc_id").alias("__nd_id"), "__nd_rows")
     ids, _ = written(ids, "jaccard-kept")
     joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__nd_id")))
+    if ids.filter("__nd_rows > 1 and __nd_id is not null").isEmpty():
+        return joined.select(*docs.columns)
     single = joined.filter("__nd_rows = 1 or doc_id is null").select(*docs.columns)
     several = joined.filter("__nd_rows > 1 and doc_id is not null").select(*docs.columns).dropDuplicates(["doc_id"])
     return single.unionByName(several)

@@ -71,19 +71,27 @@ def mix(
 
     Returns them with the paths of the written tables they stand on.
     """
+    sized, thresholds, paths = _decide(docs, doc_id, text, source, weights, max_repeat, budget)
+    return _with_copies(sized, thresholds).select("doc_id", "source", "hash", "size", "source_size", "target", "copies"), paths
+
+
+def _decide(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[int], max_repeat: int, budget: float) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Sizes and hashes of all documents, and the threshold of each source, as written tables."""
     sized, p1 = written(
         docs.select(
             F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"),
             document_hash(F.col(doc_id), F.col(text)).alias("hash"),
         ), "mix-sizes",
     )
-    targets, p2 = written(_thresholds(sized, weights, max_repeat, budget), "mix-thresholds")
-    t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "whole", "threshold")
-    out = sized.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").select(
-        "doc_id", "source", "hash", "size", "source_size", "target",
-        (F.col("whole") + (F.col("hash") < F.col("threshold")).cast("long")).alias("copies"),
-    )
-    return out, [p1, p2]
+    thresholds, p2 = written(_thresholds(sized, weights, max_repeat, budget), "mix-thresholds")
+    return sized, thresholds, [p1, p2]
+
+
+def _with_copies(rows: DataFrame, thresholds: DataFrame, source: str = "source", hashed: str = "hash") -> DataFrame:
+    """rows with their source's figures and copies.  The right side has a row a source; Spark broadcasts it if it is small."""
+    t = thresholds.withColumnRenamed("source", "__mx_of")
+    joined = rows.join(t, F.col(source).eqNullSafe(F.col("__mx_of")), "left")
+    return joined.withColumn("copies", F.col("whole") + (F.col(hashed) < F.col("threshold")).cast("long"))
 
 
 def _thresholds(sized: DataFrame, weights: Sequence[int], max_repeat: int, budget: float) -> DataFrame:
@@ -121,12 +129,13 @@ def _thresholds(sized: DataFrame, weights: Sequence[int], max_repeat: int, budge
 
 def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, budget: float = 1.0) -> DataFrame:
     """The mixed rows themselves: each row of docs as often as its decision says."""
-    decided, _ = mix(docs, doc_id, text, source, weights, max_repeat, budget)
-    keyed = docs.withColumn("__mx_hash", document_hash(F.col(doc_id), F.col(text))).withColumn("__mx_source", F.col(source))
-    # rows with one hash and source share one decision
-    d = decided.groupBy(F.col("source").alias("__mx_s"), F.col("hash").alias("__mx_h")).agg(F.max("copies").alias("__mx_copies")).filter("__mx_copies > 0")
-    joined = keyed.join(d, (F.col("__mx_hash") == F.col("__mx_h")) & F.col("__mx_source").eqNullSafe(F.col("__mx_s")))
-    return joined.withColumn("__mx_copy", F.explode(F.sequence(F.lit(1), F.col("__mx_copies").cast("int")))).select(*docs.columns)
+    _, thresholds, _ = _decide(docs, doc_id, text, source, weights, max_repeat, budget)
+    renamed = thresholds.select(F.col("source").alias("__mx_of"), F.col("whole").alias("__mx_whole"), F.col("threshold").alias("__mx_threshold"))
+    keyed = docs.withColumn("__mx_hash", document_hash(F.col(doc_id), F.col(text)))
+    joined = keyed.join(renamed, F.col(source).eqNullSafe(F.col("__mx_of")))
+    copies = F.col("__mx_whole") + (F.col("__mx_hash") < F.col("__mx_threshold")).cast("long")
+    repeated = joined.withColumn("__mx_copies", copies.cast("int")).filter("__mx_copies > 0").withColumn("__mx_copy", F.explode(F.sequence(F.lit(1), F.col("__mx_copies"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _digest(spark, sf_dir):
