@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Box, Query, TableRules
 from ..functions.formats import FORMATS, estimated_size, image_format
-from ..functions.text import name_words
+from ..functions.text import name_words, timestamp_text
 from ..operators import elements, query, reading, search, stats, tables, validate
 from ..sources.adapters import conversation_pages, document_files, part_files, table
 
@@ -323,11 +323,12 @@ def image_size_estimate(spark, sf_dir):
     return p.select("p_partkey", estimated_size(F.col("p_size") * 10, F.col("p_size"), 1 + F.col("p_partkey") % 20).alias("size"))
 
 
-@_register("event_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+@_register("event_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     from ..streaming.ingest import windowed_counts
 
-    return windowed_counts(table(spark, sf_dir, "events"))
+    counts = windowed_counts(table(spark, sf_dir, "events"))
+    return counts.withColumn("window_start", timestamp_text(F.col("window_start")))
 
 
 # --- files of bytes: every turn as a generated file, read back by the parser ---
