@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -288,20 +287,23 @@ PACKETS = "track int, timestamp_ns long, offset long, size int, keyframe boolean
 def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
     """(key, packet columns): one row a packet; damaged media add a row with the error alone."""
     kind = dict(df.dtypes)[key]
+    names = ["key", *[c.split()[0] for c in PACKETS.split(", ")]]
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for k, data in zip(batch["k"], batch["m"]):
+            at, rows = [], []
+            for k, data in enumerate(batch.column(1).to_pylist()):
                 if data is None:
                     continue
-                got = demux(bytes(data))
-                rows += [(k, *p, None) for p in got.packets]
-                if got.error:
-                    rows.append((k, *[None] * 6, got.error))
-            yield pd.DataFrame(rows, columns=["key", *[c.split()[0] for c in PACKETS.split(", ")]]).astype({"track": "Int32", "timestamp_ns": "Int64", "offset": "Int64", "size": "Int32", "keyframe": "boolean", "lace": "Int32"})
-
-    return df.select(F.col(key).alias("k"), F.col(media).alias("m")).mapInPandas(run, f"key {kind}, {PACKETS}").withColumnRenamed("key", key)
+                got = demux(data)
+                found = [(*p, None) for p in got.packets] + ([(*[None] * 6, got.error)] if got.error else [])
+                at += [k] * len(found)
+                rows += found
+            columns = list(zip(*rows)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
+
+    return df.select(F.col(key).alias("k"), F.col(media).alias("m")).mapInArrow(run, f"key {kind}, {PACKETS}").withColumnRenamed("key", key)
 
 
 def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text", lacing: str = "fixed") -> DataFrame:
