@@ -250,9 +250,13 @@ def pooler(model: Model) -> Pooler:
 
 def sample_words(docs: DataFrame, text: str, lang: str, doc_id: str, docs_each: int, words_each: int) -> list[tuple[str, list[bytes]]]:
     known = docs.filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
-    counts = known.groupBy(F.col(lang).alias("s_lang")).agg(F.count(F.lit(1)).alias("s_n"))
+    # a number a language, as the model has an output a language
+    counts = known.groupBy(F.col(lang).alias("s_lang")).agg(F.count(F.lit(1)).alias("s_n")).collect()
+    if not counts:
+        return []
+    number = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r.s_lang, r.s_n)])
     u = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("langid")), F.lit(1 << 30))
-    chosen = known.join(counts, F.col(lang) == F.col("s_lang")).filter(u * F.col("s_n") < F.lit(docs_each << 30))
+    chosen = known.filter(u * number[F.col(lang)] < F.lit(docs_each << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
