@@ -12,13 +12,13 @@ connected, whatever their number, without writing out the pairs of a group:
    matched, with l(n) = max(1, n // 16): two sets that link share l of the smaller one
    among those.  Blocks again; a shingle in one class only falls away, and so does a
    class with fewer than l(ceil(3 n / 4)) shingles left.
-4. Groups of similar documents: every class is compared with the one class that leads
-   most of its matched shingles; links found so far make groups, cut to at most GROUP
-   classes.
-5. Token-group matrix: shingle by group, over matched shingles.  A class meets a group
-   only if they share an entry, belong to different components, and their sizes allow a
-   link.  The group's union of all shingles bounds the overlap with any member; only
-   groups whose bound qualifies are opened and compared member by member.
+4. Every class is compared with the one class that leads most of its matched shingles;
+   links found so far make components.
+5. Token-group matrix: groups hold at most GROUP classes of about one size with one
+   leading class; the matrix says which matched shingles occur in which group.  A class
+   meets a group only if they share as many entries as a link within its sizes takes, and
+   the group holds another component.  The union of the members' shingles bounds the
+   overlap with any of them; only groups whose bound qualifies are opened.
 
 Links inside one component add nothing to it, so groups of thousands of near copies cost
 a comparison a class.  Step 5 leaves out no other pair, so components are exact (up to
@@ -48,7 +48,7 @@ from .components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 FREQUENT, LEAST_COUNT = 1 << 21, 4
-GROUP, QUERIES = 64, 2000
+GROUP, QUERIES, SIZE_STEP = 256, 2000, 1.15
 SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
 FLUSH, SLICE = 1 << 21, 512
 BLOOM_BITS, PAGE = 1 << 27, 1 << 15
@@ -237,6 +237,21 @@ def _least_shared(n):
     return F.greatest(F.lit(1), F.floor(n / SHARED))
 
 
+def _shared_with(q, low, high):
+    """How many prefix shingles a set of size q shares at least with a linked one of size low to high.
+
+    Sizes q and m link at an overlap of o = 3 (q + m) / 7 or more.  Outside its prefix a
+    set has ceil(3 n / 4) - l(n) shingles, so o less that many of the common ones, the
+    first in order, are in its prefix; the smaller number of both sides counts.  Over m it
+    is least at one of the ends.
+    """
+    low = F.greatest(low, F.ceil(q * NUMERATOR / DENOMINATOR))
+    high = F.least(high, F.floor(q * DENOMINATOR / NUMERATOR))
+    outside = lambda n: F.ceil(n * NUMERATOR / DENOMINATOR) - _least_shared(n)
+    overlap = lambda m: F.ceil((q + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
+    return F.least(overlap(low) - outside(q), overlap(low) - outside(low), overlap(high) - outside(high))
+
+
 def prefix(tokens: np.ndarray, top: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The shingles to match, rare first: those of no known count, then by count."""
     need = len(tokens) - -(-NUMERATOR * len(tokens) // DENOMINATOR) + least_shared(len(tokens))
@@ -382,27 +397,50 @@ def _compare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
 
 
+class Group:
+    """Members' sets side by side: overlaps with all of them from one look-up of a query's shingles."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]]) -> None:
+        self.cids, self.comps = ([m[k] for m in members] for k in (0, 1))
+        self.sizes = np.array([len(m[2]) for m in members])
+        tokens = np.concatenate([m[2] for m in members])
+        order = np.argsort(tokens, kind="stable")
+        self.owner = np.repeat(np.arange(len(members)), self.sizes)[order]
+        self.union, first = np.unique(tokens[order], return_index=True)
+        self.first = np.append(first, len(tokens))
+
+    def links(self, comp: int, q: np.ndarray) -> list[int]:
+        """A linked member of each other component."""
+        at = np.searchsorted(self.union, q)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == q]
+        # the overlap with any member is at most that with the union, and must suit its smallest
+        smallest = max(self.sizes.min(), -(-NUMERATOR * len(q) // DENOMINATOR))
+        if (NUMERATOR + DENOMINATOR) * len(at) < NUMERATOR * (len(q) + smallest):
+            return []
+        counts = self.first[at + 1] - self.first[at]
+        where = np.repeat(self.first[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        overlap = np.bincount(self.owner[where], minlength=len(self.sizes))
+        hits = np.flatnonzero(linked(overlap, self.sizes, len(q)))
+        return list({self.comps[k]: self.cids[k] for k in hits if self.comps[k] != comp}.values())
+
+
 def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, salt, role, class, set) in order; members (role 0) come before queries (role 1)."""
-    current, members, union = None, [], None
+    """Rows (group, salt, role, class, component, set) in order; members (role 0) come before queries (role 1)."""
+    current, members, group = None, [], None
     for batch in batches:
         found: list[tuple[int, int]] = []
-        columns = [batch.column(k).to_pylist() for k in range(5)]
-        for g, salt, role, c, blob in zip(*columns):
+        columns = [batch.column(k).to_pylist() for k in range(6)]
+        for g, salt, role, c, comp, blob in zip(*columns):
             if (g, salt) != current:
-                current, members, union = (g, salt), [], None
+                current, members, group = (g, salt), [], None
             if role == 0:
-                members.append((c, _tokens(blob)))
+                members.append((c, comp, _tokens(blob)))
                 continue
             if not members:
                 continue
-            if union is None:
-                union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([s for _, s in members]))
-            q = _tokens(blob)
-            # the overlap with any member is at most that with the group's union
-            if DENOMINATOR * common(q, union) < NUMERATOR * len(q):
-                continue
-            found += [(c, m) for m, s in members if linked(common(q, s), len(q), len(s))]
+            group = group or Group(members)
+            found += [(c, m) for m in group.links(comp, _tokens(blob))]
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
 
@@ -419,29 +457,39 @@ def _first_links(matched: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("cid", "lead", "x", "y").mapInArrow(_compare_pairs, "a long, b long")
 
 
-def _group_links(matched: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """Links between components, by the token-group matrix."""
+def _group_links(matched: DataFrame, sets: DataFrame, parts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Links between components, by the token-group matrix.
+
+    A group holds classes of about one size that one class leads, whether they link or not.
+    """
     of = parts.select(F.col("node").alias("p_node"), "component")
-    nodes = sets.select("cid", "n").join(of, F.col("cid") == F.col("p_node"), "left").select("cid", "n", F.coalesce("component", "cid").alias("comp"))
-    sizes = nodes.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("cuts")).select(F.col("comp").alias("z"), "cuts")
-    nodes = nodes.join(sizes, F.col("comp") == F.col("z")).select("cid", "n", "comp", F.xxhash64("comp", F.pmod(F.xxhash64("cid"), F.col("cuts"))).alias("grp"))
-    nodes, p1 = written(nodes, "jaccard-groups")
-    spread = nodes.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high")).select(F.col("grp").alias("s_grp"), "low", "high")
-    entries = matched.select("token", F.col("cid").alias("m_cid")).join(nodes, F.col("m_cid") == F.col("cid")).select("token", "cid", "n", "comp", "grp")
+    led = matched.groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("shared")).groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"))
+    nodes = led.join(sets.select(F.col("cid").alias("s_cid"), "n"), F.col("cid") == F.col("s_cid")).join(of, F.col("cid") == F.col("p_node"), "left")
+    nodes = nodes.select("cid", "n", "lead", F.coalesce("component", "cid").alias("comp"), F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int").alias("step"))
+    nodes, p0 = written(nodes, "jaccard-nodes")
+    cuts = nodes.groupBy("lead", "step").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("cuts")).select(F.col("lead").alias("z_lead"), F.col("step").alias("z_step"), "cuts")
+    nodes = nodes.join(cuts, (F.col("lead") == F.col("z_lead")) & (F.col("step") == F.col("z_step")))
+    nodes, p1 = written(nodes.select("cid", "n", "comp", "step", F.xxhash64("lead", "step", F.pmod(F.xxhash64("cid"), F.col("cuts"))).alias("grp")), "jaccard-groups")
+    spread = nodes.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("one"), F.max("comp").alias("other"), F.max("step").alias("g_step")).withColumnRenamed("grp", "s_grp")
+    entries = matched.select("token", F.col("cid").alias("m_cid")).join(nodes, F.col("m_cid") == F.col("cid")).select("token", "cid", "n", "comp", "step", "grp")
     mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("token").alias("t"))
     entries, p2 = written(entries.join(mixed, F.col("token") == F.col("t")).drop("t"), "jaccard-entries")
-    matrix = entries.select("token", "grp", "comp").distinct().join(spread, F.col("grp") == F.col("s_grp"))
-    matrix = matrix.select(F.col("token").alias("g_token"), F.col("grp").alias("g"), F.col("comp").alias("g_comp"), "low", "high")
-    meets = (F.col("token") == F.col("g_token")) & (F.col("comp") < F.col("g_comp")) & (100 * F.col("high") >= 75 * F.col("n")) & (75 * F.col("low") <= 100 * F.col("n"))
+    matrix = entries.select("token", "grp").distinct().join(spread, F.col("grp") == F.col("s_grp"))
+    matrix = matrix.select(F.col("token").alias("g_token"), F.col("grp").alias("g"), "one", "other", "low", "high", "g_step")
+    # of a pair the one in the smaller step asks; groups that are all of its own component have nothing new
+    meets = (
+        (F.col("token") == F.col("g_token")) & (F.col("step") <= F.col("g_step")) & (75 * F.col("low") <= 100 * F.col("n"))
+        & (100 * F.col("high") >= 75 * F.col("n")) & ((F.col("one") != F.col("other")) | (F.col("one") != F.col("comp")))
+    )
     # both sides have an entry once a token, so rows count the entries shared
-    shared = entries.join(matrix, meets).groupBy(F.col("cid").alias("q"), "g").agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("n", "low")).alias("smaller"))
-    queries, p3 = written(shared.filter(F.col("shared") >= _least_shared(F.col("smaller"))).select("q", "g"), "jaccard-queries")
+    shared = entries.join(matrix, meets).groupBy(F.col("cid").alias("q"), "g").agg(*[F.first(c).alias(c) for c in ("n", "comp", "low", "high")], F.count(F.lit(1)).alias("shared"))
+    queries, p3 = written(shared.filter(F.col("shared") >= _shared_with(F.col("n"), F.col("low"), F.col("high"))).select("q", "comp", "g"), "jaccard-queries")
     salts = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("salts")).select(F.col("g").alias("k"), "salts")
     s = sets.select(F.col("cid").alias("s_cid"), "tokens")
-    asked = queries.join(salts, F.col("g") == F.col("k")).select("g", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("q").alias("cid"))
-    held = nodes.join(salts, F.col("grp") == F.col("k")).select(F.col("grp").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "cid")
-    rows = asked.unionByName(held).join(s, F.col("cid") == F.col("s_cid")).select("g", "salt", "role", "cid", "tokens")
-    return rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "role").mapInArrow(_open_groups, "a long, b long"), [p1, p2, p3]
+    asked = queries.join(salts, F.col("g") == F.col("k")).select("g", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("q").alias("cid"), "comp")
+    held = nodes.join(salts, F.col("grp") == F.col("k")).select(F.col("grp").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "cid", "comp")
+    rows = asked.unionByName(held).join(s, F.col("cid") == F.col("s_cid")).select("g", "salt", "role", "cid", "comp", "tokens")
+    return rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "role").mapInArrow(_open_groups, "a long, b long"), [p0, p1, p2, p3]
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
