@@ -242,14 +242,16 @@ def _shared_with(q, low, high):
 
     Sizes q and m link at an overlap of o = 3 (q + m) / 7 or more.  Outside its prefix a
     set has ceil(3 n / 4) - l(n) shingles, so o less that many of the common ones, the
-    first in order, are in its prefix; the smaller number of both sides counts.  Over m it
-    is least at one of the ends.
+    first in order, are in its prefix; the smaller number of both sides counts.  For the
+    asking set that number grows with m; for the other it falls by a quarter a step, give
+    or take rounding by less than three, so its least is among the last 16 sizes.
     """
-    low = F.greatest(low, F.ceil(q * NUMERATOR / DENOMINATOR))
-    high = F.least(high, F.floor(q * DENOMINATOR / NUMERATOR))
+    low = F.greatest(low, F.ceil(q * NUMERATOR / DENOMINATOR)).cast("long")
+    high = F.least(high, F.floor(q * DENOMINATOR / NUMERATOR)).cast("long")
     outside = lambda n: F.ceil(n * NUMERATOR / DENOMINATOR) - _least_shared(n)
     overlap = lambda m: F.ceil((q + m) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    return F.least(overlap(low) - outside(q), overlap(low) - outside(low), overlap(high) - outside(high))
+    other = F.array_min(F.transform(F.sequence(F.greatest(low, high - 16), high), lambda m: overlap(m) - outside(m)))
+    return F.least(overlap(low) - outside(q), other)
 
 
 def prefix(tokens: np.ndarray, top: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -216,6 +216,17 @@ def test_jaccard_join(spark, monkeypatch, group, frequent, seed):
     assert got == sorted(want, key=repr)
 
 
+def test_least_shared_entries(spark):
+    rng = random.Random(6)
+    rows = [(q, low, low + rng.randint(0, low // 4 + 1)) for q in [*range(1, 90), 333, 2000] for low in {max(1, int(q * f)) for f in (0.75, 0.9, 1.0, 1.2)}]
+    got = spark.createDataFrame(rows, "q long, low long, high long").select("*", jaccard_tgm._shared_with(F.col("q"), F.col("low"), F.col("high")).alias("k"))
+    for q, low, high, k in got.collect():
+        outside = lambda n: -(-75 * n // 100) - max(1, n // 16)
+        sizes = [m for m in range(low, high + 1) if 75 * q <= 100 * m and 75 * m <= 100 * q]
+        if sizes:
+            assert k == min(-(-75 * (q + m) // 175) - max(outside(q), outside(m)) for m in sizes), (q, low, high)
+
+
 def test_keep_one(spark):
     same = "one two three four five six seven"
     rows = [(4, same, "en", "a"), (2, same.upper(), "en", "b"), (2, same, "en", "b"), (9, "quite another text than that one", "en", "a"), (10, None, None, None), (None, "text without an id, that nobody else has", None, None)]
