@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Box, Query, TableRules
 from ..functions.formats import FORMATS, estimated_size, image_format
+from ..functions.geometry import rectangle
 from ..functions.text import name_words, timestamp_text
 from ..operators import elements, query, reading, search, stats, tables, validate
 from ..sources.adapters import conversation_pages, document_files, part_files, table
@@ -208,6 +209,12 @@ def lines(spark, sf_dir):
     return _lines(spark, sf_dir).select(*_SHOWN, "line_idx", "llx", "lly", "urx", "ury", "confidence")
 
 
+@_register("rectangles", f"WITH {LINES_SQL} SELECT path, element_id, llx AS x, lly AS y, urx - llx AS width, ury - lly AS height FROM l")
+def rectangles(spark, sf_dir):
+    box = rectangle(*(F.col(c) for c in ("llx", "lly", "urx", "ury")))
+    return _lines(spark, sf_dir).select("path", "element_id", box.alias("r")).select("path", "element_id", "r.*")
+
+
 @_register("words", f"""WITH {LINES_SQL}, {WORDS_SQL} SELECT path, page_number, 'word_' || page_number || '_' || (line_idx * 1000 + word_idx) AS element_id, 'line_' || page_number || '_' || line_idx AS parent_id, text,
 round(72 + word_idx * (468.0::DOUBLE / n), 6) AS llx, round(72 + (word_idx + 1) * (468.0::DOUBLE / n), 6) AS urx, round(468.0::DOUBLE / n, 6) AS width FROM w""")
 def words(spark, sf_dir):

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions import text
+from pagewright.functions import geometry, text
 from pagewright.functions.formats import estimated_size, image_format
 from pagewright.operators.search import is_pdf, matches
 
@@ -67,3 +67,8 @@ def test_malformed_globs(pattern):
 def test_trim_and_cut(spark):
     r = spark.range(1).select(text.trim_unicode(F.lit("  a b \n")).alias("t"), text.cut_bytes(F.lit("aéb"), F.lit(3)).alias("c"), text.cut_bytes(F.lit("aéb"), F.lit(2)).alias("d"), text.shown(F.lit("x" * 120)).alias("s")).first()
     assert r.t == "a b" and r.c == "aé" and r.d == "a�" and r.s == "x" * 100 + "..."
+
+
+def test_rectangles_and_corners(spark):
+    box = spark.range(1).select(geometry.rectangle(F.lit(1.0), F.lit(2.0), F.lit(4.0), F.lit(8.0)).alias("r"))
+    assert tuple(box.first().r) == (1, 2, 3, 6) and tuple(box.select(geometry.corners(F.col("r")).alias("c")).first().c) == (1, 2, 4, 8)
