@@ -5,11 +5,23 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def sole_memory(name: str, clear: Callable[[], None]) -> None:
+    """Says that an operator remembers words in this worker from now on; what others remember is let go.
+
+    Workers outlive stages, so without this the memories of all stages would add up.
+    """
+    for other in [k for k in _holders if k != name]:
+        _holders.pop(other)()
+    _holders[name] = clear
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, shuffle_partitions, written
+from .common import remove, shuffle_partitions, sole_memory, written
 from .components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -157,6 +157,7 @@ def _ranges(top: np.ndarray, n: int) -> list[tuple[int, slice]]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int | None]]]:
+    sole_memory("sets", lambda: None)
     for whole in batches:
         for k in range(0, whole.num_rows, SLICE):
             batch = whole.slice(k, SLICE)

@@ -31,13 +31,13 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, sole_memory
 
 UND = "und"
 HIDDEN, WINDOW = 16, 48
 DOCS, WORDS = 400, 100
 EPOCHS, BATCH, RATE = 6, 256, 0.01
-REMEMBERED, CHUNK = 250_000, 1 << 20
+REMEMBERED, CHUNK = 200_000, 1 << 20
 _plain = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _letter = regex.compile(r"\p{L}")
 DIRECTIONS = ("f", "b")
@@ -242,6 +242,7 @@ _poolers: dict[str, Pooler] = {}
 
 def pooler(model: Model) -> Pooler:
     key = model.key
+    sole_memory("languages", _poolers.clear)
     if key not in _poolers:
         _poolers.clear()
         _poolers[key] = Pooler(model)

@@ -37,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sole_memory
 from .token_index import tokenizer_path
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 UNIGRAM, BPE = 1, 2  # fixed values: model types
-WORDS_KEPT = 500_000
+WORDS_KEPT = 300_000
 INF = float("inf")
 
 
@@ -252,7 +253,7 @@ class Transducer:
         """Paths of words that are not known, from the paths of their parts."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        if len(self.pairs) > 2 * WORDS_KEPT:
+        if len(self.pairs) > 4 * WORDS_KEPT:
             self.pairs.clear()
         if len(self.parts) > WORDS_KEPT:
             self.parts.clear()
@@ -273,6 +274,9 @@ class Transducer:
         out.append(word[at:])
         return out
 
+    def forget(self) -> None:
+        self.known, self.parts, self.pairs = {}, {}, {}
+
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = []
@@ -302,6 +306,7 @@ _transducers: dict[str, Transducer] = {}
 def transducer(path: str) -> Transducer:
     if path not in _transducers:
         _transducers[path] = Transducer(path)
+    sole_memory("pieces", lambda: [t.forget() for t in _transducers.values()])
     return _transducers[path]
 
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_path, shuffle_partitions, written
+from .common import shared_path, shuffle_partitions, sole_memory, written
 
 MAGIC, PART_MAGIC = b"PWTOKEN1", b"PWINDEX1"
 END_ID = 2
@@ -87,6 +87,9 @@ class WordEncoder:
         if any("<|" not in x for x in self.special) or sys.byteorder != "little":
             self.by_word = False
 
+    def forget(self) -> None:
+        self.words, self.pieces = {}, {}
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
@@ -138,6 +141,7 @@ _encoders: dict[str, WordEncoder] = {}
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
+    sole_memory("words", lambda: [e.forget() for e in _encoders.values()])
     return _encoders[path]
 
 
