@@ -40,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import remove, shuffle_partitions, sole_memory, written
@@ -49,6 +49,7 @@ from .components import connected_components
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 FREQUENT, LEAST_COUNT = 1 << 21, 4
 GROUP, QUERIES, SIZE_STEP = 256, 2000, 1.15
+WORD = r"[^\x20\x09-\x0D]"
 SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
 FLUSH, SLICE = 1 << 21, 512
 BLOOM_BITS, PAGE = 1 << 27, 1 << 15
@@ -495,18 +496,17 @@ def _group_links(matched: DataFrame, sets: DataFrame, parts: DataFrame) -> tuple
     return rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "role").mapInArrow(_open_groups, "a long, b long"), [p0, p1, p2, p3]
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs."""
-    spark = docs.sparkSession
+def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """Of rows (doc_id, t): (doc_id, n, cid) of each, matched shingles with their leads, and the sets to compare."""
+    spark = rows.sparkSession
     ranges = shuffle_partitions(spark)
-    key = dict(docs.dtypes)[doc_id]
-    key_type = docs.select(doc_id).limit(0).toArrow().schema.field(0).type
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    key = dict(rows.dtypes)["doc_id"]
+    key_type = rows.select("doc_id").limit(0).toArrow().schema.field(0).type
     texts = rows.select("t")
 
     base, p0 = written(rows.mapInArrow(lambda b: _count_pass(b, ranges, key_type), f"kind int, doc_id {key}, n long, cid long, rng int, blob binary"), "jaccard-sets")
     counted = spark.sparkContext.broadcast(frequent(base))
-    kept, _ = written(base.filter("kind = 0").select("doc_id", "n", "cid"), "jaccard-classes")
+    kept, own = written(base.filter("kind = 0").select("doc_id", "n", "cid"), "jaccard-classes")
     remove(spark, p0)
     blocks = texts.mapInArrow(lambda b: _prefix_pass(b, ranges, counted), "rng int, blob binary")
     found, p1 = written(blocks.groupBy("rng").applyInPandas(lambda b: _match(b, ranges), "token long, cid long, n long, often boolean"), "jaccard-matched")
@@ -521,12 +521,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # a class that only shares its bit does no harm
     sets = texts.mapInArrow(lambda b: _set_pass(b, bits), "cid long, n long, tokens binary")
     sets, p4 = written(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "jaccard-compared")
+    return kept, led, sets, [own, p3, p4]
+
+
+def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Of rows (doc_id, t): (doc_id, n, cid) of each, and (node, component) of the classes that link to another."""
+    spark = rows.sparkSession
+    kept, led, sets, (own, *paths) = _compared(rows)
     links, p5 = written(_first_links(led, sets), "jaccard-links")
     parts, p6 = written(connected_components(links), "jaccard-parts")
     more, used = _group_links(led, sets, parts)
     more, p7 = written(more, "jaccard-links")
-    parts, _ = written(connected_components(links.unionByName(more)), "jaccard-parts")
-    remove(spark, p3, p4, p5, p6, p7, *used)
+    parts, p8 = written(connected_components(links.unionByName(more)), "jaccard-parts")
+    remove(spark, *paths, p5, p6, p7, *used)
+    return kept, parts, [own, p8]
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs."""
+    kept, parts, _ = _components(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")))
     least = kept.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least")).select(F.col("cid").alias("c"), "least")
     of = least.join(parts, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("comp"))
     least_of = of.groupBy("comp").agg(F.min("least").alias("component_id")).select(F.col("comp").alias("k"), "component_id")
@@ -535,18 +548,34 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """64 bits over all columns of a row; nulls count, and maps as their text."""
+    columns = [F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Filtering stage: of each component the row with the least id; of rows with that id, one."""
-    found = near_duplicates(docs)
-    ids = found.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("__nd_first"), F.count(F.lit(1)).alias("__nd_rows"))
-    ids = ids.filter("__nd_first = 1 or doc_id is null").select(F.col("doc_id").alias("__nd_id"), "__nd_rows")
-    ids, _ = written(ids, "jaccard-kept")
-    joined = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__nd_id")))
-    if ids.filter("__nd_rows > 1 and __nd_id is not null").isEmpty():
-        return joined.select(*docs.columns)
-    single = joined.filter("__nd_rows = 1 or doc_id is null").select(*docs.columns)
-    several = joined.filter("__nd_rows > 1 and doc_id is not null").select(*docs.columns).dropDuplicates(["doc_id"])
-    return single.unionByName(several)
+    """Filtering stage: of each component one row, the least by (id, nulls last; class; hash of the row).
+
+    Ids may repeat or be null: rows are told apart by all their columns, and of rows
+    equal in all of them one stays.  Rows without shingles are components of their own and stay.
+    """
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    some = docs.filter(worded)
+    keyed = some.withColumn("__nd_row", _row_hash(docs))
+    rows = keyed.select(F.struct(F.col("doc_id").alias("id"), F.col("__nd_row").alias("row")).alias("doc_id"), F.col("text").alias("t"))
+    kept, parts, paths = _components(rows)
+    # counted and reduced before every shuffle, so neither a hot id nor a hot text lands in one task
+    same = kept.groupBy("cid", "doc_id.id", "doc_id.row").agg(F.count(F.lit(1)).alias("rows"))
+    first = same.groupBy("cid").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "cid", "row", "rows")).alias("f"))
+    of = first.join(parts, F.col("cid") == F.col("node"), "left").groupBy(F.coalesce("component", "cid")).agg(F.min("f").alias("f"))
+    ids, _ = written(of.select(F.col("f.id").alias("__nd_id"), F.col("f.row").alias("__nd_of"), F.col("f.rows").alias("__nd_rows")), "jaccard-kept")
+    remove(docs.sparkSession, *paths)
+    joined = keyed.join(ids, (F.col("__nd_row") == F.col("__nd_of")) & F.col("doc_id").eqNullSafe(F.col("__nd_id")))
+    single = joined.filter("__nd_rows = 1")
+    if not ids.filter("__nd_rows > 1").isEmpty():
+        single = single.unionByName(joined.filter("__nd_rows > 1").dropDuplicates(["__nd_of", "__nd_id"]))
+    return single.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.filter(~worded))
 
 
 def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,6 +236,23 @@ def test_keep_one(spark):
     assert jaccard_tgm.keep_one(table.limit(0)).count() == 0
 
 
+def test_keep_one_tells_rows_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    near = lambda k: text(k).replace("x39", "x40")
+    rows = [(5, text(0), "en"), (5, text(1), "en")]  # a repeated id with different texts
+    rows += [(3, text(2), "en"), (6, text(3), "en"), (6, near(2), "en")]  # one of them a near copy of another id's
+    rows += [(7, text(k), "en") for k in range(10, 20)] + [(7, text(20), "en")] * 9  # a hot id, among it equal rows
+    rows += [(None, text(4), "en"), (None, near(4), "de"), (None, text(5), "en"), (9, text(5), "en")]  # copies with null ids
+    rows += [(1, None, "en"), (1, None, "en"), (None, " ", "en")]  # no shingles: components of their own
+    rows += [(2, text(6), g) for g in ("de", "en", None)]  # rows that differ in another column only
+    first, again = (_rows(jaccard_tgm.keep_one(_docs(spark, [(i, t, g, "a") for i, t, g in order]).repartition(n))) for order, n in ((rows, 3), (rows[::-1], 2)))
+    assert first == again
+    null_id = [r[1] for r in first if r[0] is None and r[1] in (text(4), near(4))]
+    assert len(null_id) == 1
+    want = [(5, text(0)), (5, text(1)), (3, text(2)), (6, text(3)), *[(7, text(k)) for k in range(10, 21)], (None, *null_id), (9, text(5)), (1, None), (1, None), (None, " "), (2, text(6))]
+    assert sorted((r[:2] for r in first), key=repr) == sorted(want, key=repr)
+
+
 def test_media(spark, docs):
     stored = matroska.store_texts(docs)
     got = _rows(matroska.read_features(stored).select("doc_id", "n_bytes", "payload_sha256", "tail_crc32", "n_packets"))
