@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is found; rows without a letter, or with no language well ahead, go."""
+    """Rows whose language is found; rows without a letter go, unless no language could be learned."""
     return langid_gru.keep_identified(docs)
 
 

@@ -321,10 +321,16 @@ def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """Filtering stage: rows whose language is found with a score of at least ``least``; a null lang becomes it."""
+def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """Filtering stage: rows whose language is found; a null lang becomes it.
+
+    A score does not grow with evidence, so by default none is too low and only rows
+    without a letter go.  Where no language could be learned, all rows stay as they are.
+    """
     plain = docs.toDF(*[f"k{k}" for k in range(len(docs.columns))])
     text, lang = (f"k{docs.columns.index(c)}" for c in ("text", "lang"))
     model = train(learned_rows(docs))
+    if not model.langs:
+        return docs
     out = predict(plain, model, text, plain.columns).filter((F.col("lang_pred") != UND) & (F.col("score") >= least))
     return out.withColumn(lang, F.coalesce(lang, "lang_pred")).drop("lang_pred", "score").toDF(*docs.columns)

@@ -158,6 +158,20 @@ def test_languages(spark, docs):
     assert {r.lang_pred for r in langid_gru.predict(docs, nobody).collect()} == {"und"}
 
 
+def test_language_stage_drops_only_what_has_no_letter(spark, monkeypatch):
+    # a short clean document scores low where languages share its words
+    monkeypatch.setattr(langid_gru, "train", lambda docs, f=langid_gru.train: f(docs, docs_each=20, words_each=20))
+    langs = ("de", "en", "es", "fr")
+    rows = [(k, "animal normal total", langs[k % 4], "a") for k in range(160)] + [(900, "animal", "es", "a"), (901, "123 ...", "en", "a"), (902, None, "en", "a")]
+    table = _docs(spark, rows)
+    scores = [r.score for r in langid_gru.predict(table, langid_gru.train(langid_gru.learned_rows(table))).collect() if r.doc_id < 901]
+    assert max(scores) < 0.4
+    dropped = {r.doc_id for r in table.collect()} - {r.doc_id for r in langid_gru.keep_identified(table).collect()}
+    assert dropped == {901, 902}
+    unlabelled = table.withColumn("lang", F.lit(None).cast("string"))
+    assert _rows(langid_gru.keep_identified(unlabelled)) == _rows(unlabelled)
+
+
 def test_sharding(spark, docs, tmp_path):
     names = maglev.shard_names(5)
     placed = maglev.place(docs, "doc_id", names, 101)
