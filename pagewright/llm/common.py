@@ -63,3 +63,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def crc_fold(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo a small number; null keys count as empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """64 bits over all columns of a row; nulls count, and maps as their text."""
+    columns = [F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    return F.xxhash64(*columns, *[c.isNull() for c in columns])

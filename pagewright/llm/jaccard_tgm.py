@@ -40,10 +40,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, shuffle_partitions, sole_memory, written
+from .common import remove, row_hash, shuffle_partitions, sole_memory, written
 from .components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -548,12 +548,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _row_hash(docs: DataFrame) -> Column:
-    """64 bits over all columns of a row; nulls count, and maps as their text."""
-    columns = [F.col(f"`{c}`").cast("string") if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
-    return F.xxhash64(*columns, *[c.isNull() for c in columns])
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """Filtering stage: of each component one row, the least by (id, nulls last; class; hash of the row).
 
@@ -562,7 +556,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
     some = docs.filter(worded)
-    keyed = some.withColumn("__nd_row", _row_hash(docs))
+    keyed = some.withColumn("__nd_row", row_hash(docs))
     rows = keyed.select(F.struct(F.col("doc_id").alias("id"), F.col("__nd_row").alias("row")).alias("doc_id"), F.col("text").alias("t"))
     kept, parts, paths = _components(rows)
     # counted and reduced before every shuffle, so neither a hot id nor a hot text lands in one task

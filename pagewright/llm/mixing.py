@@ -11,8 +11,9 @@ Sources weigh by their rank in code point order (null is a source, and last).  T
 share the budget by weight, stop at ``max_repeat`` times the source's words, and what is
 cut off there is shared anew by weight until no target is above.
 
-Defined cases: a null text has size 0; rows equal in id and text get the same decision;
-an empty table gives an empty result; further columns are kept, whatever their names
+Defined cases: a null text has size 0; of rows equal in id and text, which share a hash,
+only as many are taken as the rest needs (``apart``; without it, as in the registered
+query and its SQL, they get the same decision); an empty table gives an empty result; further columns are kept, whatever their names
 (working columns carry the prefix ``__mx_``).
 """
 
@@ -24,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import row_hash, shuffle_partitions, written
 
 BITS, LEVEL_BITS = 48, 12
+CHUNK = 1024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,17 +67,45 @@ def source_targets(per_source: DataFrame, weights: Sequence[int], max_repeat: in
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, budget: float = 1.0,
+    weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, budget: float = 1.0, apart: bool = True,
 ) -> tuple[DataFrame, list[str]]:
     """Decisions, one row a document: source, doc_id, hash, size, source_size, target, copies.
 
     Returns them with the paths of the written tables they stand on.
     """
-    sized, thresholds, paths = _decide(docs, doc_id, text, source, weights, max_repeat, budget)
-    return _with_copies(sized, thresholds).select("doc_id", "source", "hash", "size", "source_size", "target", "copies"), paths
+    sized, thresholds, paths = _decide(docs, doc_id, text, source, weights, max_repeat, budget, apart)
+    decided = _with_copies(sized, thresholds)
+    some = _equal_rows(sized, thresholds)
+    if some is not None:
+        split = _times(some, "__mx_rows").withColumn("__mx_more", (F.col("__mx_copy") <= F.col("__mx_quota")).cast("long")).select(*sized.columns, "__mx_more")
+        split = _with_copies(split, thresholds).withColumn("copies", F.col("copies") + F.col("__mx_more")).drop("__mx_more")
+        decided = decided.filter((F.col("extra") == 0) | (F.col("hash") != F.col("threshold"))).unionByName(split)
+    return decided.select("doc_id", "source", "hash", "size", "source_size", "target", "copies"), paths
 
 
-def _decide(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[int], max_repeat: int, budget: float) -> tuple[DataFrame, DataFrame, list[str]]:
+def _equal_rows(rows: DataFrame, thresholds: DataFrame, source: str = "source", hashed: str = "hash") -> DataFrame | None:
+    """Of hashes of which some rows are taken, each different row once, how often it occurs and how many of it are taken.
+
+    Counted before the shuffle: a hot row is one row here.  None where no hash is split.
+    """
+    split = thresholds.filter("extra > 0").select(F.col("source").alias("__mx_s"), F.col("threshold").alias("__mx_at"), F.col("extra").alias("__mx_extra"))
+    if split.isEmpty():
+        return None
+    inside = rows.withColumn("__mx_row", row_hash(rows)).join(split, F.col(source).eqNullSafe(F.col("__mx_s")) & (F.col(hashed) == F.col("__mx_at")))
+    each = inside.groupBy("__mx_s", "__mx_row").agg(F.first("__mx_extra").alias("__mx_extra"), F.count(F.lit(1)).alias("__mx_rows"), F.first(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("__mx_whole_row"))
+    before = F.sum("__mx_rows").over(W.partitionBy("__mx_s").orderBy("__mx_row")) - F.col("__mx_rows")
+    each = each.withColumn("__mx_quota", F.greatest(F.lit(0), F.least(F.col("__mx_rows"), F.col("__mx_extra") - before)))
+    return each.select("__mx_whole_row.*", "__mx_rows", "__mx_quota")
+
+
+def _times(rows: DataFrame, n: str) -> DataFrame:
+    """Each row n times, numbered from 1; chunks of a row go to many tasks."""
+    parts = rows.filter(F.col(n) > 0).withColumn("__mx_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / CHUNK))))
+    parts = parts.repartition(shuffle_partitions(rows.sparkSession))
+    return parts.withColumn("__mx_copy", F.explode(F.sequence(F.col("__mx_part") * CHUNK + 1, F.least(F.col(n), (F.col("__mx_part") + 1) * CHUNK))))
+
+
+def _decide(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[int], max_repeat: int, budget: float, apart: bool) -> tuple[DataFrame, DataFrame, list[str]]:
     """Sizes and hashes of all documents, and the threshold of each source, as written tables."""
     sized, p1 = written(
         docs.select(
@@ -83,7 +113,7 @@ def _decide(docs: DataFrame, doc_id: str, text: str, source: str, weights: Seque
             document_hash(F.col(doc_id), F.col(text)).alias("hash"),
         ), "mix-sizes",
     )
-    thresholds, p2 = written(_thresholds(sized, weights, max_repeat, budget), "mix-thresholds")
+    thresholds, p2 = written(_thresholds(sized, weights, max_repeat, budget, apart), "mix-thresholds")
     return sized, thresholds, [p1, p2]
 
 
@@ -94,7 +124,7 @@ def _with_copies(rows: DataFrame, thresholds: DataFrame, source: str = "source",
     return joined.withColumn("copies", F.col("whole") + (F.col(hashed) < F.col("threshold")).cast("long"))
 
 
-def _thresholds(sized: DataFrame, weights: Sequence[int], max_repeat: int, budget: float) -> DataFrame:
+def _thresholds(sized: DataFrame, weights: Sequence[int], max_repeat: int, budget: float, apart: bool) -> DataFrame:
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"))
     state = source_targets(per_source, weights, max_repeat, budget).withColumnRenamed("size", "source_size")
     state = state.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
@@ -105,41 +135,47 @@ def _thresholds(sized: DataFrame, weights: Sequence[int], max_repeat: int, budge
         shift = BITS - LEVEL_BITS * level
         s = state.select(F.col("source").alias("s_source"), "rest", "prefix")
         bucket = F.shiftright("hash", shift)
-        hist = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+        hist = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
         if level > 1:  # only the boundary bucket of each source is summed again
             inside = F.col("source").eqNullSafe(F.col("s_source")) & (F.shiftright("hash", shift + LEVEL_BITS) == F.col("prefix"))
-            hist = sized.join(s.select("s_source", "prefix"), inside).groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
+            hist = sized.join(s.select("s_source", "prefix"), inside).groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
         run = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
         hist = hist.withColumn("upto", F.sum("words").over(run))
         state = (
             hist.join(s.select("s_source", "rest"), F.col("source").eqNullSafe(F.col("s_source")))
             .filter(F.col("upto") > F.col("rest"))
-            .groupBy("source").agg(F.min(F.struct("bucket", "words", "upto", "rest")).alias("b"))
-            .select("source", (F.col("b.rest") - (F.col("b.upto") - F.col("b.words"))).alias("rest"), F.col("b.bucket").alias("prefix"), F.col("b.words").alias("words"))
+            .groupBy("source").agg(F.min(F.struct("bucket", "words", "upto", "rest", "n")).alias("b"))
+            .select("source", (F.col("b.rest") - (F.col("b.upto") - F.col("b.words"))).alias("rest"), F.col("b.bucket").alias("prefix"), F.col("b.words").alias("words"), F.col("b.n").alias("n"))
         )
-    # the last bucket is one hash value: taken if that comes nearer to the target
+    # the last bucket is one hash value: so many of its rows are taken as come nearest to the target
+    nearest = F.ceil(F.col("rest") * F.col("n") / F.col("words") - 0.5)
+    if not apart:
+        nearest = F.when((F.col("words") - F.col("rest")) < F.col("rest"), F.col("n")).otherwise(F.lit(0))
+    state = state.withColumn("some", F.greatest(F.lit(0), F.least(F.col("n"), nearest)).cast("long"))
     cut = state.select(
-        F.col("source").alias("c_source"),
-        (F.col("prefix") + ((F.col("words") - F.col("rest")) < F.col("rest")).cast("long")).alias("threshold"),
-    )
+        F.col("source").alias("c_source"), (F.col("prefix") + (F.col("some") == F.col("n")).cast("long")).alias("threshold"),
+        F.when(F.col("some") < F.col("n"), F.col("some")).otherwise(F.lit(0)).alias("extra"),
+    )
     return base.join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left").select(
-        "source", "source_size", "target", "whole", F.coalesce("threshold", F.lit(0)).cast("long").alias("threshold")
+        "source", "source_size", "target", "whole", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("threshold", "extra")]
     )
 
 
-def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, budget: float = 1.0) -> DataFrame:
+def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, budget: float = 1.0, apart: bool = True) -> DataFrame:
     """The mixed rows themselves: each row of docs as often as its decision says."""
-    _, thresholds, _ = _decide(docs, doc_id, text, source, weights, max_repeat, budget)
+    _, thresholds, _ = _decide(docs, doc_id, text, source, weights, max_repeat, budget, apart)
     renamed = thresholds.select(F.col("source").alias("__mx_of"), F.col("whole").alias("__mx_whole"), F.col("threshold").alias("__mx_threshold"))
     keyed = docs.withColumn("__mx_hash", document_hash(F.col(doc_id), F.col(text)))
     joined = keyed.join(renamed, F.col(source).eqNullSafe(F.col("__mx_of")))
     copies = F.col("__mx_whole") + (F.col("__mx_hash") < F.col("__mx_threshold")).cast("long")
     repeated = joined.withColumn("__mx_copies", copies.cast("int")).filter("__mx_copies > 0").withColumn("__mx_copy", F.explode(F.sequence(F.lit(1), F.col("__mx_copies"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    some = _equal_rows(keyed, thresholds, source, "__mx_hash")
+    return repeated.select(*columns) if some is None else repeated.select(*columns).unionByName(_times(some, "__mx_quota").select(*columns))
 
 
 def _digest(spark, sf_dir):
-    decided, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    decided, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), apart=False)  # as its SQL has it
     return decided.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 

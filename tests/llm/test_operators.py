@@ -315,3 +315,20 @@ def test_mixing(spark):
     for none in (table.limit(0), _docs(spark, [(1, None, "en", "a"), (2, "", "en", None)])):
         assert sum(r.copies * r.size for r in mixing.mix(none)[0].collect()) == 0
         assert mixing.take(none).columns == table.columns
+
+
+def test_mixing_splits_equal_rows(spark):
+    # a third of all rows are one row, and hold half of their source's words
+    rows = [(k, "w " * (k % 7 + 1), "en", "ab"[k % 2]) for k in range(600)] + [(9999, "hot " * 8, g, "a") for g in ("en", "de", None) for _ in range(100)]
+    table = _docs(spark, rows)
+    for budget in (0.35, 0.65, 1.0):
+        got = mixing.mix(table, budget=budget)[0].collect()
+        assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+        for s in "ab":
+            mine = [r for r in got if r.source == s]
+            assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 8
+        taken, again = (_rows(mixing.take(t, budget=budget)) for t in (table, table.repartition(3)))
+        assert taken == again and len(taken) == sum(r.copies for r in got)
+        assert sum(len(r[1].split()) for r in taken) == sum(r.size * r.copies for r in got)
+    together = [r.copies for r in mixing.mix(table, apart=False)[0].collect() if r.doc_id == 9999]
+    assert len(set(together)) == 1
