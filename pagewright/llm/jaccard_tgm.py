@@ -12,17 +12,19 @@ connected, whatever their number, without writing out the pairs of a group:
    matched, with l(n) = max(1, n // 16): two sets that link share l of the smaller one
    among those.  Blocks again; a shingle in one class only falls away, and so does a
    class with fewer than l(ceil(3 n / 4)) shingles left.
-4. Every class is compared with the one class that leads most of its matched shingles;
-   links found so far make components.
-5. Token-group matrix: groups hold at most GROUP classes of about one size with one
-   leading class; the matrix says which matched shingles occur in which group.  A class
-   meets a group only if they share as many entries as a link within its sizes takes, and
-   the group holds another component.  The union of the members' shingles bounds the
-   overlap with any of them; only groups whose bound qualifies are opened.
-
-Links inside one component add nothing to it, so groups of thousands of near copies cost
-a comparison a class.  Step 5 leaves out no other pair, so components are exact (up to
-64-bit hashes).
+4. Groups hold at most about GROUP classes of about one size with one leading class (that
+   of most of their matched shingles).  Each is opened for its own members and gives the
+   union of their shingles; links found so far make components.
+5. Token-group matrix: it says which matched shingles occur in which group.  A class asks
+   a group only if they share as many entries as a link within its sizes takes, and the
+   group holds another component.  The group's stored union bounds the overlap with any of
+   its members; only groups whose bound qualifies are opened, that is, meet their sets.
+6. Of a component about ASKING classes ask first, and the others only what is then left.
+
+Links inside one component add nothing to it, and a group gives no more links than join
+what it holds, so thousands of near copies cost each class its own group.  Step 5 leaves
+out no other pair, so components are exact (up to 64-bit hashes).  ``similar_classes``
+gives every pair of linked classes instead.
 
 Defined cases: null, empty and blank texts have no shingles and are their own component;
 fewer words than the shingle length make one shingle of all of them; equal ids are rows of their
@@ -48,10 +50,11 @@ from .components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 FREQUENT, LEAST_COUNT = 1 << 21, 4
-GROUP, QUERIES, SIZE_STEP = 256, 2000, 1.15
+GROUP, GROUP_SHINGLES, QUERIES, SIZE_STEP = 256, 1 << 20, 2000, 1.15
+ANCHORS, ASKING = 16, 16
 WORD = r"[^\x20\x09-\x0D]"
 SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
-FLUSH, SLICE = 1 << 21, 512
+FLUSH, SLICE = 1 << 20, 256
 BLOOM_BITS, PAGE = 1 << 27, 1 << 15
 
 # --- shingles -------------------------------------------------------------------------------
@@ -390,110 +393,236 @@ def _tokens(blob: bytes) -> np.ndarray:
     return np.cumsum(unpack(blob, np.uint64)[0], dtype=np.uint64)
 
 
-def _compare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, x, y = (batch.column(k).to_pylist() for k in range(4))
-        ok = []
-        for p, q in zip(x, y):
-            s, t = _tokens(p), _tokens(q)
-            ok.append(linked(common(s, t), len(s), len(t)))
-        keep = [k for k, v in enumerate(ok) if v]
-        yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
-
-
 class Group:
     """Members' sets side by side: overlaps with all of them from one look-up of a query's shingles."""
 
-    def __init__(self, members: list[tuple[int, int, np.ndarray]]) -> None:
-        self.cids, self.comps = ([m[k] for m in members] for k in (0, 1))
-        self.sizes = np.array([len(m[2]) for m in members])
-        tokens = np.concatenate([m[2] for m in members])
+    def __init__(self, members: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(t) for t in members])
+        tokens = np.concatenate(members)
         order = np.argsort(tokens, kind="stable")
         self.owner = np.repeat(np.arange(len(members)), self.sizes)[order]
         self.union, first = np.unique(tokens[order], return_index=True)
         self.first = np.append(first, len(tokens))
 
-    def links(self, comp: int, q: np.ndarray) -> list[int]:
-        """A linked member of each other component."""
-        at = np.searchsorted(self.union, q)
-        at[at == len(self.union)] = 0
-        at = at[self.union[at] == q]
-        # the overlap with any member is at most that with the union, and must suit its smallest
-        smallest = max(self.sizes.min(), -(-NUMERATOR * len(q) // DENOMINATOR))
-        if (NUMERATOR + DENOMINATOR) * len(at) < NUMERATOR * (len(q) + smallest):
-            return []
+    def hits(self, q: np.ndarray) -> np.ndarray:
+        """The members linked with q, by their numbers."""
+        at = _within(self.union, q)
+        if not qualifies(len(at), len(q), self.sizes.min()):
+            return at[:0]
         counts = self.first[at + 1] - self.first[at]
         where = np.repeat(self.first[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         overlap = np.bincount(self.owner[where], minlength=len(self.sizes))
-        hits = np.flatnonzero(linked(overlap, self.sizes, len(q)))
-        return list({self.comps[k]: self.cids[k] for k in hits if self.comps[k] != comp}.values())
+        return np.flatnonzero(linked(overlap, self.sizes, len(q)))
+
+
+def _within(union: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Where in a union the shingles of q are that it has."""
+    at = np.searchsorted(union, q)
+    at[at == len(union)] = 0
+    return at[union[at] == q]
+
+
+def qualifies(bound: int, n: int, low: int) -> bool:
+    """Whether a group that shares ``bound`` shingles with a set of n can hold a linked member, none being smaller than low."""
+    smallest = max(low, -(-NUMERATOR * n // DENOMINATOR))
+    return (NUMERATOR + DENOMINATOR) * bound >= NUMERATOR * (n + smallest)
+
+
+class Forest:
+    """Union-find: ``join`` says whether two nodes were apart until now."""
 
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
 
-def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (group, salt, role, class, component, set) in order; members (role 0) come before queries (role 1)."""
-    current, members, group = None, [], None
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
+
+
+def _pairs(found: list[tuple[int, int]]) -> list[pa.Array]:
+    return [pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())]
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Runs of rows with equal first columns; of a run at most one batch is held at a time, so keys may come again."""
     for batch in batches:
+        rows = list(zip(*(batch.column(k).to_pylist() for k in range(batch.num_columns))))
+        at = 0
+        while at < len(rows):
+            end, key = at, rows[at][:keys]
+            while end < len(rows) and rows[end][:keys] == key:
+                end += 1
+            yield key, [r[keys:] for r in rows[at:end]]
+            at = end
+
+
+OPENED = "a long, b long, g long, tokens binary"
+
+
+def _own_groups(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (group, own, class, set) in order: each group's links, a spanning forest or all, and the union of its own members."""
+    current, held = None, []
+
+    def close() -> pa.RecordBatch:
+        tokens = [t for _, _, t in held]
+        union = np.unique(np.concatenate([t for own, _, t in held if own]))
+        found, forest, apart = [], Forest(), len(held) - 1
+        group = Group(tokens) if apart else None
+        for k, (_, c, t) in enumerate(held):
+            if not apart and not every:
+                break
+            for j in group.hits(t) if group else ():
+                if j < k and (joins := forest.join(int(j), k) | every):
+                    found.append((c, held[j][1]))
+                    apart -= joins
+        n = len(found)
+        a, b = _pairs(found)
+        none = pa.nulls(n, pa.int64())
+        return pa.RecordBatch.from_arrays([
+            pa.concat_arrays([a, pa.nulls(1, pa.int64())]), pa.concat_arrays([b, pa.nulls(1, pa.int64())]),
+            pa.concat_arrays([none, pa.array([current], pa.int64())]), pa.array([None] * n + [pack(_steps(union))], pa.binary()),
+        ], ["a", "b", "g", "tokens"])
+
+    for (g,), rows in _by_group(batches, 1):
+        if g != current and held:
+            yield close()
+            held = []
+        current = g
+        # own members come first; a cut that has none is no group
+        held += [(own, c, _tokens(blob)) for own, c, blob in rows if own or held]
+    if held:
+        yield close()
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (group, salt, role, class, component, least size, set) in order, first a group's union (role 0), then
+    those that ask: the ones whose overlap with the union a link allows."""
+    current, union, low = None, None, 0
+    for key, rows in _by_group(batches, 2):
+        out = []
+        for role, c, comp, least, blob in rows:
+            if role == 0:
+                current, union, low = key, _tokens(blob), least
+            elif key == current:
+                q = _tokens(blob)
+                if qualifies(len(_within(union, q)), len(q), low):
+                    out.append((c, comp))
+        q, comp = _pairs(out)
+        yield pa.RecordBatch.from_arrays([q, comp, pa.array([key[0]] * len(out), pa.int64())], ["q", "comp", "g"])
+
+
+def _open_groups(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (group, salt, role, class, component, least size, set) in order, first the members (role 0), then those that
+    ask: links between components, of which no more than join them, or all."""
+    current, members, group, forest = None, [], None, Forest()
+    for key, rows in _by_group(batches, 2):
+        if key != current:
+            current, members, group, forest = key, [], None, Forest()
         found: list[tuple[int, int]] = []
-        columns = [batch.column(k).to_pylist() for k in range(6)]
-        for g, salt, role, c, comp, blob in zip(*columns):
-            if (g, salt) != current:
-                current, members, group = (g, salt), [], None
+        for role, c, comp, _, blob in rows:
             if role == 0:
                 members.append((c, comp, _tokens(blob)))
                 continue
             if not members:
                 continue
-            group = group or Group(members)
-            found += [(c, m) for m in group.links(comp, _tokens(blob))]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+            group = group or Group([t for _, _, t in members])
+            for k in group.hits(_tokens(blob)):
+                m, other, _ = members[k]
+                if (every and m != c) or (not every and forest.join(comp, other)):
+                    found.append((c, m))
+        yield pa.RecordBatch.from_arrays(_pairs(found), ["a", "b"])
 
 
-def _first_links(matched: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each class compared with the class that leads most of its shingles."""
-    lead = matched.filter("cid <> lead").groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("own_n"))
-    lead = lead.groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"), F.first("own_n").alias("own_n"))
-    lead_sizes = matched.filter("cid = lead").groupBy(F.col("cid").alias("b_id")).agg(F.first("n").alias("b_n"))
-    a = sets.select(F.col("cid").alias("a_cid"), F.col("tokens").alias("x"))
-    b = sets.select(F.col("cid").alias("b_cid"), F.col("tokens").alias("y"))
-    sized = lead.join(lead_sizes, F.col("lead") == F.col("b_id"))
-    sized = sized.filter("100 * least(own_n, b_n) >= 75 * greatest(own_n, b_n)").select("cid", "lead")
-    pairs = sized.join(a, F.col("cid") == F.col("a_cid")).join(b, F.col("lead") == F.col("b_cid"))
-    return pairs.select("cid", "lead", "x", "y").mapInArrow(_compare_pairs, "a long, b long")
+def _grouped(matched: DataFrame) -> DataFrame:
+    """(cid, n, step, grp, lead, cuts, cut, anchor): classes of about one size with one leading class make a group.
 
+    Too many of them, or too long ones, are cut by hash into groups of about GROUP
+    classes; about ANCHORS of them sit in all of these, so that the cuts find each other.
+    """
+    led = matched.groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
+    nodes = led.groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"), F.first("n").alias("n"))
+    nodes, path = written(nodes.withColumn("step", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")), "jaccard-nodes")
+    many = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)), F.ceil(F.sum("n") / F.lit(GROUP_SHINGLES)))
+    cuts = nodes.groupBy("lead", "step").agg(many.cast("int").alias("cuts")).select(F.col("lead").alias("z_lead"), F.col("step").alias("z_step"), "cuts")
+    nodes = nodes.join(cuts, (F.col("lead") == F.col("z_lead")) & (F.col("step") == F.col("z_step"))).drop("z_lead", "z_step")
+    nodes = nodes.withColumn("cut", F.pmod(F.xxhash64("cid"), F.col("cuts")).cast("int"))
+    anchor = (F.col("cuts") > 1) & (F.pmod(F.xxhash64("cid", F.lit("anchor")), F.ceil(F.col("cuts") * (GROUP / ANCHORS))) == 0)
+    out, kept = written(nodes.withColumn("anchor", anchor).withColumn("grp", _group_name("cut")), "jaccard-groups")
+    remove(matched.sparkSession, path)
+    return out, kept
+
+
+def _group_name(cut: str):
+    return F.xxhash64("lead", "step", cut)
+
+
+def _own_links(nodes: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
+    """Every group opened for its own members (OPENED)."""
+    guests = nodes.filter("anchor").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).filter("at <> cut")
+    seats = nodes.select("grp", F.lit(1).alias("own"), "cid").unionByName(guests.select(_group_name("at").alias("grp"), F.lit(0).alias("own"), "cid"))
+    s = sets.select(F.col("cid").alias("s_cid"), "tokens")
+    rows = seats.join(s, F.col("cid") == F.col("s_cid")).select("grp", "own", "cid", "tokens")
+    return rows.repartition("grp").sortWithinPartitions("grp", F.desc("own"), "cid").mapInArrow(lambda b: _own_groups(b, every), OPENED)
 
-def _group_links(matched: DataFrame, sets: DataFrame, parts: DataFrame) -> tuple[DataFrame, list[str]]:
-    """Links between components, by the token-group matrix.
 
-    A group holds classes of about one size that one class leads, whether they link or not.
+def _with_sets(asked: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows (g, salt, role, cid, comp, low, tokens) in order: what a group holds (role 0) beside the classes that ask it.
+
+    Groups asked by many are held several times, each time for some of them.
     """
-    of = parts.select(F.col("node").alias("p_node"), "component")
-    led = matched.groupBy("cid", "lead").agg(F.count(F.lit(1)).alias("shared")).groupBy("cid").agg(F.max_by("lead", F.struct("shared", "lead")).alias("lead"))
-    nodes = led.join(sets.select(F.col("cid").alias("s_cid"), "n"), F.col("cid") == F.col("s_cid")).join(of, F.col("cid") == F.col("p_node"), "left")
-    nodes = nodes.select("cid", "n", "lead", F.coalesce("component", "cid").alias("comp"), F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int").alias("step"))
-    nodes, p0 = written(nodes, "jaccard-nodes")
-    cuts = nodes.groupBy("lead", "step").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).cast("int").alias("cuts")).select(F.col("lead").alias("z_lead"), F.col("step").alias("z_step"), "cuts")
-    nodes = nodes.join(cuts, (F.col("lead") == F.col("z_lead")) & (F.col("step") == F.col("z_step")))
-    nodes, p1 = written(nodes.select("cid", "n", "comp", "step", F.xxhash64("lead", "step", F.pmod(F.xxhash64("cid"), F.col("cuts"))).alias("grp")), "jaccard-groups")
-    spread = nodes.groupBy("grp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("comp").alias("one"), F.max("comp").alias("other"), F.max("step").alias("g_step")).withColumnRenamed("grp", "s_grp")
-    entries = matched.select("token", F.col("cid").alias("m_cid")).join(nodes, F.col("m_cid") == F.col("cid")).select("token", "cid", "n", "comp", "step", "grp")
-    mixed = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("token").alias("t"))
-    entries, p2 = written(entries.join(mixed, F.col("token") == F.col("t")).drop("t"), "jaccard-entries")
-    matrix = entries.select("token", "grp").distinct().join(spread, F.col("grp") == F.col("s_grp"))
+    salts = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("salts")).select(F.col("g").alias("k"), "salts")
+    s = sets.select(F.col("cid").alias("s_cid"), "tokens")
+    of = asked.join(salts, F.col("g") == F.col("k")).join(s, F.col("q") == F.col("s_cid"))
+    of = of.select("g", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("q").alias("cid"), "comp", F.lit(0).cast("long").alias("low"), "tokens")
+    held = held.join(salts, F.col("grp") == F.col("k")).select(F.col("grp").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "cid", "comp", "low", "tokens")
+    return of.unionByName(held).repartition("g", "salt").sortWithinPartitions("g", "salt", "role")
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Entries whose shingle is in several components."""
+    tokens = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("token").alias("t"))
+    return entries.join(tokens, F.col("token") == F.col("t")).drop("t")
+
+
+def _asked_links(entries: DataFrame, nodes: DataFrame, unions: DataFrame, sets: DataFrame, every: bool = False) -> tuple[DataFrame, list[str]]:
+    """Links that the classes marked ``ask`` find in groups of other components, by the token-group matrix.
+
+    entries: (token, cid, n, comp, step, grp, ask); nodes: (n_cid, n_comp, n_grp, n_n) of all classes.
+    """
+    spread = nodes.groupBy("n_grp").agg(F.min("n_n").alias("low"), F.max("n_n").alias("high"), F.min("n_comp").alias("one"), F.max("n_comp").alias("other"))
+    matrix = entries.groupBy("token", "grp").agg(F.first("step").alias("g_step")).join(spread, F.col("grp") == F.col("n_grp"))
     matrix = matrix.select(F.col("token").alias("g_token"), F.col("grp").alias("g"), "one", "other", "low", "high", "g_step")
     # of a pair the one in the smaller step asks; groups that are all of its own component have nothing new
     meets = (
-        (F.col("token") == F.col("g_token")) & (F.col("step") <= F.col("g_step")) & (75 * F.col("low") <= 100 * F.col("n"))
-        & (100 * F.col("high") >= 75 * F.col("n")) & ((F.col("one") != F.col("other")) | (F.col("one") != F.col("comp")))
+        (F.col("token") == F.col("g_token")) & ((F.col("step") < F.col("g_step")) | ((F.col("step") == F.col("g_step")) & (F.col("grp") < F.col("g"))))
+        & (75 * F.col("low") <= 100 * F.col("n")) & (100 * F.col("high") >= 75 * F.col("n")) & ((F.col("one") != F.col("other")) | (F.col("one") != F.col("comp")))
     )
     # both sides have an entry once a token, so rows count the entries shared
-    shared = entries.join(matrix, meets).groupBy(F.col("cid").alias("q"), "g").agg(*[F.first(c).alias(c) for c in ("n", "comp", "low", "high")], F.count(F.lit(1)).alias("shared"))
-    queries, p3 = written(shared.filter(F.col("shared") >= _shared_with(F.col("n"), F.col("low"), F.col("high"))).select("q", "comp", "g"), "jaccard-queries")
-    salts = queries.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("salts")).select(F.col("g").alias("k"), "salts")
-    s = sets.select(F.col("cid").alias("s_cid"), "tokens")
-    asked = queries.join(salts, F.col("g") == F.col("k")).select("g", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("q").alias("cid"), "comp")
-    held = nodes.join(salts, F.col("grp") == F.col("k")).select(F.col("grp").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "cid", "comp")
-    rows = asked.unionByName(held).join(s, F.col("cid") == F.col("s_cid")).select("g", "salt", "role", "cid", "comp", "tokens")
-    return rows.repartition("g", "salt").sortWithinPartitions("g", "salt", "role").mapInArrow(_open_groups, "a long, b long"), [p0, p1, p2, p3]
+    shared = entries.filter("ask").join(matrix, meets).groupBy(F.col("cid").alias("q"), "g").agg(*[F.first(c).alias(c) for c in ("n", "comp", "low", "high")], F.count(F.lit(1)).alias("shared"))
+    asked, p0 = written(shared.filter(F.col("shared") >= _shared_with(F.col("n"), F.col("low"), F.col("high"))).select("q", "comp", "g"), "jaccard-asked")
+    lows = spread.select(F.col("n_grp").alias("grp"), "low")
+    none = F.lit(None).cast("long")
+    rows = unions.join(lows, F.col("g") == F.col("grp")).select("grp", none.alias("cid"), none.alias("comp"), "low", "tokens")
+    qualified, p1 = written(_with_sets(asked, rows, sets).mapInArrow(_bounded, "q long, comp long, g long"), "jaccard-qualified")
+    s = sets.select(F.col("cid").alias("m_cid"), "tokens")
+    members = nodes.join(qualified.select("g").distinct(), F.col("n_grp") == F.col("g")).join(s, F.col("n_cid") == F.col("m_cid"))
+    members = members.select(F.col("n_grp").alias("grp"), F.col("n_cid").alias("cid"), F.col("n_comp").alias("comp"), F.col("n_n").alias("low"), "tokens")
+    return _with_sets(qualified, members, sets).mapInArrow(lambda b: _open_groups(b, every), "a long, b long"), [p0, p1]
+
+
+def _in_components(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    of = parts.select(F.col("node").alias("p_node"), "component")
+    return nodes.join(of, F.col("cid") == F.col("p_node"), "left").withColumn("comp", F.coalesce("component", "cid")).drop("p_node", "component")
+
+
+def _as_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("cid").alias("n_cid"), F.col("comp").alias("n_comp"), F.col("grp").alias("n_grp"), F.col("n").alias("n_n"))
 
 
 def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
@@ -510,6 +639,7 @@ def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[st
     remove(spark, p0)
     blocks = texts.mapInArrow(lambda b: _prefix_pass(b, ranges, counted), "rng int, blob binary")
     found, p1 = written(blocks.groupBy("rng").applyInPandas(lambda b: _match(b, ranges), "token long, cid long, n long, often boolean"), "jaccard-matched")
+    counted.destroy()
     matched = found.filter("not often").drop("often").unionByName(found.filter("often").drop("often").distinct())
     alive = matched.groupBy("cid").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("of")).filter(F.col("left") >= _least_shared(F.ceil(F.col("of") * NUMERATOR / DENOMINATOR)))
     matched, p2 = written(matched.join(alive.select("cid"), "cid", "left_semi"), "jaccard-alive")
@@ -521,6 +651,7 @@ def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[st
     # a class that only shares its bit does no harm
     sets = texts.mapInArrow(lambda b: _set_pass(b, bits), "cid long, n long, tokens binary")
     sets, p4 = written(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "jaccard-compared")
+    bits.destroy()
     return kept, led, sets, [own, p3, p4]
 
 
@@ -528,13 +659,47 @@ def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     """Of rows (doc_id, t): (doc_id, n, cid) of each, and (node, component) of the classes that link to another."""
     spark = rows.sparkSession
     kept, led, sets, (own, *paths) = _compared(rows)
-    links, p5 = written(_first_links(led, sets), "jaccard-links")
-    parts, p6 = written(connected_components(links), "jaccard-parts")
-    more, used = _group_links(led, sets, parts)
-    more, p7 = written(more, "jaccard-links")
-    parts, p8 = written(connected_components(links.unionByName(more)), "jaccard-parts")
-    remove(spark, *paths, p5, p6, p7, *used)
-    return kept, parts, [own, p8]
+    nodes, p0 = _grouped(led)
+    opened, p1 = written(_own_links(nodes, sets, False), "jaccard-opened")
+    links, unions = opened.filter("a is not null").select("a", "b"), opened.filter("g is not null").select("g", "tokens")
+    parts, p2 = written(connected_components(links), "jaccard-parts")
+    # some of each component ask first: mostly that joins what belongs together, and the rest has nothing to ask
+    first = _in_components(nodes.select("cid", "n", "step", "grp"), parts)
+    sizes = first.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKING)).alias("every")).select(F.col("comp").alias("z"), "every")
+    first = first.join(sizes, F.col("comp") == F.col("z")).withColumn("ask", F.pmod(F.xxhash64("cid", F.lit("ask")), F.col("every")) == 0)
+    first, p3 = written(first.drop("z", "every"), "jaccard-nodes")
+    entries = led.select("token", F.col("cid").alias("m_cid")).join(first, F.col("m_cid") == F.col("cid")).drop("m_cid")
+    entries, p4 = written(_mixed(entries), "jaccard-entries")
+    more, used = _asked_links(entries, _as_nodes(first), unions, sets)
+    more, p5 = written(more, "jaccard-links")
+    parts, p6 = written(connected_components(links.unionByName(more)), "jaccard-parts")
+    remove(spark, p2, *used)
+    rest, p7 = written(_mixed(_in_components(entries.drop("comp").withColumn("ask", ~F.col("ask")), parts)), "jaccard-entries")
+    if not rest.filter("ask").isEmpty():
+        last, used = _asked_links(rest, _as_nodes(_in_components(first.drop("comp"), parts)), unions, sets)
+        last, p8 = written(last, "jaccard-links")
+        parts, p9 = written(connected_components(links.unionByName(more).unionByName(last)), "jaccard-parts")
+        remove(spark, p6, p8, *used)
+        p6 = p9
+    remove(spark, *paths, p0, p1, p3, p4, p5, p7)
+    return kept, parts, [own, p6]
+
+
+def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The join itself: every pair of linked classes (a < b), and the class of every row (doc_id, n_shingles, cid).
+
+    A class is the rows with one set, so copies are not expanded into pairs.  Here every
+    class asks every group whose entries and union qualify, of its own component or not.
+    """
+    kept, led, sets, _ = _compared(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")))
+    nodes, _ = _grouped(led)
+    opened, _ = written(_own_links(nodes, sets, True), "jaccard-opened")
+    alone, _ = written(nodes.select("cid", "n", "step", "grp", F.col("cid").alias("comp"), F.lit(True).alias("ask")), "jaccard-nodes")
+    entries = led.select("token", F.col("cid").alias("m_cid")).join(alone, F.col("m_cid") == F.col("cid")).drop("m_cid")
+    more, _ = _asked_links(entries, _as_nodes(alone), opened.filter("g is not null").select("g", "tokens"), sets, True)
+    pairs = opened.filter("a is not null").select("a", "b").unionByName(more)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, kept.select("doc_id", F.col("n").alias("n_shingles"), "cid")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
