@@ -1,27 +1,25 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Words are the sequences: the text's UTF-8 bytes with ASCII letters in lower case and other
-ASCII bytes as the spaces between words, one of which stands at either end.  Longer ones
-are cut into windows of ``WINDOW`` bytes, which cover all of them.  At every byte the
-forward and backward states give a distribution over the languages; a document's
-probabilities are the normalised geometric mean over all its word bytes.  As states
-start anew at each word, a word's contribution is computed once and remembered.
-
-Training is numpy, by backpropagation through time with Adam and a fixed seed, on about
-``DOCS`` documents a language (those whose id hashes below DOCS / count) and ``WORDS``
-words of each, drawn over its whole text.
+A text is its UTF-8 bytes with ASCII letters in lower case and every run of other ASCII
+bytes as one space.  The network runs over windows that cover the whole text: ``SPAN``
+bytes each, with ``CONTEXT`` bytes of their neighbours on either side, so states cross
+words and window borders.  At every byte the forward and backward states give a
+distribution over the languages; a document's probabilities are the normalised geometric
+mean of these over all its bytes.  As the distributions are softmaxes of linear outputs,
+that mean is the softmax of the outputs of the mean state, which is what is summed.
+
+Training is numpy, by backpropagation through time with Adam and a fixed seed, on at most
+``DOCS`` different rows of each language (those with the smallest hashes of id and text)
+and the whole of their texts.  Languages weigh alike.
 
 Defined cases: texts that are null or have no letter get ``und`` and score 0; null
 languages and null ids are not learned from; without any learned language all rows are
-``und``; equal texts get equal results; an empty table gives no rows; other columns are
-not read.
+``und``; equal texts get equal results; rows equal in id and text are learned from once; an
+empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -29,17 +27,20 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_fold, sole_memory
+from .common import crc_fold
 
 UND = "und"
-HIDDEN, WINDOW = 16, 48
-DOCS, WORDS = 400, 100
-EPOCHS, BATCH, RATE = 6, 256, 0.01
-REMEMBERED, CHUNK = 200_000, 1 << 20
+HIDDEN = 16
+SPAN, CONTEXT, SIDE_BY_SIDE = 256, 16, 1024  # bytes of a window, on either side of it, windows at a time
+STEPS, BATCH, RATE, EPOCHS = 96, 256, 0.01, 2  # in training, windows are of STEPS bytes and their context
+LEAST_BATCHES = 500  # few windows are gone over more often
+DOCS = 200  # different rows of each language, at most
 _plain = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _letter = regex.compile(r"\p{L}")
+CHUNK = 1 << 19
 DIRECTIONS = ("f", "b")
 
 
@@ -52,13 +53,6 @@ class Model:
     langs: list[str]
     params: dict[str, np.ndarray]
 
-    @property
-    def key(self) -> str:
-        d = hashlib.sha256("\0".join(self.langs).encode())
-        for k in sorted(self.params):
-            d.update(self.params[k].tobytes())
-        return d.hexdigest()
-
 
 def initial(langs: Sequence[str], seed: int = 11) -> Model:
     rng = np.random.default_rng(seed)
@@ -105,24 +99,27 @@ def positions(model: Model, x: np.ndarray) -> np.ndarray:
     return _softmax(both @ p["out"] + p["bias"]).transpose(1, 0, 2)
 
 
-def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross-entropy over all positions, and its gradient by backpropagation through time."""
+def gradients(model: Model, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross-entropy over all positions (sequences may weigh differently), and its gradient by backpropagation through time."""
     p = model.params
     n, steps = x.shape
+    weight = np.ones(n, np.float32) if weight is None else weight
     kept = {d: [] for d in DIRECTIONS}
     hf, hb = _run(x, p, "f", kept["f"]), _run(x[:, ::-1], p, "b", kept["b"])
     both = np.concatenate([hf, hb[::-1]], 2)
     prob = _softmax(both @ p["out"] + p["bias"])
-    loss = float(-np.log(prob[:, np.arange(n), y] + 1e-9).mean())
+    loss = float((-np.log(prob[:, np.arange(n), y] + 1e-9) * weight).mean())
     dy = prob
     dy[:, np.arange(n), y] -= 1
-    dy /= n * steps
-    g = {"out": np.einsum("tnh,tnk->hk", both, dy), "bias": dy.sum((0, 1))}
+    dy *= (weight / (n * steps))[:, None]
+    flat = dy.reshape(steps * n, -1)
+    g = {"out": both.reshape(steps * n, -1).T @ flat, "bias": flat.sum(0)}
     dboth = dy @ p["out"].T
     for d, dh_all, seq in (("f", dboth[:, :, :HIDDEN], x), ("b", dboth[::-1, :, HIDDEN:], x[:, ::-1])):
-        gx, gu, gc = np.zeros_like(p[f"x{d}"]), np.zeros_like(p[f"u{d}"]), np.zeros_like(p[f"c{d}"])
+        gu, gc = np.zeros_like(p[f"u{d}"]), np.zeros_like(p[f"c{d}"])
         u = p[f"u{d}"]
-        dh = np.zeros((n, HIDDEN), np.float32)
+        dh = np.zeros((n, HIDDEN), p["out"].dtype)
+        da_all = np.empty((steps, n, 3 * HIDDEN), p["out"].dtype)
         for t in range(steps - 1, -1, -1):
             h, z, r, hn, new = kept[d][t]
             dh = dh + dh_all[t]
@@ -130,151 +127,180 @@ def gradients(model: Model, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[s
             dz = dh * (h - new) * z * (1 - z)
             dhn = dnew * r
             dr = dnew * hn * r * (1 - r)
-            da = np.concatenate([dz, dr, dnew], 1)
-            np.add.at(gx, seq[:, t], da)
+            da_all[t] = np.concatenate([dz, dr, dnew], 1)
             dhu = np.concatenate([dz, dr, dhn], 1)
             gu += h.T @ dhu
             gc += dhn.sum(0)
             dh = dh * z + dhu @ u.T
+        # a byte's row gets the sum over all places of that byte
+        byte = seq.T.ravel()
+        order = np.argsort(byte, kind="stable")
+        met, first = np.unique(byte[order], return_index=True)
+        gx = np.zeros_like(p[f"x{d}"])
+        gx[met] = np.add.reduceat(da_all.reshape(steps * n, -1)[order], first)
         g |= {f"x{d}": gx, f"u{d}": gu, f"c{d}": gc}
     return loss, g
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "replace").translate(_plain).split()
-
+def spelled(text: str | None) -> bytes:
+    """What the network reads of a text, with a space at either end."""
+    return b" " + b" ".join((text or "").encode("utf-8", "replace").translate(_plain).split()) + b" "
 
-def windows(word: bytes) -> list[bytes]:
-    return [b" " + word[k : k + WINDOW] + b" " for k in range(0, len(word), WINDOW)] or [b"  "]
 
+def windows(raw: bytes, span: int = SPAN, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
+    """(windows, span + 2 context) bytes that cover raw, spaces beyond its ends, and how many bytes of each window's middle count."""
+    n = -(-len(raw) // span)
+    padded = np.full(n * span + 2 * context, 32, np.uint8)
+    padded[context : context + len(raw)] = np.frombuffer(raw, np.uint8)
+    counts = np.full(n, span)
+    counts[-1] = len(raw) - (n - 1) * span
+    return np.lib.stride_tricks.sliding_window_view(padded, span + 2 * context)[::span], counts
 
-def _stacked(seqs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(seqs), np.uint8).reshape(len(seqs), -1)
 
-
-def fit(samples: Sequence[tuple[str, list[bytes]]], epochs: int = EPOCHS, seed: int = 11) -> Model:
-    """samples: language and words of each document; every language weighs alike in the batches drawn."""
-    by_lang: dict[str, list[bytes]] = defaultdict(list)
-    for lang, words in samples:
-        for w in words:
-            by_lang[lang] += windows(w)
-    langs = sorted(by_lang)
+def fit(samples: Sequence[tuple[str, str | None]], epochs: int = EPOCHS, seed: int = 11) -> Model:
+    """samples: language and whole text of each document."""
+    langs = sorted({lang for lang, _ in samples})
     model = initial(langs, seed)
     if len(langs) < 2:
         return model
+    parts = [(windows(spelled(text), STEPS, CONTEXT)[0], langs.index(lang)) for lang, text in samples]
+    x = np.concatenate([w for w, _ in parts])
+    y = np.repeat([k for _, k in parts], [len(w) for w, _ in parts])
+    share = np.bincount(y, minlength=len(langs)) / len(y)
+    weight = (1 / (share[y] * len(langs))).astype(np.float32)
     rng = np.random.default_rng(seed)
-    each = min(20_000, max(map(len, by_lang.values())))
-    by_length: dict[int, list[tuple[bytes, int]]] = defaultdict(list)
-    for y, lang in enumerate(langs):
-        for k in rng.integers(0, len(by_lang[lang]), each):
-            s = by_lang[lang][k]
-            by_length[len(s)].append((s, y))
-    batches = []
-    for group in by_length.values():
-        for k in range(0, len(group), BATCH):
-            part = group[k : k + BATCH]
-            batches.append((_stacked([s for s, _ in part]), np.array([y for _, y in part])))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.params.items()}
-    step, total = 0, epochs * len(batches)
+    per_epoch = -(-len(x) // BATCH)
+    epochs = max(epochs, -(-LEAST_BATCHES // per_epoch))
+    step, total = 0, epochs * per_epoch
     for _ in range(epochs):
-        for b in rng.permutation(len(batches)):
-            x, y = batches[b]
-            _, g = gradients(model, x, y)
+        order = rng.permutation(len(x))
+        for k in range(0, len(x), BATCH):
+            pick = order[k : k + BATCH]
+            _, g = gradients(model, x[pick], y[pick], weight[pick])
             step += 1
-            rate = RATE * min(1.0, len(x) / BATCH) * (1 - 0.9 * step / total)
-            for k, grad in g.items():
-                m1, m2 = moments[k]
+            rate = RATE * (1 - 0.95 * step / total)
+            for name, grad in g.items():
+                m1, m2 = moments[name]
                 grad = np.clip(grad, -1, 1)
                 m1 += 0.1 * (grad - m1)
                 m2 += 0.01 * (grad * grad - m2)
-                model.params[k] -= (rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                model.params[name] -= (rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
     return model
 
 
 class Pooler:
-    """Sums of position log-probabilities by word, remembered up to a fixed number of words."""
+    """Pooled probabilities of documents.
+
+    The gates' logistic functions are half a tanh each, so halves are folded into the weights once.
+    """
 
     def __init__(self, model: Model) -> None:
-        self.model = model
-        self.rows: dict[bytes, int] = {}
-        self.sums = np.zeros((1 << 12, len(model.langs) + 1), np.float32)
-
-    def learn(self, words: list[bytes]) -> None:
-        pieces: dict[int, list[tuple[int, bytes]]] = defaultdict(list)
-        for w in words:
-            row = self.rows[w] = len(self.rows)
-            for s in windows(w):
-                pieces[len(s)].append((row, s))
-        if len(self.rows) > len(self.sums):
-            grown = np.zeros((max(2 * len(self.sums), len(self.rows)), self.sums.shape[1]), np.float32)
-            grown[: len(self.sums)] = self.sums
-            self.sums = grown
-        for length, group in pieces.items():
-            for k in range(0, len(group), 1024):
-                part = group[k : k + 1024]
-                prob = np.log(positions(self.model, _stacked([s for _, s in part]))[:, 1:-1] + 1e-6).sum(1)
-                rows = np.array([r for r, _ in part])
-                np.add.at(self.sums, rows, np.concatenate([prob, np.full((len(part), 1), length - 2, np.float32)], 1))
-
-    def documents(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        self.model, h = model, HIDDEN
+        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
+        self.weights = {d: (model.params[f"x{d}"] * half, np.ascontiguousarray(model.params[f"u{d}"] * 0.5), model.params[f"c{d}"] * np.float32(0.5)) for d in DIRECTIONS}
+
+    def _sums(self, x: np.ndarray, counted: np.ndarray, d: str) -> np.ndarray:
+        """The sum of states over the counted steps, of (steps, sequences) bytes in the direction's order."""
+        table, u, c = self.weights[d]
+        steps, n = x.shape
+        k = HIDDEN
+        h, total = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
+        a, hu = np.empty((n, 3 * k), np.float32), np.empty((n, 3 * k), np.float32)
+        gates, new, scratch = np.empty((n, 2 * k), np.float32), np.empty((n, k), np.float32), np.empty((n, k), np.float32)
+        for t in range(steps):
+            np.take(table, x[t], 0, a, "clip")
+            np.matmul(h, u, hu)
+            np.add(a[:, : 2 * k], hu[:, : 2 * k], gates)
+            np.tanh(gates, gates)  # twice the gate less 1
+            hn = hu[:, 2 * k :]
+            hn += c
+            np.multiply(gates[:, k:], hn, new)
+            new += hn
+            new += a[:, 2 * k :]
+            np.tanh(new, new)
+            h -= new
+            h *= 0.5
+            np.multiply(gates[:, :k], h, scratch)
+            h += scratch
+            h += new
+            here = counted[t]
+            if here is True:
+                total += h
+            elif here is not False:
+                np.multiply(h, here, scratch)
+                total += scratch
+        return total
+
+    def _states(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Sums of both directions' states over what counts of each window."""
+        steps = x.shape[1]
+        at = np.arange(steps)
+        inside = (at[:, None] >= CONTEXT) & (at[:, None] < CONTEXT + counts[None])
+        every, some = inside.all(1), inside.any(1)
+        counted = [True if e else inside[t][:, None].astype(np.float32) if s else False for t, (e, s) in enumerate(zip(every, some))]
+        by_step = np.ascontiguousarray(x.T)
+        return np.concatenate([self._sums(by_step, counted, "f"), self._sums(by_step[::-1], counted[::-1], "b")], 1)
+
+    def documents(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
         """Pooled probabilities; None where there is no letter."""
-        split = [words_of(t) if t and _letter.search(t) else None for t in texts]
-        if len(self.rows) > REMEMBERED:
-            self.rows.clear()
-            self.sums[:] = 0
-        fresh = set()
-        for words in split:
-            if words:
-                fresh.update(words)
-        self.learn(sorted(w for w in fresh if w not in self.rows))
-        out = []
-        for words in split:
-            if words is None:
-                out.append(None)
-                continue
-            total = self.sums[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(0, dtype=np.float64)
-            out.append(_softmax(total[:-1] / total[-1]))
+        held, owner, counts = [], [], []
+        for k, t in enumerate(texts):
+            if t and _letter.search(t):
+                x, n = windows(spelled(t))
+                held.append(x)
+                counts.append(n)
+                owner.append(np.full(len(n), k))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        if not held:
+            return out
+        x, counts, owner = np.concatenate(held), np.concatenate(counts), np.concatenate(owner)
+        total, bytes_ = np.zeros((len(texts), 2 * HIDDEN)), np.bincount(owner, counts, len(texts))
+        # windows with as many counted bytes go side by side, so short ones need not run to the full span
+        order = np.argsort(-counts, kind="stable")
+        for k in range(0, len(order), SIDE_BY_SIDE):
+            pick = order[k : k + SIDE_BY_SIDE]
+            longest = int(counts[pick[0]]) + 2 * CONTEXT
+            np.add.at(total, owner[pick], self._states(x[pick, :longest], counts[pick]))
+        p = self.model.params
+        prob = _softmax(total / np.maximum(bytes_, 1)[:, None] @ p["out"] + p["bias"])
+        for k in np.unique(owner):
+            out[k] = prob[k]
         return out
 
 
-_poolers: dict[str, Pooler] = {}
-
-
-def pooler(model: Model) -> Pooler:
-    key = model.key
-    sole_memory("languages", _poolers.clear)
-    if key not in _poolers:
-        _poolers.clear()
-        _poolers[key] = Pooler(model)
-    return _poolers[key]
-
-
-def sample_words(docs: DataFrame, text: str, lang: str, doc_id: str, docs_each: int, words_each: int) -> list[tuple[str, list[bytes]]]:
-    known = docs.filter(F.col(lang).isNotNull() & F.col(doc_id).isNotNull())
+def sample_rows(docs: DataFrame, text: str, lang: str, doc_id: str, docs_each: int) -> list[tuple[str, str | None]]:
+    """Language and text of the bounded sample, on the driver, in a fixed order."""
+    known = docs.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
+    known = known.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{doc_id}`").cast("string"), f"`{text}`").alias("h"))
     # a number a language, as the model has an output a language
-    counts = known.groupBy(F.col(lang).alias("s_lang")).agg(F.count(F.lit(1)).alias("s_n")).collect()
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not counts:
         return []
-    number = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r.s_lang, r.s_n)])
-    u = F.pmod(F.xxhash64(F.col(doc_id).cast("string"), F.lit("langid")), F.lit(1 << 30))
-    chosen = known.filter(u * number[F.col(lang)] < F.lit(docs_each << 30))
+    number = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r.lang, r.n)])
+    # ranked among about four times as many, and where rows repeat so often that too few are left, among all
+    near = known.filter(F.pmod("h", F.lit(1 << 30)) * number[F.col("lang")] < F.lit(4 * docs_each << 30))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            drawn = []
-            for t in batch.column(2).to_pylist():
-                words = words_of(t)
-                rng = np.random.default_rng(zlib.crc32((t or "").encode("utf-8", "replace")))
-                pick = rng.permutation(len(words))[:words_each]
-                drawn.append(b" ".join(words[k] for k in pick))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.binary())], ["k", "lang", "words"])
+    def ranked(rows: DataFrame) -> list:
+        each = rows.groupBy("lang", "h").agg(F.first("t").alias("t"))
+        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+        return each.withColumn("rank", rank).filter(F.col("rank") <= docs_each).select("lang", "rank", "t").collect()
 
-    rows = chosen.select(F.col(doc_id).cast("string").alias("k"), F.col(lang).alias("lang"), F.col(text).alias("t")).mapInArrow(run, "k string, lang string, words binary").collect()
-    return [(r.lang, bytes(r.words).split()) for r in sorted(rows, key=lambda r: (r.lang, r.k, r.words))]
+    rows = ranked(near)
+    got = {r.lang: sum(x.lang == r.lang for x in rows) for r in counts}
+    short = [r.lang for r in counts if got[r.lang] < min(docs_each, r.n)]
+    if short:
+        rows = [r for r in rows if r.lang not in short]
+        heads = known.filter(F.col("lang").isin(short)).select("lang", "h", F.pmod("h", F.lit(1 << 30)).alias("u")).distinct()
+        for name in short:
+            least = heads.filter(F.col("lang") == name).orderBy("u", "h").limit(docs_each)
+            mine = known.join(F.broadcast(least.select(F.col("h").alias("h2"))), (F.col("lang") == name) & (F.col("h") == F.col("h2"))).select("lang", "t", "h")
+            rows += ranked(mine)
+    return [(r.lang, r.t) for r in sorted(rows, key=lambda r: (r.lang, r.rank))]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_each: int = DOCS, words_each: int = WORDS) -> Model:
-    return fit(sample_words(docs, text, lang, doc_id, docs_each, words_each))
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_each: int = DOCS) -> Model:
+    return fit(sample_rows(docs, text, lang, doc_id, docs_each))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -289,14 +315,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[st
         return model.langs[k], float(min(1.0, p[k]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = pooler(model)
+        pool = Pooler(model)
         for batch in batches:
             texts = batch.column(n).to_pylist()
             got, held, size = [], [], 0
             for t in texts if model.langs else ():
                 held.append(t)
                 size += len(t or "")
-                if size >= CHUNK:
+                if size >= CHUNK:  # a whole text at least
                     got += pool.documents(held)
                     held, size = [], 0
             got = got + pool.documents(held) if model.langs else [None] * len(texts)

@@ -158,14 +158,24 @@ def test_languages(spark, docs):
     assert {r.lang_pred for r in langid_gru.predict(docs, nobody).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_by_rows(spark):
+    # one id holds most rows, and one row repeats
+    rows = [(7, f"palabra larga numero {k}", "es", "a") for k in range(180)] + [(k, f"ein kurzer satz {k}", "de", "a") for k in range(11)]
+    rows += [(500, "the same row", "en", "a")] * 400 + [(k, f"some other rows {k}", "en", "a") for k in range(600, 604)] + [(None, "no id", "fr", "a"), (3, "no language", None, "a")]
+    table = _docs(spark, rows)
+    got = langid_gru.sample_rows(table, "text", "lang", "doc_id", 10)
+    assert {g: sum(x == g for x, _ in got) for g in ("de", "en", "es", "fr")} == {"de": 10, "en": 5, "es": 10, "fr": 0} and len(set(got)) == len(got)
+    assert langid_gru.sample_rows(table.repartition(3), "text", "lang", "doc_id", 10) == got
+
+
 def test_language_stage_drops_only_what_has_no_letter(spark, monkeypatch):
     # a short clean document scores low where languages share its words
-    monkeypatch.setattr(langid_gru, "train", lambda docs, f=langid_gru.train: f(docs, docs_each=20, words_each=20))
+    monkeypatch.setattr(langid_gru, "train", lambda docs, f=langid_gru.train: f(docs, docs_each=20))
     langs = ("de", "en", "es", "fr")
     rows = [(k, "animal normal total", langs[k % 4], "a") for k in range(160)] + [(900, "animal", "es", "a"), (901, "123 ...", "en", "a"), (902, None, "en", "a")]
     table = _docs(spark, rows)
     scores = [r.score for r in langid_gru.predict(table, langid_gru.train(langid_gru.learned_rows(table))).collect() if r.doc_id < 901]
-    assert max(scores) < 0.4
+    assert sum(s < 0.4 for s in scores) == 160
     dropped = {r.doc_id for r in table.collect()} - {r.doc_id for r in langid_gru.keep_identified(table).collect()}
     assert dropped == {901, 902}
     unlabelled = table.withColumn("lang", F.lit(None).cast("string"))

@@ -203,19 +203,48 @@ def test_backpropagation_through_time_is_the_gradient():
         assert g[name][i] == pytest.approx((up - down) / (2 * h), abs=2e-5)
 
 
-def test_languages_are_told_apart():
+def _three_languages():
     rng = random.Random(3)
     syllables = {"x": ["ka", "to", "mi", "re"], "y": ["schu", "ber", "ung", "ß"], "z": ["ción", "ado", "lla", "ñe"]}
-    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
-    m = langid_gru.fit([(k, langid_gru.words_of(text(k, 60))) for k in syllables for _ in range(8)], epochs=10)
+    return lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def test_languages_are_told_apart():
+    text = _three_languages()
+    m = langid_gru.fit([(k, text(k, 60)) for k in "xyz" for _ in range(8)])
     pool = langid_gru.Pooler(m)
-    docs = [(k, text(k, n)) for k in syllables for n in (5, 40, 400)] + [("x", text("x", 3).replace(" ", "") * 400)]
+    docs = [(k, text(k, n)) for k in "xyz" for n in (5, 40, 400)] + [("x", text("x", 3).replace(" ", "") * 400)]
     got = pool.documents([t for _, t in docs])
     assert [m.langs[int(p.argmax())] for p in got] == [k for k, _ in docs] and all(abs(p.sum() - 1) < 1e-6 for p in got)
     assert pool.documents([None, "", "12 + 3 !", "½"]) == [None] * 4
     again = langid_gru.Pooler(m).documents([t for _, t in docs[::-1]])
     assert np.allclose(np.array(again)[::-1], np.array(got), atol=1e-5)
-    assert langid_gru.windows(b"a" * 100) == [b" " + b"a" * 48 + b" "] * 2 + [b" aaaa "]
+
+
+def test_pooled_states_are_the_mean_of_all_positions():
+    """Every byte of the text counts once, with its neighbours on both sides as context."""
+    text = _three_languages()
+    m = langid_gru.fit([(k, text(k, 40)) for k in "xyz" for _ in range(4)])
+    for n in (1, 30, 64, 200):
+        raw = langid_gru.spelled(t := text("y", n) + " 12, " + text("z", 3))
+        x, counts = langid_gru.windows(raw)
+        log = np.zeros(3)
+        for row, k in zip(x, counts):
+            prob = langid_gru.positions(m, row[None, : k + 2 * langid_gru.CONTEXT])[0]
+            log += np.log(prob[langid_gru.CONTEXT : langid_gru.CONTEXT + k]).sum(0)
+        assert counts.sum() == len(raw)
+        want = np.exp(log / len(raw) - (log / len(raw)).max())
+        assert np.allclose(langid_gru.Pooler(m).documents([t])[0], want / want.sum(), atol=1e-4)
+
+
+def test_windows_cover_the_text_and_states_cross_words():
+    raw = bytes(range(97, 123)) * 40
+    x, counts = langid_gru.windows(raw, 256, 16)
+    assert b"".join(bytes(r[16 : 16 + n]) for r, n in zip(x, counts)) == raw and bytes(x[1][:16]) == raw[240:256] and bytes(x[0][:16]) == b" " * 16
+    assert langid_gru.spelled("Ab, 12 c\u00e9!") == b" ab c\xc3\xa9 " and langid_gru.spelled(None) == b"  "
+    m = langid_gru.initial(["a", "b"])
+    one, two = (langid_gru.positions(m, np.frombuffer(w, np.uint8)[None])[0][-1] for w in (b"cat dog", b"car dog"))
+    assert not np.allclose(one, two)
 
 
 # --- 7: table ---
