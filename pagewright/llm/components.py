@@ -15,6 +15,14 @@ from pyspark.sql import functions as F
 from .common import remove, written
 
 
+ROWS = 100_000  # links that one task handles, at least where there are so many
+
+
+def _dealt(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than its rows are worth."""
+    return df.coalesce(-(-max(rows, 1) // ROWS))
+
+
 def _state(edges: DataFrame) -> tuple:
     r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
     return r.n, r.h
@@ -37,7 +45,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small_least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         met = large.join(small_least, F.col("u") == F.col("k"))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small_least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        after, after_path = written(small, "links")
+        after, after_path = written(_dealt(small, state[0]), "links")
         now = _state(after)
         remove(spark, path)
         edges, path = after, after_path

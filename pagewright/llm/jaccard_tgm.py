@@ -19,7 +19,8 @@ connected, whatever their number, without writing out the pairs of a group:
    a group only if they share as many entries as a link within its sizes takes, and the
    group holds another component.  The group's stored union bounds the overlap with any of
    its members; only groups whose bound qualifies are opened, that is, meet their sets.
-6. Of a component about ASKING classes ask first, and the others only what is then left.
+6. Of two components the smaller one asks.  Of a component about ASKING classes ask first,
+   and the others only what is then left.
 
 Links inside one component add nothing to it, and a group gives no more links than join
 what it holds, so thousands of near copies cost each class its own group.  Step 5 leaves
@@ -51,7 +52,7 @@ from .components import connected_components
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 FREQUENT, LEAST_COUNT = 1 << 21, 4
 GROUP, GROUP_SHINGLES, QUERIES, SIZE_STEP = 256, 1 << 20, 2000, 1.15
-ANCHORS, ASKING = 16, 16
+ANCHORS, ASKING, FEW = 16, 16, 1 << 17
 WORD = r"[^\x20\x09-\x0D]"
 SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
 FLUSH, SLICE = 1 << 20, 256
@@ -505,7 +506,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     those that ask: the ones whose overlap with the union a link allows."""
     current, union, low = None, None, 0
     for key, rows in _by_group(batches, 2):
-        out = []
+        out, blobs = [], []
         for role, c, comp, least, blob in rows:
             if role == 0:
                 current, union, low = key, _tokens(blob), least
@@ -513,8 +514,9 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 q = _tokens(blob)
                 if qualifies(len(_within(union, q)), len(q), low):
                     out.append((c, comp))
+                    blobs.append(blob)
         q, comp = _pairs(out)
-        yield pa.RecordBatch.from_arrays([q, comp, pa.array([key[0]] * len(out), pa.int64())], ["q", "comp", "g"])
+        yield pa.RecordBatch.from_arrays([q, comp, pa.array([key[0]] * len(out), pa.int64()), pa.array(blobs, pa.binary())], ["q", "comp", "g", "asking"])
 
 
 def _open_groups(batches: Iterator[pa.RecordBatch], every: bool) -> Iterator[pa.RecordBatch]:
@@ -571,15 +573,20 @@ def _own_links(nodes: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
     return rows.repartition("grp").sortWithinPartitions("grp", F.desc("own"), "cid").mapInArrow(lambda b: _own_groups(b, every), OPENED)
 
 
-def _with_sets(asked: DataFrame, held: DataFrame, sets: DataFrame) -> DataFrame:
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """df broadcast where it has no more than FEW rows of a few numbers; else Spark chooses."""
+    return F.broadcast(df) if rows <= FEW else df
+
+
+def _facing(asked: DataFrame, held: DataFrame) -> DataFrame:
     """Rows (g, salt, role, cid, comp, low, tokens) in order: what a group holds (role 0) beside the classes that ask it.
 
-    Groups asked by many are held several times, each time for some of them.
+    asked: (q, comp, g, asking); held: (grp, cid, comp, low, tokens).  Groups asked by
+    many are held several times, each time for some of them.
     """
     salts = asked.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(QUERIES)).cast("int").alias("salts")).select(F.col("g").alias("k"), "salts")
-    s = sets.select(F.col("cid").alias("s_cid"), "tokens")
-    of = asked.join(salts, F.col("g") == F.col("k")).join(s, F.col("q") == F.col("s_cid"))
-    of = of.select("g", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("q").alias("cid"), "comp", F.lit(0).cast("long").alias("low"), "tokens")
+    of = asked.join(salts, F.col("g") == F.col("k"))
+    of = of.select("g", F.pmod(F.xxhash64("q"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), F.col("q").alias("cid"), "comp", F.lit(0).cast("long").alias("low"), F.col("asking").alias("tokens"))
     held = held.join(salts, F.col("grp") == F.col("k")).select(F.col("grp").alias("g"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), "cid", "comp", "low", "tokens")
     return of.unionByName(held).repartition("g", "salt").sortWithinPartitions("g", "salt", "role")
 
@@ -590,39 +597,56 @@ def _mixed(entries: DataFrame) -> DataFrame:
     return entries.join(tokens, F.col("token") == F.col("t")).drop("t")
 
 
-def _asked_links(entries: DataFrame, nodes: DataFrame, unions: DataFrame, sets: DataFrame, every: bool = False) -> tuple[DataFrame, list[str]]:
+def _asked_links(entries: DataFrame, nodes: DataFrame, unions: DataFrame, sets: DataFrame, every: bool = False, both_ways: bool = True) -> tuple[DataFrame, list[str]]:
     """Links that the classes marked ``ask`` find in groups of other components, by the token-group matrix.
 
-    entries: (token, cid, n, comp, step, grp, ask); nodes: (n_cid, n_comp, n_grp, n_n) of all classes.
+    entries: (token, cid, n, comp, of, grp, ask); nodes: (n_cid, n_comp, n_of, n_grp, n_n) of all classes,
+    ``of`` being the number of classes in the component.  Of two classes the one in the smaller
+    component (by size, then name) asks; with ``both_ways``, where only some of a
+    component with more than ASKING classes ask, those ask in either case.
     """
-    spread = nodes.groupBy("n_grp").agg(F.min("n_n").alias("low"), F.max("n_n").alias("high"), F.min("n_comp").alias("one"), F.max("n_comp").alias("other"))
-    matrix = entries.groupBy("token", "grp").agg(F.first("step").alias("g_step")).join(spread, F.col("grp") == F.col("n_grp"))
-    matrix = matrix.select(F.col("token").alias("g_token"), F.col("grp").alias("g"), "one", "other", "low", "high", "g_step")
-    # of a pair the one in the smaller step asks; groups that are all of its own component have nothing new
-    meets = (
-        (F.col("token") == F.col("g_token")) & ((F.col("step") < F.col("g_step")) | ((F.col("step") == F.col("g_step")) & (F.col("grp") < F.col("g"))))
-        & (75 * F.col("low") <= 100 * F.col("n")) & (100 * F.col("high") >= 75 * F.col("n")) & ((F.col("one") != F.col("other")) | (F.col("one") != F.col("comp")))
+    large = F.col("n_of") > ASKING
+    spread = nodes.groupBy("n_grp").agg(
+        F.min("n_n").alias("low"), F.max("n_n").alias("high"), F.max(F.struct("n_of", "n_comp")).alias("most"),
+        F.min(F.when(large, F.col("n_comp"))).alias("one"), F.max(F.when(large, F.col("n_comp"))).alias("other"),
     )
+    matrix = entries.select("token", "grp").distinct().join(spread, F.col("grp") == F.col("n_grp"))
+    matrix = matrix.select(F.col("token").alias("g_token"), F.col("grp").alias("g"), "one", "other", "low", "high", "most")
+    larger = F.struct(F.col("of").alias("n_of"), F.col("comp").alias("n_comp")) < F.col("most")
+    if both_ways:
+        larger = larger | ((F.col("of") > ASKING) & F.col("one").isNotNull() & ((F.col("one") != F.col("other")) | (F.col("one") != F.col("comp"))))
+    meets = (F.col("token") == F.col("g_token")) & (F.col("grp") != F.col("g")) & (75 * F.col("low") <= 100 * F.col("n")) & (100 * F.col("high") >= 75 * F.col("n")) & larger
     # both sides have an entry once a token, so rows count the entries shared
     shared = entries.filter("ask").join(matrix, meets).groupBy(F.col("cid").alias("q"), "g").agg(*[F.first(c).alias(c) for c in ("n", "comp", "low", "high")], F.count(F.lit(1)).alias("shared"))
     asked, p0 = written(shared.filter(F.col("shared") >= _shared_with(F.col("n"), F.col("low"), F.col("high"))).select("q", "comp", "g"), "jaccard-asked")
-    lows = spread.select(F.col("n_grp").alias("grp"), "low")
+    n = asked.count()
+    s = sets.select(F.col("cid").alias("s_cid"), "tokens")
+    of = _few(asked, n).join(s, F.col("q") == F.col("s_cid")).select("q", "comp", "g", F.col("tokens").alias("asking"))
     none = F.lit(None).cast("long")
-    rows = unions.join(lows, F.col("g") == F.col("grp")).select("grp", none.alias("cid"), none.alias("comp"), "low", "tokens")
-    qualified, p1 = written(_with_sets(asked, rows, sets).mapInArrow(_bounded, "q long, comp long, g long"), "jaccard-qualified")
-    s = sets.select(F.col("cid").alias("m_cid"), "tokens")
-    members = nodes.join(qualified.select("g").distinct(), F.col("n_grp") == F.col("g")).join(s, F.col("n_cid") == F.col("m_cid"))
-    members = members.select(F.col("n_grp").alias("grp"), F.col("n_cid").alias("cid"), F.col("n_comp").alias("comp"), F.col("n_n").alias("low"), "tokens")
-    return _with_sets(qualified, members, sets).mapInArrow(lambda b: _open_groups(b, every), "a long, b long"), [p0, p1]
+    lows = _few(spread.select(F.col("n_grp").alias("grp"), "low").join(_few(asked.select(F.col("g").alias("k")).distinct(), n), F.col("grp") == F.col("k"), "left_semi"), n)
+    held = unions.join(lows, F.col("g") == F.col("grp")).select("grp", none.alias("cid"), none.alias("comp"), "low", "tokens")
+    qualified, p1 = written(_facing(of, held).mapInArrow(_bounded, "q long, comp long, g long, asking binary"), "jaccard-qualified")
+    members = nodes.join(qualified.select("g").distinct(), F.col("n_grp") == F.col("g"))
+    members = members.select(F.col("n_grp").alias("grp"), F.col("n_cid").alias("cid"), F.col("n_comp").alias("comp"), F.col("n_n").alias("low"))
+    members = _few(members, members.count()).join(s, F.col("cid") == F.col("s_cid")).drop("s_cid")
+    return _facing(qualified, members).mapInArrow(lambda b: _open_groups(b, every), "a long, b long"), [p0, p1]
 
 
 def _in_components(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    """nodes with their component and the number of classes in it."""
     of = parts.select(F.col("node").alias("p_node"), "component")
-    return nodes.join(of, F.col("cid") == F.col("p_node"), "left").withColumn("comp", F.coalesce("component", "cid")).drop("p_node", "component")
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("of")).withColumnRenamed("component", "z")
+    of = of.join(sizes, F.col("component") == F.col("z")).drop("z")
+    out = nodes.join(of, F.col("cid") == F.col("p_node"), "left")
+    return out.withColumn("comp", F.coalesce("component", "cid")).withColumn("of", F.coalesce("of", F.lit(1).cast("long"))).drop("p_node", "component")
 
 
 def _as_nodes(nodes: DataFrame) -> DataFrame:
-    return nodes.select(F.col("cid").alias("n_cid"), F.col("comp").alias("n_comp"), F.col("grp").alias("n_grp"), F.col("n").alias("n_n"))
+    return nodes.select(*[F.col(c).alias(f"n_{c}") for c in ("cid", "comp", "of", "grp", "n")])
+
+
+def _entries(led: DataFrame, nodes: DataFrame) -> DataFrame:
+    return led.select("token", F.col("cid").alias("m_cid")).join(nodes, F.col("m_cid") == F.col("cid")).drop("m_cid")
 
 
 def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
@@ -664,23 +688,22 @@ def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     links, unions = opened.filter("a is not null").select("a", "b"), opened.filter("g is not null").select("g", "tokens")
     parts, p2 = written(connected_components(links), "jaccard-parts")
     # some of each component ask first: mostly that joins what belongs together, and the rest has nothing to ask
-    first = _in_components(nodes.select("cid", "n", "step", "grp"), parts)
-    sizes = first.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(ASKING)).alias("every")).select(F.col("comp").alias("z"), "every")
-    first = first.join(sizes, F.col("comp") == F.col("z")).withColumn("ask", F.pmod(F.xxhash64("cid", F.lit("ask")), F.col("every")) == 0)
-    first, p3 = written(first.drop("z", "every"), "jaccard-nodes")
-    entries = led.select("token", F.col("cid").alias("m_cid")).join(first, F.col("m_cid") == F.col("cid")).drop("m_cid")
-    entries, p4 = written(_mixed(entries), "jaccard-entries")
+    nodes = nodes.select("cid", "n", "grp")
+    ask = F.pmod(F.xxhash64("cid", F.lit("ask")), F.ceil(F.col("of") / F.lit(ASKING))) == 0
+    first, p3 = written(_in_components(nodes, parts).withColumn("ask", ask), "jaccard-nodes")
+    entries, p4 = written(_mixed(_entries(led, first)), "jaccard-entries")
     more, used = _asked_links(entries, _as_nodes(first), unions, sets)
     more, p5 = written(more, "jaccard-links")
     parts, p6 = written(connected_components(links.unionByName(more)), "jaccard-parts")
     remove(spark, p2, *used)
-    rest, p7 = written(_mixed(_in_components(entries.drop("comp").withColumn("ask", ~F.col("ask")), parts)), "jaccard-entries")
+    rest, p7 = written(_mixed(_in_components(entries.drop("comp", "of").withColumn("ask", ~F.col("ask")), parts)), "jaccard-entries")
     if not rest.filter("ask").isEmpty():
-        last, used = _asked_links(rest, _as_nodes(_in_components(first.drop("comp"), parts)), unions, sets)
+        last, used = _asked_links(rest, _as_nodes(_in_components(nodes, parts)), unions, sets, both_ways=False)
         last, p8 = written(last, "jaccard-links")
-        parts, p9 = written(connected_components(links.unionByName(more).unionByName(last)), "jaccard-parts")
-        remove(spark, p6, p8, *used)
-        p6 = p9
+        if not last.isEmpty():
+            remove(spark, p6)
+            parts, p6 = written(connected_components(links.unionByName(more).unionByName(last)), "jaccard-parts")
+        remove(spark, p8, *used)
     remove(spark, *paths, p0, p1, p3, p4, p5, p7)
     return kept, parts, [own, p6]
 
@@ -694,9 +717,8 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     kept, led, sets, _ = _compared(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")))
     nodes, _ = _grouped(led)
     opened, _ = written(_own_links(nodes, sets, True), "jaccard-opened")
-    alone, _ = written(nodes.select("cid", "n", "step", "grp", F.col("cid").alias("comp"), F.lit(True).alias("ask")), "jaccard-nodes")
-    entries = led.select("token", F.col("cid").alias("m_cid")).join(alone, F.col("m_cid") == F.col("cid")).drop("m_cid")
-    more, _ = _asked_links(entries, _as_nodes(alone), opened.filter("g is not null").select("g", "tokens"), sets, True)
+    alone = nodes.select("cid", "n", "grp", F.col("cid").alias("comp"), F.lit(1).cast("long").alias("of"), F.lit(True).alias("ask"))
+    more, _ = _asked_links(_entries(led, alone), _as_nodes(alone), opened.filter("g is not null").select("g", "tokens"), sets, True)
     pairs = opened.filter("a is not null").select("a", "b").unionByName(more)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs, kept.select("doc_id", F.col("n").alias("n_shingles"), "cid")
