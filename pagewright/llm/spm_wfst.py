@@ -1,23 +1,28 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Compiling reads the model file into: a normaliser (spaces to the piece alphabet's space
-mark, a mark in front of the text, where the model says so), an arc for every piece, and
-byte arcs for characters without a piece.  An input is composed with it as it is read:
-states are (position, last piece), an arc from one state reads a piece, and the path of
-least weight in the tropical semiring (min, +) gives the ids.
+Compiling reads the model file into three transducers:
+
+* the normaliser: arcs from (state, space or other character) to (state, output), which
+  write the space mark for a space and one in front of the text, where the model says so;
+* the pieces: a trie whose arcs read characters; a node that ends a piece writes its id;
+* the byte fallback: an arc for every character that is no piece, which writes the ids of
+  its bytes (or unk).
+
+An input is composed with them as it is read: its states are (position, last piece), its
+arcs the pieces and fallbacks found at every position.  The path of least weight in the
+tropical semiring (min, +) gives the ids; all arcs into a position are relaxed, for many
+words side by side.
 
 Weights.  For a unigram model an arc costs minus the piece's score.  A byte-pair model's
 greedy merges are no sum of scores, so there the weight is on pairs of adjacent pieces:
 0 if merging their characters alone ends in just these two pieces, else infinity.  A
 sequence whose neighbours all cost 0 is what merging gives, and there is only one, so the
-shortest path equals the library's ids.  Whether a pair costs 0 follows from the two
-pieces' merge trees: going up both edges along the cut in order of merge rank, no merge
-across the cut may come first.
+shortest path equals the library's ids, and of a position's states one at most has a
+finite weight.  Whether a pair costs 0 follows from the two pieces' merge trees: going up
+both edges along the cut in order of merge rank, no merge across the cut may come first.
 
-No arc reads across two neighbouring characters that stand together in no piece (such as
-a word's last and the next space mark), so texts are cut there and composed part by part;
-paths of words and parts are remembered up to a fixed number, and parts in sorted order
-share the lattice of their common prefix.
+Where no piece spans two neighbouring characters the lattice has one state, so it is cut
+there.  Paths of words are remembered up to a fixed number.
 
 Defined cases: null and empty texts have no ids; texts of any length are encoded whole;
 characters the model cannot spell become byte pieces (or unk without byte fallback); the
@@ -43,8 +48,9 @@ from .token_index import tokenizer_path
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 UNIGRAM, BPE = 1, 2  # fixed values: model types
-WORDS_KEPT = 300_000
+WORDS_KEPT, PAIRS_KEPT = 300_000, 1 << 19
 INF = float("inf")
+NONE, FALLBACK = -1, -2  # in place of a position's last piece
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -79,6 +85,102 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
+class Normaliser:
+    """Arcs (state, is a space) to (state, output); COPY in an output stands for the character read."""
+
+    START, INSIDE, GAP = range(3)
+    COPY = "\0"
+    _runs = re.compile(" +|[^ ]+")
+
+    def __init__(self, dummy_prefix: bool, squeeze: bool) -> None:
+        mark, copy = MARK if dummy_prefix else "", self.COPY
+        if squeeze:  # spaces at the ends write nothing, others one mark before the next character
+            self.arcs = {
+                (self.START, True): (self.START, ""), (self.START, False): (self.INSIDE, mark + copy), (self.INSIDE, False): (self.INSIDE, copy),
+                (self.INSIDE, True): (self.GAP, ""), (self.GAP, True): (self.GAP, ""), (self.GAP, False): (self.INSIDE, MARK + copy),
+            }
+        else:
+            self.arcs = {(self.START, True): (self.INSIDE, mark + MARK), (self.START, False): (self.INSIDE, mark + copy), (self.INSIDE, True): (self.INSIDE, MARK), (self.INSIDE, False): (self.INSIDE, copy)}
+        #: once inside, a letter-for-letter machine is one substitution
+        self.by_letter = self.arcs[self.INSIDE, True] == (self.INSIDE, MARK) and self.arcs[self.INSIDE, False] == (self.INSIDE, copy)
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if self.by_letter:
+            return self.arcs[self.START, text[0] == " "][1].replace(self.COPY, text[0]) + text[1:].replace(" ", MARK)
+        state, out = self.START, []
+        for run in self._runs.findall(text):
+            space, at = run[0] == " ", 0
+            while at < len(run):
+                after, write = self.arcs[state, space]
+                if after == state:  # a loop reads the rest of the run
+                    out.append(run[at:] if write == self.COPY else write * (len(run) - at))
+                    break
+                out.append(write.replace(self.COPY, run[at]))
+                state, at = after, at + 1
+        return "".join(out)
+
+
+class Trie:
+    """Piece arcs: a table from (node, symbol) to node, and the piece that ends at a node."""
+
+    def __init__(self, ids: dict[str, int]) -> None:
+        letters = sorted({c for p in ids for c in p})
+        self.symbol = np.full(0x110001, -1, np.int32)
+        self.symbol[[ord(c) for c in letters]] = np.arange(len(letters))
+        number, self.width = {c: k for k, c in enumerate(letters)}, len(letters)
+        arcs: dict[int, int] = {}
+        ends = {0: NONE}
+        for p, k in ids.items():
+            node = 0
+            for c in p:
+                node = arcs.setdefault(node * self.width + number[c], len(arcs) + 1)
+                ends.setdefault(node, NONE)
+            ends[node] = k
+        self.ends = np.array([ends[k] for k in range(len(ends))], np.int32)
+        bits = max(8, (4 * len(arcs)).bit_length())
+        self.shift, self.keys, self.nodes = np.uint64(64 - bits), np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        keys, nodes = np.array(list(arcs), np.int64), np.array(list(arcs.values()), np.int32)
+        for key, slot, node in zip(keys.tolist(), self._slot(keys).tolist(), nodes.tolist()):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) % len(self.keys)
+            self.keys[slot], self.nodes[slot] = key, node
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def step(self, nodes: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The nodes that the arcs lead to; -1 where there is none."""
+        keys = nodes.astype(np.int64) * self.width + symbols
+        slot = self._slot(keys)
+        met = self.keys[slot]
+        out = np.where(met == keys, self.nodes[slot], -1)
+        out[symbols < 0] = -1
+        left = np.flatnonzero((met != keys) & (met >= 0) & (symbols >= 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) % len(self.keys)
+            met = self.keys[slot[left]]
+            hit = met == keys[left]
+            out[left[hit]] = self.nodes[slot[left[hit]]]
+            left = left[~hit & (met >= 0)]
+        return out
+
+    def arcs(self, symbols: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in an input as (begin, end, piece), shorter ones first; ``end``: where the word of each position ends."""
+        at, node, length, found = np.arange(len(symbols)), np.zeros(len(symbols), np.int32), 0, []
+        while len(at):
+            node = self.step(node, symbols[at + length])
+            alive = node >= 0
+            at, node, length = at[alive], node[alive], length + 1
+            piece = self.ends[node]
+            here = piece >= 0
+            found.append((at[here], at[here] + length, piece[here]))
+            more = at + length < end[at]
+            at, node = at[more], node[more]
+        return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+
+
 class Transducer:
     def __init__(self, path: str) -> None:
         with open(path, "rb") as f:
@@ -104,20 +206,23 @@ class Transducer:
         if self.kind not in (UNIGRAM, BPE):
             raise NotImplementedError("only unigram and byte-pair models")
         self.ids = {p: k for k, p in enumerate(self.pieces) if self.types[k] in (NORMAL, USER)}
-        self.tails = {p[k:] for p in self.ids for k in range(len(p))}  # an arc is read backwards as far as it can be one
         self.unk = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.bytes = {int(p[1:-1], 16): k for k, p in enumerate(self.pieces) if self.types[k] == BYTE}
         letters = {c for p in self.ids for c in p}
-        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.normalise = Normaliser(self.dummy_prefix, self.squeeze)
+        self.trie = Trie(self.ids)
         self.by_word = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.cuts_lines = "\n" not in letters
         self.segment = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if self.cuts_lines else f"{MARK}*[^{MARK}]+|{MARK}+")
         self.spelled = [self._spelling(k) for k in range(len(self.pieces))]
         if self.kind == BPE:
             self._compile_pairs()
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.pairs: dict[int, bool] = {}
+            self.weights = np.where([e is None for e in self.left_edge], INF, 0.0)  # merging never makes some pieces
+            self.fallback_weight = 1.0
+        else:
+            self.weights = -np.array(self.scores)
+            self.fallback_weight = 10 - min((self.scores[k] for k in self.ids.values()), default=0.0)
+        self.forget()
 
     def _spelling(self, k: int) -> bytes:
         if self.types[k] == BYTE:
@@ -175,107 +280,108 @@ class Transducer:
             else:
                 j += 1
 
+    def _pair_weights(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """0 or infinity for every pair; those seen stay in a table of fixed size."""
+        keys = a.astype(np.int64) * len(self.pieces) + b
+        slot = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - (PAIRS_KEPT - 1).bit_length())).astype(np.int64)
+        new = self.pair_keys[slot] != keys
+        out = self.pair_weights[slot]
+        if new.any():
+            fresh, where = np.unique(keys[new], return_inverse=True)
+            weights = np.array([0.0 if self._stays(*divmod(k, len(self.pieces))) else INF for k in fresh.tolist()])
+            out[new] = weights[where]
+            self.pair_keys[slot[new]], self.pair_weights[slot[new]] = keys[new], weights[where]
+        return out
+
     # --- composition and shortest path ---
 
-    def _paths(self, words: Sequence[str]) -> Iterator[list[int]]:
-        """Shortest paths of sorted words.  Without pieces for a character its position has only the fallback arc,
-        which starts anew: no piece spans it."""
-        ids, tails, bpe = self.ids, self.tails, self.kind == BPE
-        pairs, width = self.pairs, len(self.pieces)
-        edges = self.left_edge if bpe else None
-        last: list[int] = [-1]  # piece that reaches each position; -1 where none is before it
-        back: list[int] = [0]
-        cost: list[float] = [0.0]
-        before = ""
-        for word in words:
-            same = 0
-            for x, y in zip(word, before):
-                if x != y:
-                    break
-                same += 1
-            del last[same + 1 :], back[same + 1 :], cost[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                piece, start, least = -2, end - 1, INF
-                arcs = []
-                for begin in range(end - 1, -1, -1):
-                    part = word[begin:end]
-                    if part not in tails:
-                        break
-                    if last[begin] != -3 and part in ids:
-                        arcs.append((begin, ids[part]))
-                for begin, t in reversed(arcs):
-                    if not bpe:
-                        c = cost[begin] - self.scores[t]
-                        if c < least:
-                            piece, start, least = t, begin, c
-                        continue
-                    p = last[begin]
-                    if edges[t] is None:  # merging never makes t
-                        continue
-                    if p >= 0:
-                        key = p * width + t
-                        ok = pairs.get(key)
-                        if ok is None:
-                            ok = pairs[key] = self._stays(p, t)
-                        if not ok:
-                            continue
-                    piece, start, least = t, begin, 0.0
-                    break
-                if piece == -2 and bpe and word[end - 1] in ids:
-                    piece, least = -3, INF  # inside a piece only
-                elif piece == -2:
-                    least = cost[end - 1] + 1e6
-                last.append(piece)
-                back.append(start)
-                cost.append(least)
-            before = word
-            out, at = [], len(word)
-            while at:
-                begin = back[at]
-                if last[at] == -2:
-                    out += self._fallback(word[begin:at])[::-1]
-                else:
-                    out.append(last[at])
-                at = begin
-            yield out[::-1]
+    def compose(self, words: Sequence[str]) -> tuple[np.ndarray, ...]:
+        """The lattice of normalised words, one after the other: text (code points), arcs (begin, end, piece, weight), and
+        the positions that no piece spans.  Fallback arcs write FALLBACK."""
+        text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbols = self.trie.symbol[text]
+        begin, end, piece = self.trie.arcs(symbols, np.repeat(np.cumsum(sizes), sizes))
+        single = np.zeros(len(text), bool)
+        single[begin[end == begin + 1]] = True
+        spelled = np.flatnonzero(~single)
+        weight = np.concatenate([np.full(len(spelled), self.fallback_weight), self.weights[piece]])
+        begin, end = np.concatenate([spelled, begin]), np.concatenate([spelled + 1, end])
+        piece = np.concatenate([np.full(len(spelled), FALLBACK), piece])
+        real = weight < INF
+        reach = np.zeros(len(text) + 1, np.int64)
+        np.maximum.at(reach, begin, end)
+        reach = np.maximum.accumulate(reach)
+        cut = np.flatnonzero(np.concatenate([[True], reach[:-1] <= np.arange(1, len(text) + 1)]))
+        return text, begin[real], end[real], piece[real], weight[real], cut
+
+    def shortest(self, words: Sequence[str]) -> list[bytes]:
+        """Ids (little-endian, 32 bits) of the shortest path through each word's lattice."""
+        text, begin, end, piece, weight, cut = self.compose(words)
+        n = len(text)
+        cost, last, back = np.full(n + 1, INF), np.full(n + 1, NONE), np.zeros(n + 1, np.int64)
+        # arcs by the distance of their end from the cut before: all parts advance together
+        starts = np.zeros(n + 1, np.int64)
+        starts[cut] = cut
+        starts = np.maximum.accumulate(starts)
+        depth = end - starts[end - 1]
+        order = np.argsort(depth, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(depth, minlength=1))])
+        begin, end, piece, weight = begin[order], end[order], piece[order], weight[order]
+        is_cut = np.zeros(n + 1, bool)
+        is_cut[cut] = True
+        for d in range(1, len(bounds) - 1):
+            b, e, t, w = (x[bounds[d] : bounds[d + 1]] for x in (begin, end, piece, weight))
+            inside = ~is_cut[b]
+            c = w + np.where(inside, cost[b], 0.0)
+            if self.kind == BPE:
+                before = last[b]
+                pairs = np.flatnonzero(inside & (before >= 0) & (t >= 0) & (c < INF))
+                c[pairs] += self._pair_weights(before[pairs], t[pairs])
+            np.minimum.at(cost, e, c)
+            best = np.flatnonzero((c == cost[e]) & (c < INF))
+            last[e[best]], back[e[best]] = t[best], b[best]
+        return self._read(words, text, last, back)
+
+    def _read(self, words: Sequence[str], text: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[bytes]:
+        """The ids along the paths, found from their ends."""
+        on = np.zeros(len(text) + 1, bool)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        at = np.unique(ends[ends > 0])
+        while len(at):
+            on[at] = True
+            at = back[at]
+            at = at[(at > 0) & ~on[at]]
+        stops = np.flatnonzero(on)
+        ids, counts = last[stops], np.ones(len(stops), np.int64)
+        spelled = np.flatnonzero(ids == FALLBACK)
+        if len(spelled):
+            codes = [self._fallback(chr(c)) for c in text[stops[spelled] - 1].tolist()]
+            counts[spelled] = [len(c) for c in codes]
+            ids = np.repeat(ids, counts)
+            ids[ids == FALLBACK] = [k for c in codes for k in c]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        cuts = upto[np.searchsorted(stops, ends, side="right")].tolist()
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts)]
 
     def _fallback(self, c: str) -> list[int]:
         if self.byte_fallback:
             return [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
         return [self.unk]
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        return (MARK if self.dummy_prefix and text else "") + text.replace(" ", MARK)
-
-    def learn(self, words: Iterator[str]) -> None:
-        """Paths of words that are not known, from the paths of their parts."""
+    def learn(self, words: set[str]) -> None:
+        """Paths of words that are not known."""
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        if len(self.pairs) > 4 * WORDS_KEPT:
-            self.pairs.clear()
-        if len(self.parts) > WORDS_KEPT:
-            self.parts.clear()
-        cut = {w: self._parts(w) for w in words if w not in self.known}
-        fresh = sorted({p for parts in cut.values() for p in parts if p not in self.parts})
-        for p, path in zip(fresh, self._paths(fresh)):
-            self.parts[p] = np.asarray(path, "<u4").tobytes()
-        for w, parts in cut.items():
-            self.known[w] = b"".join([self.parts[p] for p in parts])
-
-    def _parts(self, word: str) -> list[str]:
-        """The word cut between any two characters that stand together in no piece."""
-        joined, out, at = self.joined, [], 0
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in joined:
-                out.append(word[at:k])
-                at = k
-        out.append(word[at:])
-        return out
+        fresh = [w for w in words if w not in self.known]
+        if fresh:
+            self.known.update(zip(fresh, self.shortest(fresh)))
 
     def forget(self) -> None:
-        self.known, self.parts, self.pairs = {}, {}, {}
+        self.known: dict[str, bytes] = {}
+        if self.kind == BPE:
+            self.pair_keys, self.pair_weights = np.full(PAIRS_KEPT, -1, np.int64), np.zeros(PAIRS_KEPT)
 
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -287,7 +393,7 @@ class Transducer:
             self.learn({s for words in split for s in words})
             known = self.known
             return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [np.asarray(next(self._paths(words)), "<u4").tobytes() if words else b"" for words in split]
+        return [self.shortest(words)[0] if words else b"" for words in split]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()

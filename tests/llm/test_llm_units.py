@@ -181,6 +181,37 @@ def test_unigram_paths_are_the_cheapest(tmp_path):
     assert t.encode("c") == [1, 0]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abelnost \né日☃", max_size=9))
+def test_the_path_is_the_least_of_all_paths_through_the_lattice(text):
+    t = spm_wfst.transducer(spm_wfst.tokenizer_path(spm_wfst.MODEL))
+    word = t.normalise(text)
+    codes, begin, end, piece, weight, cut = t.compose([word])
+    arcs = {}
+    for b, e, p, w in zip(begin.tolist(), end.tolist(), piece.tolist(), weight.tolist()):
+        arcs.setdefault(b, []).append((e, p, w))
+    assert bytes(codes).decode("utf-32-le") == word and {0, len(word)} <= set(cut.tolist())
+
+    def paths(at, before):
+        if at == len(word):
+            yield 0.0, []
+        for e, p, w in arcs.get(at, ()):
+            w += 0.0 if min(before, p) < 0 or t._stays(before, p) else spm_wfst.INF
+            if w < spm_wfst.INF:
+                for rest, ids in paths(e, p):
+                    yield w + rest, [*([p] if p >= 0 else t._fallback(word[at])), *ids]
+
+    assert min(paths(0, -1))[1] == t.encode(text)
+
+
+@given(st.text(alphabet="a b", max_size=12), st.booleans())
+def test_normaliser_arcs(text, prefix):
+    mark = spm_wfst.MARK
+    assert spm_wfst.Normaliser(prefix, False)(text) == ((mark if prefix else "") + text.replace(" ", mark) if text else "")
+    words = text.split()
+    assert spm_wfst.Normaliser(prefix, True)(text) == ((mark if prefix else "") + mark.join(words) if words else "")
+
+
 # --- 6: language ---
 
 
