@@ -51,7 +51,7 @@ from .components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 FREQUENT, LEAST_COUNT = 1 << 21, 4
-GROUP, GROUP_SHINGLES, QUERIES, SIZE_STEP = 256, 1 << 20, 2000, 1.15
+GROUP, GROUP_SHINGLES, QUERIES, SIZE_STEP = 1024, 1 << 20, 2000, 1.15
 ANCHORS, ASKING, FEW = 16, 16, 1 << 17
 WORD = r"[^\x20\x09-\x0D]"
 SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
