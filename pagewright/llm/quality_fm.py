@@ -2,18 +2,20 @@
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^2]), so all
 pairwise interactions cost one pass over a document's features.  Features are word
-buckets (counts scaled to unit length), statistics of the text's structure, and any
-numeric metadata columns named; the latter two are standardised on the fitted rows.
+buckets (counts scaled to unit length), statistics of the text's structure, and the
+logarithms of any numeric metadata columns named (``n_chars`` in the query and the
+stage); the latter two are standardised on the fitted rows.
 
 Fitting takes at most ``sample`` labelled rows of each class (those with the smallest
 hash of their id), whose features are computed where the texts are and gathered on the
 driver; it is numpy with Adam and a fixed seed, so reruns agree.  Scoring covers every
 row and whole texts.
 
-Defined cases: null and empty texts are scored by their statistics; null metadata counts
-as the fitted mean; null labels and ids are not learned from; with no labelled rows
-every score is 0.5; equal texts (and metadata) get equal scores; an empty table gives no
-rows; other columns are not read.
+Defined cases: null and empty texts are scored by their statistics; null and non-finite
+metadata count as the fitted mean; null labels and ids are not learned from; of rows with
+one labelled id the one with the least hash is learned from; an id with both labels counts
+for both; with no labelled rows every score is 0.5; equal texts (and metadata) get equal
+scores; an empty table gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ SAMPLE = 3000  # labelled rows of each class, at most
 THRESHOLD = 0.3
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.02, 1e-4
 LEAST_STEPS = 500
+SIDE_BY_SIDE = 1 << 16  # features scored at a time
 STATS = (
     "log_words", "log_bytes", "word_length", "upper", "digit", "symbol", "strong", "pipe", "period", "distinct",
     "repeats", "lines", "repeated_lines", "top_word", "long_words",
@@ -82,18 +85,27 @@ class Model:
         z = (np.where(np.isnan(stats), self.mean, stats) - self.mean) / self.scale
         return np.clip(z, -4, 4)
 
-    def score(self, buckets: np.ndarray, values: np.ndarray, stats: np.ndarray) -> float:
-        x = np.concatenate([values, self.dense(stats)])
-        at = np.concatenate([buckets, np.arange(BUCKETS, BUCKETS + len(stats))])
+    def scores(self, rows: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Of rows as ``features`` gives them, all in one pass over their features."""
+        if not len(rows):
+            return np.zeros(0)
+        n_dense = len(self.mean)
+        tail = np.arange(BUCKETS, BUCKETS + n_dense)
+        dense = self.dense(np.array([r[2] for r in rows], float))
+        at = np.concatenate([part for r in rows for part in (r[0], tail)])
+        x = np.concatenate([part for r, d in zip(rows, dense) for part in (r[1], d)])
+        starts = np.cumsum([0, *[len(r[0]) + n_dense for r in rows[:-1]]])
         vx = self.v[at] * x[:, None]
-        s = vx.sum(0)
-        y = self.bias + self.w[at] @ x + 0.5 * float((s * s - (vx * vx).sum(0)).sum())
-        return float(1 / (1 + np.exp(-np.clip(y, -30, 30))))
+        s = np.add.reduceat(vx, starts)
+        y = self.bias + np.add.reduceat(self.w[at] * x, starts) + 0.5 * (s * s - np.add.reduceat(vx * vx, starts)).sum(1)
+        return 1 / (1 + np.exp(-np.clip(y, -30, 30)))
+
+    def score(self, buckets: np.ndarray, values: np.ndarray, stats: np.ndarray) -> float:
+        return float(self.scores([(buckets, values, stats)])[0])
 
 
-def fit(rows: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
+def fit(rows: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7, n_dense: int = len(STATS)) -> Model:
     """Logistic loss, both classes weighing alike, on rows as ``features`` gives them; few rows are gone over more often."""
-    n_dense = len(rows[0][2]) if len(rows) else len(STATS)
     rng = np.random.default_rng(seed)
     width = BUCKETS + n_dense
     model = Model(0.0, np.zeros(width), rng.normal(0, 0.02, (width, FACTORS)), np.zeros(n_dense), np.ones(n_dense))
@@ -138,7 +150,9 @@ def fit(rows: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]], labels: np.nd
 
 
 def _inputs(df: DataFrame, text: str, metadata: Sequence[str], *first: Column) -> DataFrame:
-    return df.select(*first, F.col(text).alias("t"), F.array(*[F.col(m).cast("double") for m in metadata]).cast("array<double>").alias("meta"))
+    values = [F.col(f"`{m}`").cast("double") for m in metadata]
+    logs = [F.when(F.abs(v) < float("inf"), F.signum(v) * F.log1p(F.abs(v))) for v in values]
+    return df.select(*first, F.col(f"`{text}`").alias("t"), F.array(*logs).cast("array<double>").alias("meta"))
 
 
 def _of(batch: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -150,8 +164,9 @@ def _of(batch: pa.RecordBatch, at: int) -> Iterator[tuple[np.ndarray, np.ndarray
 def sample_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, metadata: Sequence[str], sample: int) -> tuple[list, np.ndarray]:
     """Features and labels of the bounded sample, on the driver."""
     chosen = None
+    marks = labels.select(F.col(f"`{doc_id}`").alias("s_id"), F.col(f"`{label}`").alias("y"))
     for value in (0, 1):
-        of_class = labels.filter(F.col(label) == value).groupBy(F.col(doc_id).alias("s_id")).agg(F.max(label).cast("int").alias("y"))
+        of_class = marks.filter(F.col("y") == value).groupBy("s_id").agg(F.max("y").cast("int").alias("y"))
         top = of_class.orderBy(F.xxhash64("s_id"), "s_id").limit(sample)
         chosen = top if chosen is None else chosen.unionByName(top)
 
@@ -161,16 +176,17 @@ def sample_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, labe
             columns = [pa.array([r[k].astype(t).tobytes() for r in got], pa.binary()) for k, t in ((0, "<i4"), (1, "<f4"), (2, "<f8"))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["k", "y", "b", "x", "s"])
 
-    # the broadcast side has 2 * sample rows of two numbers
-    joined = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("s_id"))
-    rows = _inputs(joined, text, metadata, F.col(doc_id).cast("string").alias("k"), F.col("y"))
-    rows = rows.mapInArrow(run, "k string, y int, b binary, x binary, s binary").dropDuplicates(["k", "y"]).collect()
+    # the broadcast side has 2 * sample rows of two numbers; of a hot id one row is left before the shuffle
+    joined = _inputs(docs, text, metadata, F.col(f"`{doc_id}`").alias("d_id")).join(F.broadcast(chosen), F.col("d_id") == F.col("s_id"))
+    one = joined.groupBy(F.col("d_id").cast("string").alias("k"), "y").agg(F.min(F.struct(F.xxhash64("t", "meta").alias("h"), "t", "meta")).alias("r"))
+    rows = one.select("k", "y", "r.t", "r.meta").mapInArrow(run, "k string, y int, b binary, x binary, s binary").collect()
     rows.sort(key=lambda r: (r.k, r.y))
     return [(np.frombuffer(r.b, "<i4"), np.frombuffer(r.x, "<f4"), np.frombuffer(r.s, "<f8")) for r in rows], np.array([r.y for r in rows], float)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", metadata: Sequence[str] = (), sample: int = SAMPLE) -> Model:
-    return fit(*sample_rows(docs, labels.filter(F.col(doc_id).isNotNull()), doc_id, text, label, metadata, sample))
+    rows, marks = sample_rows(docs, labels.filter(F.col(f"`{doc_id}`").isNotNull()), doc_id, text, label, metadata, sample)
+    return fit(rows, marks, n_dense=len(STATS) + len(metadata))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", metadata: Sequence[str] = (), keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -180,33 +196,40 @@ def score(docs: DataFrame, model: Model, text: str = "text", metadata: Sequence[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = pa.array([model.score(*f) for f in _of(batch, n)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(n)], scores], [f"c{k}" for k in range(n + 1)])
+            scores, held, size = [], [], 0
+            for f in _of(batch, n):
+                held.append(f)
+                size += len(f[0])
+                if size >= SIDE_BY_SIDE:
+                    scores.append(model.scores(held))
+                    held, size = [], 0
+            scores.append(model.scores(held))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(n)], pa.array(np.concatenate(scores), pa.float64())], [f"c{k}" for k in range(n + 1)])
 
     schema = ", ".join([*[f"c{k} {kinds[c]}" for k, c in enumerate(keep)], f"c{n} double"])
-    rows = _inputs(docs, text, metadata, *[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)])
+    rows = _inputs(docs, text, metadata, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
     return rows.mapInArrow(run, schema).toDF(*keep, "score")
 
 
+METADATA = ("n_chars",)
+
+
 def learned_rows(labels: DataFrame) -> DataFrame:
     return labels.filter(crc_fold(F.col("doc_id"), 5) != 0)
 
 
 def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs, learned_rows(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return score(docs, model).select(
+    model = train(docs, learned_rows(spark.read.parquet(f"{sf_dir}/labels.parquet")), metadata=METADATA)
+    return score(docs, model, metadata=METADATA).select(
         "doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Filtering stage: the rows of docs that score at least the threshold."""
-    model = train(docs, learned_rows(labels))
-    return score(docs, model, keep=docs.columns).filter(F.col("score") >= threshold).drop("score") if "score" not in docs.columns else _keep_clashing(docs, model, threshold)
-
-
-def _keep_clashing(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
-    plain = docs.toDF(*[f"k{k}" for k in range(len(docs.columns))])
-    out = score(plain, model, text=f"k{docs.columns.index('text')}", keep=plain.columns)
+    metadata = [c for c in METADATA if c in docs.columns]
+    model = train(docs, learned_rows(labels), metadata=metadata)
+    number = {c: f"k{k}" for k, c in enumerate(docs.columns)}
+    out = score(docs.toDF(*number.values()), model, number["text"], [number[c] for c in metadata], list(number.values()))
     return out.filter(F.col("score") >= threshold).drop("score").toDF(*docs.columns)

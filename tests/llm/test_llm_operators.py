@@ -99,6 +99,24 @@ def test_quality(spark):
     assert quality_fm.score(table, with_meta, metadata=["n_chars"]).count() == 203
 
 
+def test_quality_among_clashing_names_and_repeated_ids(spark):
+    rows = [(k, ("good words here and there " if k % 2 else "&&& ||| !!! ") * (k % 5 + 1)) for k in range(60)]
+    rows += [(3, f"a hot id, text {k}") for k in range(40)]
+    clashing = [F.lit(k).alias(c) for k, c in enumerate(("y", "s_id", "a.b", "k", "t", "meta", "score", "h", "r", "d_id", "c0", "k0"))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.length("text").alias("n_chars"), *clashing)
+    labels = spark.createDataFrame([(k, k % 2, 1) for k in range(50)], "doc_id long, quality int, y int")
+    model = quality_fm.train(table, labels, metadata=["n_chars"], sample=20)
+    again = quality_fm.train(table.repartition(5, "text").select("*"), labels, metadata=["n_chars"], sample=20)
+    assert (model.v == again.v).all() and len(model.mean) == len(quality_fm.STATS) + 1
+    kept = quality_fm.keep_good(table, labels)
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} >= {k for k in range(60) if k % 2}
+    # every row's score, one at a time
+    got = {(r.doc_id, r.text): r.score for r in quality_fm.score(table.drop("score"), model, metadata=["n_chars"], keep=("doc_id", "text")).collect()}
+    for (i, t), score in got.items():
+        b, x, s = quality_fm.features(t)
+        assert score == pytest.approx(model.score(b, x, np.append(s, np.log1p(len(t))))), i
+
+
 def test_components(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (101, 101), (5, None), (200, 300), (300, 250)], "a long, b long")
     got = dict(_rows(connected_components(links)))
@@ -133,6 +151,22 @@ def test_caps(spark, block):
     assert cap_filters.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [4, 16, 64, 256])
+def test_caps_find_all_links_at_any_dimension(spark, dim):
+    """Pairs just above the threshold, where directions differ most: none of them may be lost."""
+    rng = np.random.default_rng(dim)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.normal(size=(1500, dim)))
+    u = rng.normal(size=x.shape)
+    u = unit(u - (u * x).sum(1, keepdims=True) * x)
+    t = rng.uniform(0.98001, 0.985, size=(len(x), 1))
+    rows = np.concatenate([x, t * x + np.sqrt(1 - t * t) * u])
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in cap_filters.near_duplicates(df).collect()}
+    want = (rows @ rows.T / np.outer(np.linalg.norm(rows, axis=1), np.linalg.norm(rows, axis=1)) >= 0.98).sum(1) - 1
+    assert [got[k] for k in range(len(rows))] == want.tolist() and want.min() >= 1
+
+
 def test_pieces(spark, docs):
     import sentencepiece
 
