@@ -24,7 +24,7 @@ TOOLS = {
     "pdf_extract_structured": "lines, words, images and annotations with their boxes",
     "pdf_extract_tables": "tables and their cells",
     "pdf_extract_semantic": "elements grouped by meaning",
-    "pdf_extract_complete": "elements and tables",
+    "pdf_extract_complete": "all elements; their tables come from pdf_extract_tables",
     "pdf_query_content": "elements that meet conditions",
     "pdf_get_page_info": "page sizes",
     "pdf_get_metadata": "document information",
@@ -130,7 +130,9 @@ class Engine:
         return self.extract(path, ExtractConfig(**{"mode": "complete"} | options))
 
     def extract_tables(self, path: str, config: ExtractConfig = ExtractConfig(mode="table")) -> DataFrame:
-        return tables.tables(elements.extract(self.parsed(path, ("text",)), config), config.tables)
+        """Tables; none in modes that look for none."""
+        found = tables.tables(elements.extract(self.parsed(path, ("text",)), config), config.tables)
+        return found if config.finds_tables else found.where(F.lit(False))
 
     def table_cells(self, path: str, config: ExtractConfig = ExtractConfig(mode="table")) -> DataFrame:
         return tables.cells(elements.extract(self.parsed(path, ("text",)), config), config.tables)

@@ -8,7 +8,10 @@ through a fold over each scope's elements in order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,26 +37,35 @@ def grid_rows(elements: DataFrame, rules: TableRules = TableRules()) -> DataFram
 def anchored_rows(elements: DataFrame, rules: TableRules = TableRules()) -> DataFrame:
     """row_index and col_index for any boxes.
 
-    Only the distinct heights of a scope are folded, so the array is as long as there
-    are heights, not elements.
+    Only the distinct heights of a scope are folded, one after the other as they stream past.
     """
     scope = _scope(rules)
     text = _text_elements(elements)
-    heights = text.select(*scope, "lly").distinct().groupBy(*scope).agg(F.sort_array(F.collect_list("lly"), asc=False).alias("ys"))
-    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("row"), F.array().cast("array<struct<y:double,row:int>>").alias("out"))
-
-    def step(acc: Column, y: Column) -> Column:
-        fresh = acc["anchor"].isNull() | (F.abs(acc["anchor"] - y) > rules.row_tolerance)
-        row = F.when(fresh, acc["row"] + 1).otherwise(acc["row"])
-        return F.struct(F.when(fresh, y).otherwise(acc["anchor"]).alias("anchor"), row.alias("row"), F.concat(acc["out"], F.array(F.struct(y.alias("y"), row.alias("row")))).alias("out"))
-
-    placed = heights.select(*[F.col(c).alias(f"h_{c}") for c in scope], F.inline(F.aggregate("ys", start, step)["out"]))
-    on = [F.col(c) == F.col(f"h_{c}") for c in scope] + [F.col("lly") == F.col("y")]
-    joined = text.join(placed, on).drop(*[f"h_{c}" for c in scope], "y").withColumnRenamed("row", "row_index")
+    heights = text.select(*[F.col(c).alias(f"h_{c}") for c in scope], F.col("lly").alias("y")).distinct()
+    names, kinds = heights.columns, dict(heights.dtypes)
+    in_order = heights.repartition(*names[:-1]).sortWithinPartitions(*names[:-1], F.desc("y"))
+    placed = in_order.mapInArrow(lambda b: _folded(b, rules.row_tolerance), ", ".join([*(f"{c} {kinds[c]}" for c in names), "row_index int"]))
+    on = [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in scope] + [F.col("lly") == F.col("y")]
+    joined = text.join(placed, on).drop(*names)
     across = W.partitionBy(*scope, "row_index").orderBy(F.col("lly").desc(), "page_number", F.col("line_idx").asc_nulls_first(), "element_id")
     return joined.withColumn("col_index", F.row_number().over(across) - 1)
 
 
+def _folded(batches: Iterator[pa.RecordBatch], tolerance: float) -> Iterator[pa.RecordBatch]:
+    """Adds the row of each height; a scope's heights come in falling order, and only its anchor is held."""
+    current, anchor, row = None, 0.0, -1
+    for batch in batches:
+        out = []
+        *keys, heights = (c.to_pylist() for c in batch.columns)
+        for key, y in zip(zip(*keys), heights):
+            if key != current:
+                current, anchor, row = key, y, 0
+            elif abs(anchor - y) > tolerance:
+                anchor, row = y, row + 1
+            out.append(row)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], [*batch.schema.names, "row_index"])
+
+
 def row_widths(rows: DataFrame, rules: TableRules = TableRules()) -> DataFrame:
     """(scope, row_index, width)."""
     return rows.groupBy(*_scope(rules), "row_index").agg(F.count(F.lit(1)).alias("width"))

@@ -13,6 +13,7 @@ from ..functions.geometry import rectangle
 from ..functions.text import name_words, timestamp_text
 from ..operators import elements, query, reading, search, stats, tables, validate
 from ..sources.adapters import conversation_pages, document_files, part_files, table
+from ..sources.shared import shared_path
 
 SIZE_LIMIT = 20_000
 TEXT = "the"
@@ -38,10 +39,14 @@ def _register(name: str, sql: str | None) -> Callable[[Q], Q]:
 
 
 def queries() -> dict[str, Q]:
+    from . import library  # noqa: F401  registers its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import library  # noqa: F401
+
     return dict(_sql)
 
 
@@ -341,6 +346,9 @@ def event_windows(spark, sf_dir):
 # --- files of bytes: every turn as a generated file, read back by the parser ---
 
 
+_turns_made: dict[tuple[str, str], str] = {}
+
+
 def _turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path and content: one page with the turn's text, an image and a note."""
 
@@ -358,8 +366,13 @@ def _turn_files(spark: SparkSession, sf_dir: str) -> DataFrame:
                 made.append(write([page], {"Title": f" turn {path} ", "Keywords": "a, b"}, packed=turn % 2 == 1))
             yield pd.DataFrame({"path": batch["path"], "content": made})
 
-    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), "turn", "text")
-    return turns.mapInPandas(run, "path string, content binary")
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _turns_made:  # made once a session
+        turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), "turn", "text")
+        at = shared_path(spark, "turn-files")
+        turns.mapInPandas(run, "path string, content binary").write.parquet(at)
+        _turns_made[key] = at
+    return spark.read.parquet(_turns_made[key])
 
 
 _TURN = "CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR)"

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .functions.text import shown
 
 ADVICE = {
     "scanned_images": "Mostly scanned images; look at the images instead.",
@@ -17,7 +20,7 @@ def listing(df: DataFrame, title: str, columns: dict[str, str], first: int = 10)
     total = df.count()
     out = [f"{title}: {total}"]
     for k, r in enumerate(rows, 1):
-        out.append(f"{k}. " + ", ".join(f"{label} {r[c]}" for c, label in columns.items() if r[c] is not None))
+        out.append(f"{k}. " + ", ".join(f"{label} {r[c]}".lstrip() for c, label in columns.items() if r[c] is not None))
     if total > first:
         out.append(f"... and {total - first} more")
     return "\n".join(out)
@@ -43,3 +46,42 @@ def document(df: DataFrame) -> str:
     if row["content_type"] in ADVICE:
         head.append(ADVICE[row["content_type"]])
     return "\n".join(head) + "\n\n" + row["content"]
+
+
+def search(found: DataFrame) -> str:
+    return listing(found, "PDF files", {"name": ""})
+
+
+def assets(images: DataFrame) -> str:
+    return listing(images, "Images", {"page_number": "page", "width": "width", "height": "height", "format": "format", "size": "bytes"})
+
+
+def validation(checked: DataFrame) -> str:
+    row = checked.first()
+    return f"{row['path']} is valid" if row["valid"] else f"{row['path']} is not valid: {row['message']}"
+
+
+def file_stats(found: DataFrame) -> str:
+    return record(found, "File")
+
+
+def directory(found: DataFrame) -> str:
+    return record(found, "Directory")
+
+
+def server(info: DataFrame) -> str:
+    """The catalogue by section; its size is fixed but for the first ten files."""
+    out: dict[str, list[str]] = {}
+    for r in info.collect():
+        out.setdefault(r["section"], []).append(f"{r['key']}: {r['value']}" if r["value"] else r["key"])
+    return "\n".join(f"{section}\n  " + "\n  ".join(lines) for section, lines in out.items())
+
+
+def extraction(counts: DataFrame) -> str:
+    return record(counts, "Elements")
+
+
+def matches(found: DataFrame) -> str:
+    """The first matches in page order, each with a preview of its text."""
+    ordered = found.orderBy("path", "page_number", F.col("line_idx").asc_nulls_last(), "element_id")
+    return listing(ordered.withColumn("text", shown(F.col("text"))), "Matches", {"page_number": "page", "text": "text:"})

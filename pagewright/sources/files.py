@@ -19,6 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..schema import FILES
 
 NAME = "pagewright_listing"
+FOLDERS = 256
 
 
 class _Folder(InputPartition):
@@ -31,14 +32,20 @@ class ListingReader(DataSourceReader):
         self.root, self.dirs = root, dirs
 
     def partitions(self) -> list[InputPartition]:
-        """The root's own entries, and one partition for each folder below it."""
-        out: list[InputPartition] = [_Folder(self.root, False)]
-        try:
-            with os.scandir(self.root) as entries:
-                out += [_Folder(e.path, True) for e in entries if e.is_dir(follow_symlinks=False)]
-        except OSError:
-            pass
-        return out
+        """Folders by level until there are FOLDERS of them; those listed so far by themselves, the last ones with all below."""
+        out: list[InputPartition] = []
+        level = [self.root]
+        while level and len(out) + len(level) < FOLDERS:
+            below = []
+            for folder in level:
+                out.append(_Folder(folder, False))
+                try:
+                    with os.scandir(folder) as entries:
+                        below += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+                except OSError:
+                    pass
+            level = below
+        return out + [_Folder(folder, True) for folder in level]
 
     def _row(self, path: str, is_dir: bool) -> tuple | None:
         try:

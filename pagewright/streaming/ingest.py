@@ -27,5 +27,6 @@ def ingest(spark: SparkSession, directory: str, target: str, checkpoint: str) ->
 
 def windowed_counts(events: DataFrame, time: str = "ts", kind: str = "event_type", width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events by kind and tumbling window; on a stream, state is dropped behind the watermark."""
-    e = events.withWatermark(time, late) if events.isStreaming else events
+    e = events.withColumn(time, F.col(time).cast("timestamp"))
+    e = e.withWatermark(time, late) if events.isStreaming else e
     return e.groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("window_start"), kind, "n")
