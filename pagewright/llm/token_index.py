@@ -42,6 +42,7 @@ from .common import shared_path, shuffle_partitions, sole_memory, written
 MAGIC, PART_MAGIC = b"PWTOKEN1", b"PWINDEX1"
 END_ID = 2
 WORDS_KEPT, PIECES_KEPT = 300_000, 500_000
+NUMBERED = 1 << 16  # occurrences of an id that one task numbers
 SENTENCE_MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 
 
@@ -206,17 +207,22 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_
     ``start``, the number of ids before the document, and ``occurrence``."""
     spark = docs.sparkSession
     n = shards or shuffle_partitions(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    # the second range key parts the rows of one hot id
-    placed = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    entries, _ = written(placed.mapInArrow(lambda b: _write_shard(b, path, tokenizer, end_id), ENTRIES), "token-entries")
-    # a row or two a shard from here: ids before it, and earlier rows with its first id
-    per_shard = entries.groupBy("shard").agg(F.sum("n_tokens").alias("ids"), F.min_by("doc_id", "offset").alias("first_id"))
-    before = W.partitionBy(F.lit(1)).orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    starts = per_shard.select(F.col("shard").alias("s"), "first_id", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    edge = entries.alias("e").join(per_shard.select(F.col("shard").alias("s"), "first_id").alias("p"), F.col("e.doc_id").eqNullSafe(F.col("p.first_id")) & (F.col("e.shard") < F.col("p.s")))
-    earlier = edge.groupBy("p.s").agg(F.count(F.lit(1)).alias("earlier"))
-    starts = starts.join(earlier, "s", "left").select(F.col("s"), "first_id", "base", F.coalesce("earlier", F.lit(0)).alias("earlier"))
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row", F.monotonically_increasing_id())
+    # the further range keys part the rows of one hot id, and equal ones among them
+    placed = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
+    entries, _ = written(placed.select("doc_id", "text").mapInArrow(lambda b: _write_shard(b, path, tokenizer, end_id), ENTRIES), "token-entries")
+    # a row a shard from here: ids before it, and earlier rows with its first id; as ids are
+    # in order these are the last rows of the shards before, as far as they end in that id
+    per_shard = entries.groupBy("shard").agg(F.sum("n_tokens").alias("ids"), F.min_by("doc_id", "offset").alias("first_id"), F.max_by("doc_id", "offset").alias("last_id"), (F.max_by("here", "offset") + 1).alias("last_rows"))
+    in_turn = W.partitionBy(F.lit(1)).orderBy("shard")
+    of_id = W.partitionBy("last_id").orderBy("shard").rowsBetween(W.unboundedPreceding, W.currentRow)
+    per_shard = per_shard.withColumn("so_far", F.sum("last_rows").over(of_id))
+    before = F.lag("so_far").over(in_turn)
+    goes_on = F.lag("last_id").over(in_turn).eqNullSafe(F.col("first_id")) & before.isNotNull()
+    starts = per_shard.select(
+        F.col("shard").alias("s"), "first_id", F.coalesce(F.sum("ids").over(in_turn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+        F.when(goes_on, before).otherwise(F.lit(0)).alias("earlier"),
+    )
     out = entries.join(starts, F.col("shard") == F.col("s")).select(
         "doc_id", (F.col("here") + F.when(F.col("doc_id").eqNullSafe(F.col("first_id")), F.col("earlier")).otherwise(0)).alias("occurrence"),
         "shard", "offset", "n_tokens", (F.col("base") + F.col("offset")).alias("start"),
@@ -302,6 +308,7 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
     return (_mix(keys ^ _U(0xD6E8FEB86659FD93)) >> _U(32)).astype(np.uint32)
 
 
+PART_KEYS = 1 << 19  # keys of an index part, at about the most
 SLOT = np.dtype([("fingerprint", "<u4"), ("shard", "<u4"), ("n", "<u8"), ("offset", "<u8"), ("start", "<u8")])
 
 
@@ -355,8 +362,7 @@ def _with_part(df: DataFrame, parts: int) -> DataFrame:
 
 def build_index(entries: DataFrame, path: str, parts: int | None = None) -> int:
     """Writes the index parts under path; returns their number."""
-    spark = entries.sparkSession
-    parts = parts or shuffle_partitions(spark)
+    parts = parts or max(shuffle_partitions(entries.sparkSession), -(-entries.count() // PART_KEYS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, current, held = [], None, []
@@ -440,8 +446,17 @@ def read_digests(found: DataFrame, path: str) -> DataFrame:
 
 
 def all_keys(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    counts = docs.groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("occurrence"))
+    """(doc_id, occurrence) of every row; the occurrences of a hot id are numbered by many tasks."""
+    counts = docs.groupBy(F.col(f"`{doc_id}`").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    counts, _ = written(counts, "token-keys")
+    few = counts.filter(F.col("n") <= NUMBERED).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("occurrence"))
+    hot = counts.filter(F.col("n") > NUMBERED)
+    if hot.isEmpty():
+        return few
+    parts = hot.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(NUMBERED).cast("long"))).alias("first"))
+    parts = parts.repartition(shuffle_partitions(docs.sparkSession))
+    last = F.least(F.col("n"), F.col("first") + NUMBERED) - 1
+    return few.unionByName(parts.select("doc_id", F.explode(F.sequence("first", last)).alias("occurrence")))
 
 
 def tokenizer_path(name: str) -> str:
