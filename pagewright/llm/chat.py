@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 FORMATTED = (
     "conv_id long, seq long, role string, formatted string, conv_offset long, loss_start long, loss_end long, "
@@ -161,6 +163,12 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return unescape_role(m[1]), m[2]
 
 
+def in_order(formatted: DataFrame) -> DataFrame:
+    """Formatted turns, as read from files, in the order that format_chat gave them."""
+    key = F.col("conv_id").cast("string")
+    return formatted.withColumn("__c", key).repartition("__c").sortWithinPartitions("__c", "seq").drop("__c")
+
+
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long"
 
 
@@ -208,7 +216,12 @@ def _digest(spark, sf_dir):
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HARD).alias("text"),
     )
-    return digest(format_chat(rows.unionByName(extra)))
+    turns = rows.unionByName(extra)
+    # contents as lists of typed parts, here of one text each
+    none = {"ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
+    part = F.struct(F.lit("text").alias("type"), F.col("text").alias("text"), *[F.lit(None).cast(kind).alias(c) for c, kind in none.items()])
+    formatted, _ = written(format_chat(turns.withColumn("parts", F.array(part)), content="parts"), "chat")
+    return digest(in_order(formatted))
 
 
 SQL = rf"""
