@@ -12,9 +12,10 @@ share the budget by weight, stop at ``max_repeat`` times the source's words, and
 cut off there is shared anew by weight until no target is above.
 
 Defined cases: a null text has size 0; of rows equal in id and text, which share a hash,
-only as many are taken as the rest needs (``apart``; without it, as in the registered
-query and its SQL, they get the same decision); an empty table gives an empty result; further columns are kept, whatever their names
-(working columns carry the prefix ``__mx_``).
+only as many are taken as come nearest to the target; a source that needs no rest has no
+threshold, so no row is taken more often than its whole copies say; an empty table gives an
+empty result; further columns are kept, whatever their names (working columns carry the
+prefix ``__mx_``).
 """
 
 from __future__ import annotations
@@ -62,18 +63,18 @@ def source_targets(per_source: DataFrame, weights: Sequence[int], max_repeat: in
     ranked = ranked.withColumn("level", F.col("left") / F.col("shares"))
     settled = F.col("level") <= F.col("ratio")
     ranked = ranked.withColumn("final", F.min_by(F.when(settled, F.col("level")), F.when(settled, F.struct("ratio", "rank"))).over(everything))
-    return ranked.select("source", "size", F.when(F.col("cap") <= F.col("final") * F.col("weight"), F.col("cap").cast("double")).otherwise(F.coalesce(F.col("final") * F.col("weight"), F.lit(0.0))).alias("target"))
+    return ranked.select("source", "size", F.when(F.col("final").isNull() | (F.col("cap") <= F.col("final") * F.col("weight")), F.col("cap").cast("double")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
 def mix(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-    weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, budget: float = 1.0, apart: bool = True,
+    weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, budget: float = 1.0,
 ) -> tuple[DataFrame, list[str]]:
     """Decisions, one row a document: source, doc_id, hash, size, source_size, target, copies.
 
     Returns them with the paths of the written tables they stand on.
     """
-    sized, thresholds, paths = _decide(docs, doc_id, text, source, weights, max_repeat, budget, apart)
+    sized, thresholds, paths = _decide(docs, doc_id, text, source, weights, max_repeat, budget)
     decided = _with_copies(sized, thresholds)
     some = _equal_rows(sized, thresholds)
     if some is not None:
@@ -105,7 +106,7 @@ def _times(rows: DataFrame, n: str) -> DataFrame:
     return parts.withColumn("__mx_copy", F.explode(F.sequence(F.col("__mx_part") * CHUNK + 1, F.least(F.col(n), (F.col("__mx_part") + 1) * CHUNK))))
 
 
-def _decide(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[int], max_repeat: int, budget: float, apart: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+def _decide(docs: DataFrame, doc_id: str, text: str, source: str, weights: Sequence[int], max_repeat: int, budget: float) -> tuple[DataFrame, DataFrame, list[str]]:
     """Sizes and hashes of all documents, and the threshold of each source, as written tables."""
     sized, p1 = written(
         docs.select(
@@ -113,7 +114,7 @@ def _decide(docs: DataFrame, doc_id: str, text: str, source: str, weights: Seque
             document_hash(F.col(doc_id), F.col(text)).alias("hash"),
         ), "mix-sizes",
     )
-    thresholds, p2 = written(_thresholds(sized, weights, max_repeat, budget, apart), "mix-thresholds")
+    thresholds, p2 = written(_thresholds(sized, weights, max_repeat, budget), "mix-thresholds")
     return sized, thresholds, [p1, p2]
 
 
@@ -124,13 +125,13 @@ def _with_copies(rows: DataFrame, thresholds: DataFrame, source: str = "source",
     return joined.withColumn("copies", F.col("whole") + (F.col(hashed) < F.col("threshold")).cast("long"))
 
 
-def _thresholds(sized: DataFrame, weights: Sequence[int], max_repeat: int, budget: float, apart: bool) -> DataFrame:
+def _thresholds(sized: DataFrame, weights: Sequence[int], max_repeat: int, budget: float) -> DataFrame:
     per_source = sized.groupBy("source").agg(F.sum("size").alias("size"))
     state = source_targets(per_source, weights, max_repeat, budget).withColumnRenamed("size", "source_size")
     state = state.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     state = state.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long"))
     base = state.select("source", "source_size", "target", "whole")
-    state = state.select("source", "rest", "prefix")
+    state = state.filter("rest > 0").select("source", "rest", "prefix")  # else no threshold: only whole copies
     for level in range(1, BITS // LEVEL_BITS + 1):
         shift = BITS - LEVEL_BITS * level
         s = state.select(F.col("source").alias("s_source"), "rest", "prefix")
@@ -149,8 +150,6 @@ def _thresholds(sized: DataFrame, weights: Sequence[int], max_repeat: int, budge
         )
     # the last bucket is one hash value: so many of its rows are taken as come nearest to the target
     nearest = F.ceil(F.col("rest") * F.col("n") / F.col("words") - 0.5)
-    if not apart:
-        nearest = F.when((F.col("words") - F.col("rest")) < F.col("rest"), F.col("n")).otherwise(F.lit(0))
     state = state.withColumn("some", F.greatest(F.lit(0), F.least(F.col("n"), nearest)).cast("long"))
     cut = state.select(
         F.col("source").alias("c_source"), (F.col("prefix") + (F.col("some") == F.col("n")).cast("long")).alias("threshold"),
@@ -161,9 +160,9 @@ def _thresholds(sized: DataFrame, weights: Sequence[int], max_repeat: int, budge
     )
 
 
-def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, budget: float = 1.0, apart: bool = True) -> DataFrame:
+def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeat: int = 3, budget: float = 1.0) -> DataFrame:
     """The mixed rows themselves: each row of docs as often as its decision says."""
-    _, thresholds, _ = _decide(docs, doc_id, text, source, weights, max_repeat, budget, apart)
+    _, thresholds, _ = _decide(docs, doc_id, text, source, weights, max_repeat, budget)
     renamed = thresholds.select(F.col("source").alias("__mx_of"), F.col("whole").alias("__mx_whole"), F.col("threshold").alias("__mx_threshold"))
     keyed = docs.withColumn("__mx_hash", document_hash(F.col(doc_id), F.col(text)))
     joined = keyed.join(renamed, F.col(source).eqNullSafe(F.col("__mx_of")))
@@ -175,7 +174,7 @@ def take(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
 
 
 def _digest(spark, sf_dir):
-    decided, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), apart=False)  # as its SQL has it
+    decided, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return decided.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -194,8 +193,9 @@ t AS (SELECT source, s, CASE WHEN cap <= (SELECT fin FROM f) * w THEN cap::DOUBL
 u AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s)::BIGINT ELSE 0 END AS whole FROM t),
 x AS (SELECT d.doc_id, d.size, u.s, u.target, u.whole, u.target - u.whole * u.s AS rest,
              sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE UNBOUNDED PRECEDING) AS upto,
-             sum(d.size) OVER (PARTITION BY d.source, d.h) AS own
-      FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source),
-y AS (SELECT *, whole + CASE WHEN upto <= rest OR upto - rest < rest - (upto - own) THEN 1 ELSE 0 END AS copies FROM x)
+             sum(d.size) OVER h AS own, count(*) OVER h AS n, row_number() OVER (PARTITION BY d.source, d.h ORDER BY d.doc_id) AS k
+      FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source WINDOW h AS (PARTITION BY d.source, d.h)),
+y AS (SELECT *, whole + CASE WHEN rest <= 0 THEN 0 WHEN upto <= rest THEN 1 WHEN upto - own > rest OR own = 0 THEN 0
+                             WHEN k <= ceil((rest - (upto - own)) * n / own - 0.5) THEN 1 ELSE 0 END AS copies FROM x)
 SELECT doc_id, size::BIGINT AS size, s AS source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM y
 """
