@@ -7,7 +7,8 @@ shard moves few keys.  The table's size is a parameter, not a function of the da
 is broadcast, and placement is one hash and one equi-join without a shuffle.
 
 Defined cases: a null key is placed as the text ``\\N``; an empty table gives no rows;
-other columns are kept (working columns carry the prefix ``__sh_``).
+other columns are kept (working columns carry the prefix ``__sh_``), but for those with the
+names of the two results, which may be chosen (``slot_col``, ``shard_col``).
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def slot_of(key: Column, size: int) -> Column:
 def place(df: DataFrame, key: str, shards: Sequence[str], size: int = TABLE_SIZE, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """df with its slot and shard number; rows stay where they are."""
     lookup = F.broadcast(table_frame(df.sparkSession, lookup_table(shards, size)))
-    keyed = df.withColumn("__sh_key", slot_of(F.col(key), size))
+    keyed = df.withColumn("__sh_key", slot_of(F.col(f"`{key}`"), size))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in (slot_col, shard_col)]
     return keyed.join(lookup, F.col("__sh_key") == F.col("__sh_slot")).select(*kept, F.col("__sh_key").alias(slot_col), F.col("__sh_shard").alias(shard_col))
 
