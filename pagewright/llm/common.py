@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: list[str] = []
+from ..sources.shared import shared_path
+
 _holders: dict[str, Callable[[], None]] = {}
 
 
@@ -24,17 +23,14 @@ def sole_memory(name: str, clear: Callable[[], None]) -> None:
     _holders[name] = clear
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir).
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so Arrow batches hold fewer rows than the default: less memory in either process.
 
-    Only where the session names no such folder, as in tests, one is made here.
+    A number set for the session is left as it is.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own:
-            _own.append("file://" + tempfile.mkdtemp(prefix="pagewright-"))
-        base = _own[0]
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, None) in (None, "10000"):
+        spark.conf.set(name, "1000")
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, row_hash, shuffle_partitions, sole_memory, written
+from .common import remove, row_hash, shuffle_partitions, small_batches, sole_memory, written
 from .components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -652,6 +652,7 @@ def _entries(led: DataFrame, nodes: DataFrame) -> DataFrame:
 def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """Of rows (doc_id, t): (doc_id, n, cid) of each, matched shingles with their leads, and the sets to compare."""
     spark = rows.sparkSession
+    small_batches(spark)
     ranges = shuffle_partitions(spark)
     key = dict(rows.dtypes)["doc_id"]
     key_type = rows.select("doc_id").limit(0).toArrow().schema.field(0).type

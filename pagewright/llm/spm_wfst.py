@@ -48,7 +48,7 @@ from .token_index import tokenizer_path
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 UNIGRAM, BPE = 1, 2  # fixed values: model types
-WORDS_KEPT, PAIRS_KEPT = 300_000, 1 << 19
+WORDS_KEPT, PAIRS_KEPT = 150_000, 1 << 19
 INF = float("inf")
 NONE, FALLBACK = -1, -2  # in place of a position's last piece
 
