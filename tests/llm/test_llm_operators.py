@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from pagewright.llm import cap_filters, chat, jaccard_tgm, langid_gru, maglev, matroska, mixing, quality_fm, spm_wfst, token_index
 from pagewright.llm.components import connected_components
@@ -46,8 +47,8 @@ def test_token_index(spark, docs, tmp_path):
         if name == "b":
             assert got == []
             continue
-        enc = token_index.encoder(tokenizer)
-        ids = [(i, [*np.frombuffer(enc.encode(t), "<u2").tolist(), 2]) for i, t, _, _ in table.select("doc_id", "text", "lang", "source").collect()]
+        library = Tokenizer.from_file(tokenizer)
+        ids = [(i, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t, _, _ in table.select("doc_id", "text", "lang", "source").collect()]
         want = sorted(((i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ids), key=repr)
         assert sorted(((i, n, c) for i, _, n, c in got), key=repr) == want
         starts = sorted((s, n) for _, s, n, _ in got)
@@ -58,6 +59,26 @@ def test_token_index(spark, docs, tmp_path):
         assert token_index.lookup(absent, f"{path}/{name}-index", parts).where("shard is not null").count() == 0
 
 
+def test_token_index_of_a_hot_id(spark, tmp_path, monkeypatch):
+    """A third of all rows have one id, most of them one text: they are many shards' work, and each is found."""
+    monkeypatch.setattr(token_index, "NUMBERED", 64)
+    path, tokenizer = f"file://{tmp_path}", token_index.tokenizer_path("word_bpe_49k.json")
+    rows = [(50, "the same text") for _ in range(400)] + [(50, f"text number {k}") for k in range(20)] + [(k, f"some words {k}") for k in range(300)] + [(None, "no id")] * 90
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    entries = token_index.write_shards(table, f"{path}/s", tokenizer, shards=12)
+    per_shard = {r["shard"]: r["count"] for r in entries.filter("doc_id = 50").groupBy("shard").count().collect()}
+    assert len(per_shard) >= 4 and sorted(r.occurrence for r in entries.filter("doc_id = 50").collect()) == list(range(421))
+    assert sorted(r.occurrence for r in entries.filter("doc_id is null").collect()) == list(range(90))
+    parts = token_index.build_index(entries, f"{path}/i")
+    found = token_index.lookup(token_index.all_keys(table), f"{path}/i", parts)
+    got = token_index.read_digests(found, f"{path}/s").collect()
+    library = Tokenizer.from_file(tokenizer)
+    want = sorted((repr(i), zlib.crc32(np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in rows)
+    assert sorted((repr(r.doc_id), r.ids_crc32) for r in got) == want
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "fine <|im_end|>", 9), (1, 0, "user", "hi", 9), (1, 1, "assistant", "fine <|im_end|>", 9), (2, 0, None, None, 9), (None, 0, "assistant", "lost", 9), (3, 0, "system\n<|x", "a" * 300_000, 9)]
     rows += [(4, k, ("user", "assistant")[k % 2], f"turn {k}", 9) for k in range(300)]
@@ -69,6 +90,8 @@ def test_chat(spark):
         assert got[c].n_turns == len(turns) and got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
     assert len(got) == 5 and chat.digest(chat.format_chat(df.limit(0))).count() == 0
+    apart = chat.format_chat(df).repartition(7)  # rows as files may give them
+    assert _rows(chat.digest(chat.in_order(apart))) == _rows(chat.digest(chat.format_chat(df)))
 
 
 def test_chat_parts(spark):
@@ -374,5 +397,12 @@ def test_mixing_splits_equal_rows(spark):
         taken, again = (_rows(mixing.take(t, budget=budget)) for t in (table, table.repartition(3)))
         assert taken == again and len(taken) == sum(r.copies for r in got)
         assert sum(len(r[1].split()) for r in taken) == sum(r.size * r.copies for r in got)
-    together = [r.copies for r in mixing.mix(table, apart=False)[0].collect() if r.doc_id == 9999]
-    assert len(set(together)) == 1
+
+
+def test_mixing_takes_nothing_more_often_than_it_may(spark):
+    # sources at three times their size, rows without words among them
+    rows = [(k, "" if k % 4 == 0 else "w " * (k % 5), "en", "abcdefgh"[k % 8]) for k in range(200)] + [(k, "w " * 500, "en", "z") for k in range(300, 310)]
+    table = _docs(spark, rows)
+    for budget in (1.0, 2.9, 5.0):
+        assert max(r.copies for r in mixing.mix(table, budget=budget)[0].collect()) <= 3
+        assert mixing.take(table, budget=budget).groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
