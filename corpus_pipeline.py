@@ -10,22 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import jaccard_tgm, langid_gru, mixing, quality_fm, spm_wfst
-from pagewright.llm.common import written
+from pagewright.llm.common import small_batches, written
 from pagewright.llm.token_index import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier, fitted on labelled rows outside the held-out fold, scores 0.3 or more."""
+    small_batches(spark)
     return quality_fm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language is found; rows without a letter go, unless no language could be learned."""
+    small_batches(spark)
     return langid_gru.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of documents that share three quarters of their five-word shingles."""
+    small_batches(spark)
     return jaccard_tgm.keep_one(docs)
 
 
@@ -36,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every row's text."""
+    small_batches(spark)
     return spm_wfst.encode(docs, tokenizer_path(spm_wfst.MODEL), keep=("doc_id", "source", "lang"))
 
 
