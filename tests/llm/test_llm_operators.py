@@ -13,12 +13,12 @@ from pagewright.llm import cap_filters, chat, jaccard_tgm, langid_gru, maglev, m
 from pagewright.llm.components import connected_components
 
 # clashing names: what operators call their own columns
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, slot int, shard int, hash string, size string, cid long, t string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, slot int, shard int, hash string, size string, cid long, t string, y int, s_id long, `a.b` int, rest int, lang_pred string, comp long, kind int"
 LONG = "palabra larga " * 20_000
 
 
 def _docs(spark, rows):
-    return spark.createDataFrame([(i, t, g, s, len(t or ""), 0.5, 1, 2, "h", "s", 3, "t") for i, t, g, s in rows], DOCS)
+    return spark.createDataFrame([(i, t, g, s, len(t or ""), 0.5, 1, 2, "h", "s", 3, "t", 4, 5, 6, 7, "l", 8, 9) for i, t, g, s in rows], DOCS)
 
 
 ODD = [
@@ -122,6 +122,23 @@ def test_quality(spark):
     assert quality_fm.score(table, with_meta, metadata=["n_chars"]).count() == 203
 
 
+def test_held_out_accuracy(spark):
+    """Both classifiers' queries against the rows they may not learn from; every row has a result."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = quality_fm._digest(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in rows)
+    held = [r.predicted == marks[r.doc_id] for r in rows if r.held_out and r.doc_id in marks]
+    assert len(held) > 50 and np.mean(held) >= 0.95
+    langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+    rows = langid_gru._digest(spark, sf).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(langs) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 for r in rows)
+    held = [r.lang_pred == langs[r.doc_id] for r in rows if r.held_out and langs[r.doc_id]]
+    assert len(held) > 300 and np.mean(held) >= 0.97
+
+
 def test_quality_among_clashing_names_and_repeated_ids(spark):
     rows = [(k, ("good words here and there " if k % 2 else "&&& ||| !!! ") * (k % 5 + 1)) for k in range(60)]
     rows += [(3, f"a hot id, text {k}") for k in range(40)]
@@ -297,6 +314,47 @@ def test_jaccard_join(spark, monkeypatch, group, frequent, seed):
     assert got == sorted(want, key=repr)
 
 
+def test_links_of_a_large_group_stay_few(spark, monkeypatch):
+    """Two thousand near copies, a fifth of whose pairs link: links to be joined are about as many as texts."""
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for _ in range(2000):
+        copy = list(base)
+        for _ in range(rng.randint(1, 5)):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    seen = []
+    real = jaccard_tgm.connected_components
+    monkeypatch.setattr(jaccard_tgm, "connected_components", lambda links: seen.append(links.count()) or real(links))
+    monkeypatch.setattr(jaccard_tgm, "GROUP", 256)
+    got = {r.doc_id: r.component_id for r in jaccard_tgm.near_duplicates(_docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    assert max(seen) <= 2 * len(texts)
+    sets = [set(jaccard_tgm.shingles(t).tolist()) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if root(a) != root(b) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    assert [got[k] for k in range(len(texts))] == [root(k) for k in range(len(texts))]
+
+
+def test_all_pairs_of_linked_classes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_tgm, "GROUP", 4)
+    texts = _near_copies(5)
+    pairs, rows = jaccard_tgm.similar_classes(_docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]))
+    of = {r.doc_id: r.cid for r in rows.collect()}
+    sets = {of[k]: set(jaccard_tgm.shingles(t).tolist()) for k, t in enumerate(texts) if of[k] is not None}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert sorted((r.a, r.b) for r in pairs.collect()) == sorted(want) and want
+
+
 def test_least_shared_entries(spark):
     rng = random.Random(6)
     rows = [(q, low, low + rng.randint(0, low // 4 + 1)) for q in [*range(1, 90), 333, 2000] for low in {max(1, int(q * f)) for f in (0.75, 0.9, 1.0, 1.2)}]
