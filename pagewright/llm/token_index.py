@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_path, shuffle_partitions, sole_memory, written
+from .common import remove, shared_path, shuffle_partitions, sole_memory, written
 
 MAGIC, PART_MAGIC = b"PWTOKEN1", b"PWINDEX1"
 END_ID = 2
@@ -470,4 +470,5 @@ def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     entries = write_shards(docs, f"{path}/shards", tokenizer_path("word_bpe_49k.json"))
     parts = build_index(entries, f"{path}/index")
+    remove(spark, *{f.rpartition("/")[0] for f in entries.inputFiles()})  # the index holds all that they say
     return read_digests(lookup(all_keys(docs), f"{path}/index", parts), f"{path}/shards")
