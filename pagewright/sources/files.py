@@ -12,6 +12,7 @@ import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -98,12 +99,10 @@ def contents(spark: SparkSession, paths: str | list[str], max_file_size: int = 1
 def content_of(files: DataFrame) -> DataFrame:
     """path and content of listed files, also of such as the built-in reader passes over."""
 
-    def run(batches):
-        import pandas as pd
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch["path"]:
+            for path in batch.column(0).to_pylist():  # a file at a time, as any may be large
                 with open(path, "rb") as f:
-                    yield pd.DataFrame({"path": [path], "content": [f.read()]})
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
 
-    return files.select("path").mapInPandas(run, "path string, content binary")
+    return files.select("path").mapInArrow(run, "path string, content binary")

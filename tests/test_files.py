@@ -2,6 +2,7 @@ import pytest
 
 from pagewright.api import TOOLS, Engine
 from pagewright.config import Query, Settings
+from pagewright.operators import query
 from pagewright.sources import pdf_objects
 from pagewright.sources.pdf import read_pages
 from pagewright.sources.pdf_writer import Page, write
@@ -137,3 +138,18 @@ def test_incremental_ingest(spark, folder, tmp_path):
         ingest(spark, folder, target, mark).awaitTermination(120)
         got = spark.read.parquet(target)
         assert got.where("page_number is not null").groupBy("path").count().count() == 1
+
+
+def test_results_as_text(engine, folder):
+    from pagewright import render
+
+    path = f"{folder}/report_a.pdf"
+    assert render.validation(engine.validate_file(path)) == f"{path} is valid"
+    assert render.validation(engine.validate_file(f"{folder}/fake.pdf")).startswith(f"{folder}/fake.pdf is not valid: invalid PDF file: ")
+    assert render.assets(engine.assets_file(path)) == "Images: 2\n1. page 1, width 100, height 50, format JPEG, bytes 15000\n2. page 1, width 3, height 2, format PNG/Deflate, bytes 0"
+    assert "Title: A title" in render.file_stats(engine.stats_file(path)) and "Total files: 4" in render.directory(engine.stats_directory())
+    catalogue = render.server(engine.server_info())
+    assert catalogue.startswith("tool\n  ") and "image_format\n  " in catalogue and "report_a.pdf" in catalogue
+    assert render.matches(engine.query_content(path, "a note")) == "Matches: 1\n1. page 2, text: a note"
+    assert "Annotation elements: 2" in render.extraction(query.counts_by_type(engine.extract_complete(path)))
+    assert render.search(engine.search_directory("", "report")) == "PDF files: 1\n1. report_a.pdf"
