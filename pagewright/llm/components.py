@@ -9,7 +9,7 @@ joins, and its result is a table in the shared folder, so lost executors cost on
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import remove, written
@@ -23,9 +23,12 @@ def _dealt(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(-(-max(rows, 1) // ROWS))
 
 
-def _state(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-    return r.n, r.h
+def _kept(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+    """edges as a written table, its path, and a state that tells whether it changed: number of links and sum of their hashes."""
+    seen = Observation()
+    counted = edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"))
+    table, path = written(counted, "links")
+    return table, path, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -35,8 +38,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     spark = links.sparkSession
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v")
-    edges, path = written(pairs.filter(F.col("u") != F.col("v")).distinct(), "links")
-    state = _state(edges)
+    edges, path, state = _kept(pairs.distinct())
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -45,8 +47,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         small_least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         met = large.join(small_least, F.col("u") == F.col("k"))
         small = met.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small_least.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        after, after_path = written(_dealt(small, state[0]), "links")
-        now = _state(after)
+        after, after_path, now = _kept(_dealt(small, state[0]))
         remove(spark, path)
         edges, path = after, after_path
         if now == state:
