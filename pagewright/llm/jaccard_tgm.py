@@ -55,7 +55,7 @@ GROUP, GROUP_SHINGLES, QUERIES, SIZE_STEP = 1024, 1 << 20, 2000, 1.15
 ANCHORS, ASKING, FEW = 16, 16, 1 << 17
 WORD = r"[^\x20\x09-\x0D]"
 SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
-FLUSH, SLICE = 1 << 20, 256
+FLUSH, SLICE = 1 << 19, 256
 BLOOM_BITS, PAGE = 1 << 27, 1 << 15
 
 # --- shingles -------------------------------------------------------------------------------
@@ -313,7 +313,7 @@ def _prefix_pass(batches: Iterator[pa.RecordBatch], ranges: int, counted) -> Ite
             seen.add(c)
             for parts, t in zip(held, prefix(s, top, count)):
                 if len(t):
-                    parts.append((t, c, len(s)))
+                    parts.append((t.copy(), c, len(s)))  # a view would hold the whole set
                     size += len(t)
             if size >= FLUSH:
                 yield from flush()
