@@ -41,7 +41,7 @@ from .common import remove, shared_path, shuffle_partitions, sole_memory, writte
 
 MAGIC, PART_MAGIC = b"PWTOKEN1", b"PWINDEX1"
 END_ID = 2
-WORDS_KEPT, PIECES_KEPT = 300_000, 500_000
+WORDS_KEPT, PIECES_KEPT = 500_000, 500_000
 NUMBERED = 1 << 16  # occurrences of an id that one task numbers
 SENTENCE_MARKS = frozenset(b"%c" % c for c in b".,;:!?")
 
@@ -123,15 +123,12 @@ class WordEncoder:
         if not self.by_word:
             return self.whole(text)
         words = text.encode("utf-8", "replace").split()
-        try:
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.words) >= WORDS_KEPT:
-            self.words.clear()
         known = self.words
-        for w in set(words):
-            if w not in known:
+        fresh = set(words).difference(known)
+        if fresh:
+            if len(known) >= WORDS_KEPT:  # those of this text stay
+                known = self.words = {w: known[w] for w in set(words).difference(fresh)}
+            for w in fresh:
                 known[w] = self._word(w)
         return b"".join(map(known.__getitem__, words))
 
