@@ -35,8 +35,8 @@ from .common import crc_fold
 UND = "und"
 HIDDEN = 16
 SPAN, CONTEXT, SIDE_BY_SIDE = 256, 16, 1024  # bytes of a window, on either side of it, windows at a time
-STEPS, BATCH, RATE, EPOCHS = 96, 256, 0.01, 2  # in training, windows are of STEPS bytes and their context
-LEAST_BATCHES = 500  # few windows are gone over more often
+STEPS, BATCH, RATE, EPOCHS = 96, 256, 0.01, 1  # in training, windows are of STEPS bytes and their context
+LEAST_BATCHES = 250  # few windows are gone over more often
 DOCS = 200  # different rows of each language, at most
 _plain = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _letter = regex.compile(r"\p{L}")
