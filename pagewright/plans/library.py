@@ -13,7 +13,7 @@ from ..functions.text import shown, timestamp_text
 from ..operators import documents, elements, query, reading, search, stats, tables, validate
 from ..sources import files, pdf
 from ..sources.adapters import table
-from ..sources.library import library, listed, name_of, parsed
+from ..sources.library import library, listed, name_of, pages, parsed
 from ..sources.shared import shared_path
 from .registry import LINES_SQL, ROWS_SQL, _lines, _register
 
@@ -258,8 +258,8 @@ def _counted(df: DataFrame) -> DataFrame:
 
 @_register("extract_modes", _with(" UNION ALL ".join(f"SELECT '{m}' AS mode, * FROM ({_counts(_BY_LINE if m in ('structured', 'complete', 'table') else _BY_PAGE)})" for m in MODES)))
 def extract_modes(spark, sf_dir):
-    pages = parsed(spark, sf_dir).where("page_number is not null")
-    return elements.union_elements([_counted(elements.extract(pages, ExtractConfig(mode=m))).select(F.lit(m).alias("mode"), "type", "level", "n") for m in MODES])
+    every = pages(spark, sf_dir)
+    return elements.union_elements([_counted(elements.extract(every, ExtractConfig(mode=m))).select(F.lit(m).alias("mode"), "type", "level", "n") for m in MODES])
 
 
 _SWITCHES = {
@@ -270,21 +270,21 @@ _SWITCHES = {
 
 @_register("extract_switches", _with(" UNION ALL ".join(f"SELECT '{name}' AS switch, * FROM ({_counts(kinds)})" for name, (_, kinds) in _SWITCHES.items())))
 def extract_switches(spark, sf_dir):
-    pages = parsed(spark, sf_dir).where("page_number is not null")
-    parts = [_counted(elements.extract(pages, ExtractConfig(**given))).select(F.lit(name).alias("switch"), "type", "level", "n") for name, (given, _) in _SWITCHES.items()]
+    every = pages(spark, sf_dir)
+    parts = [_counted(elements.extract(every, ExtractConfig(**given))).select(F.lit(name).alias("switch"), "type", "level", "n") for name, (given, _) in _SWITCHES.items()]
     return elements.union_elements(parts)
 
 
 @_register("vectors_and_forms", "SELECT 0::BIGINT AS n, 0::BIGINT AS vectors, 0::BIGINT AS forms")
 def vectors_and_forms(spark, sf_dir):
     config = ExtractConfig(text=False, images=False, annotations=False, vectors=True, forms=True)
-    found = elements.extract(parsed(spark, sf_dir).where("page_number is not null"), config)
+    found = elements.extract(pages(spark, sf_dir), config)
     return found.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("type") == "vector").alias("vectors"), F.count_if(F.col("type") == "form").alias("forms"))
 
 
 @_register("type_filter", _with("SELECT 'image' AS type, path, count(*) AS n FROM im GROUP BY path UNION ALL SELECT 'annotation', path, count(*) FROM an GROUP BY path"))
 def type_filter(spark, sf_dir):
-    found = elements.extract(parsed(spark, sf_dir).where("page_number is not null"))
+    found = elements.extract(pages(spark, sf_dir))
     both = elements.union_elements([query.of_type(found, k) for k in ("image", "annotation", "form")])
     return _short(both, library(spark, sf_dir)).groupBy("type", "path").agg(F.count(F.lit(1)).alias("n"))
 
@@ -303,7 +303,7 @@ _verb("tool_extract_complete", _BY_LINE, lambda e, p: e.extract_complete(p))
 
 @_register("semantic_groups", _with("SELECT path, count(*) AS n FROM (SELECT path FROM pg UNION ALL SELECT path FROM im UNION ALL SELECT path FROM an) GROUP BY path"))
 def semantic_groups(spark, sf_dir):
-    found = elements.extract(parsed(spark, sf_dir).where("page_number is not null"), ExtractConfig(mode="semantic"))
+    found = elements.extract(pages(spark, sf_dir), ExtractConfig(mode="semantic"))
     return _short(tables.semantic_groups(found), library(spark, sf_dir)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -311,7 +311,7 @@ def semantic_groups(spark, sf_dir):
 SELECT path, sum(x)::BIGINT AS text_elements, sum(y)::BIGINT AS image_elements, 0::BIGINT AS vector_elements, 0::BIGINT AS form_elements, sum(z)::BIGINT AS annotation_elements, count(*) AS total_elements
 FROM (SELECT path, 1 AS x, 0 AS y, 0 AS z FROM ln UNION ALL SELECT path, 0, 1, 0 FROM im UNION ALL SELECT path, 0, 0, 1 FROM an) GROUP BY path"""))
 def mixed_counts_by_type(spark, sf_dir):
-    found = elements.extract(parsed(spark, sf_dir).where("page_number is not null"), ExtractConfig(mode="complete"))
+    found = elements.extract(pages(spark, sf_dir), ExtractConfig(mode="complete"))
     return _short(query.counts_by_type(found), library(spark, sf_dir))
 
 
@@ -321,7 +321,7 @@ _NOTED = "SELECT path, type, text FROM (SELECT c, path, 'text' AS type, text FRO
 @_register("query_mixed_text", _with(_NOTED))
 def query_mixed_text(spark, sf_dir):
     """Texts and notes can contain a text, images never do."""
-    found = elements.extract(parsed(spark, sf_dir).where("page_number is not null"), ExtractConfig(mode="complete"))
+    found = elements.extract(pages(spark, sf_dir), ExtractConfig(mode="complete"))
     return _short(query.query(found, Query(text="NOTE")), library(spark, sf_dir)).select("path", "type", "text")
 
 
@@ -333,7 +333,7 @@ WHERE page_number IN (1, 3, 5) AND NOT (urx < 2 OR llx > 12 OR ury < 1 OR lly >
 def query_mixed_all(spark, sf_dir):
     from ..config import Box
 
-    found = elements.extract(parsed(spark, sf_dir).where("page_number is not null"), ExtractConfig(mode="complete"))
+    found = elements.extract(pages(spark, sf_dir), ExtractConfig(mode="complete"))
     q = Query(types=("image", "annotation"), pages=(1, 3, 5), box=Box(2.0, 1.0, 12.0, 25.0), min_confidence=0.9)
     return _short(query.query(found, q), library(spark, sf_dir)).select("path", "element_id")
 

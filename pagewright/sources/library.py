@@ -75,3 +75,13 @@ def parsed(spark: SparkSession, sf_dir: str, fields=pdf.ALL) -> DataFrame:
     from ..operators.search import list_files
 
     return pdf.parse(files.content_of(list_files(listed(spark, sf_dir))), fields)
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable pages with all fields, parsed once a session: extraction reads them once for every kind of element."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} pages")
+    if key not in _made:
+        path = shared_path(spark, "library-pages")
+        parsed(spark, sf_dir).where("page_number is not null").write.parquet(path)
+        _made[key] = path
+    return spark.read.parquet(_made[key])
