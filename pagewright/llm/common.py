@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 
@@ -41,6 +42,14 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def let_go() -> None:
+    """Gives memory that this process no longer uses back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def remove(spark: SparkSession, *paths: str) -> None:
     """Deletes tables that are used no more, and lets the driver let go of their shuffle files."""
     jvm = spark.sparkContext._jvm
@@ -48,7 +57,7 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-    gc.collect()
+    let_go()
     jvm.System.gc()
 
 

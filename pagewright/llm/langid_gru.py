@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, let_go
 
 UND = "und"
 HIDDEN = 16
@@ -300,7 +300,9 @@ def sample_rows(docs: DataFrame, text: str, lang: str, doc_id: str, docs_each: i
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_each: int = DOCS) -> Model:
-    return fit(sample_rows(docs, text, lang, doc_id, docs_each))
+    model = fit(sample_rows(docs, text, lang, doc_id, docs_each))
+    let_go()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
