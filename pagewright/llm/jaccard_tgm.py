@@ -15,10 +15,14 @@ connected, whatever their number, without writing out the pairs of a group:
 4. Groups hold at most about GROUP classes of about one size with one leading class (that
    of most of their matched shingles).  Each is opened for its own members and gives the
    union of their shingles; links found so far make components.
-5. Token-group matrix: it says which matched shingles occur in which group.  A class asks
-   a group only if they share as many entries as a link within its sizes takes, and the
-   group holds another component.  The group's stored union bounds the overlap with any of
-   its members; only groups whose bound qualifies are opened, that is, meet their sets.
+5. Token-group matrix: it says which matched shingles occur in which group, and how many
+   a member has left from there on, in one order of all shingles, rare first.  A link
+   within the group's sizes takes so many common entries, so the first common one has as
+   many left on either side: only there a class meets a group, and asks it if it holds
+   another component.  Shingles that all of a large group have are among a set's last, so
+   sets that cannot link do not meet there.  The group's stored union bounds the overlap
+   with any of its members; only groups whose bound qualifies are opened, that is, meet
+   their sets.
 6. Of two components the smaller one asks.  Of a component about ASKING classes ask first,
    and the others only what is then left.
 
@@ -43,7 +47,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import remove, row_hash, shuffle_partitions, small_batches, sole_memory, written
@@ -592,15 +596,21 @@ def _facing(asked: DataFrame, held: DataFrame) -> DataFrame:
 
 
 def _mixed(entries: DataFrame) -> DataFrame:
-    """Entries whose shingle is in several components."""
-    tokens = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select(F.col("token").alias("t"))
-    return entries.join(tokens, F.col("token") == F.col("t")).drop("t")
+    """Entries whose shingle is in several components, with ``tail``: how many of its class's there are from this one on.
+
+    All classes have their entries in one order, rare shingles first, so two that share
+    k entries have k or more left at the first of them.
+    """
+    tokens = entries.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("often"))
+    tokens = tokens.filter("lo <> hi").select(F.col("token").alias("t"), "often")
+    onwards = Window.partitionBy("cid").orderBy(F.desc("often"), F.desc("token"))
+    return entries.join(tokens, F.col("token") == F.col("t")).withColumn("tail", F.row_number().over(onwards)).drop("t", "often")
 
 
 def _asked_links(entries: DataFrame, nodes: DataFrame, unions: DataFrame, sets: DataFrame, every: bool = False, both_ways: bool = True) -> tuple[DataFrame, list[str]]:
     """Links that the classes marked ``ask`` find in groups of other components, by the token-group matrix.
 
-    entries: (token, cid, n, comp, of, grp, ask); nodes: (n_cid, n_comp, n_of, n_grp, n_n) of all classes,
+    entries: (token, cid, n, comp, of, grp, ask, tail); nodes: (n_cid, n_comp, n_of, n_grp, n_n) of all classes,
     ``of`` being the number of classes in the component.  Of two classes the one in the smaller
     component (by size, then name) asks; with ``both_ways``, where only some of a
     component with more than ASKING classes ask, those ask in either case.
@@ -610,15 +620,15 @@ def _asked_links(entries: DataFrame, nodes: DataFrame, unions: DataFrame, sets:
         F.min("n_n").alias("low"), F.max("n_n").alias("high"), F.max(F.struct("n_of", "n_comp")).alias("most"),
         F.min(F.when(large, F.col("n_comp"))).alias("one"), F.max(F.when(large, F.col("n_comp"))).alias("other"),
     )
-    matrix = entries.select("token", "grp").distinct().join(spread, F.col("grp") == F.col("n_grp"))
-    matrix = matrix.select(F.col("token").alias("g_token"), F.col("grp").alias("g"), "one", "other", "low", "high", "most")
+    entries = entries.filter(F.col("tail") >= _least_shared(F.ceil(F.col("n") * NUMERATOR / DENOMINATOR)))  # what any link takes
+    matrix = entries.groupBy("token", "grp").agg(F.max("tail").alias("g_tail")).join(spread, F.col("grp") == F.col("n_grp"))
+    matrix = matrix.select(F.col("token").alias("g_token"), F.col("grp").alias("g"), "g_tail", "one", "other", "low", "high", "most")
     larger = F.struct(F.col("of").alias("n_of"), F.col("comp").alias("n_comp")) < F.col("most")
     if both_ways:
         larger = larger | ((F.col("of") > ASKING) & F.col("one").isNotNull() & ((F.col("one") != F.col("other")) | (F.col("one") != F.col("comp"))))
     meets = (F.col("token") == F.col("g_token")) & (F.col("grp") != F.col("g")) & (75 * F.col("low") <= 100 * F.col("n")) & (100 * F.col("high") >= 75 * F.col("n")) & larger
-    # both sides have an entry once a token, so rows count the entries shared
-    shared = entries.filter("ask").join(matrix, meets).groupBy(F.col("cid").alias("q"), "g").agg(*[F.first(c).alias(c) for c in ("n", "comp", "low", "high")], F.count(F.lit(1)).alias("shared"))
-    asked, p0 = written(shared.filter(F.col("shared") >= _shared_with(F.col("n"), F.col("low"), F.col("high"))).select("q", "comp", "g"), "jaccard-asked")
+    meets = meets & (F.least("tail", "g_tail") >= _shared_with(F.col("n"), F.col("low"), F.col("high")))
+    asked, p0 = written(entries.filter("ask").join(matrix, meets).select(F.col("cid").alias("q"), "comp", "g").distinct(), "jaccard-asked")
     n = asked.count()
     s = sets.select(F.col("cid").alias("s_cid"), "tokens")
     of = _few(asked, n).join(s, F.col("q") == F.col("s_cid")).select("q", "comp", "g", F.col("tokens").alias("asking"))
@@ -697,7 +707,7 @@ def _components(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     more, p5 = written(more, "jaccard-links")
     parts, p6 = written(connected_components(links.unionByName(more)), "jaccard-parts")
     remove(spark, p2, *used)
-    rest, p7 = written(_mixed(_in_components(entries.drop("comp", "of").withColumn("ask", ~F.col("ask")), parts)), "jaccard-entries")
+    rest, p7 = written(_mixed(_in_components(entries.drop("comp", "of", "tail").withColumn("ask", ~F.col("ask")), parts)), "jaccard-entries")
     if not rest.filter("ask").isEmpty():
         last, used = _asked_links(rest, _as_nodes(_in_components(nodes, parts)), unions, sets, both_ways=False)
         last, p8 = written(last, "jaccard-links")
@@ -719,7 +729,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     nodes, _ = _grouped(led)
     opened, _ = written(_own_links(nodes, sets, True), "jaccard-opened")
     alone = nodes.select("cid", "n", "grp", F.col("cid").alias("comp"), F.lit(1).cast("long").alias("of"), F.lit(True).alias("ask"))
-    more, _ = _asked_links(_entries(led, alone), _as_nodes(alone), opened.filter("g is not null").select("g", "tokens"), sets, True)
+    more, _ = _asked_links(_mixed(_entries(led, alone)), _as_nodes(alone), opened.filter("g is not null").select("g", "tokens"), sets, True)
     pairs = opened.filter("a is not null").select("a", "b").unionByName(more)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs, kept.select("doc_id", F.col("n").alias("n_shingles"), "cid")

@@ -345,6 +345,48 @@ def test_links_of_a_large_group_stay_few(spark, monkeypatch):
     assert [got[k] for k in range(len(texts))] == [root(k) for k in range(len(texts))]
 
 
+def _most_joined(spark, since):
+    """Rows out of the largest join of classes and groups by shingle, among the executions after the first ``since``; and their number."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs, most = store.executionsList(), 0
+    for k in range(since, runs.size()):
+        at = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in node.name() and "g_token" in node.desc():
+                for metric in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    value = values.get(metric.accumulatorId())
+                    if metric.name() == "number of output rows" and value.isDefined():
+                        most = max(most, int(value.get().replace(",", "")))
+    return most, runs.size()
+
+
+def test_copies_too_far_apart_to_link_do_not_meet(spark, monkeypatch):
+    """Copies of a text with so many changes that few of them link share its common shingles: they must not meet by those."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(90)]
+    texts = []
+    for _ in range(400):
+        copy = list(base)
+        for at in rng.sample(range(2, 88), rng.randint(2, 6)):
+            copy[at] = f"x{rng.randrange(10**6)}" if rng.random() < 0.8 else f"y{at}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(jaccard_tgm, "GROUP", 16)
+    _, since = _most_joined(spark, 0)
+    got = {r.doc_id: r.component_id for r in jaccard_tgm.near_duplicates(_docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    most, _ = _most_joined(spark, since)
+    assert 0 < most <= 10 * len(texts)
+    sets = [set(jaccard_tgm.shingles(t).tolist()) for t in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if want[a] != want[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((want[a], want[b]))
+                want = [low if k == high else k for k in want]
+    assert [got[k] for k in range(len(texts))] == want and len(set(want)) > 50
+
+
 def test_all_pairs_of_linked_classes(spark, monkeypatch):
     monkeypatch.setattr(jaccard_tgm, "GROUP", 4)
     texts = _near_copies(5)
