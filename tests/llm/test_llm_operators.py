@@ -362,8 +362,8 @@ def _most_joined(spark, since):
     return most, runs.size()
 
 
-def test_copies_too_far_apart_to_link_do_not_meet(spark, monkeypatch):
-    """Copies of a text with so many changes that few of them link share its common shingles: they must not meet by those."""
+def _far_copies():
+    """Copies of a text with so many changes that few of them link, and the least number of each one's component."""
     rng = random.Random(12)
     base = [f"w{k}" for k in range(90)]
     texts = []
@@ -372,11 +372,6 @@ def test_copies_too_far_apart_to_link_do_not_meet(spark, monkeypatch):
         for at in rng.sample(range(2, 88), rng.randint(2, 6)):
             copy[at] = f"x{rng.randrange(10**6)}" if rng.random() < 0.8 else f"y{at}"
         texts.append(" ".join(copy))
-    monkeypatch.setattr(jaccard_tgm, "GROUP", 16)
-    _, since = _most_joined(spark, 0)
-    got = {r.doc_id: r.component_id for r in jaccard_tgm.near_duplicates(_docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
-    most, _ = _most_joined(spark, since)
-    assert 0 < most <= 10 * len(texts)
     sets = [set(jaccard_tgm.shingles(t).tolist()) for t in texts]
     want = list(range(len(texts)))
     for a in range(len(texts)):
@@ -384,7 +379,24 @@ def test_copies_too_far_apart_to_link_do_not_meet(spark, monkeypatch):
             if want[a] != want[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 low, high = sorted((want[a], want[b]))
                 want = [low if k == high else k for k in want]
-    assert [got[k] for k in range(len(texts))] == want and len(set(want)) > 50
+    return texts, want
+
+
+@pytest.mark.parametrize("stage", [False, True])
+def test_copies_too_far_apart_to_link_do_not_meet(spark, monkeypatch, stage):
+    """They share the text's common shingles, and must not meet by those, in the operator or in the pipeline's stage."""
+    texts, want = _far_copies()
+    docs = _docs(spark, [(k, t, "en", "a") for k, t in enumerate(texts)])
+    monkeypatch.setattr(jaccard_tgm, "GROUP", 16)
+    _, since = _most_joined(spark, 0)
+    rows = (jaccard_tgm.keep_one if stage else jaccard_tgm.near_duplicates)(docs).collect()
+    most, _ = _most_joined(spark, since)
+    assert 0 < most <= 10 * len(texts)
+    assert len(set(want)) > 50
+    if stage:
+        assert len(rows) == len(set(want)) and {want[r.doc_id] for r in rows} == set(want)
+    else:
+        assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(want))
 
 
 def test_all_pairs_of_linked_classes(spark, monkeypatch):
