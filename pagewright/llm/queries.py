@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annulus, cap_filters, chat, jaccard_tgm, langid_gru, maglev, matroska, mixing, quality_fm, spm_wfst, token_index
+from . import annulus, cap_filters, chat, jaccard_tgm, langid_gru, maglev, matroska, mixing, quality_fm, secret_scan, spm_wfst, token_index
 
 
 def queries():
@@ -17,9 +17,10 @@ def queries():
         "op8_jaccard_tgm": jaccard_tgm._digest,
         "op9_matroska": matroska._digest,
         "op10_mix_sources": mixing._digest,
+        "op12_secret_links": secret_scan._digest,
         "op13_annulus_kmeans": annulus._digest,
     }
 
 
 def oracle_sql():
-    return {"op2_chat_format": chat.SQL, "op4_cap_filters": cap_filters.SQL, "op7_maglev_sharding": maglev.sql(), "op10_mix_sources": mixing.SQL, "op13_annulus_kmeans": annulus.sql()}
+    return {"op2_chat_format": chat.SQL, "op4_cap_filters": cap_filters.SQL, "op7_maglev_sharding": maglev.sql(), "op10_mix_sources": mixing.SQL, "op12_secret_links": secret_scan.sql(), "op13_annulus_kmeans": annulus.sql()}
