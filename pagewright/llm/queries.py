@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import annulus, cap_filters, chat, jaccard_tgm, langid_gru, maglev, matroska, mixing, quality_fm, secret_scan, spm_wfst, token_index
+from . import annulus, cap_filters, chat, jaccard_tgm, langid_gru, maglev, matroska, mixing, quality_fm, secret_scan, spm_wfst, token_align, token_index
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_jaccard_tgm": jaccard_tgm._digest,
         "op9_matroska": matroska._digest,
         "op10_mix_sources": mixing._digest,
+        "op11_token_align": token_align._digest,
         "op12_secret_links": secret_scan._digest,
         "op13_annulus_kmeans": annulus._digest,
     }
