@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -49,7 +50,7 @@ BUDGET = 32 << 20  # bytes of what is broadcast
 VISIBLE = r"[\p{L}\p{N}\p{P}\p{S}]"
 BOUNDARY = f" (?<={VISIBLE} )(?={VISIBLE})"
 TOKENS = "array<struct<id:int,n:int>>"
-PART = 1 << 20  # characters that are encoded at a time
+PART, TOGETHER = 1 << 20, 256  # characters, and units of a text, that are encoded at a time
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -75,13 +76,37 @@ class Tokenizers:
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if byte else b"" if control else p.replace(MARK, " ").encode() for p, byte, control in pieces]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int32) for t in (self.bytes_a, self.bytes_b))
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+    def _one(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids of either side; none where they do not spell the text."""
-        coded = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
-        for text, x, ids_b in zip(texts, coded, self.b.encode(texts, num_threads=1)):
-            ids_a, spelled = x.ids, f" {text}".encode("utf-8", "surrogatepass")
-            good = text and b"".join(map(self.bytes_a.__getitem__, ids_a)) == spelled == b"".join(map(self.bytes_b.__getitem__, ids_b))
-            yield (ids_a, ids_b) if good else ([], [])
+        ids_a, ids_b, spelled = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text), f" {text}".encode("utf-8", "surrogatepass")
+        good = text and b"".join(map(self.bytes_a.__getitem__, ids_a)) == spelled == b"".join(map(self.bytes_b.__getitem__, ids_b))
+        return (np.array(ids_a, np.int32), np.array(ids_b, np.int32)) if good else (np.zeros(0, np.int32),) * 2
+
+    def _together(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+        """Ids of texts that are tokenized as one, with single spaces between; None if a token crosses their bounds or they are spelled otherwise."""
+        whole = " ".join(texts)
+        ids_a, ids_b, spelled = self.a.encode(f" {whole}", add_special_tokens=False).ids, self.b.encode(whole), f" {whole}".encode("utf-8", "surrogatepass")
+        if not b"".join(map(self.bytes_a.__getitem__, ids_a)) == spelled == b"".join(map(self.bytes_b.__getitem__, ids_b)):
+            return None
+        bounds = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])
+        sides = []
+        for ids, sizes in ((np.array(ids_a, np.int32), self.sizes_a), (np.array(ids_b, np.int32), self.sizes_b)):
+            ends = np.cumsum(sizes[ids])
+            at = np.searchsorted(ends, bounds)
+            if (ends[at] != bounds).any():
+                return None
+            sides.append(np.split(ids, at[:-1] + 1))
+        return list(zip(*sides))
+
+    def encode(self, texts: list[str], divided: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of either side for each text.  Where spaces divide, many are tokenized at once, as the units of one text are."""
+        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
+        inside = [k for k, t in enumerate(texts) if divided and t and t[0] != " " != t[-1] and t[0].isprintable() and t[-1].isprintable()]
+        for first in range(0, len(inside), TOGETHER):
+            part = inside[first : first + TOGETHER]
+            for k, found in zip(part, self._together([texts[k] for k in part]) or ()):
+                out[k] = found
+        return [self._one(t) if found is None else found for t, found in zip(texts, out)]
 
 
 @lru_cache(1)
@@ -110,7 +135,7 @@ def units_of(text: Column, divided: bool) -> Column:
     return F.split(text, BOUNDARY, -1) if divided else F.array(text)
 
 
-def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
+def encode_units(units: DataFrame, path_a: str, path_b: str, divided: bool) -> DataFrame:
     """(unit, n, a, b) for rows (unit, u, n): tokens of either side with their lengths in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +147,10 @@ def encode_units(units: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 while last < len(texts) and size < PART:
                     size += len(texts[last])
                     last += 1
-                coded = list(t.encode(texts[first:last]))
+                coded = t.encode(texts[first:last], divided)
                 columns = [batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first)]
                 for side, sizes in enumerate((t.sizes_a, t.sizes_b)):
-                    ids = np.array([i for x in coded for i in x[side]], np.int32)
+                    ids = np.concatenate([x[side] for x in coded])
                     offsets = np.concatenate([[0], np.cumsum([len(x[side]) for x in coded])])
                     tokens = pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes[ids])], ["id", "n"])
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens))
@@ -166,6 +191,18 @@ def pair_counts(links: DataFrame) -> DataFrame:
     return counted.join(F.broadcast(most), F.col("b") == F.col("m_b")).select("a", "b", "links", "rows", (F.col("links") == F.col("most")).alias("best"))
 
 
+@contextmanager
+def _by_text_alone(spark: SparkSession) -> Iterator[None]:
+    """Within, tables dealt by text join on text and end as they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bucket(weight: str) -> Column:
     return F.floor(F.log2(F.col(weight)) * 4).cast("int")
 
@@ -230,14 +267,16 @@ def _placed(texts: DataFrame, divided: bool) -> DataFrame:
     return texts.select("row", F.posexplode(units_of(F.col("text"), divided)).alias("pos", "u"))
 
 
-def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(texts that their tokens spell, their units (unit, u, n), the units' tokens)."""
+def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget: int) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """(texts that their tokens spell, their units (unit, u, n), the units' tokens, their path)."""
+    spark = texts.sparkSession
     counted = texts.select(F.explode(units_of(F.col("text"), divided)).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
     units, _ = written(counted.select(F.monotonically_increasing_id().alias("unit"), "u", "n"), "align-units")
-    encoded, path = written(encode_units(units, path_a, path_b), "align-tokens")
+    remove(spark)
+    encoded, path = written(encode_units(units, path_a, path_b, divided), "align-tokens")
     without = encoded.filter(F.size("a") == 0).select(F.col("unit").alias("w_unit"))
     if not without.head(1):
-        return texts, units, encoded
+        return texts, units, encoded, path
     # whole texts go with such a unit: their other units must not be counted
     wrong, _ = written(units.join(without, F.col("unit") == F.col("w_unit"), "left_semi").select(F.col("u").alias("w_u"), "n"), "align-wrong")
     often, seldom = _split(wrong, "n", F.octet_length("w_u") + 64, budget)
@@ -245,21 +284,26 @@ def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget
     holding = placed.join(F.broadcast(often), F.col("u") == F.col("w_u"), "left_semi").unionByName(placed.join(seldom, F.col("u") == F.col("w_u"), "left_semi"))
     good = texts.join(holding.select(F.col("row").alias("w_row")).distinct(), F.col("row") == F.col("w_row"), "left_anti")
     good, _ = written(good, "align-good")
-    remove(texts.sparkSession, path)
+    remove(spark, path)
     return _tokenized(good, divided, path_a, path_b, budget)
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> Alignment:
+    spark = docs.sparkSession
     divided = divides_at_spaces(path_a, path_b)
     texts, _ = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "align-texts")
     # B reads the mark as a space, so a text that holds it is never spelled
     filled = texts.filter((F.col("text") != "") & (~F.contains("text", F.lit(MARK)) if divided else F.lit(True)))
-    filled, units, encoded = _tokenized(filled, divided, path_a, path_b, budget)
-    links, _ = written(align(encoded), "align-links")
+    filled, units, encoded, encoded_path = _tokenized(filled, divided, path_a, path_b, budget)
+    with _by_text_alone(spark):
+        links, _ = written(align(encoded), "align-links")
+    remove(spark, encoded_path)
     pairs, _ = written(pair_counts(links), "align-pairs")
+    remove(spark)
     scored = score_units(links, pairs, budget).withColumnRenamed("unit", "s_unit")
     known, _ = written(units.join(scored, F.col("unit") == F.col("s_unit")).select("u", "n", *NUMBERS, "groups"), "align-known")
 
+    remove(spark)
     entry = F.octet_length("k_u") + F.octet_length("groups") + 96
     often, seldom = _split(known.withColumnRenamed("u", "k_u"), "n", entry, budget)
     same = F.col("u") == F.col("k_u")
