@@ -7,7 +7,8 @@ connected, whatever their number, without writing out the pairs of a group:
 1. Equal sets are one class, named by a hash of the set.
 2. Shingles are counted over all documents.  Counts travel as packed sorted blocks, a
    range of hashes each.  The most frequent shingles (at most FREQUENT, whatever the
-   input) are known to every task, so that shingles can be ordered rare first.
+   input) are known to every task, so that shingles can be ordered rare first.  Ranges
+   grow in number with the bytes of text, so what a task gets does not.
 3. Of each class only the first n - ceil(3 n / 4) + l(n) shingles in that order are
    matched, with l(n) = max(1, n // 16): two sets that link share l of the smaller one
    among those.  Blocks again; a shingle in one class only falls away, and so does a
@@ -46,6 +47,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -59,29 +61,17 @@ GROUP, GROUP_SHINGLES, QUERIES, SIZE_STEP = 1024, 1 << 20, 2000, 1.15
 ANCHORS, ASKING, FEW = 16, 16, 1 << 17
 WORD = r"[^\x20\x09-\x0D]"
 SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
-FLUSH, SLICE = 1 << 19, 256
+FLUSH, MOST_HELD, SLICE, SLICE_BYTES = 1 << 19, 1 << 22, 256, 4 << 20
+RANGE_BYTES = 64 << 20  # of text whose shingles one range of hashes holds
 BLOOM_BITS, PAGE = 1 << 27, 1 << 15
 
 # --- shingles -------------------------------------------------------------------------------
 
 _rng = np.random.default_rng(58)
-_letters = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_base = int(_rng.integers(1, 1 << 62)) * 2 + 1
 _weights = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = 1 << max(12, int(n).bit_length())
-        for k, b in enumerate((_base, pow(_base, -1, 1 << 64))):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+_low_bytes = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -90,16 +80,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_places = [np.zeros(0, np.uint64)]
+
+
+def _keys(n: int) -> np.ndarray:
+    """A number for each place in a word."""
+    if len(_places[0]) < n:
+        _places[0] = _mix(np.arange(1, 1 << max(12, n.bit_length()), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _places[0]
+
+
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash for each run of bytes other than white space."""
-    b = np.frombuffer(raw, np.uint8)
-    gap = _space[b]
-    edge = np.flatnonzero(np.diff(gap, prepend=True, append=True))
-    start, end = edge[::2], edge[1::2]
-    power, inverse = _grown(len(b) + 1)
-    run = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_letters[b] * power[: len(b)], out=run[1:])
-    return _mix((run[end] - run[start]) * inverse[start] + (end - start).astype(np.uint64))
+    """A hash for each run of bytes other than white space.
+
+    Eight bytes at a time are mixed with a number for their place, one to one, and added up:
+    unlike a polynomial this has no family of long words that all get one hash.
+    """
+    n = len(raw)
+    gaps = np.flatnonzero(_space[np.frombuffer(raw, np.uint8)])
+    start = np.concatenate([[0], gaps + 1])
+    size = np.concatenate([gaps, [n]]) - start
+    start, size = start[size > 0], size[size > 0]
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    blocks = (size + 7) >> 3
+    last = np.cumsum(blocks)
+    first = last - blocks
+    place = np.arange(last[-1]) - np.repeat(first, blocks)
+    at = np.repeat(start, blocks) + (place << 3)
+    v = np.ndarray((n + 1,), "<u8", raw + bytes(8), strides=(1,))[at]
+    v[last - 1] &= _low_bytes[size - ((blocks - 1) << 3)]
+    return _mix(np.add.reduceat(_mix(v ^ _keys(int(blocks.max()))[place]), first) + size.astype(np.uint64))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -158,6 +169,17 @@ def _steps(sorted_values: np.ndarray) -> np.ndarray:
     return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
 
 
+def ranges_for(rows: DataFrame) -> int:
+    """Ranges of hashes, one for about RANGE_BYTES of text, so that a range's task stays as it is while the input grows."""
+    n = rows.agg(F.sum(F.octet_length("t").cast("decimal(38,0)"))).first()[0] or 0
+    return max(shuffle_partitions(rows.sparkSession), -(-int(n) // RANGE_BYTES))
+
+
+def held_at_most(ranges: int) -> int:
+    """Shingles that a task holds before it writes blocks: more where there are many ranges, so that blocks do not get too small."""
+    return min(max(FLUSH, 64 * ranges), MOST_HELD)
+
+
 def _ranges(top: np.ndarray, n: int) -> list[tuple[int, slice]]:
     """Slices by range of sorted 32-bit tops of hashes."""
     bounds = [-(-(k << 32) // n) for k in range(1, n)]
@@ -168,10 +190,14 @@ def _ranges(top: np.ndarray, n: int) -> list[tuple[int, slice]]:
 def _sets(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[int | None]]]:
     sole_memory("sets", lambda: None)
     for whole in batches:
-        for k in range(0, whole.num_rows, SLICE):
-            batch = whole.slice(k, SLICE)
+        upto = np.cumsum(np.concatenate([[0], np.asarray(pc.fill_null(pc.binary_length(whole.column(column)), 0))]))
+        k = 0
+        while k < whole.num_rows:  # by bytes, at least one row
+            end = min(max(int(np.searchsorted(upto, upto[k] + SLICE_BYTES, "right")) - 1, k + 1), k + SLICE, whole.num_rows)
+            batch = whole.slice(k, end - k)
             sets = [shingles(t) for t in batch.column(column).to_pylist()]
             yield batch, sets, [class_id(s) if len(s) else None for s in sets]
+            k = end
 
 
 def _count_pass(batches: Iterator[pa.RecordBatch], ranges: int, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -197,7 +223,7 @@ def _count_pass(batches: Iterator[pa.RecordBatch], ranges: int, key_type: pa.Dat
                 seen.add(c)
                 held.append((s >> np.uint64(32)).astype(np.uint32))
                 size += len(s)
-                if size >= FLUSH:
+                if size >= held_at_most(ranges):
                     yield blocks()
                     held, size = [], 0
     if held:
@@ -319,7 +345,7 @@ def _prefix_pass(batches: Iterator[pa.RecordBatch], ranges: int, counted) -> Ite
                 if len(t):
                     parts.append((t.copy(), c, len(s)))  # a view would hold the whole set
                     size += len(t)
-            if size >= FLUSH:
+            if size >= held_at_most(ranges):
                 yield from flush()
                 held, size = ([], []), 0
     yield from flush()
@@ -663,7 +689,7 @@ def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[st
     """Of rows (doc_id, t): (doc_id, n, cid) of each, matched shingles with their leads, and the sets to compare."""
     spark = rows.sparkSession
     small_batches(spark)
-    ranges = shuffle_partitions(spark)
+    ranges = ranges_for(rows)
     key = dict(rows.dtypes)["doc_id"]
     key_type = rows.select("doc_id").limit(0).toArrow().schema.field(0).type
     texts = rows.select("t")
@@ -725,7 +751,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     A class is the rows with one set, so copies are not expanded into pairs.  Here every
     class asks every group whose entries and union qualify, of its own component or not.
     """
-    kept, led, sets, _ = _compared(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")))
+    kept, led, sets, _ = _compared(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")))
     nodes, _ = _grouped(led)
     opened, _ = written(_own_links(nodes, sets, True), "jaccard-opened")
     alone = nodes.select("cid", "n", "grp", F.col("cid").alias("comp"), F.lit(1).cast("long").alias("of"), F.lit(True).alias("ask"))
@@ -737,7 +763,7 @@ def similar_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs."""
-    kept, parts, _ = _components(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")))
+    kept, parts, _ = _components(docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("t")))
     least = kept.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least")).select(F.col("cid").alias("c"), "least")
     of = least.join(parts, F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("component", "c").alias("comp"))
     least_of = of.groupBy("comp").agg(F.min("least").alias("component_id")).select(F.col("comp").alias("k"), "component_id")

@@ -518,3 +518,13 @@ def test_mixing_takes_nothing_more_often_than_it_may(spark):
     for budget in (1.0, 2.9, 5.0):
         assert max(r.copies for r in mixing.mix(table, budget=budget)[0].collect()) <= 3
         assert mixing.take(table, budget=budget).groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
+
+
+def test_ranges_grow_with_the_text(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, f"word{k} " * 50) for k in range(40)] + [(99, None)], "doc_id long, t string")
+    few = jaccard_tgm.ranges_for(rows)
+    monkeypatch.setattr(jaccard_tgm, "RANGE_BYTES", 100)
+    assert jaccard_tgm.ranges_for(rows) > 100 > few and jaccard_tgm.ranges_for(rows.limit(0)) == few
+    named = rows.select("doc_id", F.col("t").alias("a.b"))
+    out = jaccard_tgm.near_duplicates(named.withColumnRenamed("doc_id", "x.y"), "x.y", "a.b")  # many ranges, and names with a dot
+    assert sorted(r.component_id for r in out.collect()) == [*range(40), 99]

@@ -382,3 +382,34 @@ def test_media_of_other_shapes():
 
 def test_crc_fold_of_python_is_that_of_the_contract():
     assert zlib.crc32(b"12") % 5 == zlib.crc32(str(12).encode()) % 5
+
+
+def _thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("power", [10, 11, 12])
+def test_word_hashes_of_words_that_polynomials_confuse(power):
+    """A Thue-Morse word and its complement have one value under every polynomial modulo 2^64."""
+    words = [_thue_morse(1 << power, x) for x in ("ab", "ba", "xy", "yx", "a0", "0a")]
+    assert len({int(jaccard_tgm.word_hashes(w.encode())[0]) for w in words}) == len(words)
+    assert jaccard_tgm.class_id(jaccard_tgm.shingles(words[0])) != jaccard_tgm.class_id(jaccard_tgm.shingles(words[1]))
+
+
+def test_word_hashes_depend_on_the_word_alone():
+    rng = np.random.default_rng(8)
+    words = {bytes(rng.choice(list(b"ab\x80\xff"), rng.integers(1, 40))) for _ in range(20_000)} | {b"a" * k for k in range(1, 600)}
+    words = sorted(words)
+    for gap in (b" ", b"\n\t ", b"\x0b"):
+        got = jaccard_tgm.word_hashes(gap + gap.join(words) + gap)
+        assert len(got) == len(words) == len(set(got.tolist()))
+        assert got.tolist() == [int(jaccard_tgm.word_hashes(w)[0]) for w in words]
+    assert len(jaccard_tgm.word_hashes(b" \n ")) == len(jaccard_tgm.word_hashes(b"")) == 0
+
+
+def test_sets_are_cut_by_bytes(monkeypatch):
+    monkeypatch.setattr(jaccard_tgm, "SLICE_BYTES", 100)
+    texts = ["a b c", None, "word " * 100, "", "x y z " * 5, "q"] * 50
+    cut = [b.column(0).to_pylist() for b, _, _ in jaccard_tgm._sets(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])]), 0)]
+    assert [t for c in cut for t in c] == texts and all(len(c) == 1 or sum(len(t or "") for t in c) <= 100 for c in cut)
+    assert list(jaccard_tgm._sets(iter([pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["t"])]), 0)) == []
