@@ -6,14 +6,17 @@ each recorded with its reference, the place of its placeholder and the number of
 it expands to.  A turn is ``<|im_start|>role\\nbody<|im_end|>\\n``.
 
 Escaping is reversible and leaves no control string in a body: every ``<``, backslashes,
-``|`` gets one more backslash, so ``<|`` occurs only where the template wrote it.
+``|`` gets one more backslash, so ``<|`` occurs only where the template wrote it.  Texts
+that follow each other are escaped as one, so no control string arises across their border;
+a placeholder begins with ``<`` and ends with ``>``, so none arises beside one either.
 
 Turns are formatted one row each, so a conversation of any length streams: rows are
 partitioned by conversation and sorted, never gathered.  Loss spans are code points
 counted from the start of the conversation's formatted text, over assistant texts.
 
-Defined cases: null text, role and parts count as empty; a null conv_id is a
-conversation of its own; rows with equal turns are ordered by role, then content; an
+Defined cases: null text, role and parts count as empty; a part of unknown type becomes a
+placeholder ``<|other|>`` of no tokens; sizes that are null, negative or not finite count as
+0; texts that follow each other read back as one; a null conv_id is a conversation of its own; rows with equal turns are ordered by role, then content; an
 empty table gives no rows; other columns of the input are not used.
 """
 
@@ -35,10 +38,11 @@ FORMATTED = (
     "conv_id long, seq long, role string, formatted string, conv_offset long, loss_start long, loss_end long, "
     "expanded_tokens long, attachments array<struct<kind:string,ref:string,at:long,tokens:long>>"
 )
+MOST_TOKENS = 1 << 53  # of one attachment
 START, END = "<|im_start|>", "<|im_end|>"
 _escape, _unescape = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
 _turn = re.compile(r"<\|im_start\|>([^\n<]*)\n(.*)<\|im_end\|>\n", re.S)
-_placeholder = re.compile(r"<\|(image|audio|document)\|>")
+_placeholder = re.compile(r"<\|(image|audio|document|other)\|>")
 _roles = {"\\": "\\\\", "\n": "\\n", "<": "\\l"}
 _back = {v[1]: k for k, v in _roles.items()}
 
@@ -64,48 +68,67 @@ class PartVisitor:
 
     tile, tile_tokens, base_tokens, tokens_per_second, tokens_per_page = 512, 170, 85, 25.0, 256
 
-    def __init__(self) -> None:
+    def __init__(self, strict: bool = True) -> None:
+        self.strict = strict  # whether an unknown type is an error; in tables it is not
         self.body: list[str] = []
         self.length = 0
         self.tokens = 0
         self.attachments: list[dict] = []
+        self.texts: list[str] = []  # those since the last placeholder
 
     def visit(self, part) -> None:
         kind = part["type"] or "text"
         method = getattr(self, f"visit_{kind}", None)
         if method is None:
-            raise ValueError(f"unknown content part type: {kind}")
+            if self.strict:
+                raise ValueError(f"unknown content part type: {kind}")
+            method = self.visit_other
         method(part)
 
+    def close(self) -> None:
+        """Escapes the texts that follow each other, as one."""
+        if self.texts:
+            self._put(escape("".join(self.texts)))
+            self.texts = []
+
     def _put(self, text: str) -> None:
         self.body.append(text)
         self.length += len(text)
 
     def _attach(self, kind: str, part, tokens: int) -> None:
+        self.close()
         self.attachments.append({"kind": kind, "ref": part["ref"], "at": self.length, "tokens": tokens})
         self.tokens += tokens
         self._put(f"<|{kind}|>")
 
+    @staticmethod
+    def _size(value) -> float:
+        return value if value is not None and 0 < value < math.inf else 0
+
     def visit_text(self, part) -> None:
-        self._put(escape(part["text"] or ""))
+        self.texts.append(part["text"] or "")
 
     def visit_image(self, part) -> None:
-        tiles = math.ceil((part["width"] or 0) / self.tile) * math.ceil((part["height"] or 0) / self.tile)
+        tiles = math.ceil(self._size(part["width"]) / self.tile) * math.ceil(self._size(part["height"]) / self.tile)
         self._attach("image", part, self.base_tokens + self.tile_tokens * tiles)
 
     def visit_audio(self, part) -> None:
-        self._attach("audio", part, math.ceil((part["seconds"] or 0) * self.tokens_per_second))
+        self._attach("audio", part, min(math.ceil(self._size(part["seconds"]) * self.tokens_per_second), MOST_TOKENS))
 
     def visit_document(self, part) -> None:
-        self._attach("document", part, self.tokens_per_page * (part["pages"] or 0))
+        self._attach("document", part, self.tokens_per_page * self._size(part["pages"]))
+
+    def visit_other(self, part) -> None:
+        self._attach("other", part, 0)
 
 
-def flatten(content) -> PartVisitor:
-    visitor = PartVisitor()
+def flatten(content, strict: bool = True) -> PartVisitor:
+    visitor = PartVisitor(strict)
     parts = [{"type": "text", "text": content}] if content is None or isinstance(content, str) else content
     for part in parts:
         if part is not None:
             visitor.visit(part)
+    visitor.close()
     return visitor
 
 
@@ -137,7 +160,7 @@ def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
                 if not began or not _same(c, current):
                     current, seq, offset, began = c, 0, 0, True
                 r = r or ""
-                v = flatten(x)
+                v = flatten(x, False)
                 body, head = "".join(v.body), f"{START}{escape_role(r)}\n"
                 text = f"{head}{body}{END}\n"
                 start = offset + len(head)
@@ -151,7 +174,7 @@ def format_chat(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
                 out[k] = out[k].astype("Int64")
             yield out
 
-    rows = df.select(F.col(conv).cast("long").cast("string").alias("c"), F.col(turn).alias("t"), F.col(role).alias("r"), F.col(content).alias("x"))
+    rows = df.select(F.col(f"`{conv}`").cast("long").cast("string").alias("c"), F.col(f"`{turn}`").alias("t"), F.col(f"`{role}`").alias("r"), F.col(f"`{content}`").alias("x"))
     return rows.repartition("c").sortWithinPartitions("c", "t", F.coalesce("r", F.lit("")), "x").mapInPandas(run, FORMATTED)
 
 

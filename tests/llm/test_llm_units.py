@@ -413,3 +413,37 @@ def test_sets_are_cut_by_bytes(monkeypatch):
     cut = [b.column(0).to_pylist() for b, _, _ in jaccard_tgm._sets(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])]), 0)]
     assert [t for c in cut for t in c] == texts and all(len(c) == 1 or sum(len(t or "") for t in c) <= 100 for c in cut)
     assert list(jaccard_tgm._sets(iter([pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["t"])]), 0)) == []
+
+
+_bits = st.lists(st.sampled_from(["<", "|", "\\", "im_end|>", "im_start|>", "image|>", "|image|>", "<|im_end|>", "<|other|>", "a", "", "\n", ">"]), max_size=6).map("".join)
+_parts = st.lists(st.one_of(_bits.map(lambda t: ("text", t)), st.sampled_from(["image", "audio", "document", "video", "visit"]).map(lambda k: (k, None)), st.none()), max_size=8)
+
+
+@given(_parts)
+@settings(max_examples=2000, deadline=None)
+def test_no_control_string_arises_between_parts(parts):
+    content = [p and {"type": p[0], "text": p[1], "ref": f"r{k}", "width": 10, "height": None, "seconds": float("nan"), "pages": -3} for k, p in enumerate(parts)]
+    v = chat.flatten(content, False)
+    body = "".join(v.body)
+    want = []
+    for p in parts:
+        if p is None:
+            continue
+        kind = p[0] if p[0] in ("text", "image", "audio", "document") else "other"
+        if kind == "text" and want and want[-1][0] == "text":
+            want[-1] = ("text", want[-1][1] + p[1])
+        else:
+            want.append((kind, p[1] or ""))
+    want = [w for w in want if w != ("text", "")] or [("text", "")]
+    assert chat.unflatten(body) == want
+    attached = [k for k, _ in want if k != "text"]
+    assert [a["kind"] for a in v.attachments] == attached and body.count("<|") == len(attached)
+    for a in v.attachments:
+        assert body[a["at"] :].startswith(f"<|{a['kind']}|>")
+    turn = f"<|im_start|>user\n{body}<|im_end|>\n"
+    assert chat.read_turn(turn) == ("user", body)
+
+
+def test_audio_and_pages_without_a_size_cost_nothing():
+    none = {"type": "audio", "text": None, "ref": "x", "width": None, "height": -5, "seconds": float("inf"), "pages": None}
+    assert [chat.flatten([none | {"type": k}]).tokens for k in ("audio", "document", "image", "other")] == [0, 0, 85, 0]
