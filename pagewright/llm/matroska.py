@@ -9,7 +9,8 @@ to a positive multiple of 576.  The file holds nothing but the payload and const
 equal texts give equal files.
 
 Defined cases: null text counts as empty (one frame of padding); null media gives no
-packets; damaged media gives the packets before the damage and an error text; equal rows
+packets; damaged media gives the packets before the damage and an error text, and so do
+numbers beyond the columns that hold them; equal rows
 give equal results; empty tables give empty results; other columns are not read.
 """
 
@@ -187,15 +188,36 @@ def _block(data: bytes, at: int, end: int, cluster_time: int, media: Media, simp
         raise Damaged(f"lace sizes beyond the block at {at}")
     step = media.tracks.get(track, {}).get("frame_ns", 0)
     began = (cluster_time + relative) * media.scale
+    _fits(track, 32, "track number")
+    _fits(began, 64, "time")
+    _fits(began + step * len(sizes), 64, "time")
     for k, size in enumerate(sizes):
         media.packets.append((track, began + k * step, at, size, bool(flags & 0x80) if simple else key, k))
         at += size
 
 
+def _fits(value: int, bits: int, what: str) -> int:
+    if not -(1 << bits - 1) <= value < 1 << bits - 1:
+        raise Damaged(f"{what} {value} beyond {bits} bits")
+    return value
+
+
+def _real(data: bytes, a: int, b: int) -> float:
+    """A float of 4 or 8 bytes; one of none is 0."""
+    if b - a not in (0, 4, 8):
+        raise Damaged(f"float of {b - a} bytes at {a}")
+    return struct.unpack({0: ">0s", 4: ">f", 8: ">d"}[b - a], data[a:b])[0] or 0.0
+
+
 def demux(data: bytes) -> Media:
     """Everything that can be read, and the error that ended the reading."""
     media = Media()
-    number = lambda a, b: int.from_bytes(data[a:b], "big")
+
+    def number(a: int, b: int) -> int:
+        if b - a > 8:
+            raise Damaged(f"number of {b - a} bytes at {a}")
+        return int.from_bytes(data[a:b], "big")
+
     try:
         seen = False
         for ident, a, b in _elements(data, 0, len(data)):
@@ -246,7 +268,8 @@ def _segment(data: bytes, a: int, b: int, media: Media, number) -> None:
                         elif y == CUE_AT:
                             got = {z: number(t, u) for z, t, u in _elements(data, r, s)}
                             places.append((got.get(CUE_TRACK, 0), a + got.get(CUE_CLUSTER, 0), got.get(CUE_RELATIVE)))
-                    media.cues += [(when, *place) for place in places]
+                    for track, cluster, relative in places:
+                        media.cues.append((_fits(when, 64, "cue time"), _fits(track, 32, "track number"), _fits(cluster, 64, "cue place"), relative))
 
 
 def _track(data: bytes, p: int, q: int, media: Media, number) -> None:
@@ -264,7 +287,7 @@ def _track(data: bytes, p: int, q: int, media: Media, number) -> None:
         elif x == AUDIO:
             for y, t, u in _elements(data, r, s):
                 if y == HERTZ:
-                    entry["rate"] = struct.unpack(">d" if u - t == 8 else ">f", data[t:u])[0]
+                    entry["rate"] = _real(data, t, u)
                 elif y == CHANNELS:
                     entry["channels"] = number(t, u)
                 elif y == DEPTH:
@@ -303,7 +326,7 @@ def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
             columns = list(zip(*rows)) or [()] * len(types)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]], names)
 
-    return df.select(F.col(key).alias("k"), F.col(media).alias("m")).mapInArrow(run, f"key {kind}, {PACKETS}").withColumnRenamed("key", key)
+    return df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{media}`").alias("m")).mapInArrow(run, f"key {kind}, {PACKETS}").withColumnRenamed("key", key)
 
 
 def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text", lacing: str = "fixed") -> DataFrame:
@@ -316,7 +339,7 @@ def store_texts(df: DataFrame, key: str = "doc_id", text: str = "text", lacing:
             yield pa.RecordBatch.from_arrays([batch.column(0), media, pa.array([n for _, n in made], pa.int64())], ["k", "media", "n_bytes"])
 
     kind = dict(df.dtypes)[key]
-    return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, media binary, n_bytes long").withColumnRenamed("k", key)
+    return df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).mapInArrow(run, f"k {kind}, media binary, n_bytes long").withColumnRenamed("k", key)
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long"
@@ -335,7 +358,7 @@ def read_features(df: DataFrame, key: str = "doc_id", media: str = "media", n_by
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names)
 
-    picked = df.select(F.col(key).alias("k"), F.col(media).alias("m"), F.col(n_bytes).alias("n"))
+    picked = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{media}`").alias("m"), F.col(f"`{n_bytes}`").alias("n"))
     return picked.mapInArrow(run, f"key {kind}, n_bytes long, {FEATURES}").withColumnRenamed("key", key)
 
 

@@ -6,7 +6,7 @@ either ends at one byte the text is cut: what lies between two cuts is a group.
 linked if their byte ranges overlap.
 
 How: tokens are exploded with their places, a window's running sum of their lengths gives their
-ends, and A and B meet in a full equi-join on text and end.  Read from the end, the running count of
+ends, and A and B meet in a full equi-join on text and end, a row for each end of either.  Read from the end, the running count of
 rows that both sides have numbers the groups, and the last id seen of either side is the token that
 covers the bytes up to there.  Each row then is one link: two tokens overlap in a single range, and
 that range ends where one of the two does.  So links are found without comparing a group's
@@ -18,9 +18,10 @@ its units, one after the other, and every boundary of units is a cut.  A unit is
 aligned once for all its occurrences, with their number as its weight.  Where a tokenizer is of
 another kind, whole texts are units.
 
-Back to documents: of the units, and of the pairs of ids, the most frequent ones within a budget of bytes
-are broadcast; the others, of which none is frequent, are joined by a shuffle.  So no key is hot, at any
-size: what is not broadcast occurs less than (bytes of all texts) / (budget) times.
+Back to documents: of the units, and of the pairs of ids, the most frequent ones within a budget
+of bytes are broadcast; the others, of which none is frequent, are joined by a shuffle.  So no key
+is hot, at any size: what is not broadcast occurs less than (bytes of all texts) / (budget) times.
+A document's units become codes in one pass, and its groups are put together from them in another.
 
 Defined cases: null and empty texts, and texts whose joined tokens are not space+text in either
 tokenizer (as with the space mark itself in the text), have no tokens: zeros and no groups; rows
@@ -32,16 +33,16 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remove, written
+from .common import remove, small_batches, written
 from .spm_wfst import MARK, NORMAL, USER, _fields
 from .token_index import tokenizer_path
 
@@ -160,49 +161,85 @@ def encode_units(units: DataFrame, path_a: str, path_b: str, divided: bool) -> D
     return units.select("unit", "u", "n").mapInArrow(run, f"unit long, n long, a {TOKENS}, b {TOKENS}")
 
 
-def _ends(encoded: DataFrame, side: str, *more: str) -> DataFrame:
-    """(unit, id, end): tokens with the byte after their last one."""
-    rows = encoded.select("unit", *more, F.posexplode(side).alias("pos", "token"))
+def _ends(encoded: DataFrame, side: str) -> DataFrame:
+    """(unit, n, end, a_id, b_id): a side's tokens with the byte after their last one; the other side's id is null."""
+    rows = encoded.select("unit", "n", F.posexplode(side).alias("pos", "token"))
     so_far = Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(F.col("unit").alias(f"{side}_unit"), *more, F.col("token.id").alias(f"{side}_id"), F.sum("token.n").over(so_far).alias(f"{side}_end"))
+    ids = [(F.col("token.id") if s == side else F.lit(None).cast("int")).alias(f"{s}_id") for s in ("a", "b")]
+    return rows.select("unit", "n", F.sum("token.n").over(so_far).alias("end"), *ids)
 
 
 def align(encoded: DataFrame) -> DataFrame:
-    """A row for each link, of rows (unit, n, a, b): (unit, n, end, grp, a, b, a_ends, b_ends).
+    """A row for each link, of rows (unit, n, a, b): (unit, n, end, grp, a, b, a_ends, b_ends), a unit's from its end.
 
     ``grp`` numbers the groups from the unit's last one; ``a_ends``: token a's last byte is here.
+    Ends are unique on either side, so a row a unit and end is their full equi-join; written as a
+    grouping it leaves the tables dealt by unit as they are, and the window needs no other shuffle.
     """
     dealt = encoded.repartition("unit")
-    a, b = _ends(dealt, "a", "n"), _ends(dealt, "b")
-    met = a.join(b, (F.col("a_unit") == F.col("b_unit")) & (F.col("a_end") == F.col("b_end")), "full")
-    met = met.select(F.coalesce("a_unit", "b_unit").alias("unit"), F.coalesce("a_end", "b_end").alias("end"), "n", "a_id", "b_id")
+    met = _ends(dealt, "a").unionByName(_ends(dealt, "b")).groupBy("unit", "end").agg(F.max("n").alias("n"), F.max("a_id").alias("a_id"), F.max("b_id").alias("b_id"))
     back = Window.partitionBy("unit").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
     here = lambda c: F.last(c, True).over(back)
     a_ends, b_ends = F.col("a_id").isNotNull(), F.col("b_id").isNotNull()
     grp = F.sum(F.when(a_ends & b_ends, 1).otherwise(0)).over(back)
-    return met.select("unit", here("n").alias("n"), "end", grp.cast("int").alias("grp"), here("a_id").alias("a"), here("b_id").alias("b"), a_ends.alias("a_ends"), b_ends.alias("b_ends"))
+    return met.select("unit", "n", "end", grp.cast("int").alias("grp"), here("a_id").alias("a"), here("b_id").alias("b"), a_ends.alias("a_ends"), b_ends.alias("b_ends"))
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
-    """(a, b, links, rows, best): how many links hold the pair, in how many rows, and whether no other pair of b has more."""
-    counted = links.groupBy("a", "b").agg(F.sum("n").alias("links"), F.count(F.lit(1)).alias("rows"))
+def _joined_ids(ids: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Ids as text, joined by commas within the runs that begin at ``first``."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)), pa.int32()), pc.cast(pa.array(ids), pa.string())), ",")
+
+
+def _unit_rows(table: pa.Table) -> pa.RecordBatch:
+    """Whole units' links, from the end, as a row a unit."""
+    unit, n, grp, a, b, a_ends, b_ends = (np.ascontiguousarray(table.column(c).to_numpy()[::-1]) for c in ("unit", "n", "grp", "a", "b", "a_ends", "b_ends"))
+    first = np.flatnonzero(np.diff(unit, prepend=unit[0] - 1))
+    new = np.diff(grp, prepend=grp[0] - 1) != 0
+    new[first] = True
+    group = np.cumsum(new) - 1  # of every link
+    sides = [_joined_ids(x[ends], np.flatnonzero(np.diff(group[ends], prepend=-1))) for x, ends in ((a, a_ends), (b, b_ends))]
+    whole = pc.binary_join_element_wise(*sides, "|")
+    groups = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(group[first], len(whole)), pa.int32()), whole), ";")
+    count = lambda x: np.add.reduceat(x.astype(np.int64), first)
+    links = pa.ListArray.from_arrays(pa.array(np.append(first, len(a)), pa.int32()), pa.StructArray.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]))
+    columns = [unit[first], n[first], count(a_ends), count(b_ends), count(new), np.diff(np.append(first, len(a)))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), groups, links], ["unit", "n", "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+
+
+def gather(links: DataFrame) -> DataFrame:
+    """A row for each unit, of align's rows: its numbers, its groups as text, and its links (a, b) in order.
+
+    A unit's rows come one after the other, as the window left them, and only whole units are
+    put together: the last unit of a batch waits for the next one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            unit = batch.column(0).to_numpy()
+            whole = int(np.flatnonzero(np.diff(unit, prepend=unit[0] - 1))[-1])  # rows before those of the last unit
+            if whole or (held and held[-1].column(0)[0].as_py() != unit[0]):
+                done = [*held, batch.slice(0, whole)]
+                yield _unit_rows(pa.Table.from_batches(done))
+                held = []
+            held.append(batch.slice(whole))
+        if held:
+            yield _unit_rows(pa.Table.from_batches(held))
+
+    rows = links.select("unit", "n", "grp", "a", "b", "a_ends", "b_ends")
+    return rows.mapInArrow(run, "unit long, n long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int>>")
+
+
+def pair_counts(aligned: DataFrame) -> DataFrame:
+    """(a, b, links, rows, best): how many links hold the pair, in how many of its units' links, and whether no other pair of b has more."""
+    counted = aligned.select("n", F.explode("links").alias("x")).groupBy("x.a", "x.b").agg(F.sum("n").alias("links"), F.count(F.lit(1)).alias("rows"))
     counted, _ = written(counted, "token-pairs")
     most = counted.groupBy(F.col("b").alias("m_b")).agg(F.max("links").alias("most"))  # a row an id of B's vocabulary
     return counted.join(F.broadcast(most), F.col("b") == F.col("m_b")).select("a", "b", "links", "rows", (F.col("links") == F.col("most")).alias("best"))
 
 
-@contextmanager
-def _by_text_alone(spark: SparkSession) -> Iterator[None]:
-    """Within, tables dealt by text join on text and end as they are."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _bucket(weight: str) -> Column:
     return F.floor(F.log2(F.col(weight)) * 4).cast("int")
 
@@ -224,24 +261,14 @@ def _split(table: DataFrame, weight: str, size: Column, budget: int) -> tuple[Da
     return table.filter(_bucket(weight) >= bucket), table.filter(_bucket(weight) < bucket)
 
 
-def score_units(links: DataFrame, pairs: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """By unit: numbers of tokens, groups and links, of best links, the sum of their counts, and the groups as text."""
-    pairs = pairs.select(F.col("a").alias("p_a"), F.col("b").alias("p_b"), "links", "rows", "best")
+def score_units(aligned: DataFrame, pairs: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """(unit, n_best, count_sum): links whose pair is the most frequent of its b, and the sum of all links' counts."""
+    pairs = pairs.select(F.col("a").alias("p_a"), F.col("b").alias("p_b"), F.col("links").alias("held"), "rows", "best")
     often, seldom = _split(pairs, "rows", F.lit(64), budget)
+    links = aligned.select("unit", F.explode("links").alias("x")).select("unit", "x.a", "x.b")
     on = (F.col("a") == F.col("p_a")) & (F.col("b") == F.col("p_b"))
     scored = links.join(F.broadcast(often), on).unionByName(links.join(F.broadcast(often.select("p_a", "p_b")), on, "left_anti").join(seldom, on))
-    both = F.col("a_ends") & F.col("b_ends")
-    token = F.struct("end", F.when(F.col("a_ends"), F.col("a")).alias("a"), F.when(F.col("b_ends"), F.col("b")).alias("b"))
-    number = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    by_unit = scored.groupBy("unit").agg(
-        number(F.col("a_ends")).alias("n_a"), number(F.col("b_ends")).alias("n_b"), number(both).alias("n_groups"), F.count(F.lit(1)).alias("n_links"),
-        number(F.col("best")).alias("n_best"), F.sum("links").alias("count_sum"), F.array_sort(F.collect_list(token)).alias("tokens"),
-    )
-    cut = lambda x: F.when(x.a.isNotNull() & x.b.isNotNull(), F.lit(";")).otherwise(F.lit(","))
-    side = lambda c: F.split(F.array_join(F.transform(F.filter("tokens", lambda x: x[c].isNotNull()), lambda x: F.concat(x[c].cast("string"), cut(x))), ""), ";")
-    # either side's text ends in the last group's cut, so both lists have one empty entry more
-    both_sides = F.zip_with(F.slice(side("a"), F.lit(1), F.col("n_groups").cast("int")), F.slice(side("b"), F.lit(1), F.col("n_groups").cast("int")), lambda x, y: F.concat(x, F.lit("|"), y))
-    return by_unit.select("unit", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.array_join(both_sides, ";").alias("groups"))
+    return scored.groupBy("unit").agg(F.sum(F.when(F.col("best"), 1).otherwise(0)).alias("n_best"), F.sum("held").alias("count_sum"))
 
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
@@ -249,18 +276,78 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 @dataclass(frozen=True)
 class Alignment:
-    """documents: (row, doc_id, numbers, groups); units: (u, n, numbers, groups); links: by unit; pairs: counts of id pairs."""
+    """documents: (row, doc_id, numbers, groups); units: (u, n, numbers, groups); aligned: their links; pairs: counts of id pairs."""
 
     documents: DataFrame
     units: DataFrame
-    links: DataFrame
+    aligned: DataFrame
     pairs: DataFrame
 
 
-def _gathered(rows: DataFrame, prefix: str) -> DataFrame:
-    """By row: sums, and the groups of its units with their places."""
-    sums = [F.sum(c).alias(f"{prefix}_{c}") for c in NUMBERS]
-    return rows.groupBy("row").agg(*sums, F.collect_list(F.struct("pos", "groups")).alias(f"{prefix}_parts")).withColumnRenamed("row", f"{prefix}_row")
+# --- from units back to documents -----------------------------------------------------------
+
+
+class _Known:
+    """The broadcast units, and their groups and numbers by place."""
+
+    def __init__(self, table: pa.Table) -> None:
+        self.u, self.groups = (pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], pa.string()) for c in ("k_u", "groups"))
+        self.numbers = np.stack([table.column(c).to_numpy() for c in NUMBERS], 1) if table.num_rows else np.zeros((1, len(NUMBERS)), np.int64)
+
+
+def _starts(lists: pa.ListArray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
+def _code(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """Rows (row, doc_id, units): each unit's place among the known ones, -1 for the others, which follow as texts."""
+    table = known.value
+    for batch in batches:
+        at, flat = _starts(batch.column(2)), batch.column(2).flatten()
+        places = pc.fill_null(pc.index_in(flat, table.u), -1).to_numpy()
+        other = places < 0
+        upto = np.concatenate([[0], np.cumsum(other)])[at]
+        codes, others = (pa.ListArray.from_arrays(pa.array(x, pa.int32()), v) for x, v in ((at, pa.array(places, pa.int32())), (upto, flat.filter(pa.array(other)))))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes, others], ["row", "doc_id", "codes", "others"])
+
+
+def _assemble(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """Rows (row, doc_id, codes, groups of the others in order, their numbers): a document's numbers and groups."""
+    table = known.value
+    for batch in batches:
+        at, places = _starts(batch.column(2)), batch.column(2).flatten().to_numpy()
+        other = places < 0
+        groups = pc.take(table.groups, pa.array(places, pa.int32(), mask=other))
+        if other.any():
+            groups = pc.replace_with_mask(groups, pa.array(other), batch.column(3).flatten())
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), groups), ";")
+        numbers = []
+        for k in range(len(NUMBERS)):
+            upto = np.concatenate([[0], np.cumsum(np.where(other, 0, table.numbers[np.maximum(places, 0), k]))])
+            numbers.append(pa.array(np.diff(upto[at]) + pc.fill_null(batch.column(4 + k), 0).to_numpy()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, whole], ["row", "doc_id", *NUMBERS, "groups"])
+
+
+def _documents(filled: DataFrame, known: DataFrame, divided: bool, budget: int) -> DataFrame:
+    """(row, doc_id, numbers, groups) of texts by their units.
+
+    Known units within the budget are looked up where the texts are; the others of a document are
+    joined by their text, and meet its codes by row.
+    """
+    spark = filled.sparkSession
+    doc_id = dict(filled.dtypes)["doc_id"]
+    entry = F.octet_length("k_u") + F.octet_length("groups") + 96
+    often, seldom = _split(known.withColumnRenamed("u", "k_u"), "n", entry, budget)
+    table = spark.sparkContext.broadcast(_Known(often.select("k_u", *NUMBERS, "groups").toArrow()))
+    units = filled.select("row", "doc_id", units_of(F.col("text"), divided).alias("units"))
+    coded, _ = written(units.mapInArrow(lambda b: _code(b, table), f"row long, doc_id {doc_id}, codes array<int>, others array<string>"), "align-codes")
+    other = coded.select("row", F.posexplode("others").alias("pos", "u")).join(seldom, F.col("u") == F.col("k_u"))
+    sums = [F.sum(c).alias(c) for c in NUMBERS]
+    other = other.groupBy("row").agg(*sums, F.array_sort(F.collect_list(F.struct("pos", "groups"))).alias("parts")).withColumnRenamed("row", "o_row")
+    met = coded.select("row", "doc_id", "codes").join(other, F.col("row") == F.col("o_row"), "left")
+    groups = F.coalesce(F.transform("parts", lambda p: p.groups), F.array().cast("array<string>"))
+    columns = ", ".join(f"{c} long" for c in NUMBERS)
+    return met.select("row", "doc_id", "codes", groups.alias("others"), *NUMBERS).mapInArrow(lambda b: _assemble(b, table), f"row long, doc_id {doc_id}, {columns}, groups string")
 
 
 def _placed(texts: DataFrame, divided: bool) -> DataFrame:
@@ -290,31 +377,24 @@ def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> Alignment:
     spark = docs.sparkSession
+    small_batches(spark)
     divided = divides_at_spaces(path_a, path_b)
     texts, _ = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "align-texts")
     # B reads the mark as a space, so a text that holds it is never spelled
     filled = texts.filter((F.col("text") != "") & (~F.contains("text", F.lit(MARK)) if divided else F.lit(True)))
-    filled, units, encoded, encoded_path = _tokenized(filled, divided, path_a, path_b, budget)
-    with _by_text_alone(spark):
-        links, _ = written(align(encoded), "align-links")
-    remove(spark, encoded_path)
-    pairs, _ = written(pair_counts(links), "align-pairs")
-    remove(spark)
-    scored = score_units(links, pairs, budget).withColumnRenamed("unit", "s_unit")
-    known, _ = written(units.join(scored, F.col("unit") == F.col("s_unit")).select("u", "n", *NUMBERS, "groups"), "align-known")
-
+    filled, units, encoded, path = _tokenized(filled, divided, path_a, path_b, budget)
+    aligned, _ = written(gather(align(encoded)), "align-units")
+    remove(spark, path)
+    pairs = pair_counts(aligned)
+    scored = score_units(aligned, pairs, budget).withColumnRenamed("unit", "s_unit")
+    numbers = aligned.drop("n", "links").withColumnRenamed("unit", "a_unit")
+    known = units.join(numbers, F.col("unit") == F.col("a_unit")).join(scored, F.col("unit") == F.col("s_unit")).select("u", "n", *NUMBERS, "groups")
+    known, _ = written(known, "align-known")
     remove(spark)
-    entry = F.octet_length("k_u") + F.octet_length("groups") + 96
-    often, seldom = _split(known.withColumnRenamed("u", "k_u"), "n", entry, budget)
-    same = F.col("u") == F.col("k_u")
-    near = _gathered(_placed(filled.repartition("row"), divided).join(F.broadcast(often), same), "f")
-    far = _gathered(_placed(filled, divided).join(F.broadcast(often.select("k_u")), same, "left_anti").join(seldom, same), "s")
-    out = texts.select("row", "doc_id").join(near, F.col("row") == F.col("f_row"), "left").join(far, F.col("row") == F.col("s_row"), "left")
-    none = F.array().cast("array<struct<pos:int,groups:string>>")
-    parts = F.array_sort(F.concat(F.coalesce("f_parts", none), F.coalesce("s_parts", none)))
-    numbers = [(F.coalesce(f"f_{c}", F.lit(0)) + F.coalesce(f"s_{c}", F.lit(0))).cast("long").alias(c) for c in NUMBERS]
-    groups = F.array_join(F.transform(parts, lambda p: p.groups), ";")
-    return Alignment(out.select("row", "doc_id", *numbers, groups.alias("groups")), known, links, pairs)
+    found = _documents(filled, known, divided, budget)
+    rest = texts.select("row", "doc_id").join(filled.select(F.col("row").alias("f_row")), F.col("row") == F.col("f_row"), "left_anti")
+    none = rest.select("row", "doc_id", *[F.lit(0).cast("long").alias(c) for c in NUMBERS], F.lit("").alias("groups"))
+    return Alignment(found.unionByName(none), known, aligned, pairs)
 
 
 def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -528,3 +528,20 @@ def test_ranges_grow_with_the_text(spark, monkeypatch):
     named = rows.select("doc_id", F.col("t").alias("a.b"))
     out = jaccard_tgm.near_duplicates(named.withColumnRenamed("doc_id", "x.y"), "x.y", "a.b")  # many ranges, and names with a dot
     assert sorted(r.component_id for r in out.collect()) == [*range(40), 99]
+
+
+def test_damaged_media_give_error_rows(spark):
+    rng = random.Random(12)
+    texts = ["", "short", "é" * 3000, "word " * 2000]
+    whole = [matroska.mux(matroska.padded(t)[0], lacing) for t in texts for lacing in matroska.LACING]
+    files = []
+    for k in range(2000):
+        data = bytearray(rng.choice(whole))
+        for _ in range(rng.randint(1, 3)):
+            data[rng.randrange(min(300, len(data)))] = rng.randrange(256)
+        files.append((k, bytes(data[: rng.randrange(1, len(data))] if rng.random() < 0.2 else data)))
+    df = spark.createDataFrame(files + [(5000, None), (5001, b"")], "`a.b` long, m binary")
+    rows = matroska.packet_table(df, "a.b", "m").collect()
+    damaged = {r["a.b"] for r in rows if r.error}
+    assert 200 < len(damaged) < 2001 and 5001 in damaged and 5000 not in {r["a.b"] for r in rows}
+    assert all(r.track is None for r in rows if r.error) and all(r.size >= 0 for r in rows if not r.error)

@@ -2,6 +2,7 @@
 
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -447,3 +448,25 @@ def test_no_control_string_arises_between_parts(parts):
 def test_audio_and_pages_without_a_size_cost_nothing():
     none = {"type": "audio", "text": None, "ref": "x", "width": None, "height": -5, "seconds": float("inf"), "pages": None}
     assert [chat.flatten([none | {"type": k}]).tokens for k in ("audio", "document", "image", "other")] == [0, 0, 85, 0]
+
+
+def _odd_files():
+    """Legal and damaged files whose numbers are of unusual size."""
+    track = lambda body: matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK, matroska.uint(matroska.NUMBER, 1) + body))
+    rate = lambda raw: track(matroska.element(matroska.AUDIO, matroska.element(matroska.HERTZ, raw)))
+    block = lambda number, time=b"\x00\x00": matroska.element(matroska.SIMPLE, matroska.vint(number) + time + b"\x80" + b"data")
+    cluster = lambda time, *blocks: matroska.element(matroska.CLUSTER, matroska.element(matroska.TIME, time) + b"".join(blocks))
+    whole = lambda *parts: matroska._HEAD + matroska.element(matroska.SEGMENT, b"".join(parts))
+    good = cluster(b"\x00", block(1))
+    return {
+        "no float": (whole(rate(b""), good), 1, False), "short float": (whole(rate(struct.pack(">f", 8e3)), good), 1, False), "odd float": (whole(rate(b"\x01\x02"), good), 0, True),
+        "long number": (whole(track(matroska.element(matroska.DURATION, b"\x01" * 9)), good), 0, True), "large track": (whole(good, cluster(b"\x00", block(1 << 40))), 1, True),
+        "late": (whole(good, cluster(b"\xff" * 8, block(1))), 1, True), "early": (whole(good, cluster(b"\x00", block(1, b"\x80\x00"))), 2, False),
+    }
+
+
+@pytest.mark.parametrize("name", _odd_files())
+def test_numbers_of_unusual_size(name):
+    data, packets, damaged = _odd_files()[name]
+    got = matroska.demux(data)
+    assert len(got.packets) == packets and bool(got.error) == damaged
