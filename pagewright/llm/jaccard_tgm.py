@@ -42,7 +42,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -245,9 +245,28 @@ def _sum_counts(blobs: pd.DataFrame, least: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["level", "n", "blob"])
 
 
+def _by_range(blocks: DataFrame, ranges: int, f: Callable[[pd.DataFrame], pd.DataFrame], columns: str) -> DataFrame:
+    """f over all blocks (rng, blob) of each range.  A task gets one range (and of those from ``ranges`` on one more): dealt by
+    their numbers, not by hashes of these, no task gets several."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+    schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for k, blob in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                held.setdefault(k, []).append(blob)
+        for k in sorted(held):
+            yield pa.RecordBatch.from_pandas(f(pd.DataFrame({"rng": k, "blob": held.pop(k)})), schema, preserve_index=False)
+
+    return blocks.select("rng", "blob").repartitionById(ranges, F.col("rng")).mapInArrow(run, columns)
+
+
 def frequent(base: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent hashes and their counts: whole powers of two of the count, ``most`` hashes at the most."""
-    levels, path = written(base.filter("kind = 1").groupBy("rng").applyInPandas(lambda b: _sum_counts(b, LEAST_COUNT), "level int, n long, blob binary"), "shingle-counts")
+    blocks = base.filter("kind = 1")
+    ranges = 1 + (blocks.agg(F.max("rng")).first()[0] or 0)
+    levels, path = written(_by_range(blocks, ranges, lambda b: _sum_counts(b, LEAST_COUNT), "level int, n long, blob binary"), "shingle-counts")
     lowest, held = None, 0
     for r in levels.groupBy("level").agg(F.sum("n").alias("n")).orderBy(F.desc("level")).collect():
         if held + r.n > most:
@@ -699,7 +718,7 @@ def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[st
     kept, own = written(base.filter("kind = 0").select("doc_id", "n", "cid"), "jaccard-classes")
     remove(spark, p0)
     blocks = texts.mapInArrow(lambda b: _prefix_pass(b, ranges, counted), "rng int, blob binary")
-    found, p1 = written(blocks.groupBy("rng").applyInPandas(lambda b: _match(b, ranges), "token long, cid long, n long, often boolean"), "jaccard-matched")
+    found, p1 = written(_by_range(blocks, ranges, lambda b: _match(b, ranges), "token long, cid long, n long, often boolean"), "jaccard-matched")
     counted.destroy()
     matched = found.filter("not often").drop("often").unionByName(found.filter("often").drop("often").distinct())
     alive = matched.groupBy("cid").agg(F.count(F.lit(1)).alias("left"), F.first("n").alias("of")).filter(F.col("left") >= _least_shared(F.ceil(F.col("of") * NUMERATOR / DENOMINATOR)))
