@@ -280,7 +280,7 @@ class Alignment:
 
     documents: DataFrame
     units: DataFrame
-    aligned: DataFrame
+    aligned: DataFrame | None
     pairs: DataFrame
 
 
@@ -328,77 +328,75 @@ def _assemble(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, whole], ["row", "doc_id", *NUMBERS, "groups"])
 
 
-def _documents(filled: DataFrame, known: DataFrame, divided: bool, budget: int) -> DataFrame:
-    """(row, doc_id, numbers, groups) of texts by their units.
+def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, path: str) -> DataFrame:
+    """(row, doc_id, numbers, groups) of texts, which are at ``path``, by their units; none for null texts.
 
     Known units within the budget are looked up where the texts are; the others of a document are
     joined by their text, and meet its codes by row.
     """
-    spark = filled.sparkSession
-    doc_id = dict(filled.dtypes)["doc_id"]
+    spark = texts.sparkSession
+    doc_id = dict(texts.dtypes)["doc_id"]
     entry = F.octet_length("k_u") + F.octet_length("groups") + 96
     often, seldom = _split(known.withColumnRenamed("u", "k_u"), "n", entry, budget)
     table = spark.sparkContext.broadcast(_Known(often.select("k_u", *NUMBERS, "groups").toArrow()))
-    units = filled.select("row", "doc_id", units_of(F.col("text"), divided).alias("units"))
+    none = F.array().cast("array<string>")
+    units = texts.select("row", "doc_id", F.when(F.col("text").isNull(), none).otherwise(units_of(F.col("text"), divided)).alias("units"))
     coded, _ = written(units.mapInArrow(lambda b: _code(b, table), f"row long, doc_id {doc_id}, codes array<int>, others array<string>"), "align-codes")
+    remove(spark, path)
     other = coded.select("row", F.posexplode("others").alias("pos", "u")).join(seldom, F.col("u") == F.col("k_u"))
     sums = [F.sum(c).alias(c) for c in NUMBERS]
     other = other.groupBy("row").agg(*sums, F.array_sort(F.collect_list(F.struct("pos", "groups"))).alias("parts")).withColumnRenamed("row", "o_row")
     met = coded.select("row", "doc_id", "codes").join(other, F.col("row") == F.col("o_row"), "left")
-    groups = F.coalesce(F.transform("parts", lambda p: p.groups), F.array().cast("array<string>"))
+    groups = F.coalesce(F.transform("parts", lambda p: p.groups), none)
     columns = ", ".join(f"{c} long" for c in NUMBERS)
     return met.select("row", "doc_id", "codes", groups.alias("others"), *NUMBERS).mapInArrow(lambda b: _assemble(b, table), f"row long, doc_id {doc_id}, {columns}, groups string")
 
 
-def _placed(texts: DataFrame, divided: bool) -> DataFrame:
-    return texts.select("row", F.posexplode(units_of(F.col("text"), divided)).alias("pos", "u"))
-
-
-def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget: int) -> tuple[DataFrame, DataFrame, DataFrame, str]:
-    """(texts that their tokens spell, their units (unit, u, n), the units' tokens, their path)."""
+def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(texts, null where their tokens do not spell them; units (unit, u, n) of the others; the units' tokens; paths of both)."""
     spark = texts.sparkSession
-    counted = texts.select(F.explode(units_of(F.col("text"), divided)).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-    units, _ = written(counted.select(F.monotonically_increasing_id().alias("unit"), "u", "n"), "align-units")
+    filled = texts.filter("text is not null")
+    counted = filled.select(F.explode(units_of(F.col("text"), divided)).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    units, p0 = written(counted.select(F.monotonically_increasing_id().alias("unit"), "u", "n"), "align-units")
     remove(spark)
-    encoded, path = written(encode_units(units, path_a, path_b, divided), "align-tokens")
+    encoded, p1 = written(encode_units(units, path_a, path_b, divided), "align-tokens")
     without = encoded.filter(F.size("a") == 0).select(F.col("unit").alias("w_unit"))
     if not without.head(1):
-        return texts, units, encoded, path
+        return texts, units, encoded, [p0, p1]
     # whole texts go with such a unit: their other units must not be counted
     wrong, _ = written(units.join(without, F.col("unit") == F.col("w_unit"), "left_semi").select(F.col("u").alias("w_u"), "n"), "align-wrong")
     often, seldom = _split(wrong, "n", F.octet_length("w_u") + 64, budget)
-    placed = _placed(texts, divided)
+    placed = filled.select("row", F.explode(units_of(F.col("text"), divided)).alias("u"))
     holding = placed.join(F.broadcast(often), F.col("u") == F.col("w_u"), "left_semi").unionByName(placed.join(seldom, F.col("u") == F.col("w_u"), "left_semi"))
-    good = texts.join(holding.select(F.col("row").alias("w_row")).distinct(), F.col("row") == F.col("w_row"), "left_anti")
-    good, _ = written(good, "align-good")
-    remove(spark, path)
+    good = texts.join(holding.select(F.col("row").alias("w_row")).distinct(), F.col("row") == F.col("w_row"), "left")
+    good, _ = written(good.select("row", "doc_id", F.when(F.col("w_row").isNull(), F.col("text")).alias("text")), "align-good")
+    remove(spark, p0, p1)
     return _tokenized(good, divided, path_a, path_b, budget)
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET) -> Alignment:
+def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, links: bool = True) -> Alignment:
+    """links: whether the units' links stay as a table beside the documents."""
     spark = docs.sparkSession
     small_batches(spark)
     divided = divides_at_spaces(path_a, path_b)
-    texts, _ = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "align-texts")
+    t = F.col(f"`{text}`")
     # B reads the mark as a space, so a text that holds it is never spelled
-    filled = texts.filter((F.col("text") != "") & (~F.contains("text", F.lit(MARK)) if divided else F.lit(True)))
-    filled, units, encoded, path = _tokenized(filled, divided, path_a, path_b, budget)
-    aligned, _ = written(gather(align(encoded)), "align-units")
-    remove(spark, path)
+    filled = F.when((t != "") & (~F.contains(t, F.lit(MARK)) if divided else F.lit(True)), t)
+    texts, texts_path = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), filled.alias("text")), "align-texts")
+    texts, units, encoded, paths = _tokenized(texts, divided, path_a, path_b, budget)
+    aligned, aligned_path = written(gather(align(encoded)), "align-links")
+    remove(spark, paths[1])
     pairs = pair_counts(aligned)
     scored = score_units(aligned, pairs, budget).withColumnRenamed("unit", "s_unit")
     numbers = aligned.drop("n", "links").withColumnRenamed("unit", "a_unit")
     known = units.join(numbers, F.col("unit") == F.col("a_unit")).join(scored, F.col("unit") == F.col("s_unit")).select("u", "n", *NUMBERS, "groups")
     known, _ = written(known, "align-known")
-    remove(spark)
-    found = _documents(filled, known, divided, budget)
-    rest = texts.select("row", "doc_id").join(filled.select(F.col("row").alias("f_row")), F.col("row") == F.col("f_row"), "left_anti")
-    none = rest.select("row", "doc_id", *[F.lit(0).cast("long").alias(c) for c in NUMBERS], F.lit("").alias("groups"))
-    return Alignment(found.unionByName(none), known, aligned, pairs)
+    remove(spark, paths[0], *[] if links else [aligned_path])
+    return Alignment(_documents(texts, known, divided, budget, texts_path), known, aligned if links else None, pairs)
 
 
 def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = align_documents(docs, tokenizer_path(MODEL_A), tokenizer_path(MODEL_B)).documents
+    found = align_documents(docs, tokenizer_path(MODEL_A), tokenizer_path(MODEL_B), links=False).documents
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
     return found.select("doc_id", *NUMBERS, digest)
