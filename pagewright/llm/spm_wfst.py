@@ -24,6 +24,12 @@ both edges along the cut in order of merge rank, no merge across the cut may com
 Where no piece spans two neighbouring characters the lattice has one state, so it is cut
 there.  Paths of words are remembered up to a fixed number.
 
+User-defined pieces: a byte-pair model takes them out of the text first, the longest one from
+the left, and merges nothing over them; in a unigram model their weight is 0.1, or less where some
+score is positive.  Unknown characters that follow each other are one unk.  Models that mark spaces behind
+words, have a character map, unused byte-pair pieces, or spaces in user-defined pieces are
+refused: their ids would not be the library's.
+
 Defined cases: null and empty texts have no ids; texts of any length are encoded whole;
 characters the model cannot spell become byte pieces (or unk without byte fallback); the
 space mark itself reads as a space, as in the library; equal texts get equal ids; empty
@@ -198,6 +204,8 @@ class Transducer:
             elif number == 2:
                 got = dict(_fields(value))
                 self.kind, self.byte_fallback = got.get(3, UNIGRAM), bool(got.get(35, 0))
+                if got.get(24, 0):
+                    raise NotImplementedError("only models that mark spaces in front of words")
             elif number == 3:
                 got = dict(_fields(value))
                 self.dummy_prefix, self.squeeze = bool(got.get(3, 1)), bool(got.get(4, 1))
@@ -205,7 +213,17 @@ class Transducer:
                     raise NotImplementedError("only models without a character map, with marked spaces")
         if self.kind not in (UNIGRAM, BPE):
             raise NotImplementedError("only unigram and byte-pair models")
-        self.ids = {p: k for k, p in enumerate(self.pieces) if self.types[k] in (NORMAL, USER)}
+        normal = [self.scores[k] for k, kind in enumerate(self.types) if kind == NORMAL]
+        own = {p: k for k, p in enumerate(self.pieces) if self.types[k] == USER}
+        if any(MARK in p or " " in p for p in own):
+            raise NotImplementedError("only user-defined pieces without spaces")
+        if self.kind == BPE and UNUSED in self.types:
+            raise NotImplementedError("only byte-pair models without unused pieces")
+        self.ids = {p: k for k, p in enumerate(self.pieces) if self.types[k] == NORMAL}
+        self.own = own if self.kind == BPE else {}
+        if self.kind == UNIGRAM:
+            self.ids |= own
+        self.apart = re.compile("|".join(re.escape(p) for p in sorted(self.own, key=len, reverse=True))) if self.own else None
         self.unk = self.types.index(UNKNOWN) if UNKNOWN in self.types else 0
         self.bytes = {int(p[1:-1], 16): k for k, p in enumerate(self.pieces) if self.types[k] == BYTE}
         letters = {c for p in self.ids for c in p}
@@ -221,7 +239,9 @@ class Transducer:
             self.fallback_weight = 1.0
         else:
             self.weights = -np.array(self.scores)
-            self.fallback_weight = 10 - min((self.scores[k] for k in self.ids.values()), default=0.0)
+            for p, k in own.items():
+                self.weights[k] = 0.1 - len(p.encode()) * max([0.0, *normal])
+            self.fallback_weight = 10 - min(normal, default=0.0)
         self.forget()
 
     def _spelling(self, k: int) -> bytes:
@@ -258,8 +278,7 @@ class Transducer:
                 parts, node, rank = [], tree, INF
                 while node:
                     parts.append((node[0], rank))
-                    rank = -self.scores[self.ids[node[0]]]
-                    node = node[side]
+                    node, rank = node[side], -self.scores[self.ids[node[0]]] if node[1] else INF
                 edge[k] = parts[::-1]
 
     def _stays(self, a: int, b: int) -> bool:
@@ -375,6 +394,8 @@ class Transducer:
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         fresh = [w for w in words if w not in self.known]
+        self.known.update((w, self.own[w].to_bytes(4, "little")) for w in fresh if w in self.own)
+        fresh = [w for w in fresh if w not in self.own] if self.own else fresh
         if fresh:
             self.known.update(zip(fresh, self.shortest(fresh)))
 
@@ -383,17 +404,37 @@ class Transducer:
         if self.kind == BPE:
             self.pair_keys, self.pair_weights = np.full(PAIRS_KEPT, -1, np.int64), np.zeros(PAIRS_KEPT)
 
+    def _words(self, marked: str) -> list[str]:
+        return self.segment.findall(marked) if self.by_word else [marked] if marked else []
+
+    def _split(self, marked: str) -> list[str]:
+        """Words of a normalised text; user-defined pieces are words of their own."""
+        if not self.apart:
+            return self._words(marked)
+        out, at = [], 0
+        for m in self.apart.finditer(marked):
+            out += [*self._words(marked[at : m.start()]), m[0]]
+            at = m.end()
+        return out + self._words(marked[at:])
+
+    def _one_unk(self, ids: bytes) -> bytes:
+        """Unknown characters that follow each other are one unk, also across words."""
+        if self.byte_fallback:
+            return ids
+        x = np.frombuffer(ids, "<u4")
+        again = np.zeros(len(x), bool)
+        again[1:] = (x[1:] == self.unk) & (x[:-1] == self.unk)
+        return x[~again].tobytes() if again.any() else ids
+
     def encode_batch(self, texts: Sequence[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
-        split = []
-        for t in texts:
-            marked = self.normalise(t) if t else ""
-            split.append(self.segment.findall(marked) if self.by_word else [marked] if marked else [])
+        split = [self._split(self.normalise(t)) if t else [] for t in texts]
         if self.by_word:
             self.learn({s for words in split for s in words})
             known = self.known
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [self.shortest(words)[0] if words else b"" for words in split]
+            return [self._one_unk(b"".join(map(known.__getitem__, words))) for words in split]
+        own = {p: k.to_bytes(4, "little") for p, k in self.own.items()}
+        return [self._one_unk(b"".join(own[w] if w in own else self.shortest([w])[0] for w in words)) for words in split]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_batch([text])[0], "<u4").tolist()
