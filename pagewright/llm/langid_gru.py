@@ -10,7 +10,11 @@ that mean is the softmax of the outputs of the mean state, which is what is summ
 
 Training is numpy, by backpropagation through time with Adam and a fixed seed, on at most
 ``DOCS`` different rows of each language (those with the smallest hashes of id and text)
-and the whole of their texts.  Languages weigh alike.
+and the whole of their texts, as many in that order as fit into ``BYTES`` bytes; texts of more
+than an eighth of that are not learned from.  At most ``LANGS`` languages are learned, those with
+the most rows (of equal numbers the first by name).  Languages weigh alike.
+
+``label_spans`` gives the labels of all bytes, as spans of the text of one language each.
 
 Defined cases: texts that are null or have no letter get ``und`` and score 0; null
 languages and null ids are not learned from; without any learned language all rows are
@@ -20,6 +24,7 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -37,7 +42,7 @@ HIDDEN = 16
 SPAN, CONTEXT, SIDE_BY_SIDE = 256, 16, 1024  # bytes of a window, on either side of it, windows at a time
 STEPS, BATCH, RATE, EPOCHS = 96, 256, 0.01, 1  # in training, windows are of STEPS bytes and their context
 LEAST_BATCHES = 250  # few windows are gone over more often
-DOCS = 200  # different rows of each language, at most
+DOCS, BYTES, LANGS = 200, 8 << 20, 500  # of the sample, at most: different rows and bytes of each language, and languages
 _plain = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 _letter = regex.compile(r"\p{L}")
 CHUNK = 1 << 19
@@ -269,34 +274,48 @@ class Pooler:
         return out
 
 
-def sample_rows(docs: DataFrame, text: str, lang: str, doc_id: str, docs_each: int) -> list[tuple[str, str | None]]:
+HASHES = 1 << 30  # what rows are ranked by first
+
+
+def ranked_below(rows: int, docs_each: int) -> int:
+    """The hash below which about four times ``docs_each`` of a language's rows are.  The product passes 64 bits, so it is Python's."""
+    return min(HASHES, -(-4 * docs_each * HASHES // rows))
+
+
+def sample_rows(docs: DataFrame, text: str, lang: str, doc_id: str, docs_each: int, bytes_each: int = BYTES, langs: int = LANGS) -> list[tuple[str, str | None]]:
     """Language and text of the bounded sample, on the driver, in a fixed order."""
+    spark = docs.sparkSession
+    t = F.col(f"`{text}`")
     known = docs.filter(F.col(f"`{lang}`").isNotNull() & F.col(f"`{doc_id}`").isNotNull())
-    known = known.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{doc_id}`").cast("string"), f"`{text}`").alias("h"))
-    # a number a language, as the model has an output a language
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    known = known.filter(F.coalesce(F.octet_length(t), F.lit(0)) <= bytes_each // 8)
+    known = known.select(F.col(f"`{lang}`").alias("lang"), t.alias("t"), F.xxhash64(F.col(f"`{doc_id}`").cast("string"), t).alias("h"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(langs).collect()
     if not counts:
         return []
-    number = F.create_map(*[F.lit(x) for r in sorted(counts) for x in (r.lang, r.n)])
+    bounds = spark.createDataFrame([(r.lang, ranked_below(r.n, docs_each)) for r in counts], "b_lang string, below long")
+    known = known.join(F.broadcast(bounds), F.col("lang") == F.col("b_lang"))  # a row a language, at most ``langs``
     # ranked among about four times as many, and where rows repeat so often that too few are left, among all
-    near = known.filter(F.pmod("h", F.lit(1 << 30)) * number[F.col("lang")] < F.lit(4 * docs_each << 30))
+    near = known.filter(F.pmod("h", F.lit(HASHES)) < F.col("below"))
 
     def ranked(rows: DataFrame) -> list:
         each = rows.groupBy("lang", "h").agg(F.first("t").alias("t"))
-        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
-        return each.withColumn("rank", rank).filter(F.col("rank") <= docs_each).select("lang", "rank", "t").collect()
+        order = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(HASHES)), "h")
+        each = each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= docs_each)
+        size = F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).over(order.rowsBetween(W.unboundedPreceding, 0))
+        fits = size <= bytes_each
+        return each.select("lang", "rank", F.when(fits, F.col("t")).alias("t"), fits.alias("fits")).collect()
 
     rows = ranked(near)
-    got = {r.lang: sum(x.lang == r.lang for x in rows) for r in counts}
+    got = Counter(r.lang for r in rows)
     short = [r.lang for r in counts if got[r.lang] < min(docs_each, r.n)]
     if short:
         rows = [r for r in rows if r.lang not in short]
-        heads = known.filter(F.col("lang").isin(short)).select("lang", "h", F.pmod("h", F.lit(1 << 30)).alias("u")).distinct()
-        for name in short:
-            least = heads.filter(F.col("lang") == name).orderBy("u", "h").limit(docs_each)
-            mine = known.join(F.broadcast(least.select(F.col("h").alias("h2"))), (F.col("lang") == name) & (F.col("h") == F.col("h2"))).select("lang", "t", "h")
-            rows += ranked(mine)
-    return [(r.lang, r.t) for r in sorted(rows, key=lambda r: (r.lang, r.rank))]
+        mine = known.filter(F.col("lang").isin(short))
+        heads = mine.select("lang", "h", F.pmod("h", F.lit(HASHES)).alias("u")).distinct()
+        least = heads.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("u", "h"))).filter(F.col("k") <= docs_each)
+        least = least.select(F.col("lang").alias("l_lang"), F.col("h").alias("l_h"))  # docs_each rows a language
+        rows += ranked(mine.join(F.broadcast(least), (F.col("lang") == F.col("l_lang")) & (F.col("h") == F.col("l_h"))).select("lang", "t", "h"))
+    return [(r.lang, r.t) for r in sorted(rows, key=lambda r: (r.lang, r.rank)) if r.fits]
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_each: int = DOCS) -> Model:
@@ -339,6 +358,54 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[st
     return rows.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
 
 
+def byte_labels(model: Model, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(labels, probabilities of them) of a spelled text's bytes, by windows as documents are read."""
+    x, counts = windows(spelled(text))
+    labels, scores = [], []
+    for k in range(0, len(x), SIDE_BY_SIDE // 8):
+        prob = positions(model, x[k : k + SIDE_BY_SIDE // 8])[:, CONTEXT : CONTEXT + SPAN]
+        best = prob.argmax(2)
+        inside = np.arange(SPAN)[None] < counts[k : k + SIDE_BY_SIDE // 8, None]
+        labels.append(best[inside])
+        scores.append(np.take_along_axis(prob, best[:, :, None], 2)[:, :, 0][inside])
+    return np.concatenate(labels), np.concatenate(scores)
+
+
+def spans_of(model: Model, text: str | None) -> list[tuple[int, int, str, float]]:
+    """(start, end, language, mean probability) of a text's runs of equal labels, in code points, ends exclusive.
+
+    Bytes that are read as space have no label of their own: they are inside a span if its run goes on behind them.
+    """
+    if not model.langs or not text or not _letter.search(text):
+        return []
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    read = np.flatnonzero(np.frombuffer(_plain, np.uint8)[raw] != 32)  # where the words' bytes are
+    labels, scores = byte_labels(model, text)
+    words = np.flatnonzero(np.frombuffer(spelled(text), np.uint8) != 32)
+    labels, scores = labels[words], scores[words]
+    first = np.flatnonzero(np.diff(labels, prepend=-1))
+    last = np.append(first[1:], len(labels)) - 1
+    point = np.cumsum((raw & 0xC0) != 0x80)  # code points up to and with each byte
+    mean = np.add.reduceat(scores, first) / (last - first + 1)
+    return [(int(point[read[a]]) - 1, int(point[read[b]]), model.langs[labels[a]], float(p)) for a, b, p in zip(first, last, mean)]
+
+
+def label_spans(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, start, end, lang, score): the labels of every position, a row a run.  Texts without a letter have none."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, t in enumerate(batch.column(1).to_pylist()):  # a text at a time
+                found = spans_of(model, t)
+                if found:
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*found), (pa.int32(), pa.int32(), pa.string(), pa.float64()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(found))), *columns], ["k", "start", "end", "lang", "score"])
+
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
+    return rows.mapInArrow(run, f"k {kind}, start int, end int, lang string, score double").withColumnRenamed("k", key)
+
+
 def learned_rows(docs: DataFrame) -> DataFrame:
     return docs.filter(crc_fold(F.col("doc_id"), 3) != 1)
 

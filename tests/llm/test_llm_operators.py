@@ -545,3 +545,55 @@ def test_damaged_media_give_error_rows(spark):
     damaged = {r["a.b"] for r in rows if r.error}
     assert 200 < len(damaged) < 2001 and 5001 in damaged and 5000 not in {r["a.b"] for r in rows}
     assert all(r.track is None for r in rows if r.error) and all(r.size >= 0 for r in rows if not r.error)
+
+
+def test_language_sample_of_many_rows():
+    for rows in (1, 200, 10**6, 10**10, 10**13):
+        below = langid_gru.ranked_below(rows, 200)
+        assert 0 < below <= langid_gru.HASHES and below * rows >= min(rows, 800) * langid_gru.HASHES - rows
+        assert (below - 1) * rows < 800 * langid_gru.HASHES
+
+
+def test_language_sample_is_bounded_by_bytes_and_languages(spark):
+    rows = [(k, f"text {k} " + "x" * (k % 50), ["en", "de", "es", None][k % 4]) for k in range(400)] + [(1000 + k, "rare", f"l{k}") for k in range(9)] + [(5000, "y" * 5000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, `a.b` string, lang string")
+    got = langid_gru.sample_rows(docs, "a.b", "lang", "doc_id", 30, 1 << 20, 3)
+    assert {x for x, _ in got} == {"en", "de", "es"} and len(got) == 90
+    few = langid_gru.sample_rows(docs, "a.b", "lang", "doc_id", 30, 800, 5)
+    by = {x: [t for y, t in few if y == x] for x, _ in few}
+    assert set(by) == {"en", "de", "es", "l0", "l1"} and all(sum(map(len, t)) <= 800 for t in by.values())
+    assert all([t for y, t in got if y == x][: len(by[x])] == by[x] and len(by[x]) < 30 for x in ("en", "de", "es"))  # the same order, cut by bytes
+    repeated = spark.createDataFrame([(1, "same", "en")] * 500 + [(2, "other", "en"), (3, "drei", "de")], "doc_id long, text string, lang string")
+    assert sorted(langid_gru.sample_rows(repeated, "text", "lang", "doc_id", 20)) == [("de", "drei"), ("en", "other"), ("en", "same")]
+
+
+def test_language_spans(spark):
+    rng = np.random.default_rng(4)
+    words = {"en": ["the", "and", "with", "thing"], "de": ["für", "über", "schön", "straße"]}
+    said = lambda g, n: " ".join(rng.choice(words[g], n))
+    model = langid_gru.fit([(g, said(g, 60)) for g in ("de", "en") for _ in range(80)])
+    texts = [f"{said('en', 120)}.  1234 -- {said('de', 90)}!", said("de", 5), None, "12 34", "", "é", "A" * 3000 + " über " * 200]
+    df = spark.createDataFrame([(k, t, 7) for k, t in enumerate(texts)], "`my.id` long, text string, start int")
+    got = {}
+    for r in langid_gru.label_spans(df, model, key="my.id").collect():
+        got.setdefault(r["my.id"], []).append((r.start, r.end, r.lang, r.score))
+    for k, t in enumerate(texts):
+        if not t or not any(c.isalpha() for c in t):
+            assert k not in got
+            continue
+        # one byte at a time: its window, its place in it, and the code point that it is part of
+        plain, raw = langid_gru.spelled(t), t.encode()
+        x, _ = langid_gru.windows(plain)
+        prob = langid_gru.positions(model, x)
+        labels = [model.langs[int(prob[i // langid_gru.SPAN, langid_gru.CONTEXT + i % langid_gru.SPAN].argmax())] for i, c in enumerate(plain) if c != 32]
+        points = [len(raw[:i].decode(errors="ignore")) for i, c in enumerate(raw) if langid_gru._plain[c] != 32]
+        runs = []
+        for g, p in zip(labels, points):
+            if runs and runs[-1][2] == g:
+                runs[-1][1] = p + 1
+            else:
+                runs.append([p, p + 1, g])
+        assert [list(s[:3]) for s in sorted(got[k])] == runs
+        assert all(0 < s[3] <= 1 for s in got[k])
+    first = sum(b - a for a, b, g, _ in got[0] if g == "en" and b <= len(texts[0]) // 2)
+    assert first > 0.8 * len(texts[0]) / 2 * 0.9
