@@ -47,7 +47,7 @@ from .spm_wfst import MARK, NORMAL, USER, _fields
 from .token_index import tokenizer_path
 
 MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BUDGET = 32 << 20  # bytes of what is broadcast
+BUDGET = 48 << 20  # bytes of what is broadcast
 VISIBLE = r"[\p{L}\p{N}\p{P}\p{S}]"
 BOUNDARY = f" (?<={VISIBLE} )(?={VISIBLE})"
 TOKENS = "array<struct<id:int,n:int>>"
@@ -299,15 +299,28 @@ def _starts(lists: pa.ListArray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers of 32 bits, bytes of equal rank together, compressed: what a document's codes take on the way."""
+    raw = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(codes).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    size = 4 * int.from_bytes(blob[:4], "little")
+    raw = np.frombuffer(pa.decompress(blob[4:], decompressed_size=size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
+
+
 def _code(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
-    """Rows (row, doc_id, units): each unit's place among the known ones, -1 for the others, which follow as texts."""
+    """Rows (row, doc_id, units): each unit's place among the known ones, from 1, and 0 for the others, which follow as texts."""
     table = known.value
     for batch in batches:
         at, flat = _starts(batch.column(2)), batch.column(2).flatten()
-        places = pc.fill_null(pc.index_in(flat, table.u), -1).to_numpy()
-        other = places < 0
+        places = pc.fill_null(pc.index_in(flat, table.u), -1).to_numpy() + 1
+        other = places == 0
         upto = np.concatenate([[0], np.cumsum(other)])[at]
-        codes, others = (pa.ListArray.from_arrays(pa.array(x, pa.int32()), v) for x, v in ((at, pa.array(places, pa.int32())), (upto, flat.filter(pa.array(other)))))
+        codes = pa.array([_packed(places[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+        others = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat.filter(pa.array(other)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), codes, others], ["row", "doc_id", "codes", "others"])
 
 
@@ -315,7 +328,9 @@ def _assemble(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBat
     """Rows (row, doc_id, codes, groups of the others in order, their numbers): a document's numbers and groups."""
     table = known.value
     for batch in batches:
-        at, places = _starts(batch.column(2)), batch.column(2).flatten().to_numpy()
+        codes = [_unpacked(c) for c in batch.column(2).to_pylist()]
+        at = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int64)
+        places = np.concatenate([*codes, np.zeros(0, np.uint32)]).astype(np.int32) - 1
         other = places < 0
         groups = pc.take(table.groups, pa.array(places, pa.int32(), mask=other))
         if other.any():
@@ -341,7 +356,7 @@ def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, p
     table = spark.sparkContext.broadcast(_Known(often.select("k_u", *NUMBERS, "groups").toArrow()))
     none = F.array().cast("array<string>")
     units = texts.select("row", "doc_id", F.when(F.col("text").isNull(), none).otherwise(units_of(F.col("text"), divided)).alias("units"))
-    coded, _ = written(units.mapInArrow(lambda b: _code(b, table), f"row long, doc_id {doc_id}, codes array<int>, others array<string>"), "align-codes")
+    coded, _ = written(units.mapInArrow(lambda b: _code(b, table), f"row long, doc_id {doc_id}, codes binary, others array<string>"), "align-codes")
     remove(spark, path)
     other = coded.select("row", F.posexplode("others").alias("pos", "u")).join(seldom, F.col("u") == F.col("k_u"))
     sums = [F.sum(c).alias(c) for c in NUMBERS]
