@@ -32,6 +32,7 @@ length are whole; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -47,7 +48,7 @@ from .spm_wfst import MARK, NORMAL, USER, _fields
 from .token_index import tokenizer_path
 
 MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BUDGET = 48 << 20  # bytes of what is broadcast
+BUDGET = 64 << 20  # bytes of what is broadcast
 VISIBLE = r"[\p{L}\p{N}\p{P}\p{S}]"
 BOUNDARY = f" (?<={VISIBLE} )(?={VISIBLE})"
 TOKENS = "array<struct<id:int,n:int>>"
@@ -279,20 +280,28 @@ class Alignment:
     """documents: (row, doc_id, numbers, groups); units: (u, n, numbers, groups); aligned: their links; pairs: counts of id pairs."""
 
     documents: DataFrame
-    units: DataFrame
+    units: DataFrame | None
     aligned: DataFrame | None
-    pairs: DataFrame
+    pairs: DataFrame | None
 
 
 # --- from units back to documents -----------------------------------------------------------
 
 
 class _Known:
-    """The broadcast units, and their groups and numbers by place."""
+    """The broadcast units, and their groups and numbers by place.  Sent and kept on disk compressed."""
 
     def __init__(self, table: pa.Table) -> None:
         self.u, self.groups = (pa.concat_arrays(table.column(c).chunks) if table.num_rows else pa.array([], pa.string()) for c in ("k_u", "groups"))
-        self.numbers = np.stack([table.column(c).to_numpy() for c in NUMBERS], 1) if table.num_rows else np.zeros((1, len(NUMBERS)), np.int64)
+        self.numbers = [table.column(c).to_numpy() if table.num_rows else np.zeros(1, np.int64) for c in NUMBERS]
+
+    def __getstate__(self) -> bytes:
+        raw = pickle.dumps((self.u, self.groups, self.numbers), 5)
+        return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+    def __setstate__(self, state: bytes) -> None:
+        raw = pa.decompress(state[8:], decompressed_size=int.from_bytes(state[:8], "little"), codec="zstd", asbytes=True)
+        self.u, self.groups, self.numbers = pickle.loads(raw)
 
 
 def _starts(lists: pa.ListArray) -> np.ndarray:
@@ -338,29 +347,33 @@ def _assemble(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBat
         whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), groups), ";")
         numbers = []
         for k in range(len(NUMBERS)):
-            upto = np.concatenate([[0], np.cumsum(np.where(other, 0, table.numbers[np.maximum(places, 0), k]))])
+            upto = np.concatenate([[0], np.cumsum(np.where(other, 0, table.numbers[k][np.maximum(places, 0)]))])
             numbers.append(pa.array(np.diff(upto[at]) + pc.fill_null(batch.column(4 + k), 0).to_numpy()))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, whole], ["row", "doc_id", *NUMBERS, "groups"])
 
 
-def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, path: str) -> DataFrame:
-    """(row, doc_id, numbers, groups) of texts, which are at ``path``, by their units; none for null texts.
+def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, *paths: str) -> DataFrame:
+    """(row, doc_id, numbers, groups) of texts by their units; none for null texts.
 
     Known units within the budget are looked up where the texts are; the others of a document are
-    joined by their text, and meet its codes by row.
+    joined by their text, and meet its codes by row.  The tables at ``paths`` go when they are used:
+    texts first, then, where it is given, what is known.
     """
     spark = texts.sparkSession
     doc_id = dict(texts.dtypes)["doc_id"]
-    entry = F.octet_length("k_u") + F.octet_length("groups") + 96
+    small = [F.col(c).cast("long" if c == "count_sum" else "int").alias(c) for c in NUMBERS]
+    entry = F.octet_length("k_u") + F.octet_length("groups") + 48
     often, seldom = _split(known.withColumnRenamed("u", "k_u"), "n", entry, budget)
-    table = spark.sparkContext.broadcast(_Known(often.select("k_u", *NUMBERS, "groups").toArrow()))
+    table = spark.sparkContext.broadcast(_Known(often.select("k_u", *small, "groups").toArrow()))
     none = F.array().cast("array<string>")
     units = texts.select("row", "doc_id", F.when(F.col("text").isNull(), none).otherwise(units_of(F.col("text"), divided)).alias("units"))
     coded, _ = written(units.mapInArrow(lambda b: _code(b, table), f"row long, doc_id {doc_id}, codes binary, others array<string>"), "align-codes")
-    remove(spark, path)
-    other = coded.select("row", F.posexplode("others").alias("pos", "u")).join(seldom, F.col("u") == F.col("k_u"))
+    remove(spark, *paths[:1])
+    other = coded.select("row", F.posexplode("others").alias("pos", "u")).join(seldom, F.col("u") == F.col("k_u")).select("row", "pos", *small, "groups")
+    other, _ = written(other, "align-others")
+    remove(spark, *paths[1:])
     sums = [F.sum(c).alias(c) for c in NUMBERS]
-    other = other.groupBy("row").agg(*sums, F.array_sort(F.collect_list(F.struct("pos", "groups"))).alias("parts")).withColumnRenamed("row", "o_row")
+    other = other.groupBy(F.col("row").alias("o_row")).agg(*sums, F.array_sort(F.collect_list(F.struct("pos", "groups"))).alias("parts"))
     met = coded.select("row", "doc_id", "codes").join(other, F.col("row") == F.col("o_row"), "left")
     groups = F.coalesce(F.transform("parts", lambda p: p.groups), none)
     columns = ", ".join(f"{c} long" for c in NUMBERS)
@@ -389,8 +402,8 @@ def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget
     return _tokenized(good, divided, path_a, path_b, budget)
 
 
-def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, links: bool = True) -> Alignment:
-    """links: whether the units' links stay as a table beside the documents."""
+def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, keep: bool = True) -> Alignment:
+    """keep: whether units, their links and the pairs' counts stay as tables beside the documents."""
     spark = docs.sparkSession
     small_batches(spark)
     divided = divides_at_spaces(path_a, path_b)
@@ -405,13 +418,15 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "do
     scored = score_units(aligned, pairs, budget).withColumnRenamed("unit", "s_unit")
     numbers = aligned.drop("n", "links").withColumnRenamed("unit", "a_unit")
     known = units.join(numbers, F.col("unit") == F.col("a_unit")).join(scored, F.col("unit") == F.col("s_unit")).select("u", "n", *NUMBERS, "groups")
-    known, _ = written(known, "align-known")
-    remove(spark, paths[0], *[] if links else [aligned_path])
-    return Alignment(_documents(texts, known, divided, budget, texts_path), known, aligned if links else None, pairs)
+    known, known_path = written(known, "align-known")
+    remove(spark, paths[0], *[] if keep else [aligned_path])
+    used = [texts_path] if keep else [texts_path, known_path]
+    side = (known, aligned, pairs) if keep else (None, None, None)
+    return Alignment(_documents(texts, known, divided, budget, *used), *side)
 
 
 def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = align_documents(docs, tokenizer_path(MODEL_A), tokenizer_path(MODEL_B), links=False).documents
+    found = align_documents(docs, tokenizer_path(MODEL_A), tokenizer_path(MODEL_B), keep=False).documents
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
     return found.select("doc_id", *NUMBERS, digest)
