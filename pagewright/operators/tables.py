@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import TableRules
+from ..schema import ELEMENTS
 
 
 def _scope(rules: TableRules) -> list[str]:
@@ -100,20 +101,46 @@ def tables(elements: DataFrame, rules: TableRules = TableRules(), grid: bool = F
     return found.select(*_scope(rules), "n_columns", F.col("kept_rows").alias("n_rows"), (F.col("n_columns") * F.col("kept_rows")).alias("cell_count"), F.lit(True).alias("has_headers"), "confidence")
 
 
-def cells(elements: DataFrame, rules: TableRules = TableRules(), grid: bool = False) -> DataFrame:
-    """A row for each cell; rows of other widths go, the rest keep their index.  Only row 0 is a header."""
+def _kept(elements: DataFrame, rules: TableRules, grid: bool) -> DataFrame:
+    """The text elements in rows of their table's width."""
     scope = _scope(rules)
     rows = rows_of(elements, rules, grid)
     found = detected(rows, rules).select(*[F.col(c).alias(f"f_{c}") for c in scope], "n_columns", F.col("confidence").alias("table_confidence"))
     width = F.count(F.lit(1)).over(W.partitionBy(*scope, "row_index"))
     on = [F.col(c) == F.col(f"f_{c}") for c in scope]
-    kept = rows.withColumn("width_of_row", width).join(found, on).where(F.col("width_of_row") == F.col("n_columns"))
-    return kept.select(
+    return rows.withColumn("width_of_row", width).join(found, on).where(F.col("width_of_row") == F.col("n_columns"))
+
+
+def cells(elements: DataFrame, rules: TableRules = TableRules(), grid: bool = False) -> DataFrame:
+    """A row for each cell; rows of other widths go, the rest keep their index.  Only row 0 is a header."""
+    scope = _scope(rules)
+    return _kept(elements, rules, grid).select(
         *scope, F.col("row_index").cast("int").alias("row_index"), F.col("col_index").cast("int").alias("col_index"), (F.col("row_index") == 0).alias("is_header"),
         F.col("text").alias("content"), "llx", "lly", "urx", "ury", F.col("confidence").alias("confidence"), "table_confidence",
     )
 
 
+def table_elements(elements: DataFrame, rules: TableRules = TableRules(), grid: bool = False) -> DataFrame:
+    """Each table as an element of its own: the box around its cells, and its sizes as detail."""
+    scope = _scope(rules)
+    boxes = _kept(elements, rules, grid).groupBy(*scope).agg(
+        F.min("llx").alias("llx"), F.min("lly").alias("lly"), F.max("urx").alias("urx"), F.max("ury").alias("ury"), F.first("table_confidence").alias("confidence"),
+        F.count(F.lit(1)).alias("n"), F.first("n_columns").alias("columns"), *([] if "page_number" in scope else [F.min("page_number").alias("page_number")]),
+    )
+    detail = F.to_json(F.struct((F.col("n") / F.col("columns")).cast("long").alias("rows"), "columns", F.col("n").alias("cells"), F.lit(True).alias("has_headers")))
+    given = {
+        "element_id": F.format_string("table_%d_0", "page_number"), "level": F.lit(0), "type": F.lit("table"), "detail": detail,
+        "width": F.col("urx") - F.col("llx"), "height": F.col("ury") - F.col("lly"),
+    }
+    kinds = dict(elements.dtypes)
+    return boxes.select(*[given.get(c, F.col(c) if c in boxes.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in ELEMENTS])
+
+
+def with_tables(elements: DataFrame, rules: TableRules = TableRules(), grid: bool = False) -> DataFrame:
+    """Complete mode: elements, and the tables found among their texts as elements of type ``table``."""
+    return elements.select(*ELEMENTS).unionByName(table_elements(elements, rules, grid))
+
+
 def semantic_groups(elements: DataFrame, distance: float = 20.0) -> DataFrame:
     """Grouping by proximity leaves elements as they are."""
     return elements

@@ -39,13 +39,13 @@ def _register(name: str, sql: str | None) -> Callable[[Q], Q]:
 
 
 def queries() -> dict[str, Q]:
-    from . import library  # noqa: F401  registers its own
+    from . import library, relations  # noqa: F401  register their own
 
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import library  # noqa: F401
+    from . import library, relations  # noqa: F401
 
     return dict(_sql)
 
