@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import TableRules
-from ..operators import elements, proximity, tables
+from ..functions.text import name_words
+from ..operators import batch_search, elements, proximity, tables
 from ..sources.adapters import table
-from .registry import LINES_SQL, FOUND_SQL, ROWS_SQL, _lines, _register
+from .registry import FOUND_SQL, LINES_SQL, NAME_WORDS, ROWS_SQL, _lines, _register
 
 # --- proximity ---
 
@@ -62,3 +63,28 @@ def complete_tables(spark, sf_dir):
     found = tables.with_tables(_lines(spark, sf_dir), COMPLETE, grid=True)
     cells = F.when(F.col("type") == "table", F.get_json_object("detail", "$.cells").cast("long")).otherwise(F.lit(0).cast("long"))
     return found.groupBy("path", "type", "element_id").agg(F.min("llx").alias("llx"), F.min("lly").alias("lly"), F.max("urx").alias("urx"), F.max("ury").alias("ury"), F.max(cells).alias("cells"))
+
+
+# --- many queries, many names ---
+
+BATCH_SQL = f"""
+nm AS (SELECT doc_id, replace(substr(text, 1, 40), chr(10), '_') || '.pdf' AS name FROM documents),
+bw AS (SELECT item_id, list_filter(string_split_regex(text, '[^a-zA-Z]+'), lambda x: x <> '') AS ws FROM benchmark),
+qs AS (SELECT item_id, k, substr(ws[k], 1, 3) || ' ' || substr(ws[k + 1], 2, 3) AS query FROM (SELECT *, unnest(range(1, 7)) AS k FROM bw)
+       UNION ALL SELECT item_id, 0, CASE item_id % 4 WHEN 0 THEN upper(ws[1]) || ' pdf' WHEN 1 THEN ' - ' WHEN 2 THEN substr(ws[1], 1, 2) || '.' ELSE 'nonexistent ' || ws[1] END FROM bw)"""
+
+
+@_register("fuzzy_search_batch", f"""WITH {BATCH_SQL}
+SELECT item_id, k::INTEGER AS k, doc_id FROM qs JOIN nm ON contains(lower(name), lower(trim(query))) OR
+len(list_filter({NAME_WORDS.format('trim(query)')}, lambda q: len(list_filter({NAME_WORDS.format("regexp_replace(lower(name), '[.]pdf$', '')")}, lambda x: contains(x, q))) = 0)) = 0""")
+def fuzzy_search_batch(spark, sf_dir):
+    """Fragments of every benchmark text, looked for in the beginnings of all documents."""
+    names = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.concat(F.translate(F.substring("text", 1, 40), "\n", "_"), F.lit(".pdf")).alias("name"))
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.filter(F.split("text", "[^a-zA-Z]+"), lambda w: w != "").alias("ws"))
+    word = lambda k: F.coalesce(F.get("ws", k), F.lit(""))
+    some = words.select("item_id", "ws", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("k"))
+    some = some.select("item_id", "k", F.concat(F.substring(word(F.col("k") - 1), 1, 3), F.lit(" "), F.substring(word(F.col("k")), 2, 3)).alias("query"))
+    first, kind = word(F.lit(0)), F.col("item_id") % 4
+    other = F.when(kind == 0, F.concat(F.upper(first), F.lit(" pdf"))).when(kind == 1, " - ").when(kind == 2, F.concat(F.substring(first, 1, 2), F.lit("."))).otherwise(F.concat(F.lit("nonexistent "), first))
+    queries = some.unionByName(words.select("item_id", F.lit(0).alias("k"), other.alias("query")))
+    return batch_search.search_many(names, queries).select("item_id", "k", "doc_id")
