@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import ExtractConfig, Query, Settings, check_file_limit
 from .functions.formats import SUPPORTED
-from .operators import documents, elements, query, reading, search, stats, tables, validate
+from .operators import documents, elements, proximity, query, reading, search, stats, tables, validate
 from .sources import files, pdf
 
 # The names under which the verbs are known to clients.
@@ -80,7 +80,8 @@ class Engine:
     # --- directories ---
 
     def _directory(self, directory: str) -> DataFrame:
-        return files.listing(self.spark, directory or self.settings.dir)
+        """What all verbs on directories begin with; none lists files that are empty or too large."""
+        return files.readable(files.listing(self.spark, directory or self.settings.dir), self.limit)
 
     def search_directory(self, directory: str = "", text: str = "") -> DataFrame:
         return search.in_walk_order(search.search(self._directory(directory), text, self.limit))
@@ -129,6 +130,12 @@ class Engine:
     def extract_complete(self, path: str, **options) -> DataFrame:
         return self.extract(path, ExtractConfig(**{"mode": "complete"} | options))
 
+    def complete(self, path: str, **options) -> DataFrame:
+        """Complete mode with what it finds: elements, and their tables as elements, with the group that each is near to."""
+        config = ExtractConfig(**{"mode": "complete"} | options)
+        found = elements.extract(self.parsed(path), config)
+        return proximity.groups(tables.with_tables(found, config.tables))
+
     def extract_tables(self, path: str, config: ExtractConfig = ExtractConfig(mode="table")) -> DataFrame:
         """Tables; none in modes that look for none."""
         found = tables.tables(elements.extract(self.parsed(path, ("text",)), config), config.tables)

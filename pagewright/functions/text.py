@@ -108,3 +108,9 @@ def glob_regex(pattern: str) -> str | None:
         else:
             out.append(quote(c))
     return "^(?s:" + "".join(out) + ")$"
+
+
+def glob_ends(pattern: str) -> tuple[str, str]:
+    """What every name that a well-formed shell pattern matches begins and ends with."""
+    special = [k for k, c in enumerate(pattern) if c in "*?[]\\"]
+    return (pattern[: special[0]], pattern[special[-1] + 1 :]) if special else (pattern, pattern)

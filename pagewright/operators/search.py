@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MIB
-from ..functions.text import glob_regex, name_words
+from ..functions.text import glob_ends, glob_regex, name_words
 from .validate import listing_message
 
 DEFAULT_LIMIT = 100 * MIB
@@ -48,7 +48,10 @@ def search_pattern(files: DataFrame, pattern: str = "", max_file_size: int = DEF
     if not pattern:
         return found
     regex = glob_regex(pattern)
-    return found.where(F.lit(False) if regex is None else F.col("name").rlike(regex))
+    if regex is None:
+        return found.where(F.lit(False))
+    first, last = glob_ends(pattern)  # plain beginnings and ends are predicates that a source can take
+    return found.where(F.col("name").startswith(first) & F.col("name").endswith(last) & F.col("name").rlike(regex))
 
 
 def in_walk_order(files: DataFrame) -> DataFrame:

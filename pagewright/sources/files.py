@@ -2,69 +2,159 @@
 
 ``listing`` walks directories with a Python data source: unlike the built-in binary
 reader it keeps names that begin with a dot or an underscore, empty files and
-directories, so that validation can speak about them.  ``contents`` reads bytes with
-the built-in reader, which pushes the size limit into its scan.
+directories, so that validation can speak about them.  Predicates on path, name, size and
+kind are pushed into it: folders that no path in question is below are not entered, and of files
+that name or path rule out no state is asked for.  Folders become tasks, large ones several.
+``contents`` reads bytes with the built-in reader, which pushes the size limit into its scan.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not,
+    StringContains, StringEndsWith, StringStartsWith,
+)
 
 from ..schema import FILES
 
 NAME = "pagewright_listing"
-FOLDERS = 256
+FOLDERS, ENTRIES, BATCH = 256, 20_000, 8192  # folders that the driver looks into; entries a task; rows a batch
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
+_SCHEMA = pa.schema([("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("modified_time", pa.timestamp("us", "UTC")), ("is_dir", pa.bool_())])
+_TESTS: dict[type, Callable] = {
+    EqualTo: lambda v, w: v == w, EqualNullSafe: lambda v, w: v == w, GreaterThan: lambda v, w: v > w, GreaterThanOrEqual: lambda v, w: v >= w, LessThan: lambda v, w: v < w,
+    LessThanOrEqual: lambda v, w: v <= w, In: lambda v, w: v in w, StringStartsWith: lambda v, w: v.startswith(w), StringEndsWith: lambda v, w: v.endswith(w), StringContains: lambda v, w: w in v,
+}
+
+
+class Condition:
+    """One pushed predicate.  Listings hold no nulls, so a condition is true or false."""
+
+    def __init__(self, f: Filter) -> None:
+        self.negated = isinstance(f, Not)
+        inner = f.child if isinstance(f, Not) else f
+        self.column, self.kind = inner.attribute[0], type(inner)
+        self.value = getattr(inner, "value", None)
+
+    @classmethod
+    def of(cls, f: Filter) -> Condition | None:
+        inner = f.child if isinstance(f, Not) else f
+        known = type(inner) in _TESTS or isinstance(inner, (IsNull, IsNotNull))
+        return cls(f) if known and len(inner.attribute) == 1 and inner.attribute[0] in ("path", "name", "size", "is_dir") else None
+
+    def holds(self, value) -> bool:
+        if self.kind in (IsNull, IsNotNull):
+            found = self.kind is IsNotNull
+        else:
+            found = self.value is not None and _TESTS[self.kind](value, self.value)
+        return found != self.negated
+
+    def enters(self, folder: str) -> bool:
+        """Whether something at or below a folder may meet the condition."""
+        if self.column != "path" or self.negated or self.kind not in (EqualTo, EqualNullSafe, In, StringStartsWith):
+            return True
+        wanted = self.value if self.kind is In else [self.value]
+        return any(w is not None and (w.startswith(folder) or (self.kind is StringStartsWith and folder.startswith(w))) for w in wanted)
 
 
 class _Folder(InputPartition):
-    def __init__(self, path: str, recursive: bool) -> None:
-        self.path, self.recursive = path, recursive
+    """A folder's own files, or the ``part``-th of ``parts`` shares of them, or all that is below it."""
+
+    def __init__(self, path: str, recursive: bool, part: int = 0, parts: int = 1) -> None:
+        self.path, self.recursive, self.part, self.parts = path, recursive, part, parts
 
 
 class ListingReader(DataSourceReader):
     def __init__(self, root: str, dirs: bool) -> None:
         self.root, self.dirs = root, dirs
+        self.conditions: list[Condition] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for f in filters:
+            condition = Condition.of(f)
+            if condition is None:
+                yield f
+            else:
+                self.conditions.append(condition)
+
+    def _enters(self, folder: str) -> bool:
+        return all(c.enters(folder) for c in self.conditions)
 
     def partitions(self) -> list[InputPartition]:
-        """Folders by level until there are FOLDERS of them; those listed so far by themselves, the last ones with all below."""
+        """Folders by level until there are FOLDERS of them; those looked into so far by themselves, the last ones with all below."""
         out: list[InputPartition] = []
-        level = [self.root]
-        while level and len(out) + len(level) < FOLDERS:
+        level = [self.root] if self._enters(self.root) else []
+        looked = 0
+        while level and looked + len(level) < FOLDERS:
             below = []
             for folder in level:
-                out.append(_Folder(folder, False))
+                entries = 0
                 try:
-                    with os.scandir(folder) as entries:
-                        below += sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+                    with os.scandir(folder) as found:
+                        for e in found:
+                            entries += 1
+                            if e.is_dir(follow_symlinks=False) and self._enters(e.path):
+                                below.append(e.path)
                 except OSError:
                     pass
-            level = below
+                parts = max(1, -(-entries // ENTRIES))
+                out += [_Folder(folder, False, k, parts) for k in range(parts)]
+                looked += 1
+            level = sorted(below)
         return out + [_Folder(folder, True) for folder in level]
 
     def _row(self, path: str, is_dir: bool) -> tuple | None:
+        known = {"path": path, "name": os.path.basename(path), "is_dir": is_dir}
+        if not all(c.holds(known[c.column]) for c in self.conditions if c.column != "size"):
+            return None  # without a look at the file
         try:
             s = os.stat(path)
         except OSError:
             return None  # entries that can't be read are passed over
-        return path, os.path.basename(path), int(s.st_size), datetime.fromtimestamp(s.st_mtime, timezone.utc), is_dir
-
-    def read(self, partition: _Folder) -> Iterator[tuple]:
-        for folder, dirs, names in os.walk(partition.path):
-            if not partition.recursive:
-                names = [n for n in names if not os.path.isdir(os.path.join(folder, n))]
-            rows = [self._row(os.path.join(folder, n), False) for n in sorted(names)]
-            if self.dirs and (partition.recursive or folder == partition.path):
-                rows.append(self._row(folder, True))
-            yield from (r for r in rows if r)
-            if not partition.recursive:
-                return
+        if not all(c.holds(s.st_size) for c in self.conditions if c.column == "size"):
+            return None
+        return path, known["name"], int(s.st_size), datetime.fromtimestamp(s.st_mtime, timezone.utc), is_dir
+
+    def _rows(self, partition: _Folder) -> Iterator[tuple]:
+        folders = [partition.path]
+        while folders:
+            folder = folders.pop()
+            try:
+                with os.scandir(folder) as found:
+                    entries = sorted((e.name, e.is_dir(), e.is_dir(follow_symlinks=False)) for e in found)
+            except OSError:
+                entries = []
+            for name, is_dir, _ in entries:
+                if not is_dir and (partition.parts == 1 or zlib.crc32(os.fsencode(name)) % partition.parts == partition.part):
+                    yield self._row(os.path.join(folder, name), False)
+            if self.dirs and partition.part == 0:
+                yield self._row(folder, True)
+            if partition.recursive:
+                below = (os.path.join(folder, name) for name, _, inside in reversed(entries) if inside)
+                folders += [path for path in below if self._enters(path)]
+
+    def read(self, partition: _Folder) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), _SCHEMA.types)], schema=_SCHEMA)
+
+        for row in self._rows(partition):
+            if row:
+                held.append(row)
+                if len(held) == BATCH:
+                    yield batch()
+                    held = []
+        if held:
+            yield batch()
 
 
 class ListingSource(DataSource):
@@ -80,15 +170,24 @@ class ListingSource(DataSource):
 
 
 def listing(spark: SparkSession, directory: str, dirs: bool = False) -> DataFrame:
-    """path, name, size, modified_time, is_dir of everything below a directory."""
+    """path, name, size, modified_time, is_dir of everything below a directory.
+
+    Switches the session's pushdown into Python data sources on, which this one makes use of.
+    """
     if not directory:
         raise ValueError("directory cannot be empty")
     if not os.path.isdir(directory):
         raise FileNotFoundError(f"directory does not exist: {directory}")
+    spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(ListingSource)
     return spark.read.format(NAME).option("path", directory).option("dirs", str(dirs).lower()).load()
 
 
+def readable(listed: DataFrame, max_file_size: int) -> DataFrame:
+    """Of a listing, files that are not empty and within the limit, in predicates that a source can take."""
+    return listed.where((F.col("size") > 0) & (F.col("size") <= max_file_size) & ~F.col("is_dir"))
+
+
 def contents(spark: SparkSession, paths: str | list[str], max_file_size: int = 100 << 20) -> DataFrame:
     """path and content of the PDF files at or below the paths, within the size limit."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[pP][dD][fF]")
