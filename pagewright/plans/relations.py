@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..config import TableRules
 from ..functions.text import name_words
-from ..operators import batch_search, elements, proximity, tables
+from ..operators import batch_search, elements, properties, proximity, tables
 from ..sources.adapters import table
+from ..sources.library import library, listed
+from ..sources.library import pages as library_pages
+from .library import _short, _with
 from .registry import FOUND_SQL, LINES_SQL, NAME_WORDS, ROWS_SQL, _lines, _register
 
 # --- proximity ---
@@ -88,3 +91,62 @@ def fuzzy_search_batch(spark, sf_dir):
     other = F.when(kind == 0, F.concat(F.upper(first), F.lit(" pdf"))).when(kind == 1, " - ").when(kind == 2, F.concat(F.substring(first, 1, 2), F.lit("."))).otherwise(F.concat(F.lit("nonexistent "), first))
     queries = some.unionByName(words.select("item_id", F.lit(0).alias("k"), other.alias("query")))
     return batch_search.search_many(names, queries).select("item_id", "k", "doc_id")
+
+
+# --- properties ---
+
+PROPERTY_SQL = """
+js AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE json_object('lang', lang, 'size', json_object('chars', n_chars, 'mean', n_chars / 2), 'label',
+       CASE WHEN quality IS NULL THEN NULL ELSE json_object('good', quality = 1, 'toxic', toxic) END, 'tags', json_array(source, CAST(doc_id % 3 AS VARCHAR))) END AS j FROM documents LEFT JOIN labels USING (doc_id))"""
+_PROPERTIES = {
+    "text": (properties.Property("detail.lang", "in", ("en", "de")), "json_type(j, '$.lang') = 'VARCHAR' AND json_extract_string(j, '$.lang') IN ('en', 'de')"),
+    "starts": (properties.Property("detail.tags[0]", "starts", "src1"), "json_extract_string(j, '$.tags[0]') LIKE 'src1%'"),
+    "number": (properties.Property("detail.size.chars", "gt", 2000), "CAST(json_extract(j, '$.size.chars') AS DOUBLE) > 2000"),
+    "fraction": (properties.Property("detail.size.mean", "le", 100.5), "CAST(json_extract(j, '$.size.mean') AS DOUBLE) <= 100.5"),
+    "boolean": (properties.Property("detail.label.good", "eq", True), "json_extract(j, '$.label.good') = 'true'"),
+    "number_is_no_text": (properties.Property("detail.tags[1]", "eq", 1), "false"),
+    "missing": (properties.Property("detail.label.good", "missing"), "j IS NULL OR json_extract(j, '$.label.good') IS NULL"),
+    "null": (properties.Property("detail.label", "null"), "json_type(j, '$.label') = 'NULL'"),
+    "not_in": (properties.Property("detail.label.toxic", "not_in", (1, 2)), "json_type(j, '$.label.toxic') IS NOT NULL AND CAST(json_extract(j, '$.label.toxic') AS INTEGER) NOT IN (1, 2)"),
+}
+
+
+@_register("element_properties", f"WITH {PROPERTY_SQL} " + " UNION ALL ".join(f"SELECT '{k}' AS condition, doc_id FROM js WHERE {sql}" for k, (_, sql) in _PROPERTIES.items()))
+def element_properties(spark, sf_dir):
+    """Page elements of documents whose detail tells their language, sizes, labels and tags; all conditions are asked in one scan."""
+    good = F.struct((F.col("quality") == 1).alias("good"), F.col("toxic"))
+    label = F.when(F.col("quality").isNotNull(), good)
+    told = F.to_json(F.struct("lang", F.struct(F.col("n_chars").alias("chars"), (F.col("n_chars") / 2).alias("mean")).alias("size"), label.alias("label"), F.array("source", (F.col("doc_id") % 3).cast("string")).alias("tags")), {"ignoreNullFields": "false"})
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_id"), F.col("doc_id") == F.col("l_id"), "left")
+    pages = docs.select("doc_id", F.col("doc_id").cast("string").alias("path"), F.lit(1).alias("page_number"), F.concat(F.lit("document "), F.col("doc_id")).alias("text"), F.when(F.col("doc_id") % 11 != 0, told).alias("told"))
+    found = elements.page_elements(pages).drop("detail").join(pages.select(F.col("path").alias("t_path"), F.col("told").alias("detail"), "doc_id"), F.col("path") == F.col("t_path")).drop("t_path")
+    asked = properties.with_properties(found)
+    met = F.array(*[properties.condition(p) for p, _ in _PROPERTIES.values()])
+    names = F.array(*map(F.lit, _PROPERTIES))
+    # the outer form, as Spark would put the conditions once more into a filter before the other one
+    each = asked.select("doc_id", F.posexplode_outer(met).alias("k", "met")).where("met")
+    return each.select(F.get(names, F.col("k")).alias("condition"), "doc_id")
+
+
+@_register("image_properties", _with("SELECT path, page_number, k::INTEGER AS image_idx FROM im WHERE k = 0 AND t % 4 IN (0, 1)"))
+def image_properties(spark, sf_dir):
+    """Images of the library by format and depth."""
+    found = _short(elements.image_elements(library_pages(spark, sf_dir)), library(spark, sf_dir))
+    chosen = properties.where(found, [properties.Property("detail.format", "in", ("JPEG", "JPEG2000")), properties.Property("detail.bits_per_component", "ge", 8), properties.Property("detail.size", "gt", 0), properties.Property("box.height", "eq", 2)])
+    return chosen.select("path", "page_number", F.split("element_id", "_")[2].cast("int").alias("image_idx"))
+
+
+# --- listings whose predicates the source takes ---
+
+
+@_register("library_listing_by_name", _with("SELECT path, name FROM fs WHERE c % 5 = 1"))
+def library_listing_by_name(spark, sf_dir):
+    found = listed(spark, sf_dir).where(F.col("name").startswith("summary") & F.col("name").endswith(".PDF") & (F.col("size") > 0))
+    return _short(found, library(spark, sf_dir)).select("path", "name")
+
+
+@_register("library_listing_by_folder", _with("SELECT path, name FROM fs WHERE c % 4 IN (1, 2) AND c % 10 <> 4"))
+def library_listing_by_folder(spark, sf_dir):
+    root = library(spark, sf_dir)
+    found = elements.union_elements([listed(spark, sf_dir).where(F.col("path").startswith(f"{root}/f{k}/") & (F.col("size") > 0)) for k in (1, 2)])
+    return _short(found, root).select("path", "name")
