@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import json
 import pickle
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -43,12 +44,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remove, small_batches, written
+from .common import let_go, remove, small_batches, sole_memory, written
 from .spm_wfst import MARK, NORMAL, USER, _fields
 from .token_index import tokenizer_path
 
 MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-BUDGET = 64 << 20  # bytes of what is broadcast
+BUDGET = 48 << 20  # bytes of what is broadcast
 VISIBLE = r"[\p{L}\p{N}\p{P}\p{S}]"
 BOUNDARY = f" (?<={VISIBLE} )(?={VISIBLE})"
 TOKENS = "array<struct<id:int,n:int>>"
@@ -112,10 +113,23 @@ class Tokenizers:
 
 
 @lru_cache(1)
-def tokenizers(path_a: str, path_b: str) -> Tokenizers:
+def _loaded(path_a: str, path_b: str) -> Tokenizers:
     return Tokenizers(path_a, path_b)
 
 
+def tokenizers(path_a: str, path_b: str) -> Tokenizers:
+    """This worker's tokenizers, until another step of an operator needs its memory."""
+    sole_memory("tokenizers", _loaded.cache_clear)
+    return _loaded(path_a, path_b)
+
+
+def _room_for_known() -> None:
+    """The worker is past tokenizing: what that held goes back to the system."""
+    if _loaded.cache_info().currsize:
+        sole_memory("known units", lambda: None)
+        let_go()
+
+
 def divides_at_spaces(path_a: str, path_b: str) -> bool:
     """Whether both tokenizers are of the kinds whose tokens end at every BOUNDARY."""
     with open(path_a, encoding="utf-8") as f:
@@ -133,6 +147,13 @@ def divides_at_spaces(path_a: str, path_b: str) -> bool:
     return bool(level and added and not a.get("normalizer") and plain and not inside)
 
 
+def _free(spark: SparkSession, *paths: str) -> None:
+    """Removes tables, and shuffle files once more when the events of the job just ended, which hold its plan, are past."""
+    remove(spark, *paths)
+    time.sleep(0.5)
+    remove(spark)
+
+
 def units_of(text: Column, divided: bool) -> Column:
     return F.split(text, BOUNDARY, -1) if divided else F.array(text)
 
@@ -322,6 +343,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def _code(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
     """Rows (row, doc_id, units): each unit's place among the known ones, from 1, and 0 for the others, which follow as texts."""
+    _room_for_known()
     table = known.value
     for batch in batches:
         at, flat = _starts(batch.column(2)), batch.column(2).flatten()
@@ -335,6 +357,7 @@ def _code(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
 
 def _assemble(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
     """Rows (row, doc_id, codes, groups of the others in order, their numbers): a document's numbers and groups."""
+    _room_for_known()
     table = known.value
     for batch in batches:
         codes = [_unpacked(c) for c in batch.column(2).to_pylist()]
@@ -368,10 +391,10 @@ def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, *
     none = F.array().cast("array<string>")
     units = texts.select("row", "doc_id", F.when(F.col("text").isNull(), none).otherwise(units_of(F.col("text"), divided)).alias("units"))
     coded, _ = written(units.mapInArrow(lambda b: _code(b, table), f"row long, doc_id {doc_id}, codes binary, others array<string>"), "align-codes")
-    remove(spark, *paths[:1])
+    _free(spark, *paths[:1])
     other = coded.select("row", F.posexplode("others").alias("pos", "u")).join(seldom, F.col("u") == F.col("k_u")).select("row", "pos", *small, "groups")
     other, _ = written(other, "align-others")
-    remove(spark, *paths[1:])
+    _free(spark, *paths[1:])
     sums = [F.sum(c).alias(c) for c in NUMBERS]
     other = other.groupBy(F.col("row").alias("o_row")).agg(*sums, F.array_sort(F.collect_list(F.struct("pos", "groups"))).alias("parts"))
     met = coded.select("row", "doc_id", "codes").join(other, F.col("row") == F.col("o_row"), "left")
@@ -386,7 +409,7 @@ def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget
     filled = texts.filter("text is not null")
     counted = filled.select(F.explode(units_of(F.col("text"), divided)).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
     units, p0 = written(counted.select(F.monotonically_increasing_id().alias("unit"), "u", "n"), "align-units")
-    remove(spark)
+    _free(spark)
     encoded, p1 = written(encode_units(units, path_a, path_b, divided), "align-tokens")
     without = encoded.filter(F.size("a") == 0).select(F.col("unit").alias("w_unit"))
     if not without.head(1):
@@ -413,13 +436,14 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "do
     texts, texts_path = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), filled.alias("text")), "align-texts")
     texts, units, encoded, paths = _tokenized(texts, divided, path_a, path_b, budget)
     aligned, aligned_path = written(gather(align(encoded)), "align-links")
-    remove(spark, paths[1])
+    _free(spark, paths[1])
     pairs = pair_counts(aligned)
+    _free(spark)
     scored = score_units(aligned, pairs, budget).withColumnRenamed("unit", "s_unit")
     numbers = aligned.drop("n", "links").withColumnRenamed("unit", "a_unit")
     known = units.join(numbers, F.col("unit") == F.col("a_unit")).join(scored, F.col("unit") == F.col("s_unit")).select("u", "n", *NUMBERS, "groups")
     known, known_path = written(known, "align-known")
-    remove(spark, paths[0], *[] if keep else [aligned_path])
+    _free(spark, paths[0], *[] if keep else [aligned_path])
     used = [texts_path] if keep else [texts_path, known_path]
     side = (known, aligned, pairs) if keep else (None, None, None)
     return Alignment(_documents(texts, known, divided, budget, *used), *side)
