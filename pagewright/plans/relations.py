@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import TableRules
+from ..config import Query, TableRules
 from ..functions.text import name_words
-from ..operators import batch_search, elements, properties, proximity, tables
-from ..sources.adapters import table
+from ..operators import batch_search, documents, elements, properties, proximity, query, reading, reports, search, stats, tables, validate
+from ..sources import pdf, report_sink
+from ..sources.adapters import document_files, table
 from ..sources.library import library, listed
 from ..sources.library import pages as library_pages
-from .library import _short, _with
-from .registry import FOUND_SQL, LINES_SQL, NAME_WORDS, ROWS_SQL, _lines, _register
+from ..sources.shared import shared_path
+from .library import FORMAT, _short, _with
+from .registry import FILES_SQL, FOUND_SQL, LINES_SQL, NAME_WORDS, ROWS_SQL, SIZE_LIMIT, _lines, _register, _turn_files
 
 # --- proximity ---
 
@@ -150,3 +152,60 @@ def library_listing_by_folder(spark, sf_dir):
     root = library(spark, sf_dir)
     found = elements.union_elements([listed(spark, sf_dir).where(F.col("path").startswith(f"{root}/f{k}/") & (F.col("size") > 0)) for k in (1, 2)])
     return _short(found, root).select("path", "name")
+
+
+# --- reports: formats as lines, written by path and read back ---
+
+
+def _reported(spark: SparkSession, lines: DataFrame, name: str) -> DataFrame:
+    at = shared_path(spark, name)
+    report_sink.write_reports(lines, at)
+    return report_sink.read_reports(spark, at)
+
+
+_ITEMS = """, n AS (SELECT path, count(*) AS n FROM i GROUP BY path)
+SELECT path, 0::INTEGER AS line, '{title}: ' || n AS text FROM n UNION ALL SELECT path, k::INTEGER, k || '. ' || item FROM i WHERE k <= 10 UNION ALL SELECT path, 11, '... and ' || (n - 10) || ' more' FROM n WHERE n > 10"""
+
+
+@_register("report_assets", _with(f""", i AS (SELECT path, 'page ' || page_number || ', width ' || (t + 1) || ', height 2, format ' || {FORMAT} || ', bytes ' || CASE WHEN t % 2 = 0 THEN (t + 1) * 6 ELSE 0 END AS item,
+row_number() OVER (PARTITION BY path ORDER BY page_number) AS k FROM im WHERE k = 0){_ITEMS.format(title='Images')}""").replace(" , i AS", ", i AS", 1))
+def report_assets(spark, sf_dir):
+    images = _short(documents.images(library_pages(spark, sf_dir)), library(spark, sf_dir))
+    return _reported(spark, reports.assets(images), "report-assets")
+
+
+@_register("report_matches", f"""WITH {DOC_LINES_SQL},
+m AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY k) AS r FROM dl WHERE contains(lower(text), 'the')),
+i AS (SELECT path, 'page 1, text: ' || CASE WHEN strlen(text) > 100 THEN left(text, list_max(list_filter(range(0, 101), lambda x: strlen(left(text, x)) <= 100))) || CASE WHEN strlen(left(text, list_max(list_filter(range(0, 101), lambda x: strlen(left(text, x)) <= 100)))) < 100 THEN chr(65533) ELSE '' END || '...' ELSE text END AS item, r AS k FROM m){_ITEMS.format(title='Matches')}""")
+def report_matches(spark, sf_dir):
+    """Lines of all documents with a word, as a report a document."""
+    found = query.query(_document_elements(spark, sf_dir), Query(types=("text",), text="the"))
+    return _reported(spark, reports.matches(found), "report-matches")
+
+
+@_register("report_validation", f"SELECT path, 0::INTEGER AS line, path || CASE WHEN size = 0 THEN ' is not valid: file is empty: ' || path WHEN size > {SIZE_LIMIT} THEN ' is not valid: file too large: ' || size || ' bytes (max: {SIZE_LIMIT} bytes)' ELSE ' is valid' END AS text FROM ({FILES_SQL})")
+def report_validation(spark, sf_dir):
+    return _reported(spark, reports.validation(validate.validate(document_files(spark, sf_dir), None, SIZE_LIMIT)), "report-validation")
+
+
+@_register("report_extraction", f"WITH {LINES_SQL}, c AS (SELECT path, count(*) AS n FROM l GROUP BY path) SELECT path, unnest(range(7))::INTEGER AS line, unnest(['Elements', 'Text elements: ' || n, 'Image elements: 0', 'Vector elements: 0', 'Form elements: 0', 'Annotation elements: 0', 'Total elements: ' || n]) AS text FROM c")
+def report_extraction(spark, sf_dir):
+    return _reported(spark, reports.extraction(query.counts_by_type(_lines(spark, sf_dir))), "report-extraction")
+
+
+@_register("report_directory", f"""WITH s AS (SELECT directory AS path, count(*) AS a, sum(size)::BIGINT AS b, max(size) AS c, first(name ORDER BY size DESC, path) AS d, min(size) AS e, first(name ORDER BY size, path) AS f, (sum(size) // count(*))::BIGINT AS g
+FROM ({FILES_SQL}) WHERE size BETWEEN 1 AND {SIZE_LIMIT} GROUP BY directory)
+SELECT path, unnest(range(8))::INTEGER AS line, unnest(['Directory', 'Total files: ' || a, 'Total size: ' || b, 'Largest size: ' || c, 'Largest name: ' || d, 'Smallest size: ' || e, 'Smallest name: ' || f, 'Average size: ' || g]) AS text FROM s""")
+def report_directory(spark, sf_dir):
+    found = stats.directory_stats(search.list_files(document_files(spark, sf_dir), SIZE_LIMIT), ["directory"])
+    return _reported(spark, reports.directory(found), "report-directory")
+
+
+@_register("report_document", r"""SELECT CAST(conv_id AS VARCHAR) || '/' || turn AS path, unnest(range(len(x)))::INTEGER AS line, unnest(x) AS text FROM (
+SELECT conv_id, turn, list_concat(['File: ' || conv_id || '/' || turn, 'Pages: 1', 'Content type: ' || CASE WHEN strlen(trim(text)) >= 50 THEN 'mixed' ELSE 'scanned_images' END, 'Images: 1',
+CASE WHEN strlen(trim(text)) >= 50 THEN 'Text and images; the images may matter as well.' ELSE 'Mostly scanned images; look at the images instead.' END, ''], string_split(rtrim(text, chr(10)), chr(10))) AS x FROM conversations)""")
+def report_document(spark, sf_dir):
+    """Every generated file of a turn as a report, its text included; sizes are left out, as they are the writer's."""
+    read = reading.read_documents(pdf.parse(_turn_files(spark, sf_dir), ("text", "images")))
+    trimmed = read.withColumn("size", F.lit(None).cast("long")).withColumn("content", F.regexp_replace("content", r"\n+$", ""))
+    return _reported(spark, reports.document(trimmed), "report-document")
