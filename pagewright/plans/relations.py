@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Query, TableRules
 from ..functions.text import name_words
-from ..operators import batch_search, documents, elements, properties, proximity, query, reading, reports, search, stats, tables, validate
+from ..operators import asof, batch_search, documents, elements, properties, proximity, query, reading, reports, search, stats, tables, validate
 from ..sources import pdf, report_sink
 from ..sources.adapters import document_files, table
 from ..sources.library import library, listed
@@ -209,3 +209,21 @@ def report_document(spark, sf_dir):
     read = reading.read_documents(pdf.parse(_turn_files(spark, sf_dir), ("text", "images")))
     trimmed = read.withColumn("size", F.lit(None).cast("long")).withColumn("content", F.regexp_replace("content", r"\n+$", ""))
     return _reported(spark, reports.document(trimmed), "report-document")
+
+
+# --- as-of join ---
+
+
+def _asof(name: str, key: str) -> None:
+    @_register(name, f"""SELECT e.event_id, e.{key}, v.event_id AS last_event_id, v.value AS last_value FROM (SELECT * FROM events WHERE event_type <> 'click') e
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') v ON e.{key} = v.{key} AND e.ts >= v.ts""" if key != "kind" else """
+SELECT e.event_id, e.kind, v.event_id AS last_event_id, v.value AS last_value FROM (SELECT *, 'all' AS kind FROM events WHERE event_type <> 'click') e
+ASOF LEFT JOIN (SELECT *, 'all' AS kind FROM events WHERE event_type = 'click') v ON e.kind = v.kind AND e.ts >= v.ts""")
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "events").withColumn("kind", F.lit("all"))
+        clicks = rows.where("event_type = 'click'").select("event_id", key, "ts", "value")
+        return asof.asof_join(rows.where("event_type <> 'click'"), clicks, [key], "ts", "ts").select("event_id", key, "last_event_id", "last_value")
+
+
+_asof("asof_by_user", "user_id")
+_asof("asof_hot_key", "kind")
