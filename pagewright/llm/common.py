@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,18 @@ def sole_memory(name: str, clear: Callable[[], None]) -> None:
     _holders[name] = clear
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over a task's batches; what the task used goes back to the system at its end, as workers outlive tasks."""
+
+    def over(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return over
+
+
 def small_batches(spark: SparkSession) -> None:
     """Texts are long, so Arrow batches hold fewer rows than the default: less memory in either process.
 

@@ -52,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import remove, row_hash, shuffle_partitions, small_batches, sole_memory, written
+from .common import remove, row_hash, shuffle_partitions, small_batches, sole_memory, trimmed, written
 from .components import connected_components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -62,6 +62,7 @@ ANCHORS, ASKING, FEW = 16, 16, 1 << 17
 WORD = r"[^\x20\x09-\x0D]"
 SHARED = 16  # of a set's shingles, one in so many must be shared with a linked set within the prefixes
 FLUSH, MOST_HELD, SLICE, SLICE_BYTES = 1 << 19, 1 << 22, 256, 4 << 20
+ROWS = 1 << 14  # in a batch that goes back to Spark
 RANGE_BYTES = 64 << 20  # of text whose shingles one range of hashes holds
 BLOOM_BITS, PAGE = 1 << 27, 1 << 15
 
@@ -257,9 +258,11 @@ def _by_range(blocks: DataFrame, ranges: int, f: Callable[[pd.DataFrame], pd.Dat
             for k, blob in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 held.setdefault(k, []).append(blob)
         for k in sorted(held):
-            yield pa.RecordBatch.from_pandas(f(pd.DataFrame({"rng": k, "blob": held.pop(k)})), schema, preserve_index=False)
+            found = pa.RecordBatch.from_pandas(f(pd.DataFrame({"rng": k, "blob": held.pop(k)})), schema, preserve_index=False)
+            for first in range(0, found.num_rows, ROWS):  # Spark holds a whole batch beside its heap
+                yield found.slice(first, ROWS)
 
-    return blocks.select("rng", "blob").repartitionById(ranges, F.col("rng")).mapInArrow(run, columns)
+    return blocks.select("rng", "blob").repartitionById(ranges, F.col("rng")).mapInArrow(trimmed(run), columns)
 
 
 def frequent(base: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
@@ -619,7 +622,7 @@ def _own_links(nodes: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
     seats = nodes.select("grp", F.lit(1).alias("own"), "cid").unionByName(guests.select(_group_name("at").alias("grp"), F.lit(0).alias("own"), "cid"))
     s = sets.select(F.col("cid").alias("s_cid"), "tokens")
     rows = seats.join(s, F.col("cid") == F.col("s_cid")).select("grp", "own", "cid", "tokens")
-    return rows.repartition("grp").sortWithinPartitions("grp", F.desc("own"), "cid").mapInArrow(lambda b: _own_groups(b, every), OPENED)
+    return rows.repartition("grp").sortWithinPartitions("grp", F.desc("own"), "cid").mapInArrow(trimmed(lambda b: _own_groups(b, every)), OPENED)
 
 
 def _few(df: DataFrame, rows: int) -> DataFrame:
@@ -680,11 +683,11 @@ def _asked_links(entries: DataFrame, nodes: DataFrame, unions: DataFrame, sets:
     none = F.lit(None).cast("long")
     lows = _few(spread.select(F.col("n_grp").alias("grp"), "low").join(_few(asked.select(F.col("g").alias("k")).distinct(), n), F.col("grp") == F.col("k"), "left_semi"), n)
     held = unions.join(lows, F.col("g") == F.col("grp")).select("grp", none.alias("cid"), none.alias("comp"), "low", "tokens")
-    qualified, p1 = written(_facing(of, held).mapInArrow(_bounded, "q long, comp long, g long, asking binary"), "jaccard-qualified")
+    qualified, p1 = written(_facing(of, held).mapInArrow(trimmed(_bounded), "q long, comp long, g long, asking binary"), "jaccard-qualified")
     members = nodes.join(qualified.select("g").distinct(), F.col("n_grp") == F.col("g"))
     members = members.select(F.col("n_grp").alias("grp"), F.col("n_cid").alias("cid"), F.col("n_comp").alias("comp"), F.col("n_n").alias("low"))
     members = _few(members, members.count()).join(s, F.col("cid") == F.col("s_cid")).drop("s_cid")
-    return _facing(qualified, members).mapInArrow(lambda b: _open_groups(b, every), "a long, b long"), [p0, p1]
+    return _facing(qualified, members).mapInArrow(trimmed(lambda b: _open_groups(b, every)), "a long, b long"), [p0, p1]
 
 
 def _in_components(nodes: DataFrame, parts: DataFrame) -> DataFrame:
@@ -713,11 +716,11 @@ def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[st
     key_type = rows.select("doc_id").limit(0).toArrow().schema.field(0).type
     texts = rows.select("t")
 
-    base, p0 = written(rows.mapInArrow(lambda b: _count_pass(b, ranges, key_type), f"kind int, doc_id {key}, n long, cid long, rng int, blob binary"), "jaccard-sets")
+    base, p0 = written(rows.mapInArrow(trimmed(lambda b: _count_pass(b, ranges, key_type)), f"kind int, doc_id {key}, n long, cid long, rng int, blob binary"), "jaccard-sets")
     counted = spark.sparkContext.broadcast(frequent(base))
     kept, own = written(base.filter("kind = 0").select("doc_id", "n", "cid"), "jaccard-classes")
     remove(spark, p0)
-    blocks = texts.mapInArrow(lambda b: _prefix_pass(b, ranges, counted), "rng int, blob binary")
+    blocks = texts.mapInArrow(trimmed(lambda b: _prefix_pass(b, ranges, counted)), "rng int, blob binary")
     found, p1 = written(_by_range(blocks, ranges, lambda b: _match(b, ranges), "token long, cid long, n long, often boolean"), "jaccard-matched")
     counted.destroy()
     matched = found.filter("not often").drop("often").unionByName(found.filter("often").drop("often").distinct())
@@ -729,7 +732,7 @@ def _compared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[st
     remove(spark, p2)
     bits = spark.sparkContext.broadcast(bloom(led.select("cid").distinct()))
     # a class that only shares its bit does no harm
-    sets = texts.mapInArrow(lambda b: _set_pass(b, bits), "cid long, n long, tokens binary")
+    sets = texts.mapInArrow(trimmed(lambda b: _set_pass(b, bits)), "cid long, n long, tokens binary")
     sets, p4 = written(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens")), "jaccard-compared")
     bits.destroy()
     return kept, led, sets, [own, p3, p4]

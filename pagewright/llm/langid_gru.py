@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_fold, let_go
+from .common import crc_fold, let_go, trimmed
 
 UND = "und"
 HIDDEN = 16
@@ -355,7 +355,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[st
 
     schema = ", ".join([*[f"c{k} {kinds[c]}" for k, c in enumerate(keep)], f"c{n} string, c{n + 1} double"])
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))
-    return rows.mapInArrow(run, schema).toDF(*keep, "lang_pred", "score")
+    return rows.mapInArrow(trimmed(run), schema).toDF(*keep, "lang_pred", "score")
 
 
 def byte_labels(model: Model, text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sole_memory
+from .common import sole_memory, trimmed
 from .token_index import tokenizer_path
 
 MARK = "▁"
@@ -490,7 +490,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: Sequence[str]
 
     schema = ", ".join([*[f"c{k} {kinds[c]}" for k, c in enumerate(keep)], "piece_ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean"])
     rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)], F.col(f"`{text}`").alias("t"))
-    return rows.mapInArrow(run, schema).toDF(*keep, *names)
+    return rows.mapInArrow(trimmed(run), schema).toDF(*keep, *names)
 
 
 def decode(df: DataFrame, model: str, ids: str = "piece_ids", keep: Sequence[str] = ("doc_id",)) -> DataFrame:

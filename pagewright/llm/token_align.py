@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let_go, remove, small_batches, sole_memory, written
+from .common import let_go, remove, small_batches, sole_memory, trimmed, written
 from .spm_wfst import MARK, NORMAL, USER, _fields
 from .token_index import tokenizer_path
 
@@ -180,7 +180,7 @@ def encode_units(units: DataFrame, path_a: str, path_b: str, divided: bool) -> D
                 yield pa.RecordBatch.from_arrays(columns, ["unit", "n", "a", "b"])
                 first = last
 
-    return units.select("unit", "u", "n").mapInArrow(run, f"unit long, n long, a {TOKENS}, b {TOKENS}")
+    return units.select("unit", "u", "n").mapInArrow(trimmed(run), f"unit long, n long, a {TOKENS}, b {TOKENS}")
 
 
 def _ends(encoded: DataFrame, side: str) -> DataFrame:
@@ -251,7 +251,7 @@ def gather(links: DataFrame) -> DataFrame:
             yield _unit_rows(pa.Table.from_batches(held))
 
     rows = links.select("unit", "n", "grp", "a", "b", "a_ends", "b_ends")
-    return rows.mapInArrow(run, "unit long, n long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int>>")
+    return rows.mapInArrow(trimmed(run), "unit long, n long, n_a long, n_b long, n_groups long, n_links long, groups string, links array<struct<a:int,b:int>>")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -390,7 +390,7 @@ def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, *
     table = spark.sparkContext.broadcast(_Known(often.select("k_u", *small, "groups").toArrow()))
     none = F.array().cast("array<string>")
     units = texts.select("row", "doc_id", F.when(F.col("text").isNull(), none).otherwise(units_of(F.col("text"), divided)).alias("units"))
-    coded, _ = written(units.mapInArrow(lambda b: _code(b, table), f"row long, doc_id {doc_id}, codes binary, others array<string>"), "align-codes")
+    coded, _ = written(units.mapInArrow(trimmed(lambda b: _code(b, table)), f"row long, doc_id {doc_id}, codes binary, others array<string>"), "align-codes")
     _free(spark, *paths[:1])
     other = coded.select("row", F.posexplode("others").alias("pos", "u")).join(seldom, F.col("u") == F.col("k_u")).select("row", "pos", *small, "groups")
     other, _ = written(other, "align-others")
@@ -400,7 +400,7 @@ def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, *
     met = coded.select("row", "doc_id", "codes").join(other, F.col("row") == F.col("o_row"), "left")
     groups = F.coalesce(F.transform("parts", lambda p: p.groups), none)
     columns = ", ".join(f"{c} long" for c in NUMBERS)
-    return met.select("row", "doc_id", "codes", groups.alias("others"), *NUMBERS).mapInArrow(lambda b: _assemble(b, table), f"row long, doc_id {doc_id}, {columns}, groups string")
+    return met.select("row", "doc_id", "codes", groups.alias("others"), *NUMBERS).mapInArrow(trimmed(lambda b: _assemble(b, table)), f"row long, doc_id {doc_id}, {columns}, groups string")
 
 
 def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
