@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import os
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ExtractConfig, Query, Settings, check_file_limit
 from .functions.formats import SUPPORTED
 from .operators import documents, elements, proximity, query, reading, search, stats, tables, validate
-from .sources import files, pdf
+from .sources import files, pdf, store
 
 # The names under which the verbs are known to clients.
 TOOLS = {
@@ -43,9 +44,10 @@ class Engine:
 
     def _listed(self, path: str) -> DataFrame:
         """The listing row of one path; a null size where there is nothing."""
-        exists, is_dir = os.path.exists(path), os.path.isdir(path)
-        size = os.path.getsize(path) if exists and not is_dir else None
-        at = F.timestamp_seconds(F.lit(os.path.getmtime(path))) if exists else F.lit(None).cast("timestamp")
+        found = store.info(path) if path else None
+        exists, is_dir = bool(found and found.type is not FileType.NotFound), bool(found and found.type is FileType.Directory)
+        size = found.size if exists and not is_dir else None
+        at = F.timestamp_seconds(F.lit(found.mtime_ns / 1e9)) if exists and found.mtime_ns else F.lit(None).cast("timestamp")
         return self.spark.range(1).select(F.lit(path).alias("path"), F.lit(os.path.basename(path)).alias("name"), F.lit(size).cast("long").alias("size"), at.alias("modified_time"), F.lit(is_dir).alias("is_dir"))
 
     def _checked(self, path: str, gate) -> DataFrame:

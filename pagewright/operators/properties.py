@@ -106,4 +106,9 @@ def with_properties(elements: DataFrame) -> DataFrame:
 def where(elements: DataFrame, conditions: Iterable[Property]) -> DataFrame:
     """elements that meet all conditions; those without a properties column get one while it is asked."""
     with_column = elements if COLUMN in elements.columns else with_properties(elements)
-    return with_column.where(reduce(lambda a, b: a & b, map(condition, conditions), F.lit(True))).select(*elements.columns)
+    asked = list(conditions)
+    if not asked:
+        return elements
+    # a list of one: the optimiser would else build the properties anew in every condition
+    met = F.exists(F.array(COLUMN), lambda v: reduce(lambda a, b: a & b, [condition(p, v) for p in asked]))
+    return with_column.where(met).select(*elements.columns)

@@ -5,6 +5,7 @@ reader it keeps names that begin with a dot or an underscore, empty files and
 directories, so that validation can speak about them.  Predicates on path, name, size and
 kind are pushed into it: folders that no path in question is below are not entered, and of files
 that name or path rule out no state is asked for.  Folders become tasks, large ones several.
+Folders may be paths, or URIs of a store that Arrow's file systems know; listed paths begin alike.
 ``contents`` reads bytes with the built-in reader, which pushes the size limit into its scan.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
 
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
@@ -24,6 +26,7 @@ from pyspark.sql.datasource import (
 )
 
 from ..schema import FILES
+from . import store
 
 NAME = "pagewright_listing"
 FOLDERS, ENTRIES, BATCH = 256, 20_000, 8192  # folders that the driver looks into; entries a task; rows a batch
@@ -96,50 +99,58 @@ class ListingReader(DataSourceReader):
         while level and looked + len(level) < FOLDERS:
             below = []
             for folder in level:
-                entries = 0
-                try:
-                    with os.scandir(folder) as found:
-                        for e in found:
-                            entries += 1
-                            if e.is_dir(follow_symlinks=False) and self._enters(e.path):
-                                below.append(e.path)
-                except OSError:
-                    pass
+                inside = self._inside(folder)
+                below += [path for path, _, _, real in inside if real and self._enters(path)]
+                entries = len(inside)
                 parts = max(1, -(-entries // ENTRIES))
                 out += [_Folder(folder, False, k, parts) for k in range(parts)]
                 looked += 1
             level = sorted(below)
         return out + [_Folder(folder, True) for folder in level]
 
+    def _inside(self, folder: str) -> list[tuple[str, str, bool, bool]]:
+        """(path, name, is it a directory, is it one itself and no link to one), by name; nothing of folders that can't be read."""
+        try:
+            if store.has_scheme(folder):
+                return sorted((path, name, is_dir, is_dir) for path, name, is_dir, _, _ in store.below(folder))
+            with os.scandir(folder) as found:
+                return sorted((e.path, e.name, e.is_dir(), e.is_dir(follow_symlinks=False)) for e in found)
+        except OSError:
+            return []
+
+    @staticmethod
+    def _state(path: str) -> tuple[int, float]:
+        """Size and time of modification."""
+        if store.has_scheme(path):
+            found = store.info(path)
+            return found.size or 0, (found.mtime_ns or 0) / 1e9
+        s = os.stat(path)
+        return int(s.st_size), s.st_mtime
+
     def _row(self, path: str, is_dir: bool) -> tuple | None:
         known = {"path": path, "name": os.path.basename(path), "is_dir": is_dir}
         if not all(c.holds(known[c.column]) for c in self.conditions if c.column != "size"):
             return None  # without a look at the file
         try:
-            s = os.stat(path)
+            size, at = self._state(path)
         except OSError:
             return None  # entries that can't be read are passed over
-        if not all(c.holds(s.st_size) for c in self.conditions if c.column == "size"):
+        if not all(c.holds(size) for c in self.conditions if c.column == "size"):
             return None
-        return path, known["name"], int(s.st_size), datetime.fromtimestamp(s.st_mtime, timezone.utc), is_dir
+        return path, known["name"], size, datetime.fromtimestamp(at, timezone.utc), is_dir
 
     def _rows(self, partition: _Folder) -> Iterator[tuple]:
         folders = [partition.path]
         while folders:
             folder = folders.pop()
-            try:
-                with os.scandir(folder) as found:
-                    entries = sorted((e.name, e.is_dir(), e.is_dir(follow_symlinks=False)) for e in found)
-            except OSError:
-                entries = []
-            for name, is_dir, _ in entries:
+            entries = self._inside(folder)
+            for path, name, is_dir, _ in entries:
                 if not is_dir and (partition.parts == 1 or zlib.crc32(os.fsencode(name)) % partition.parts == partition.part):
-                    yield self._row(os.path.join(folder, name), False)
+                    yield self._row(path, False)
             if self.dirs and partition.part == 0:
                 yield self._row(folder, True)
             if partition.recursive:
-                below = (os.path.join(folder, name) for name, _, inside in reversed(entries) if inside)
-                folders += [path for path in below if self._enters(path)]
+                folders += [path for path, _, _, real in reversed(entries) if real and self._enters(path)]
 
     def read(self, partition: _Folder) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -176,7 +187,7 @@ def listing(spark: SparkSession, directory: str, dirs: bool = False) -> DataFram
     """
     if not directory:
         raise ValueError("directory cannot be empty")
-    if not os.path.isdir(directory):
+    if not (store.info(directory).type is FileType.Directory if store.has_scheme(directory) else os.path.isdir(directory)):
         raise FileNotFoundError(f"directory does not exist: {directory}")
     spark.conf.set(PUSHDOWN, "true")
     spark.dataSource.register(ListingSource)
@@ -201,7 +212,6 @@ def content_of(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():  # a file at a time, as any may be large
-                with open(path, "rb") as f:
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([f.read()], pa.binary())], ["path", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([store.read_bytes(path)], pa.binary())], ["path", "content"])
 
     return files.select("path").mapInArrow(run, "path string, content binary")

@@ -7,13 +7,11 @@ that SQL over the conversations can say what reading the files must give.
 
 from __future__ import annotations
 
-import os
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import files, pdf
+from . import files, pdf, store
 from .adapters import table
 from .pdf_writer import Page, write
 from .shared import shared_path
@@ -47,16 +45,12 @@ def library(spark: SparkSession, sf_dir: str) -> str:
     """The library's folder; made at the first call."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _made:
-        root = shared_path(spark, "library").removeprefix("file://")
+        root = shared_path(spark, "library")
 
         def run(batches):
             for batch in batches:
                 for conv, turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    folder = f"{root}/f{conv % 4}"
-                    os.makedirs(folder, exist_ok=True)
-                    with open(f"{folder}/.{name_of(conv)}", "wb") as f:
-                        f.write(file_of(conv, [(t["turn"], t["text"]) for t in turns]))
-                    os.replace(f"{folder}/.{name_of(conv)}", f"{folder}/{name_of(conv)}")
+                    store.write_bytes(f"{root}/f{conv % 4}/{name_of(conv)}", file_of(conv, [(t["turn"], t["text"]) for t in turns]))
                 yield pa.RecordBatch.from_arrays([batch.column(0)], ["conv_id"])
 
         turns = F.array_sort(F.collect_list(F.struct(F.col("turn").cast("int").alias("turn"), "text")))

@@ -91,3 +91,17 @@ def test_large_folders_are_several_tasks(spark, tmp_path, monkeypatch):
 def test_directories_are_listed_on_request(spark, tree):
     got = sorted(r.path for r in files.listing(spark, tree, dirs=True).where("is_dir").collect())
     assert got == sorted(folder for folder, _, _ in os.walk(tree))
+
+
+def test_folders_by_uri(spark, tree):
+    uri = f"file://{tree}"
+    plain = {(r.path, r.name, r.size, r.modified_time) for r in files.listing(spark, tree).collect()}
+    found = {(r.path, r.name, r.size, r.modified_time) for r in files.listing(spark, uri).collect()}
+    linked = {p for p in (r[0] for r in found) if p.startswith(f"{uri}/link/")}  # a store does not tell links from folders
+    assert {(p.removeprefix("file://"), n, s) for p, n, s, _ in found if p not in linked} == {(p, n, s) for p, n, s, _ in plain}
+    some = files.listing(spark, uri).where(F.col("path").startswith(f"{uri}/d2/") & (F.col("size") > 100))
+    assert sorted(r.path for r in some.collect()) == sorted(f"file://{p}" for p, n, s, _ in plain if p.startswith(f"{tree}/d2/") and s > 100)
+    contents = {r.path: len(r.content) for r in files.content_of(some).collect()}
+    assert contents == {f"file://{p}": s for p, n, s, _ in plain if p.startswith(f"{tree}/d2/") and s > 100}
+    with pytest.raises(FileNotFoundError):
+        files.listing(spark, f"{uri}/nowhere")
