@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import let_go, remove, small_batches, sole_memory, trimmed, written
+from .common import let_go, remove, shuffle_partitions, small_batches, sole_memory, trimmed, written
 from .spm_wfst import MARK, NORMAL, USER, _fields
 from .token_index import tokenizer_path
 
@@ -52,7 +52,7 @@ MODEL_A, MODEL_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 BUDGET = 48 << 20  # bytes of what is broadcast
 VISIBLE = r"[\p{L}\p{N}\p{P}\p{S}]"
 BOUNDARY = f" (?<={VISIBLE} )(?={VISIBLE})"
-TOKENS = "array<struct<id:int,n:int>>"
+TOKENS = "array<struct<b:boolean,id:int,n:int>>"
 PART, TOGETHER = 1 << 20, 256  # characters, and units of a text, that are encoded at a time
 
 
@@ -159,7 +159,7 @@ def units_of(text: Column, divided: bool) -> Column:
 
 
 def encode_units(units: DataFrame, path_a: str, path_b: str, divided: bool) -> DataFrame:
-    """(unit, n, a, b) for rows (unit, u, n): tokens of either side with their lengths in bytes."""
+    """(unit, n, tokens) for rows (unit, u, n): A's tokens, then B's, with their lengths in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizers(path_a, path_b)
@@ -171,35 +171,30 @@ def encode_units(units: DataFrame, path_a: str, path_b: str, divided: bool) -> D
                     size += len(texts[last])
                     last += 1
                 coded = t.encode(texts[first:last], divided)
-                columns = [batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first)]
-                for side, sizes in enumerate((t.sizes_a, t.sizes_b)):
-                    ids = np.concatenate([x[side] for x in coded])
-                    offsets = np.concatenate([[0], np.cumsum([len(x[side]) for x in coded])])
-                    tokens = pa.StructArray.from_arrays([pa.array(ids), pa.array(sizes[ids])], ["id", "n"])
-                    columns.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens))
-                yield pa.RecordBatch.from_arrays(columns, ["unit", "n", "a", "b"])
+                ids = np.concatenate([i for x in coded for i in x])
+                of_b = np.repeat(np.tile([False, True], len(coded)), [len(i) for x in coded for i in x])
+                sizes = np.where(of_b, t.sizes_b[np.where(of_b, ids, 0)], t.sizes_a[np.where(of_b, 0, ids)]).astype(np.int32)
+                offsets = np.concatenate([[0], np.cumsum([len(x) + len(y) for x, y in coded])])
+                tokens = pa.StructArray.from_arrays([pa.array(of_b), pa.array(ids), pa.array(sizes)], ["b", "id", "n"])
+                kept = [batch.column(k).slice(first, last - first) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens)], ["unit", "n", "tokens"])
                 first = last
 
-    return units.select("unit", "u", "n").mapInArrow(trimmed(run), f"unit long, n long, a {TOKENS}, b {TOKENS}")
-
-
-def _ends(encoded: DataFrame, side: str) -> DataFrame:
-    """(unit, n, end, a_id, b_id): a side's tokens with the byte after their last one; the other side's id is null."""
-    rows = encoded.select("unit", "n", F.posexplode(side).alias("pos", "token"))
-    so_far = Window.partitionBy("unit").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ids = [(F.col("token.id") if s == side else F.lit(None).cast("int")).alias(f"{s}_id") for s in ("a", "b")]
-    return rows.select("unit", "n", F.sum("token.n").over(so_far).alias("end"), *ids)
+    return units.select("unit", "u", "n").mapInArrow(trimmed(run), f"unit long, n long, tokens {TOKENS}")
 
 
 def align(encoded: DataFrame) -> DataFrame:
-    """A row for each link, of rows (unit, n, a, b): (unit, n, end, grp, a, b, a_ends, b_ends), a unit's from its end.
+    """A row for each link, of rows (unit, n, tokens): (unit, n, end, grp, a, b, a_ends, b_ends), a unit's from its end.
 
     ``grp`` numbers the groups from the unit's last one; ``a_ends``: token a's last byte is here.
-    Ends are unique on either side, so a row a unit and end is their full equi-join; written as a
-    grouping it leaves the tables dealt by unit as they are, and the window needs no other shuffle.
+    Ends are unique on either side, so a row a unit and end is the sides' full equi-join; written as
+    a grouping it leaves the table dealt by unit as it is, and the windows need no other shuffle.
     """
-    dealt = encoded.repartition("unit")
-    met = _ends(dealt, "a").unionByName(_ends(dealt, "b")).groupBy("unit", "end").agg(F.max("n").alias("n"), F.max("a_id").alias("a_id"), F.max("b_id").alias("b_id"))
+    dealt = encoded.repartition(2 * shuffle_partitions(encoded.sparkSession), "unit")
+    rows = dealt.select("unit", "n", F.posexplode("tokens").alias("pos", "token")).select("unit", "n", "pos", "token.b", "token.id", F.col("token.n").alias("bytes"))
+    so_far = Window.partitionBy("unit", "b").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.select("unit", "n", F.sum("bytes").over(so_far).alias("end"), F.when(~F.col("b"), F.col("id")).alias("a_id"), F.when(F.col("b"), F.col("id")).alias("b_id"))
+    met = ends.groupBy("unit", "end").agg(F.max("n").alias("n"), F.max("a_id").alias("a_id"), F.max("b_id").alias("b_id"))
     back = Window.partitionBy("unit").orderBy(F.col("end").desc()).rowsBetween(Window.unboundedPreceding, 0)
     here = lambda c: F.last(c, True).over(back)
     a_ends, b_ends = F.col("a_id").isNotNull(), F.col("b_id").isNotNull()
@@ -411,7 +406,7 @@ def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget
     units, p0 = written(counted.select(F.monotonically_increasing_id().alias("unit"), "u", "n"), "align-units")
     _free(spark)
     encoded, p1 = written(encode_units(units, path_a, path_b, divided), "align-tokens")
-    without = encoded.filter(F.size("a") == 0).select(F.col("unit").alias("w_unit"))
+    without = encoded.filter(F.size("tokens") == 0).select(F.col("unit").alias("w_unit"))
     if not without.head(1):
         return texts, units, encoded, [p0, p1]
     # whole texts go with such a unit: their other units must not be counted
