@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Query, TableRules
 from ..functions.text import name_words
-from ..operators import asof, batch_search, documents, elements, properties, proximity, query, reading, reports, search, stats, tables, validate
+from ..operators import asof, batch_search, documents, elements, paging, properties, proximity, query, reading, reports, search, stats, tables, validate
 from ..sources import pdf, report_sink
 from ..sources.adapters import document_files, table
 from ..sources.library import library, listed
@@ -227,3 +227,20 @@ ASOF LEFT JOIN (SELECT *, 'all' AS kind FROM events WHERE event_type = 'click')
 
 _asof("asof_by_user", "user_id")
 _asof("asof_hot_key", "kind")
+
+
+# --- paging ---
+
+
+@_register("paging", """WITH o AS (SELECT event_id, value, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS place, count(*) OVER () AS n FROM events)
+SELECT event_id, value, place FROM o WHERE place < 25 OR place >= n // 2 AND place < n // 2 + 25 OR place >= n - 10""")
+def paging_pages(spark, sf_dir):
+    """The first page of all events by value, one from the middle, and the last, which is short."""
+    found = paging.pages(table(spark, sf_dir, "events").select("event_id", "value"), [("value", False), "event_id"])
+    return elements.union_elements([found.page(0, 25), found.page(found.total // 2, 25), found.page(found.total - 10, 25)])
+
+
+@_register("paging_after", "SELECT event_id, value FROM events WHERE value < 20 OR value = 20 AND event_id > 100 ORDER BY value DESC, event_id LIMIT 30")
+def paging_after(spark, sf_dir):
+    found = paging.pages(table(spark, sf_dir, "events").select("event_id", "value"), [("value", False), "event_id"])
+    return found.after([20.0, 100], 30)
