@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -422,9 +424,9 @@ def stream_ingest(spark, sf_dir):
     root, target, checkpoint = library(spark, sf_dir), shared_path(spark, "ingested"), shared_path(spark, "ingest-state")
     for _ in range(2):
         ingest(spark, root, target, checkpoint).awaitTermination()
-    path = F.regexp_replace(F.url_decode("path"), "^file:/*(?=/)", "")
-    rows = spark.read.parquet(target).withColumn("path", path)
-    return _short(rows, root).groupBy("path", "page_number").agg(F.count(F.lit(1)).alias("n"))
+    local = "^file:/*(?=/)"  # the file stream writes local paths in another way than the listing
+    rows = spark.read.parquet(target).withColumn("path", F.regexp_replace(F.url_decode("path"), local, ""))
+    return _short(rows, re.sub(local, "", root)).groupBy("path", "page_number").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_register("stream_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

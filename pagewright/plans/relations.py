@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Query, TableRules
 from ..functions.text import name_words
+from ..functions.text import timestamp_text
 from ..operators import asof, batch_search, documents, elements, paging, properties, proximity, query, reading, reports, search, stats, tables, validate
 from ..sources import pdf, report_sink
 from ..sources.adapters import document_files, table
@@ -244,3 +245,41 @@ def paging_pages(spark, sf_dir):
 def paging_after(spark, sf_dir):
     found = paging.pages(table(spark, sf_dir, "events").select("event_id", "value"), [("value", False), "event_id"])
     return found.after([20.0, 100], 30)
+
+
+# --- stateful streams ---
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _landed(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """What a stream appends until nothing more comes."""
+    target = shared_path(spark, name)
+    stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", shared_path(spark, f"{name}-state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(target)
+
+
+@_register("stream_versions", """WITH a AS (SELECT 'user' || user_id AS path, ts, event_id, CAST(floor(value / 20)::BIGINT AS VARCHAR) AS hash FROM events),
+c AS (SELECT *, lag(hash) OVER (PARTITION BY path ORDER BY ts, hash) AS before, row_number() OVER (PARTITION BY path ORDER BY ts, hash) AS k FROM a)
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY ts, hash) AS version, hash, strftime(ts, '%Y-%m-%d %H:%M:%S') AS since FROM c WHERE k = 1 OR hash <> before""")
+def stream_versions(spark, sf_dir):
+    """Every user's content by the value of their events: a new version where it changes."""
+    from ..streaming.ingest import versions
+
+    content = F.floor(F.col("value") / 20).cast("string")
+    arrivals = _streamed(spark, sf_dir, "events").select(F.concat(F.lit("user"), F.col("user_id")).alias("path"), content.alias("hash"), F.col("ts").alias("at"))
+    return _landed(spark, versions(arrivals, "3650 days"), "versions").withColumn("since", timestamp_text(F.col("since")))
+
+
+@_register("stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n FROM s GROUP BY user_id, k
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def stream_sessions(spark, sf_dir):
+    """Users' sessions with gaps of less than six hours; those that may still grow at the end of the stream have not come out."""
+    from ..streaming.ingest import sessions
+
+    out = _landed(spark, sessions(_streamed(spark, sf_dir, "events"), "6 hours"), "sessions")
+    return out.select("user_id", timestamp_text(F.col("start")).alias("start"), timestamp_text(F.col("end")).alias("end"), "n")
