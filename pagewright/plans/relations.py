@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..config import Query, TableRules
 from ..functions.text import name_words
 from ..functions.text import timestamp_text
-from ..operators import asof, batch_search, documents, elements, paging, properties, proximity, query, reading, reports, search, stats, tables, validate
+from ..operators import asof, batch_search, documents, elements, paging, properties, proximity, query, reading, reports, search, sketches, stats, tables, validate
 from ..sources import pdf, report_sink
 from ..sources.adapters import document_files, table
 from ..sources.library import library, listed
 from ..sources.library import pages as library_pages
-from ..sources.shared import shared_path
+from ..sources.shared import shared_path, written
 from .library import FORMAT, _short, _with
 from .registry import FILES_SQL, FOUND_SQL, LINES_SQL, NAME_WORDS, ROWS_SQL, SIZE_LIMIT, _lines, _register, _turn_files
 
@@ -283,3 +283,22 @@ def stream_sessions(spark, sf_dir):
 
     out = _landed(spark, sessions(_streamed(spark, sf_dir, "events"), "6 hours"), "sessions")
     return out.select("user_id", timestamp_text(F.col("start")).alias("start"), timestamp_text(F.col("end")).alias("end"), "n")
+
+
+# --- sketches ---
+
+
+@_register("sketch_rollup", """WITH e AS (SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, value FROM events)
+SELECT coalesce(event_type, '') AS event_type, coalesce(day, '') AS day, count(*) AS n, true AS distinct_ok, true AS median_ok, true AS p95_ok FROM e GROUP BY GROUPING SETS ((event_type, day), (event_type), ())""")
+def sketch_rollup(spark, sf_dir):
+    """Stored sketches by type and day, merged by type and over all, and whether each estimate is within its bound."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "value", "user_id")
+    by, sets = ["event_type", "day"], [["event_type", "day"], ["event_type"], []]
+    stored, _ = written(sketches.build(rows, by, "value", "user_id"), "sketches")
+    told = sketches.estimates(sketches.rollup(stored, sets, by))
+    near = F.percentile("value", F.array(*[F.lit(q + d) for q in (0.5, 0.95) for d in (-sketches.RANK_ERROR, sketches.RANK_ERROR)]))
+    exact = rows.groupingSets([[F.col(c) for c in s] for s in sets], *by).agg(F.count_distinct("user_id").alias("exact"), near.alias("near"))
+    exact = exact.select(*[F.col(c).alias(f"x_{c}") for c in by], "exact", "near")
+    met = told.join(exact, F.col("event_type").eqNullSafe(F.col("x_event_type")) & F.col("day").eqNullSafe(F.col("x_day")))
+    between = lambda q, k: F.col(q).between(F.get("near", F.lit(k)), F.get("near", F.lit(k + 1)))
+    return met.select(F.coalesce("event_type", F.lit("")).alias("event_type"), F.coalesce("day", F.lit("")).alias("day"), "n", sketches.within(F.col("distinct"), F.col("exact")).alias("distinct_ok"), between("q50", 0).alias("median_ok"), between("q95", 2).alias("p95_ok"))
