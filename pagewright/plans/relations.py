@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import Query, TableRules
 from ..functions.text import name_words
+from ..functions import table_functions
 from ..functions.text import timestamp_text
 from ..operators import asof, batch_search, documents, elements, paging, properties, proximity, query, reading, reports, search, sketches, stats, tables, validate
 from ..sources import pdf, report_sink
@@ -302,3 +303,20 @@ def sketch_rollup(spark, sf_dir):
     met = told.join(exact, F.col("event_type").eqNullSafe(F.col("x_event_type")) & F.col("day").eqNullSafe(F.col("x_day")))
     between = lambda q, k: F.col(q).between(F.get("near", F.lit(k)), F.get("near", F.lit(k + 1)))
     return met.select(F.coalesce("event_type", F.lit("")).alias("event_type"), F.coalesce("day", F.lit("")).alias("day"), "n", sketches.within(F.col("distinct"), F.col("exact")).alias("distinct_ok"), between("q50", 0).alias("median_ok"), between("q95", 2).alias("p95_ok"))
+
+
+# --- table functions in SQL text ---
+
+
+@_register("sql_anchored_rows", f"WITH {ROWS_SQL} SELECT path, row_index, width FROM wd")
+def sql_anchored_rows(spark, sf_dir):
+    table_functions.register(spark)
+    _lines(spark, sf_dir).select("path", "page_number", "element_id", "lly").createOrReplaceTempView("pagewright_lines")
+    return spark.sql("SELECT path, row_index, count(*) AS width FROM anchored_rows(TABLE(pagewright_lines), 5.0) GROUP BY path, row_index")
+
+
+@_register("sql_glob_matches", "SELECT doc_id, g AS pattern FROM (SELECT doc_id, source || '_' || lang || '.pdf' AS name FROM documents) JOIN (SELECT unnest(['src1*', '*_en.pdf', 'src[2-4]_??.pdf', '*[!x']) AS g) ON name GLOB g AND g <> '*[!x'")
+def sql_glob_matches(spark, sf_dir):
+    table_functions.register(spark)
+    table(spark, sf_dir, "documents").selectExpr("doc_id", "source || '_' || lang || '.pdf' AS name").createOrReplaceTempView("pagewright_names")
+    return spark.sql("SELECT doc_id, pattern FROM pagewright_names, LATERAL glob_matches(name, array('src1*', '*_en.pdf', 'src[2-4]_??.pdf', '*[!x'))")
