@@ -10,7 +10,7 @@ from ..functions.text import name_words
 from ..functions import table_functions
 from ..functions.text import timestamp_text
 from ..operators import asof, batch_search, documents, elements, paging, properties, proximity, query, reading, reports, search, sketches, stats, tables, validate
-from ..sources import pdf, report_sink
+from ..sources import files, pdf, report_sink
 from ..sources.adapters import document_files, table
 from ..sources.library import library, listed
 from ..sources.library import pages as library_pages
@@ -320,3 +320,14 @@ def sql_glob_matches(spark, sf_dir):
     table_functions.register(spark)
     table(spark, sf_dir, "documents").selectExpr("doc_id", "source || '_' || lang || '.pdf' AS name").createOrReplaceTempView("pagewright_names")
     return spark.sql("SELECT doc_id, pattern FROM pagewright_names, LATERAL glob_matches(name, array('src1*', '*_en.pdf', 'src[2-4]_??.pdf', '*[!x'))")
+
+
+@_register("stream_listing", _with("SELECT path, name, c % 10 = 4 AS empty, 1::BIGINT AS n FROM fs"))
+def stream_listing(spark, sf_dir):
+    """The library's files as they are met by a listing stream, started twice: each once."""
+    root, target, state = library(spark, sf_dir), shared_path(spark, "listed"), shared_path(spark, "listed-state")
+    for _ in range(2):
+        found = files.listing_stream(spark, root)
+        found.writeStream.format("parquet").option("path", target).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    rows = _short(spark.read.schema(found.schema).parquet(target), root)
+    return rows.groupBy("path", "name", (F.col("size") == 0).alias("empty")).agg(F.count(F.lit(1)).alias("n"))

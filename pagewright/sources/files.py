@@ -12,6 +12,7 @@ Folders may be paths, or URIs of a store that Arrow's file systems know; listed
 from __future__ import annotations
 
 import os
+import time
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
@@ -21,7 +22,7 @@ from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not,
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualNullSafe, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, Not,
     StringContains, StringEndsWith, StringStartsWith,
 )
 
@@ -30,6 +31,7 @@ from . import store
 
 NAME = "pagewright_listing"
 FOLDERS, ENTRIES, BATCH = 256, 20_000, 8192  # folders that the driver looks into; entries a task; rows a batch
+SETTLE = 1000  # milliseconds after which a change is taken for over
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 _SCHEMA = pa.schema([("path", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("modified_time", pa.timestamp("us", "UTC")), ("is_dir", pa.bool_())])
 _TESTS: dict[type, Callable] = {
@@ -168,11 +170,59 @@ class ListingReader(DataSourceReader):
             yield batch()
 
 
+class _Span(InputPartition):
+    """Of a folder's entries those whose state changed after ``low`` and up to ``high`` (ns)."""
+
+    def __init__(self, folder: _Folder, low: int, high: int) -> None:
+        self.folder, self.low, self.high = folder, low, high
+
+
+class ListingStreamReader(DataSourceStreamReader):
+    """New and changed files by the time of their last change; offsets are times, whatever the number of files.
+
+    On local folders that time also moves when a file is renamed or moved here with an old date.  What changed
+    within the last ``settle`` milliseconds waits for the next batch, as clocks and half written
+    files are not to be relied on.  A file that changes twice between two batches is reported once, as it is then.
+    """
+
+    def __init__(self, root: str, dirs: bool, settle: int) -> None:
+        self.listing, self.settle = ListingReader(root, dirs), settle
+
+    def initialOffset(self) -> dict:
+        return {"upto": "0"}
+
+    def latestOffset(self) -> dict:
+        return {"upto": str(time.time_ns() - self.settle * 1_000_000)}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [_Span(folder, int(start["upto"]), int(end["upto"])) for folder in self.listing.partitions()]
+
+    def read(self, partition: _Span) -> Iterator[pa.RecordBatch]:
+        for batch in self.listing.read(partition.folder):
+            changed = [self._changed(path) for path in batch.column("path").to_pylist()]
+            inside = [c is not None and partition.low < c <= partition.high for c in changed]
+            if any(inside):
+                yield batch.filter(pa.array(inside))
+
+    @staticmethod
+    def _changed(path: str) -> int | None:
+        if store.has_scheme(path) and not path.startswith("file:"):
+            return store.info(path).mtime_ns
+        try:
+            s = os.stat(store.resolve(path)[1])
+        except OSError:
+            return None
+        return max(s.st_mtime_ns, s.st_ctime_ns)
+
+
 class ListingSource(DataSource):
     @classmethod
     def name(cls) -> str:
         return NAME
 
+    def streamReader(self, schema) -> ListingStreamReader:
+        return ListingStreamReader(self.options.get("path", ""), self.options.get("dirs", "false") == "true", int(self.options.get("settle", SETTLE)))
+
     def schema(self) -> str:
         return FILES
 
@@ -194,6 +244,13 @@ def listing(spark: SparkSession, directory: str, dirs: bool = False) -> DataFram
     return spark.read.format(NAME).option("path", directory).option("dirs", str(dirs).lower()).load()
 
 
+def listing_stream(spark: SparkSession, directory: str, settle: int = SETTLE) -> DataFrame:
+    """The listing's columns for files as they appear or change below a directory; unlike the built-in file stream it sees
+    empty files, names that begin with a dot, and changes of files that it has reported before."""
+    spark.dataSource.register(ListingSource)
+    return spark.readStream.format(NAME).option("path", directory).option("settle", settle).load()
+
+
 def readable(listed: DataFrame, max_file_size: int) -> DataFrame:
     """Of a listing, files that are not empty and within the limit, in predicates that a source can take."""
     return listed.where((F.col("size") > 0) & (F.col("size") <= max_file_size) & ~F.col("is_dir"))

@@ -1,9 +1,12 @@
 """Stateful streams over several batches: late and repeated rows, state that goes, restarts."""
 
+import os
+import time
 from datetime import datetime, timedelta
 
 import pytest
 
+from pagewright.sources.files import listing_stream
 from pagewright.streaming.ingest import sessions, versions
 
 T = datetime(2024, 1, 1)
@@ -56,3 +59,36 @@ def test_sessions_of_a_table(spark):
     rows = [(1, T), (1, T + timedelta(minutes=29)), (1, T + timedelta(minutes=60))]
     found = sessions(spark.createDataFrame(rows, "user_id long, ts timestamp"))
     assert sorted((r.n, r.end - r.start) for r in found.collect()) == [(1, timedelta(minutes=30)), (2, timedelta(minutes=59))]
+
+
+def test_listings_report_every_arrival_once(spark, tmp_path):
+    top = tmp_path / "files"
+    (top / "sub").mkdir(parents=True)
+    out, seen = str(tmp_path / "listed"), []
+
+    def arrived():
+        """What another run of the stream, from its checkpoint, adds."""
+        time.sleep(0.15)
+        found = listing_stream(spark, str(top), settle=50)
+        found.select("name", "size").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        rows = sorted((r.name, r.size) for r in spark.read.schema("name string, size long").parquet(out).collect())
+        new = list(rows)
+        for r in seen:
+            new.remove(r)
+        seen[:] = rows
+        return new
+
+    (top / "a.pdf").write_bytes(b"1")
+    (top / ".hidden.pdf").write_bytes(b"12")
+    (top / "sub" / "_empty.pdf").touch()
+    assert arrived() == [(".hidden.pdf", 2), ("_empty.pdf", 0), ("a.pdf", 1)]
+    assert arrived() == []
+    (top / "a.pdf").write_bytes(b"changed")  # reported again, as it is now
+    old = tmp_path / "old.pdf"
+    old.write_bytes(b"123")
+    os.utime(old, (0, 0))
+    old.rename(top / "sub" / "old.pdf")  # a date of long ago does not hide it
+    assert arrived() == [("a.pdf", 7), ("old.pdf", 3)]
+    (top / "new").mkdir()
+    (top / "new" / "b.txt").write_bytes(b"")
+    assert arrived() == [("b.txt", 0)] and arrived() == []
