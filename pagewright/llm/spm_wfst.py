@@ -457,7 +457,7 @@ def transducer(path: str) -> Transducer:
     return _transducers[path]
 
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
