@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc_fold, let_go, trimmed
+from .common import crc_fold, let_go, sole_memory, trimmed
 
 UND = "und"
 HIDDEN = 16
@@ -336,6 +336,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[st
         return model.langs[k], float(min(1.0, p[k]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("languages", lambda: None)
         pool = Pooler(model)
         for batch in batches:
             texts = batch.column(n).to_pylist()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold
+from .common import crc_fold, sole_memory, trimmed
 
 BUCKETS, FACTORS = 1 << 14, 8
 SAMPLE = 3000  # labelled rows of each class, at most
@@ -195,6 +195,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", metadata: Sequence[
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("quality", lambda: None)
         for batch in batches:
             scores, held, size = [], [], 0
             for f in _of(batch, n):
@@ -208,7 +209,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", metadata: Sequence[
 
     schema = ", ".join([*[f"c{k} {kinds[c]}" for k, c in enumerate(keep)], f"c{n} double"])
     rows = _inputs(docs, text, metadata, *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
-    return rows.mapInArrow(run, schema).toDF(*keep, "score")
+    return rows.mapInArrow(trimmed(run), schema).toDF(*keep, "score")
 
 
 METADATA = ("n_chars",)

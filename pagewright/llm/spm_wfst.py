@@ -453,7 +453,7 @@ _transducers: dict[str, Transducer] = {}
 def transducer(path: str) -> Transducer:
     if path not in _transducers:
         _transducers[path] = Transducer(path)
-    sole_memory("pieces", lambda: [t.forget() for t in _transducers.values()])
+    sole_memory("pieces", _transducers.clear)  # the next step of a pipeline needs the room more than this one the time to compile
     return _transducers[path]
 
 
