@@ -73,7 +73,7 @@ def test_registered_names():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)} and "pipeline" in names
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)} and "pipeline" in names
     assert set(e.oracle_sql()) <= names
 
 
