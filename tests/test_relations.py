@@ -61,6 +61,19 @@ def test_a_long_chain_is_one_group(spark):
     assert {n for *_, n in got(spark, rows, 19.9)} == {1}
 
 
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_groups_broadcast_nothing(spark):
+    """Written tables are many times their files' size as rows, so small files are no reason to collect them."""
+    found = proximity.groups(spark.createDataFrame([("p", 1, f"e{k}", 25.0 * k, 0.0, 25.0 * k + 5, 1.0, "t", 0) for k in range(9)], BOXES))
+    nodes = proximity._nodes(proximity._boxed(found), 20.0)
+    for df in (found, proximity.near_labels(nodes, 20.0)):
+        df.collect()
+        assert "SortMergeJoin" in planned(df) and "Broadcast" not in planned(df)
+
+
 def test_elements_without_a_place_are_alone(spark):
     nan = float("nan")
     rows = [("p", 1, "a", 0.0, 0.0, 1.0, 1.0), ("p", 1, "b", nan, 0.0, 1.0, 1.0), ("p", 1, "c", None, 0.0, 1.0, 1.0), (None, 1, "d", 0.0, 0.0, 1.0, 1.0), (None, 1, "e", 0.0, 0.0, 1.0, 1.0),
