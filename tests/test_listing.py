@@ -105,3 +105,14 @@ def test_folders_by_uri(spark, tree):
     assert contents == {f"file://{p}": s for p, n, s, _ in plain if p.startswith(f"{tree}/d2/") and s > 100}
     with pytest.raises(FileNotFoundError):
         files.listing(spark, f"{uri}/nowhere")
+
+
+def test_contents_are_dealt_by_the_number_of_files(spark, tree):
+    """A folder's files are one task of the listing, but not one of their contents."""
+    some = files.listing(spark, f"{tree}/d2").where("size > 0")
+    assert some.count() == 15 and some.rdd.getNumPartitions() < 5
+    dealt = files.dealt(some, 3)
+    assert dealt.rdd.getNumPartitions() == 5 and len([x for x in dealt.rdd.glom().collect() if x]) > 2
+    sizes = lambda df: sorted((r.path, len(r.content)) for r in files.content_of(df).collect())
+    assert sizes(dealt) == sizes(some) == sorted((r.path, r.size) for r in some.collect())
+    assert files.dealt(some.limit(0)).count() == 0
