@@ -30,6 +30,14 @@ def test_parser_round_trip(packed, compress):
     assert rows[0]["info"]["Subject"] == "日本" and rows[0]["info"]["Author"] == "Ää"
 
 
+def test_an_object_stream_is_opened_once(monkeypatch):
+    data, decoded = write([Page(f"page {k}") for k in range(50)], INFO, packed=True), []
+    decode = pdf_objects.Document.decode
+    monkeypatch.setattr(pdf_objects.Document, "decode", lambda self, s: decoded.append(s.dict.get("Type")) or decode(self, s))
+    assert [r["text"] for r in read_pages(data)] == [f"page {k}" for k in range(50)]
+    assert decoded.count("ObjStm") == 1
+
+
 @pytest.mark.parametrize("data", [b"", b"This is not a PDF file", bytes(1024), b"%PDF-1.4\n", write(PAGES)[:60]])
 def test_bad_files_are_rows(data):
     (row,) = read_pages(data)
