@@ -88,6 +88,11 @@ def test_regions_read_their_texts_in_order(spark):
     assert found["a"].text == "above\nbelow" and (found["a"].llx, found["a"].ury, found["a"].n_elements) == (0.0, 22.0, 2) and found["c"].text == ""
 
 
+def test_regions_broadcast_nothing(spark):
+    found = proximity.regions(proximity.groups(spark.createDataFrame([("p", 1, f"e{k}", 25.0 * k, 0.0, 25.0 * k + 5, 1.0, "t", 0) for k in range(9)], BOXES)))
+    assert found.collect()[0].n_elements == 9 and "Broadcast" not in planned(found)
+
+
 def test_complete_mode_has_tables(spark):
     pages = spark.createDataFrame([("one", 1, "a\nb\nc\nd"), ("none", 1, "a\nb"), ("two", 1, "a\nb\nc\nd"), ("two", 2, "e\nf\ng\nh")], "path string, page_number int, text string")
     found = elements.line_elements(pages)
