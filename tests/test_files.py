@@ -148,6 +148,19 @@ def test_incremental_ingest(spark, folder, tmp_path):
         assert got.where("page_number is not null").groupBy("path").count().count() == 1
 
 
+def test_reading_parses_files_once(spark):
+    from pagewright.operators import reading
+    from pagewright.sources import pdf
+
+    made = spark.createDataFrame([("a", write(PAGES)), ("b", b"cut off"), ("c", write([Page("one"), Page(""), Page("three")]))], "path string, content binary")
+    read = reading.read_documents(pdf.parse(made, ("text", "images")), 10)
+    assert read._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.path: r for r in read.collect()}
+    assert got["a"].content == TEXT.encode()[:10].decode() and (got["a"].pages, got["a"].image_count, got["a"].error) == (3, 3, None)
+    assert got["b"].error.startswith("failed to open PDF: ") and (got["b"].pages, got["b"].content, got["b"].content_type) == (0, "", "no_content")
+    assert [x for x in got["c"].content.split("\n") if x] == ["one", "--- Page Break ---", "--- Page Break ---", "three"]
+
+
 def test_results_as_text(engine, folder):
     from pagewright import render
 
