@@ -92,3 +92,18 @@ def test_listings_report_every_arrival_once(spark, tmp_path):
     (top / "new").mkdir()
     (top / "new" / "b.txt").write_bytes(b"")
     assert arrived() == [("b.txt", 0)] and arrived() == []
+
+
+def test_ingest_looks_files_up_in_few_tasks(spark, tmp_path):
+    from pagewright.sources.pdf_writer import Page, write
+    from pagewright.streaming.ingest import ingest
+
+    (tmp_path / "in").mkdir()
+    for k in range(70):
+        (tmp_path / "in" / f"{k}.pdf").write_bytes(write([Page(f"file {k}")]))
+    query = ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 32
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 70
