@@ -18,8 +18,9 @@ the most rows (of equal numbers the first by name).  Languages weigh alike.
 
 Defined cases: texts that are null or have no letter get ``und`` and score 0; null
 languages and null ids are not learned from; without any learned language all rows are
-``und``; equal texts get equal results; rows equal in id and text are learned from once; an
-empty table gives no rows; other columns are not read.
+``und``; a text's result does not depend on the texts beside it, but for rounding in single
+precision; rows equal in id and text are learned from once; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from .common import crc_fold, let_go, sole_memory, trimmed
 
 UND = "und"
 HIDDEN = 16
-SPAN, CONTEXT, SIDE_BY_SIDE = 256, 16, 1024  # bytes of a window, on either side of it, windows at a time
+SPAN, CONTEXT, SIDE_BY_SIDE = 256, 16, 2048  # bytes of a window, on either side of it, windows at a time
 STEPS, BATCH, RATE, EPOCHS = 96, 256, 0.01, 1  # in training, windows are of STEPS bytes and their context
 LEAST_BATCHES = 250  # few windows are gone over more often
 DOCS, BYTES, LANGS = 200, 8 << 20, 500  # of the sample, at most: different rows and bytes of each language, and languages
@@ -197,55 +198,57 @@ def fit(samples: Sequence[tuple[str, str | None]], epochs: int = EPOCHS, seed: i
 class Pooler:
     """Pooled probabilities of documents.
 
-    The gates' logistic functions are half a tanh each, so halves are folded into the weights once.
+    A state h is held as q = (1 - h) / 2 and a logistic function as the 1 + exp(-x) that divides by it, so a step
+    is exponentials, sums and quotients; the signs and constants of that are folded into the weights once.  The
+    gates are the first axis of all arrays, so every operation goes over consecutive numbers.
     """
 
     def __init__(self, model: Model) -> None:
-        self.model, h = model, HIDDEN
-        half = np.concatenate([np.full(2 * h, 0.5), np.ones(h)]).astype(np.float32)
-        self.weights = {d: (model.params[f"x{d}"] * half, np.ascontiguousarray(model.params[f"u{d}"] * 0.5), model.params[f"c{d}"] * np.float32(0.5)) for d in DIRECTIONS}
-
-    def _sums(self, x: np.ndarray, counted: np.ndarray, d: str) -> np.ndarray:
-        """The sum of states over the counted steps, of (steps, sequences) bytes in the direction's order."""
+        self.model, self.weights = model, {}
+        for d in DIRECTIONS:
+            x, u = (model.params[k + d].astype(float).reshape(-1, 3, HIDDEN).transpose(1, 0, 2) for k in "xu")
+            ones = u.sum(1)  # what a state of all ones adds
+            table = np.stack([-(x[0] + ones[0]), -(x[1] + ones[1]), 2 * x[2]])
+            self.weights[d] = tuple(np.ascontiguousarray(w, np.float32) for w in (table, u * np.array([2, 2, -4])[:, None, None], 2 * (ones[2] + model.params[f"c{d}"])))
+
+    def _sums(self, x: np.ndarray, counts: np.ndarray, d: str) -> np.ndarray:
+        """The sum of states over each sequence's counted steps, those behind its first CONTEXT; x is (steps, sequences), the longest first."""
         table, u, c = self.weights[d]
-        steps, n = x.shape
-        k = HIDDEN
-        h, total = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
-        a, hu = np.empty((n, 3 * k), np.float32), np.empty((n, 3 * k), np.float32)
-        gates, new, scratch = np.empty((n, 2 * k), np.float32), np.empty((n, k), np.float32), np.empty((n, k), np.float32)
-        for t in range(steps):
-            np.take(table, x[t], 0, a, "clip")
-            np.matmul(h, u, hu)
-            np.add(a[:, : 2 * k], hu[:, : 2 * k], gates)
-            np.tanh(gates, gates)  # twice the gate less 1
-            hn = hu[:, 2 * k :]
-            hn += c
-            np.multiply(gates[:, k:], hn, new)
-            new += hn
-            new += a[:, 2 * k :]
-            np.tanh(new, new)
-            h -= new
-            h *= 0.5
-            np.multiply(gates[:, :k], h, scratch)
-            h += scratch
-            h += new
-            here = counted[t]
-            if here is True:
-                total += h
-            elif here is not False:
-                np.multiply(h, here, scratch)
-                total += scratch
-        return total
+        n, k = len(counts), HIDDEN
+        q, total = np.full((n, k), 0.5, np.float32), np.zeros((n, k), np.float32)
+        inputs, passed = np.empty(3 * n * k, np.float32), np.empty(3 * n * k, np.float32)
+        scratch, const = np.empty((n, k), np.float32), np.tile(c, (n, 1))
+        goes_on = np.searchsorted(-counts, CONTEXT - np.arange(len(x)), "left")  # how many sequences have a step t
+        now = 0
+        with np.errstate(over="ignore"):  # an infinite divisor is a gate of 0
+            for t, going in enumerate(goes_on.tolist()):
+                if going != now:
+                    now = going
+                    a, b = (held[: 3 * now * k].reshape(3, now, k) for held in (inputs, passed))
+                    gates, state, summed, new = b[:2], q[:now], total[:now], scratch[:now]
+                np.take(table, x[t, :now], 1, a, "clip")
+                np.matmul(state, u, b)
+                gates += a[:2]
+                np.exp(gates, gates)
+                gates += 1
+                np.add(b[2], const[:now], new)
+                new /= b[1]
+                new += a[2]
+                np.exp(new, new)
+                new += 1
+                np.reciprocal(new, new)
+                state -= new
+                state /= b[0]
+                state += new
+                if t >= CONTEXT:
+                    summed += state
+        return counts[:, None] - 2 * total.astype(float)
 
     def _states(self, x: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Sums of both directions' states over what counts of each window."""
-        steps = x.shape[1]
-        at = np.arange(steps)
-        inside = (at[:, None] >= CONTEXT) & (at[:, None] < CONTEXT + counts[None])
-        every, some = inside.all(1), inside.any(1)
-        counted = [True if e else inside[t][:, None].astype(np.float32) if s else False for t, (e, s) in enumerate(zip(every, some))]
-        by_step = np.ascontiguousarray(x.T)
-        return np.concatenate([self._sums(by_step, counted, "f"), self._sums(by_step[::-1], counted[::-1], "b")], 1)
+        """Sums of both directions' states over what counts of each window, the longest first."""
+        steps = CONTEXT + int(counts[0])  # the context behind a direction's last counted byte tells it nothing
+        back = np.maximum(2 * CONTEXT + counts - 1 - np.arange(steps)[:, None], 0)
+        return np.concatenate([self._sums(np.ascontiguousarray(x[:, :steps].T), counts, "f"), self._sums(np.take_along_axis(x.T, back, 0), counts, "b")], 1)
 
     def documents(self, texts: Sequence[str | None]) -> list[np.ndarray | None]:
         """Pooled probabilities; None where there is no letter."""
@@ -261,7 +264,7 @@ class Pooler:
             return out
         x, counts, owner = np.concatenate(held), np.concatenate(counts), np.concatenate(owner)
         total, bytes_ = np.zeros((len(texts), 2 * HIDDEN)), np.bincount(owner, counts, len(texts))
-        # windows with as many counted bytes go side by side, so short ones need not run to the full span
+        # windows with about as many counted bytes go side by side, as each ends by itself and few left are slow
         order = np.argsort(-counts, kind="stable")
         for k in range(0, len(order), SIDE_BY_SIDE):
             pick = order[k : k + SIDE_BY_SIDE]
@@ -363,10 +366,10 @@ def byte_labels(model: Model, text: str) -> tuple[np.ndarray, np.ndarray]:
     """(labels, probabilities of them) of a spelled text's bytes, by windows as documents are read."""
     x, counts = windows(spelled(text))
     labels, scores = [], []
-    for k in range(0, len(x), SIDE_BY_SIDE // 8):
-        prob = positions(model, x[k : k + SIDE_BY_SIDE // 8])[:, CONTEXT : CONTEXT + SPAN]
+    for k in range(0, len(x), SIDE_BY_SIDE // 16):
+        prob = positions(model, x[k : k + SIDE_BY_SIDE // 16])[:, CONTEXT : CONTEXT + SPAN]
         best = prob.argmax(2)
-        inside = np.arange(SPAN)[None] < counts[k : k + SIDE_BY_SIDE // 8, None]
+        inside = np.arange(SPAN)[None] < counts[k : k + SIDE_BY_SIDE // 16, None]
         labels.append(best[inside])
         scores.append(np.take_along_axis(prob, best[:, :, None], 2)[:, :, 0][inside])
     return np.concatenate(labels), np.concatenate(scores)

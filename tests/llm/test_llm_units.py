@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -269,6 +270,37 @@ def test_pooled_states_are_the_mean_of_all_positions():
         assert np.allclose(langid_gru.Pooler(m).documents([t])[0], want / want.sum(), atol=1e-4)
 
 
+def test_a_text_is_pooled_alike_whatever_lies_beside_it():
+    """A short window ends by itself: it isn't run on to the end of the longest beside it."""
+    text = _three_languages()
+    m = langid_gru.fit([(k, text(k, 40)) for k in "xyz" for _ in range(4)])
+    pool = langid_gru.Pooler(m)
+    short = [text(k, n) for k in "xyz" for n in (1, 2, 5, 20)]
+    alone = np.array([pool.documents([t])[0] for t in short])
+    beside = pool.documents([text("y", 300), *short, text("z", 90)])[1:-1]
+    assert np.allclose(np.array(beside), alone, atol=1e-5)
+
+
+def test_pooling_takes_much_less_time_than_the_plain_step():
+    """Over the same bytes, pooling took 0.91 to 1.02 of the plain step's CPU time before, and 0.45 to 0.49 since."""
+    text = _three_languages()
+    m = langid_gru.initial("xyz")
+    pool, t = langid_gru.Pooler(m), text("y", 40000)
+    x, _ = langid_gru.windows(langid_gru.spelled(t))
+    few = x[:1024]
+
+    def least(run):
+        took = []
+        for _ in range(4):
+            start = time.process_time()
+            run()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    plain = least(lambda: [langid_gru._run(few, m.params, "f"), langid_gru._run(few[:, ::-1], m.params, "b")]) * len(x) / len(few)
+    assert least(lambda: pool.documents([t])) < 0.75 * plain
+
+
 def test_windows_cover_the_text_and_states_cross_words():
     raw = bytes(range(97, 123)) * 40
     x, counts = langid_gru.windows(raw, 256, 16)
