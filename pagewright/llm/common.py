@@ -6,6 +6,7 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +20,12 @@ def sole_memory(name: str, clear: Callable[[], None]) -> None:
 
     Workers outlive stages, so without this the memories of all stages would add up.
     """
-    for other in [k for k in _holders if k != name]:
+    others = [k for k in _holders if k != name]
+    for other in others:
         _holders.pop(other)()
     _holders[name] = clear
+    if others:
+        let_go()  # at once: the end of a long task is too late
 
 
 def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -57,6 +61,7 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def let_go() -> None:
     """Gives memory that this process no longer uses back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()  # Arrow's is none of the C library's
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)

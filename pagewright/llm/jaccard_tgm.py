@@ -233,9 +233,13 @@ def _count_pass(batches: Iterator[pa.RecordBatch], ranges: int, key_type: pa.Dat
 
 def _sum_counts(blobs: pd.DataFrame, least: int) -> pd.DataFrame:
     """Of one range, the hashes counted at least so often: a block for each power of two of the count."""
-    tops, counts = zip(*((np.cumsum(t, dtype=np.uint32), c) for t, c in (unpack(b, np.uint32, np.uint32) for b in blobs["blob"])))
-    top, where = np.unique(np.concatenate(tops), return_inverse=True)
-    total = np.bincount(where, np.concatenate(counts)).astype(np.uint32)
+    both = [np.cumsum(t, dtype=np.uint64) << np.uint64(32) | c for t, c in (unpack(b, np.uint32, np.uint32) for b in blobs["blob"])]
+    both = np.concatenate(both)
+    both.sort()  # hash and count in one number: sorted in place, without the order as an array beside it
+    top = (both >> np.uint64(32)).astype(np.uint32)
+    both &= np.uint64((1 << 32) - 1)
+    new = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+    top, total = top[new], np.add.reduceat(both, new).astype(np.uint32)
     rows = []
     keep = total >= least
     top, total = top[keep], total[keep]

@@ -171,6 +171,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, labe
         chosen = top if chosen is None else chosen.unionByName(top)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sole_memory("quality", lambda: None)
         for batch in batches:
             got = list(_of(batch, 2))
             columns = [pa.array([r[k].astype(t).tobytes() for r in got], pa.binary()) for k, t in ((0, "<i4"), (1, "<f4"), (2, "<f8"))]
@@ -179,7 +180,7 @@ def sample_rows(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, labe
     # the broadcast side has 2 * sample rows of two numbers; of a hot id one row is left before the shuffle
     joined = _inputs(docs, text, metadata, F.col(f"`{doc_id}`").alias("d_id")).join(F.broadcast(chosen), F.col("d_id") == F.col("s_id"))
     one = joined.groupBy(F.col("d_id").cast("string").alias("k"), "y").agg(F.min(F.struct(F.xxhash64("t", "meta").alias("h"), "t", "meta")).alias("r"))
-    rows = one.select("k", "y", "r.t", "r.meta").mapInArrow(run, "k string, y int, b binary, x binary, s binary").collect()
+    rows = one.select("k", "y", "r.t", "r.meta").mapInArrow(trimmed(run), "k string, y int, b binary, x binary, s binary").collect()
     rows.sort(key=lambda r: (r.k, r.y))
     return [(np.frombuffer(r.b, "<i4"), np.frombuffer(r.x, "<f4"), np.frombuffer(r.s, "<f8")) for r in rows], np.array([r.y for r in rows], float)
 

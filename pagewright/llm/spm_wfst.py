@@ -48,13 +48,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sole_memory, trimmed
+from .common import let_go, sole_memory, trimmed
 from .token_index import tokenizer_path
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values: piece types of the model format
 UNIGRAM, BPE = 1, 2  # fixed values: model types
 WORDS_KEPT, PAIRS_KEPT = 150_000, 1 << 19
+SIDE_BY_SIDE = 1 << 15  # characters of new words whose paths are sought together; a longer word goes alone
 INF = float("inf")
 NONE, FALLBACK = -1, -2  # in place of a position's last piece
 
@@ -270,6 +271,7 @@ class Transducer:
         which it is merged away (rank: minus the score, so smaller merges first; the whole piece never is)."""
         self.left_edge: list[list[tuple[str, float]] | None] = [None] * len(self.pieces)
         self.right_edge = list(self.left_edge)
+        same: dict[tuple[str, float], tuple[str, float]] = {}  # pieces share most parts, and every worker holds them all
         for piece, k in self.ids.items():
             tree = self._merge_tree(piece)
             if tree is None:
@@ -277,7 +279,7 @@ class Transducer:
             for edge, side in ((self.left_edge, 1), (self.right_edge, 2)):
                 parts, node, rank = [], tree, INF
                 while node:
-                    parts.append((node[0], rank))
+                    parts.append(same.setdefault((node[0], rank), (node[0], rank)))
                     node, rank = node[side], -self.scores[self.ids[node[0]]] if node[1] else INF
                 edge[k] = parts[::-1]
 
@@ -396,8 +398,15 @@ class Transducer:
         fresh = [w for w in words if w not in self.known]
         self.known.update((w, self.own[w].to_bytes(4, "little")) for w in fresh if w in self.own)
         fresh = [w for w in fresh if w not in self.own] if self.own else fresh
-        if fresh:
-            self.known.update(zip(fresh, self.shortest(fresh)))
+        first = 0
+        while first < len(fresh):
+            last, size = first + 1, len(fresh[first])
+            while last < len(fresh) and size + len(fresh[last]) <= SIDE_BY_SIDE:
+                size += len(fresh[last])
+                last += 1
+            part = fresh[first:last]
+            self.known.update(zip(part, self.shortest(part)))
+            first = last
 
     def forget(self) -> None:
         self.known: dict[str, bytes] = {}
@@ -451,9 +460,10 @@ _transducers: dict[str, Transducer] = {}
 
 
 def transducer(path: str) -> Transducer:
+    sole_memory("pieces", _transducers.clear)  # the next step of a pipeline needs the room more than this one the time to compile
     if path not in _transducers:
         _transducers[path] = Transducer(path)
-    sole_memory("pieces", _transducers.clear)  # the next step of a pipeline needs the room more than this one the time to compile
+        let_go()  # compiling takes more than it leaves
     return _transducers[path]
 
 
