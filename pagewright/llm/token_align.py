@@ -13,8 +13,10 @@ that range ends where one of the two does.  So links are found without comparing
 tokens with each other, however long it is.
 
 Units: neither tokenizer joins what a single space between two visible characters divides (A's
-pattern starts a new word there; no piece of B has the mark inside), so the tokens of a text are those of
-its units, one after the other, and every boundary of units is a cut.  A unit is tokenized and
+pattern starts a new word there; no piece of B has the mark inside), nor a letter and punctuation, a
+letter and a digit, or a single line's end and what is visible around it, unless a piece of B holds
+such neighbours (Seams).  So the tokens of a text are those of its units, one after the other, and every
+boundary of units is a cut.  A unit has the space in front of it, if any; it is tokenized and
 aligned once for all its occurrences, with their number as its weight.  Where a tokenizer is of
 another kind, whole texts are units.
 
@@ -34,6 +36,7 @@ from __future__ import annotations
 import json
 import pickle
 import time
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -54,6 +57,9 @@ VISIBLE = r"[\p{L}\p{N}\p{P}\p{S}]"
 BOUNDARY = f" (?<={VISIBLE} )(?={VISIBLE})"
 TOKENS = "array<struct<b:boolean,id:int,n:int>>"
 PART, TOGETHER = 1 << 20, 256  # characters, and units of a text, that are encoded at a time
+BLOCK, COUNTED = 1 << 20, 24 << 20  # bytes that are divided, and whose units are counted, at a time
+OTHER, LETTER, NUMBER, SIGN, QUOTE, SPACE, LINE, NEWER = range(8)  # classes of characters; those that are NEWER are visible too
+UNUSED = 5  # type of a piece that is merged, then divided again
 
 
 def byte_of_letter() -> dict[str, int]:
@@ -79,37 +85,59 @@ class Tokenizers:
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if byte else b"" if control else p.replace(MARK, " ").encode() for p, byte, control in pieces]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in t], np.int32) for t in (self.bytes_a, self.bytes_b))
 
-    def _one(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of either side; none where they do not spell the text."""
-        ids_a, ids_b, spelled = self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text), f" {text}".encode("utf-8", "surrogatepass")
-        good = text and b"".join(map(self.bytes_a.__getitem__, ids_a)) == spelled == b"".join(map(self.bytes_b.__getitem__, ids_b))
-        return (np.array(ids_a, np.int32), np.array(ids_b, np.int32)) if good else (np.zeros(0, np.int32),) * 2
-
-    def _together(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
-        """Ids of texts that are tokenized as one, with single spaces between; None if a token crosses their bounds or they are spelled otherwise."""
-        whole = " ".join(texts)
-        ids_a, ids_b, spelled = self.a.encode(f" {whole}", add_special_tokens=False).ids, self.b.encode(whole), f" {whole}".encode("utf-8", "surrogatepass")
-        if not b"".join(map(self.bytes_a.__getitem__, ids_a)) == spelled == b"".join(map(self.bytes_b.__getitem__, ids_b)):
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of either side of a text with a space in front, which B adds itself; None where they do not spell it."""
+        ids_a, ids_b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        spelled = b"".join(map(self.bytes_a.__getitem__, ids_a)) == text.encode("utf-8", "surrogatepass") == b"".join(map(self.bytes_b.__getitem__, ids_b))
+        return (np.array(ids_a, np.int32), np.array(ids_b, np.int32)) if spelled else None
+
+    def _together(self, units: list[str], seams: Seams) -> tuple[np.ndarray, ...] | None:
+        """A's ids and their number in each unit, then B's, of units that are tokenized as one text; None if a token crosses their bounds or they are spelled otherwise."""
+        fronts = ["" if u[0] == " " else seams.front(u[0]) for u in units]
+        found = self._ids("".join([x for pair in zip(fronts, units) for x in pair]))
+        if found is None:
             return None
-        bounds = np.cumsum([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts])
-        sides = []
-        for ids, sizes in ((np.array(ids_a, np.int32), self.sizes_a), (np.array(ids_b, np.int32), self.sizes_b)):
-            ends = np.cumsum(sizes[ids])
+        lengths = np.array([(len(f), len(u) if u.isascii() else len(u.encode("utf-8", "surrogatepass"))) for f, u in zip(fronts, units)], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(lengths)])  # front, unit, front, ..., end
+        out = []
+        for ids, sizes in zip(found, (self.sizes_a, self.sizes_b)):
+            ends = np.concatenate([[0], np.cumsum(sizes[ids])])
             at = np.searchsorted(ends, bounds)
             if (ends[at] != bounds).any():
                 return None
-            sides.append(np.split(ids, at[:-1] + 1))
-        return list(zip(*sides))
-
-    def encode(self, texts: list[str], divided: bool) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of either side for each text.  Where spaces divide, many are tokenized at once, as the units of one text are."""
-        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(texts)
-        inside = [k for k, t in enumerate(texts) if divided and t and t[0] != " " != t[-1] and t[0].isprintable() and t[-1].isprintable()]
-        for first in range(0, len(inside), TOGETHER):
-            part = inside[first : first + TOGETHER]
-            for k, found in zip(part, self._together([texts[k] for k in part]) or ()):
-                out[k] = found
-        return [self._one(t) if found is None else found for t, found in zip(texts, out)]
+            numbers = np.diff(at)
+            out += [ids[np.repeat(np.arange(len(numbers)) % 2 == 1, numbers)], numbers[1::2]]
+        return tuple(out)
+
+    def _alone(self, unit: str, seams: Seams | None) -> tuple[np.ndarray, ...]:
+        """As above for one unit, with no ids where they do not spell it."""
+        if unit[0] != " ":
+            return self._together([unit], seams) or (np.zeros(0, np.int32), np.zeros(1, np.int64)) * 2
+        ids = self._ids(unit) or (np.zeros(0, np.int32),) * 2
+        return tuple(x for i in ids for x in (i, np.array([len(i)])))
+
+    def encode(self, units: list[str], seams: Seams | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For all units A's ids, then B's: whether B's, the ids, and the number of ids of each unit.  Where texts divide, many are tokenized at once."""
+        inside = np.array([seams is not None and (u[0] != " " or u[1:2].isprintable() and u[1:2] != " ") and u[-1] != " " and u[-1].isprintable() for u in units], bool)
+        order, parts = [], []
+        where = np.flatnonzero(inside)
+        for first in range(0, len(where), TOGETHER):
+            some = where[first : first + TOGETHER]
+            found = self._together([units[k] for k in some.tolist()], seams)
+            if found is None:
+                inside[some] = False
+            else:
+                order.append(some)
+                parts.append(found)
+        for k in np.flatnonzero(~inside).tolist():
+            order.append(np.array([k]))
+            parts.append(self._alone(units[k], seams))
+        places = np.concatenate(order)
+        keys = np.concatenate([np.repeat(2 * places + side, np.concatenate([p[2 * side + 1] for p in parts])) for side in (0, 1)])
+        ids = np.concatenate([p[2 * side] for side in (0, 1) for p in parts])
+        by_unit = np.argsort(keys, kind="stable")
+        keys = keys[by_unit]
+        return keys % 2 == 1, ids[by_unit], np.bincount(keys // 2, minlength=len(units))
 
 
 @lru_cache(1)
@@ -155,10 +183,152 @@ def _free(spark: SparkSession, *paths: str) -> None:
 
 
 def units_of(text: Column, divided: bool) -> Column:
+    """A text between its BOUNDARY spaces.  Seams divide what stands between them further."""
     return F.split(text, BOUNDARY, -1) if divided else F.array(text)
 
 
-def encode_units(units: DataFrame, path_a: str, path_b: str, divided: bool) -> DataFrame:
+@lru_cache(1)
+def classes() -> np.ndarray:
+    """The class of every character below the last entry, which stands for all others.
+
+    Only a class that a character has had since Unicode 3.2 counts: tokenizers know other versions.
+    """
+    old, kinds = unicodedata.ucd_3_2_0, {"L": LETTER, "N": NUMBER, "P": SIGN, "S": SIGN}
+    out = np.zeros(0x30000, np.uint8)
+    for k in range(len(out) - 1):
+        kind = kinds.get(unicodedata.category(chr(k))[0], OTHER)
+        out[k] = kind if kind == kinds.get(old.category(chr(k))[0], OTHER) else kind and NEWER
+    out[[ord("'"), ord(" "), ord("\n")]] = QUOTE, SPACE, LINE
+    return out
+
+
+def _classed(data: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of whole UTF-8 characters belongs to."""
+    known = classes()
+    out = np.frombuffer(bytearray(data.tobytes().translate(known[:256].tobytes())), np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        head, last = data[lead], len(data) - 1
+        more = [np.minimum(lead + k, last) for k in (1, 2, 3)]
+        x, y, z = (data[m].astype(np.int32) & 0x3F for m in more)
+        two, three, h = head < 0xE0, head < 0xF0, head.astype(np.int32)
+        codes = np.where(two, (h & 0x1F) << 6 | x, np.where(three, (h & 0x0F) << 12 | x << 6 | y, (h & 0x07) << 18 | x << 12 | y << 6 | z))
+        kinds = known[np.minimum(codes, len(known) - 1)]
+        for at, some in zip([lead, *more], (slice(None), slice(None), ~two, ~three)):
+            out[at[some]] = kinds[some]
+    return out
+
+
+@dataclass(frozen=True)
+class Seams:
+    """Where texts divide besides BOUNDARY spaces: between neighbours of these classes, and around a single line's end."""
+
+    pairs: frozenset[tuple[int, int]]
+    lines: bool
+
+    def front(self, first: str) -> str:
+        """What ends before a unit that begins so and has no space in front."""
+        kind = int(_classed(np.frombuffer(first.encode("utf-8", "surrogatepass"), np.uint8))[0])
+        if kind == LINE:
+            return " x"
+        return next(f for f, before in ((" x", LETTER), (" .", SIGN), (" 1", NUMBER), (" x\n", LINE)) if (before, kind) in self.pairs or before == LINE)
+
+    def _tables(self) -> tuple[bytes, bytes]:
+        """For each class whether it is visible, and for each 8 * class + next class whether a unit begins between."""
+        visible, joint = bytearray(256), bytearray(256)
+        for k in (LETTER, NUMBER, SIGN, QUOTE, NEWER):
+            visible[k] = 1
+        for x, y in self.pairs:
+            joint[8 * x + y] = 1
+        return bytes(visible), bytes(joint)
+
+    def _starts(self, data: np.ndarray) -> np.ndarray:
+        """Whether a unit begins at each byte, but for those of the first and last characters, which lack neighbours."""
+        visible, joint = self._tables()
+        c = _classed(data)
+        v = np.frombuffer(c.tobytes().translate(visible), bool)
+        starts = np.zeros(len(c), bool)
+        starts[1:] = np.frombuffer((8 * c[:-1] + c[1:]).tobytes().translate(joint), bool)
+        between = v[:-2] & v[2:]
+        starts[1:-1] |= (c[1:-1] == SPACE) & between
+        if self.lines:
+            alone = np.flatnonzero((c[1:-1] == LINE) & between) + 1
+            starts[alone] = starts[alone + 1] = True
+        return starts
+
+    def divide(self, texts: pa.Array) -> pa.ListArray:
+        """The units of texts that begin with a space each: the same bytes between other bounds."""
+        if not len(texts):
+            return pa.array([], pa.list_(pa.string()))
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        base, size = int(offsets[0]), int(offsets[-1] - offsets[0])
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[base : base + size] if size else np.zeros(0, np.uint8)
+        begins = lambda k: next(x for x in range(k, size + 1) if x == size or data[x] & 0xC0 != 0x80)
+        starts = np.zeros(size + 1, bool)
+        for first in range(0, size, BLOCK):
+            low, high = begins(max(0, first - 16)), begins(min(size, first + BLOCK + 16))
+            last = min(size, first + BLOCK)
+            starts[first:last] = self._starts(data[low:high])[first - low : last - low]
+        starts[offsets - base] = starts[size] = True
+        bounds = np.flatnonzero(starts).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(data))
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(bounds, offsets - base), pa.int32()), units)
+
+
+def seams_of(path_b: str) -> Seams:
+    """Letters, numbers and signs part in A's pattern, but for what an apostrophe begins; in B where no piece holds such neighbours."""
+    with open(path_b, "rb") as f:
+        pieces = [dict(_fields(v)) for n, v in _fields(f.read()) if n == 1]
+    text = "".join(" " + p.get(1, b"").decode().lstrip(MARK) + " " for p in pieces if p.get(3, NORMAL) in (NORMAL, USER, UNUSED))
+    c = _classed(np.frombuffer(text.encode(), np.uint8)).tolist()
+    kinds = {(x, y) for x in (LETTER, NUMBER, SIGN) for y in (LETTER, NUMBER, SIGN, QUOTE) if x != y and (x, y) != (SIGN, QUOTE)}
+    return Seams(frozenset(kinds - set(zip(c, c[1:]))), LINE not in c)
+
+
+def _units(texts: pa.Array, seams: Seams | None) -> pa.ListArray:
+    """The units of each text, with the space that the tokenizers put in front; none for null."""
+    spaced = pc.binary_join_element_wise("", texts, " ")
+    if seams:
+        return seams.divide(spaced)
+    at = np.concatenate([[0], np.cumsum(pc.is_valid(texts).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), spaced.drop_null())
+
+
+def count_units(texts: DataFrame, seams: Seams | None) -> DataFrame:
+    """(u, n): every unit and its number, counted in tasks first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Array] = []
+        size = 0
+
+        def counts() -> pa.RecordBatch:
+            found = pa.chunked_array(held, pa.string()).value_counts()
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["u", "n"])
+
+        for batch in batches:
+            held.append(_units(batch.column(0), seams).flatten())
+            size += batch.column(0).nbytes
+            if size >= COUNTED:
+                yield counts()
+                held, size = [], 0
+        if held:
+            yield counts()
+
+    return texts.select("text").mapInArrow(trimmed(run), "u string, n long").groupBy("u").agg(F.sum("n").alias("n"))
+
+
+def place_units(texts: DataFrame, seams: Seams | None) -> DataFrame:
+    """(row, u): every unit of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = _units(batch.column(1), seams)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pc.list_parent_indices(units)), units.flatten()], ["row", "u"])
+
+    return texts.select("row", "text").mapInArrow(trimmed(run), "row long, u string")
+
+
+def encode_units(units: DataFrame, path_a: str, path_b: str, seams: Seams | None) -> DataFrame:
     """(unit, n, tokens) for rows (unit, u, n): A's tokens, then B's, with their lengths in bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,11 +340,9 @@ def encode_units(units: DataFrame, path_a: str, path_b: str, divided: bool) -> D
                 while last < len(texts) and size < PART:
                     size += len(texts[last])
                     last += 1
-                coded = t.encode(texts[first:last], divided)
-                ids = np.concatenate([i for x in coded for i in x])
-                of_b = np.repeat(np.tile([False, True], len(coded)), [len(i) for x in coded for i in x])
+                of_b, ids, numbers = t.encode(texts[first:last], seams)
                 sizes = np.where(of_b, t.sizes_b[np.where(of_b, ids, 0)], t.sizes_a[np.where(of_b, 0, ids)]).astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum([len(x) + len(y) for x, y in coded])])
+                offsets = np.concatenate([[0], np.cumsum(numbers)])
                 tokens = pa.StructArray.from_arrays([pa.array(of_b), pa.array(ids), pa.array(sizes)], ["b", "id", "n"])
                 kept = [batch.column(k).slice(first, last - first) for k in (0, 2)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens)], ["unit", "n", "tokens"])
@@ -336,12 +504,13 @@ def _unpacked(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
 
 
-def _code(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
-    """Rows (row, doc_id, units): each unit's place among the known ones, from 1, and 0 for the others, which follow as texts."""
+def _code(batches: Iterator[pa.RecordBatch], known, seams: Seams | None) -> Iterator[pa.RecordBatch]:
+    """Rows (row, doc_id, text): each unit's place among the known ones, from 1, and 0 for the others, which follow as texts."""
     _room_for_known()
     table = known.value
     for batch in batches:
-        at, flat = _starts(batch.column(2)), batch.column(2).flatten()
+        units = _units(batch.column(2), seams)
+        at, flat = _starts(units), units.flatten()
         places = pc.fill_null(pc.index_in(flat, table.u), -1).to_numpy() + 1
         other = places == 0
         upto = np.concatenate([[0], np.cumsum(other)])[at]
@@ -370,7 +539,7 @@ def _assemble(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, whole], ["row", "doc_id", *NUMBERS, "groups"])
 
 
-def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, *paths: str) -> DataFrame:
+def _documents(texts: DataFrame, known: DataFrame, seams: Seams | None, budget: int, *paths: str) -> DataFrame:
     """(row, doc_id, numbers, groups) of texts by their units; none for null texts.
 
     Known units within the budget are looked up where the texts are; the others of a document are
@@ -384,8 +553,7 @@ def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, *
     often, seldom = _split(known.withColumnRenamed("u", "k_u"), "n", entry, budget)
     table = spark.sparkContext.broadcast(_Known(often.select("k_u", *small, "groups").toArrow()))
     none = F.array().cast("array<string>")
-    units = texts.select("row", "doc_id", F.when(F.col("text").isNull(), none).otherwise(units_of(F.col("text"), divided)).alias("units"))
-    coded, _ = written(units.mapInArrow(trimmed(lambda b: _code(b, table)), f"row long, doc_id {doc_id}, codes binary, others array<string>"), "align-codes")
+    coded, _ = written(texts.select("row", "doc_id", "text").mapInArrow(trimmed(lambda b: _code(b, table, seams)), f"row long, doc_id {doc_id}, codes binary, others array<string>"), "align-codes")
     _free(spark, *paths[:1])
     other = coded.select("row", F.posexplode("others").alias("pos", "u")).join(seldom, F.col("u") == F.col("k_u")).select("row", "pos", *small, "groups")
     other, _ = written(other, "align-others")
@@ -398,26 +566,26 @@ def _documents(texts: DataFrame, known: DataFrame, divided: bool, budget: int, *
     return met.select("row", "doc_id", "codes", groups.alias("others"), *NUMBERS).mapInArrow(trimmed(lambda b: _assemble(b, table)), f"row long, doc_id {doc_id}, {columns}, groups string")
 
 
-def _tokenized(texts: DataFrame, divided: bool, path_a: str, path_b: str, budget: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+def _tokenized(texts: DataFrame, seams: Seams | None, path_a: str, path_b: str, budget: int) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
     """(texts, null where their tokens do not spell them; units (unit, u, n) of the others; the units' tokens; paths of both)."""
     spark = texts.sparkSession
     filled = texts.filter("text is not null")
-    counted = filled.select(F.explode(units_of(F.col("text"), divided)).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    counted = count_units(filled, seams)
     units, p0 = written(counted.select(F.monotonically_increasing_id().alias("unit"), "u", "n"), "align-units")
     _free(spark)
-    encoded, p1 = written(encode_units(units, path_a, path_b, divided), "align-tokens")
+    encoded, p1 = written(encode_units(units, path_a, path_b, seams), "align-tokens")
     without = encoded.filter(F.size("tokens") == 0).select(F.col("unit").alias("w_unit"))
     if not without.head(1):
         return texts, units, encoded, [p0, p1]
     # whole texts go with such a unit: their other units must not be counted
     wrong, _ = written(units.join(without, F.col("unit") == F.col("w_unit"), "left_semi").select(F.col("u").alias("w_u"), "n"), "align-wrong")
     often, seldom = _split(wrong, "n", F.octet_length("w_u") + 64, budget)
-    placed = filled.select("row", F.explode(units_of(F.col("text"), divided)).alias("u"))
+    placed = place_units(filled, seams)
     holding = placed.join(F.broadcast(often), F.col("u") == F.col("w_u"), "left_semi").unionByName(placed.join(seldom, F.col("u") == F.col("w_u"), "left_semi"))
     good = texts.join(holding.select(F.col("row").alias("w_row")).distinct(), F.col("row") == F.col("w_row"), "left")
     good, _ = written(good.select("row", "doc_id", F.when(F.col("w_row").isNull(), F.col("text")).alias("text")), "align-good")
     remove(spark, p0, p1)
-    return _tokenized(good, divided, path_a, path_b, budget)
+    return _tokenized(good, seams, path_a, path_b, budget)
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text", budget: int = BUDGET, keep: bool = True) -> Alignment:
@@ -425,11 +593,12 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "do
     spark = docs.sparkSession
     small_batches(spark)
     divided = divides_at_spaces(path_a, path_b)
+    seams = seams_of(path_b) if divided else None
     t = F.col(f"`{text}`")
     # B reads the mark as a space, so a text that holds it is never spelled
     filled = F.when((t != "") & (~F.contains(t, F.lit(MARK)) if divided else F.lit(True)), t)
     texts, texts_path = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), filled.alias("text")), "align-texts")
-    texts, units, encoded, paths = _tokenized(texts, divided, path_a, path_b, budget)
+    texts, units, encoded, paths = _tokenized(texts, seams, path_a, path_b, budget)
     aligned, aligned_path = written(gather(align(encoded)), "align-links")
     _free(spark, paths[1])
     pairs = pair_counts(aligned)
@@ -441,7 +610,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "do
     _free(spark, paths[0], *[] if keep else [aligned_path])
     used = [texts_path] if keep else [texts_path, known_path]
     side = (known, aligned, pairs) if keep else (None, None, None)
-    return Alignment(_documents(texts, known, divided, budget, *used), *side)
+    return Alignment(_documents(texts, known, seams, budget, *used), *side)
 
 
 def _digest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
@@ -147,3 +148,35 @@ def test_digest_of_groups(spark):
     assert found.pairs.agg(t.F.sum("links")).first()[0] == sum(r[4] for r in brute(rows))
     groups = {r.doc_id: r.groups for r in found.documents.collect()}
     assert groups[2] == "" and hashlib.sha256(groups[1].encode()).hexdigest() == hashlib.sha256(brute(rows)[0][7].encode()).hexdigest()
+
+
+def test_units_part_at_seams_too(monkeypatch):
+    seams = t.seams_of(B)
+    lists = lambda texts: t._units(pa.array(texts, pa.string()), seams).to_pylist()
+    assert lists(["Of that.\nThen, it's"]) == [[" Of", " that", ".", "\n", "Then", ",", " it", "'s"]]
+    assert lists(["a  b \n c"]) == [[" a  b \n c"]]
+    assert lists([None, "x", None]) == [[], [" x"], []] and lists([]) == []
+    rng = random.Random(5)
+    letters = "ab12²'.,-_ \n\n\t\ré☃ªⅣ́​͸😀ßñ<>|s't中ー。\xa0"
+    rows = [x for _, x in texts(12, 200) if x and "▁" not in x] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for _ in range(2000)]
+    a, b, both = Tokenizer.from_file(A), SentencePieceProcessor(model_file=B), t.Tokenizers(A, B)
+    a.encode_special_tokens = True
+    for block in (t.BLOCK, 37):  # characters and their neighbours lie across blocks
+        monkeypatch.setattr(t, "BLOCK", block)
+        divided = lists(rows)
+        for x, units in zip(rows, divided):
+            assert "".join(units) == f" {x}"
+            of_b, ids, numbers = both.encode(units, seams)
+            assert numbers.min() > 0 and ids[~of_b].tolist() == a.encode(f" {x}").ids and ids[of_b].tolist() == b.encode(x)
+    of_b, ids, numbers = both.encode([u for units in divided for u in units], seams)  # many at a time
+    assert ids[of_b].tolist() == [i for x in rows for i in b.encode(x)] and ids[~of_b].tolist() == [i for x in rows for i in a.encode(f" {x}").ids]
+
+
+def test_words_with_and_without_punctuation_are_one_unit(spark):
+    # each distinct unit is tokenized, aligned and scored: what only punctuation tells apart costs nothing anew
+    words = ["".join(random.Random(k).choices("aeinrst", k=9)) for k in range(50)]
+    rows = [(k, f"{w} {w}, {w}. {w}!! {w}; ({w}) {w}:\n{w}") for k, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = t.align_documents(df, A, B)
+    assert found.units.count() <= 3 * len(words) + 20
+    assert sorted((tuple(r[c] for c in NAMES) for r in found.documents.collect()), key=repr) == brute(rows)
